@@ -36,7 +36,7 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST) -> Dat
 
     The sources share ``share`` of all sizes by weight. A target stops at ``most`` times its source's size and the excess
     is shared anew by weight; that fixes one water level: target = least(most * size, weight * level). Sources are taken
-    in the order in which they reach their stop; the first level that the next stop isn't below is the right one. One row a source:
+    in the order in which they reach their stop; the first level that isn't above the next stop is the right one, later ones are lower. One row a source:
     the single ordered window here reads as many rows as there are sources, whatever the number of documents.
     """
     stop = F.col("source_size") * F.lit(most)
@@ -50,7 +50,7 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST) -> Dat
         sources.withColumn("stop", stop.cast("double"))
         .withColumn("stop_level", F.col("stop") / F.col("weight"))
         .withColumn("level", left / weight_left)
-        .withColumn("found", F.min(level).over(everything))
+        .withColumn("found", F.max(level).over(everything))
         .withColumn("target", F.least(F.col("stop"), F.col("weight") * F.coalesce("found", F.lit(0.0))))
         .select("source", "source_size", "weight", "target")
     )

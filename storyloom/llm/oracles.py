@@ -14,7 +14,7 @@ levels AS (
          (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(stop) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM weighed WINDOW before AS (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 aims AS (
-  SELECT source, source_size, least(stop, weight * coalesce((SELECT min(level) FROM levels WHERE level <= stop_level), 0)) AS target,
+  SELECT source, source_size, least(stop, weight * coalesce((SELECT max(level) FROM levels WHERE level <= stop_level), 0)) AS target,
          ('0x' || substr(md5('mix-1' || coalesce(source, chr(0))), 1, 5))::BIGINT / 1048576.0::DOUBLE AS shift
   FROM levels),
 ranked AS (
@@ -44,10 +44,10 @@ covered AS (
 repeated AS (
   SELECT row_no, sum(covered)::BIGINT AS n_repeat_words FROM covered GROUP BY row_no),
 counts AS (
-  SELECT w.row_no, w.doc_id, w.source AS host, len(w.words)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.words, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT w.row_no, w.doc_id, w.source AS host, len(w.words)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.words, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(w.text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(l.n_lines, 0) AS n_lines,
          coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(w.words, x -> x = upper(x) AND x <> lower(x) AND NOT contains(x, 'ß')))::BIGINT AS n_upper
+         len(list_filter(w.words, lambda x: x = upper(x) AND x <> lower(x) AND NOT contains(x, 'ß')))::BIGINT AS n_upper
   FROM words w LEFT JOIN lines l USING (row_no) LEFT JOIN repeated r USING (row_no)),
 failed AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
