@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontaminate, mixing, near_dedup, quality_model, quality_rules, secrets
+from storyloom.llm import decontaminate, html_text, mixing, near_dedup, quality_model, quality_rules, secrets
 from storyloom.llm.common import load
 
 
@@ -28,6 +28,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(load(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(load(spark, sf_dir, "pages"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).drop("text_hash")
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontamination,
         op4_simhash_dedup,
         op5_secrets,
+        op6_html_text,
         op7_quality_model,
         op10_quality_rules,
     )
