@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontaminate, html_text, mixing, near_dedup, quality_model, quality_rules, secrets
+from storyloom.llm import decontaminate, html_text, mixing, near_dedup, pii, quality_model, quality_rules, secrets
 from storyloom.llm.common import load
 
 
@@ -36,6 +36,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).drop("text_hash")
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(load(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_failed", "host_verdict")
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_secrets,
         op6_html_text,
         op7_quality_model,
+        op8_pii_surrogates,
         op10_quality_rules,
     )
 }
