@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontaminate, html_text, mixing, near_dedup, pii, quality_model, quality_rules, secrets
+from storyloom.llm import decontaminate, html_text, licenses, mixing, near_dedup, pii, quality_model, quality_rules, secrets
 from storyloom.llm.common import load
 
 
@@ -40,6 +40,13 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogates(load(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: a source is a tree of folders of 1,000 and 100 ids."""
+    docs = load(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.col("source"), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_failed", "host_verdict")
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_html_text,
         op7_quality_model,
         op8_pii_surrogates,
+        op9_licenses,
         op10_quality_rules,
     )
 }
