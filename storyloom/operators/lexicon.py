@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,15 +73,15 @@ def pmi_words(clean: DataFrame, pmi: DataFrame, min_pmi: float = MIN_PMI, slices
     bonds = pmi.where(F.col("pmi") >= min_pmi).select(F.col("project").alias("b_project"), slots, F.col("gram").alias("gram"))
     dealt = clean.where("clean <> ''").groupBy("project", "clean").agg(F.count(F.lit(1)).alias("times")).withColumn("slot", F.pmod(F.xxhash64("clean"), F.lit(slices)).cast("int"))
 
-    def cut(key: tuple, sentences: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
-        bonded = set(grams["gram"])
-        found: dict[str, int] = {}
-        for text, times in zip(sentences["clean"], sentences["times"], strict=True):
+    def cut(sentences: pa.Table, grams: pa.Table) -> pa.Table:
+        bonded = set(grams.column("gram").to_pylist())
+        found: Counter[tuple[str, str]] = Counter()
+        for book, text, times in zip(*(sentences.column(c).to_pylist() for c in ("project", "clean", "times")), strict=True):
             for word in cut_at_bonds(text, bonded):
-                found[word] = found.get(word, 0) + int(times)
-        return pd.DataFrame({"project": [key[0]] * len(found), "word": list(found), "n": list(found.values())})
+                found[book, word] += times
+        return pa.table({"project": pa.array([b for b, _ in found], pa.string()), "word": pa.array([w for _, w in found], pa.string()), "n": pa.array(found.values(), pa.int64())})
 
-    rows = dealt.groupBy("project", "slot").cogroup(bonds.groupBy("b_project", "slot")).applyInPandas(cut, "project string, word string, n long")
+    rows = dealt.groupBy("project", "slot").cogroup(bonds.groupBy("b_project", "slot")).applyInArrow(cut, "project string, word string, n long")
     return rows.groupBy("project", "word").agg(F.sum("n").alias("n"))
 
 
@@ -143,10 +144,11 @@ def postings(texts: DataFrame, words: DataFrame, slices: int = 16) -> DataFrame:
     lists = words.select(F.col("project").alias("w_project"), F.col("word").alias("word"), slots)
     dealt = texts.select("project", "key", "text", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int").alias("slot"))
 
-    def cut(key: tuple, rows: pd.DataFrame, lexicon: pd.DataFrame) -> pd.DataFrame:
-        first = by_first(lexicon["word"])
-        found = [(k, t) for k, text in zip(rows["key"], rows["text"], strict=True) for t in tokenize(text, first)]
-        return pd.DataFrame({"project": [key[0]] * len(found), "key": [k for k, _ in found], "token": [t for _, t in found]})
+    def cut(rows: pa.Table, lexicon: pa.Table) -> pa.Table:
+        first = by_first(lexicon.column("word").to_pylist())
+        named = zip(*(rows.column(c).to_pylist() for c in ("project", "key", "text")), strict=True)
+        found = [(p, k, t) for p, k, text in named for t in tokenize(text, first)]
+        return pa.table({c: pa.array([x[i] for x in found], pa.string()) for i, c in enumerate(("project", "key", "token"))})
 
-    tokens = dealt.groupBy("project", "slot").cogroup(lists.groupBy("w_project", "slot")).applyInPandas(cut, "project string, key string, token string")
+    tokens = dealt.groupBy("project", "slot").cogroup(lists.groupBy("w_project", "slot")).applyInArrow(cut, "project string, key string, token string")
     return tokens.groupBy("project", "key", "token").agg(F.count(F.lit(1)).alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storyloom.functions import enums, text
 from storyloom.operators import chapters, derive, draft, gates, json_audit, ledger, lexicon, recall, rollup
 from storyloom.sources import adapter, stores
+from storyloom.sources.checkpoints import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -653,9 +654,10 @@ def containment_hits(spark, sf):
 
 
 def token_counts(spark, sf):
+    """The lexicon and the shots' texts are read several times, so they are written first."""
     s = adapter.shots(spark, sf)
-    texts = recall.shot_texts(s, adapter.sentences(spark, sf))
-    return recall.token_counts(asked(spark, sf), s, texts, lexicon_words(spark, sf))
+    texts = cut(recall.shot_texts(s, adapter.sentences(spark, sf)))
+    return recall.token_counts(asked(spark, sf), s, texts, cut(lexicon_words(spark, sf)))
 
 
 @query
