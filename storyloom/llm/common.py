@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,11 +24,23 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; only without it (tests) one is made here.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as Parquet. For loops: a checkpoint keeps the size that the optimizer guessed for its plan, and the guesses of joins of
+    joins of ... multiply until they take minutes to write down; a file has its own size."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def map_values(df: DataFrame, keep: list[Column], value: Column, fn: Callable[[object], tuple], schema: T.StructType) -> DataFrame:

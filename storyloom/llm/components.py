@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import cut
+from storyloom.llm.common import table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,13 +16,13 @@ def components(edges: DataFrame) -> DataFrame:
     of a node are only ever reduced by min, before the shuffle too, and never gathered. Empty input: empty result.
     """
     maps = []
-    left = cut(edges.select("a", "b").where("a <> b"))
+    left = table(edges.select("a", "b").where("a <> b"))
     while not left.isEmpty():
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("up")))
+        parent = table(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("up")))
         maps.append(parent)
         a, b = (parent.select(F.col("node").alias(x), F.col("up").alias(f"{x}_up")) for x in "ab")
-        left = cut(left.join(a, "a").join(b, "b").where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct())
+        left = table(left.join(a, "a").join(b, "b").where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct())
     if not maps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = maps[-1].select("node", F.col("up").alias("root"))
