@@ -19,7 +19,7 @@ STEPS, RATE, SHRINK = 400, 0.5, 1e-3
 THRESHOLD = 0.3
 FOLDS = 5
 SLOPE = 4.0
-FEATURES = ["log_words", "word_length", "symbols", "bars", "bangs", "digits", "capitals", "leading_capitals", "duplicate_lines", "repeated", "top_word", "distinct", "stops", "commas", "long_words", "line_words", "decorated"]
+FEATURES = ["log_words", "word_length", "symbols", "bars", "bangs", "digits", "capitals", "leading_capitals", "duplicate_lines", "repeated", "top_word", "distinct", "stops", "commas", "long_words", "line_words", "decorated", "echoes"]
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>=_~^@]")
 _DECORATED = re.compile(r"[#*$%&!|]$")
@@ -47,13 +47,14 @@ def features(text: str | None) -> list[float]:
         sum(map(str.istitle, words)) / n,
         1 - len(set(lines)) / len(lines),
         repeated_words(words) / n,
-        max(count.values()) / n,
+        (max(count.values()) - 1) / n,
         len(count) / n if n < 200 else np.log(len(count)) / np.log(n),
         text.count(". ") / n,
         text.count(",") / n,
         sum(len(w) > 20 for w in words) / n,
         min(5.0, np.log1p(n / len(lines))),
         sum(1 for w in words if _DECORATED.search(w)) / n,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
     ]
 
 
@@ -98,7 +99,7 @@ class Ranker:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ranker:
     """The model, from at most ``sample_rows`` labelled rows outside the held-out fold: those whose hashed doc_id is smallest.
 
-    Only the sample's features reach the driver, ``sample_rows`` x 17 numbers at most.
+    Only the sample's features reach the driver, ``sample_rows`` x 18 numbers at most.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top")  # contradictory labels teach nothing
