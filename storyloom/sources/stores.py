@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from storyloom.functions.text import padded, trimmed
 
-SENTENCE_DOCUMENT = T.StructType.fromDDL("schema string, chapter struct<number:int,title:string,range:string>, source string, sentences array<struct<id:string,seq:int,struct:string,text:string,shotId:string,note:string>>")
-SHOT_DOCUMENT = T.StructType.fromDDL("shots array<struct<id:string,type:string,funcs:array<string>,label:string,sentenceIds:array<string>,sentenceRange:array<int>>>")
-CHAPTER_DOCUMENT = T.StructType.fromDDL("chapter struct<number:int,title:string>, function string, summary string, mainlineProgress array<struct<entity:string,state:string>>, stats struct<sentenceCount:int,shotCount:int,shotTypeDist:map<string,int>,funcDist:map<string,int>,shortSentenceRate:double,sentenceClusterRate:double>, suspense array<struct<shot:string,label:string,sentenceRange:array<int>>>")
+SENTENCE_DOCUMENT = "schema string, chapter struct<number:int,title:string,range:string>, source string, sentences array<struct<id:string,seq:int,struct:string,text:string,shotId:string,note:string>>"
+SHOT_DOCUMENT = "shots array<struct<id:string,type:string,funcs:array<string>,label:string,sentenceIds:array<string>,sentenceRange:array<int>>>"
+CHAPTER_DOCUMENT = "chapter struct<number:int,title:string>, function string, summary string, mainlineProgress array<struct<entity:string,state:string>>, stats struct<sentenceCount:int,shotCount:int,shotTypeDist:map<string,int>,funcDist:map<string,int>,shortSentenceRate:double,sentenceClusterRate:double>, suspense array<struct<shot:string,label:string,sentenceRange:array<int>>>"
 
 
 def whole_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(path, text, mtime) of each file; a file is one row, so its lines keep their order."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
 
 
 def file_name(path: Column) -> Column:
@@ -63,7 +62,7 @@ def write_chapter_lists(chapters: DataFrame, path: str) -> None:
     rows.select("project", "value").write.mode("overwrite").partitionBy("project").text(path)
 
 
-def read_layer(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def read_layer(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Documents (project, chapter, mtime, doc) of a layer's ``第NNNN章.json`` files, and the rows (project, chapter, text) that don't parse."""
     files = whole_files(spark, path).withColumn("name", file_name(F.col("path"))).where(F.col("name").rlike("^第[0-9]{4,}章\\.json$"))
     rows = files.select(F.url_decode(F.regexp_extract("path", "/([^/]+)project/", 1)).alias("project"), F.regexp_extract("name", "([0-9]+)", 1).cast("int").alias("chapter"), "mtime", "text")
@@ -109,7 +108,7 @@ def publish(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document a file (sessions, tasks); what is missing is null."""
     return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
 
