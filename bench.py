@@ -41,6 +41,7 @@ def main() -> None:
             with contextlib.redirect_stdout(sys.stderr):
                 queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.time() - began, 2)
+            print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 2), "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 
 

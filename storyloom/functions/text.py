@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 
 _BLANKS = [0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 BLANK = r"[\t\n\x0B\f\r" + "".join(map(chr, _BLANKS)) + "]"
-SENTENCE_MARKS = "[，。！？…、；：\"'“”‘’—–·《》「」『』【】〈〉]|" + BLANK
-QUERY_MARKS = "[，。！？…、；：\"“”‘’「」『』—–·〈〉（）《》]|" + BLANK
-TOKEN_MARKS = "[\\[\\]（）()【】「」『』、，。！？：；“”‘’\"'—–·〈〉《》]|" + BLANK
+SENTENCE_MARKS = "[，。！？…、；：\"'“”‘’—–·《》「」『』【】〈〉" + BLANK[1:]
+QUERY_MARKS = "[，。！？…、；：\"“”‘’「」『』—–·〈〉（）《》" + BLANK[1:]
+TOKEN_MARKS = "[\\[\\]（）()【】「」『』、，。！？：；“”‘’\"'—–·〈〉《》" + BLANK[1:]
 _DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 _UNITS = {"十": 10, "百": 100, "千": 1000}
 _HEADING = f"^第([一二三四五六七八九十百零〇两]+)章{BLANK}+(.+)$"

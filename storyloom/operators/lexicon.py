@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions.enums import CUT_CHARS, LEXICON_STOP_WORDS
 from storyloom.functions.text import sentence_clean, trimmed
+from storyloom.sources.checkpoints import cut
 
 MIN_PMI, MIN_COUNT, LONGEST, MIN_FREQUENCY = 2.0, 3, 7, 3
 
@@ -27,21 +29,41 @@ def cleaned(sentences: DataFrame) -> DataFrame:
 
 def unigrams(clean: DataFrame) -> DataFrame:
     """L2: (project, gram, n)."""
-    rows = clean.select("project", F.explode(F.split("clean", "")).alias("gram")).where("gram <> ''")
-    return rows.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return gram_counts(clean, 1)
 
 
 def bigrams(clean: DataFrame) -> DataFrame:
     """L2: (project, gram, n) of neighbouring characters within a sentence."""
-    chars = F.split("clean", "")
-    pairs = F.arrays_zip(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))).alias("a"), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))).alias("b"))
-    rows = clean.where(F.length("clean") > 1).select("project", F.explode(pairs).alias("p")).select("project", F.concat("p.a", "p.b").alias("gram"))
-    return rows.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return gram_counts(clean, 2)
+
+
+def gram_counts(clean: DataFrame, size: int) -> DataFrame:
+    """Counts of runs of one or two characters. Each batch of sentences is counted as an array of code points, so that what is shuffled
+    is one row for each book and gram of a batch, not one for each character."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            books: dict[str | None, list[str]] = {}
+            for book, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                books.setdefault(book, []).append(text or "")
+            for book, texts in books.items():
+                codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                if size == 2 and len(codes):
+                    last = np.cumsum([len(t) for t in texts])[:-1] - 1
+                    inside = np.ones(len(codes) - 1, bool)
+                    inside[last[(last >= 0) & (last < len(inside))]] = False
+                    codes = ((codes[:-1] << np.uint64(32)) | codes[1:])[inside]
+                found, n = np.unique(codes, return_counts=True)
+                grams = [chr(g) if size == 1 else chr(g >> 32) + chr(g & 0xFFFFFFFF) for g in found.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([book] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=["project", "gram", "n"])
+
+    rows = clean.select("project", "clean").mapInArrow(counted, "project string, gram string, n long")
+    return rows.groupBy("project", "gram").agg(F.sum("n").alias("n"))
 
 
 def pmi_table(clean: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """L3: (project, gram, n, pmi) of the bigrams that occur often enough; the others have no bond."""
-    one, two = unigrams(clean), bigrams(clean).where(F.col("n") >= min_count)
+    one, two = cut(unigrams(clean)), bigrams(clean).where(F.col("n") >= min_count)
     totals = one.groupBy("project").agg(F.sum("n").alias("total"))
     a, b = (one.select("project", F.col("gram").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     rows = two.withColumn("a", F.substring("gram", 1, 1)).withColumn("b", F.substring("gram", 2, 1)).join(a, ["project", "a"]).join(b, ["project", "b"]).join(totals, "project")
@@ -73,7 +95,7 @@ def pmi_words(clean: DataFrame, pmi: DataFrame, min_pmi: float = MIN_PMI, slices
     bonds = pmi.where(F.col("pmi") >= min_pmi).select(F.col("project").alias("b_project"), slots, F.col("gram").alias("gram"))
     dealt = clean.where("clean <> ''").groupBy("project", "clean").agg(F.count(F.lit(1)).alias("times")).withColumn("slot", F.pmod(F.xxhash64("clean"), F.lit(slices)).cast("int"))
 
-    def cut(sentences: pa.Table, grams: pa.Table) -> pa.Table:
+    def words_of(sentences: pa.Table, grams: pa.Table) -> pa.Table:
         bonded = set(grams.column("gram").to_pylist())
         found: Counter[tuple[str, str]] = Counter()
         for book, text, times in zip(*(sentences.column(c).to_pylist() for c in ("project", "clean", "times")), strict=True):
@@ -81,7 +103,7 @@ def pmi_words(clean: DataFrame, pmi: DataFrame, min_pmi: float = MIN_PMI, slices
                 found[book, word] += times
         return pa.table({"project": pa.array([b for b, _ in found], pa.string()), "word": pa.array([w for _, w in found], pa.string()), "n": pa.array(found.values(), pa.int64())})
 
-    rows = dealt.groupBy("project", "slot").cogroup(bonds.groupBy("b_project", "slot")).applyInArrow(cut, "project string, word string, n long")
+    rows = dealt.groupBy("project", "slot").cogroup(bonds.groupBy("b_project", "slot")).applyInArrow(words_of, "project string, word string, n long")
     return rows.groupBy("project", "word").agg(F.sum("n").alias("n"))
 
 
@@ -92,7 +114,7 @@ def frequent_words(words: DataFrame, least: int = MIN_FREQUENCY) -> DataFrame:
 
 def lexicon(shots: DataFrame, sentences: DataFrame) -> DataFrame:
     """(project, word, from_label, freq): label words, and frequent statistical words."""
-    clean = cleaned(sentences)
+    clean = cut(cleaned(sentences))
     frequent = frequent_words(pmi_words(clean, pmi_table(clean)))
     both = label_words(shots).select("project", "word", F.lit(True).alias("from_label"), F.lit(0).cast("long").alias("freq")).unionByName(frequent.select("project", "word", F.lit(False).alias("from_label"), F.col("n").alias("freq")))
     return both.groupBy("project", "word").agg(F.bool_or("from_label").alias("from_label"), F.max("freq").alias("freq"))
@@ -144,11 +166,11 @@ def postings(texts: DataFrame, words: DataFrame, slices: int = 16) -> DataFrame:
     lists = words.select(F.col("project").alias("w_project"), F.col("word").alias("word"), slots)
     dealt = texts.select("project", "key", "text", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int").alias("slot"))
 
-    def cut(rows: pa.Table, lexicon: pa.Table) -> pa.Table:
+    def tokens_of(rows: pa.Table, lexicon: pa.Table) -> pa.Table:
         first = by_first(lexicon.column("word").to_pylist())
         named = zip(*(rows.column(c).to_pylist() for c in ("project", "key", "text")), strict=True)
         found = [(p, k, t) for p, k, text in named for t in tokenize(text, first)]
         return pa.table({c: pa.array([x[i] for x in found], pa.string()) for i, c in enumerate(("project", "key", "token"))})
 
-    tokens = dealt.groupBy("project", "slot").cogroup(lists.groupBy("w_project", "slot")).applyInArrow(cut, "project string, key string, token string")
+    tokens = dealt.groupBy("project", "slot").cogroup(lists.groupBy("w_project", "slot")).applyInArrow(tokens_of, "project string, key string, token string")
     return tokens.groupBy("project", "key", "token").agg(F.count(F.lit(1)).alias("n"))
