@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,12 +86,6 @@ def restored_list(chapters: DataFrame) -> DataFrame:
     return chapters.select("project", "number", "title", "start", "end", ((F.col("end") - F.col("start") + 1) * 50).alias("chars"))
 
 
-def batches(rows: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    for part in rows:
-        for i in range(0, len(part), size):
-            yield part.iloc[i : i + size]
-
-
 def missing(listed: DataFrame, done: DataFrame) -> DataFrame:
     """Listed chapters that aren't annotated."""
     return listed.join(done, ["project", "number"], "left_anti")

@@ -65,7 +65,7 @@ def completeness(texts: DataFrame, sentences: DataFrame, shots: DataFrame, chapt
     """V7: chapters that lack a layer. Keys are reduced to one row a chapter and layer before they meet."""
     names = ["text", "sentences", "shots", "chapter"]
     parts = [df.select(F.col("project"), F.col("number" if "number" in df.columns else "chapter").alias("chapter"), F.lit(i).alias("layer")).distinct() for i, df in enumerate((texts, sentences, shots, chapters))]
-    per = union(parts).groupBy(*KEY).agg(F.sum(F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col("layer"))).cast("int").alias("have"))
+    per = union(parts).groupBy(*KEY).agg(F.sum(F.pow(F.lit(2), F.col("layer"))).cast("int").alias("have"))
     absent = F.filter(F.array(*[F.struct((F.col("have").bitwiseAND(F.lit(1 << i)) == 0).alias("bad"), F.lit(n).alias("name")) for i, n in enumerate(names)]), lambda x: x["bad"])
     return per.select(*KEY, F.explode(absent).alias("x")).select(*KEY, F.lit("chapter").alias("layer"), F.lit("missing_layer").alias("rule"), F.col("x.name").alias("detail"))
 

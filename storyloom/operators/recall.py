@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import fixed, fnv1a, padded, query_clean, trimmed, without_blanks
+from storyloom.functions.text import fixed, fnv1a, padded, query_clean, token_clean, trimmed, without_blanks
 from storyloom.operators import lexicon
 from storyloom.operators.rollup import ordered_text
 
@@ -127,7 +127,7 @@ def token_counts(queries: DataFrame, shots: DataFrame, texts: DataFrame, words:
     q_tokens = lexicon.postings(q.select("project", F.col("query_id").cast("string").alias("key"), F.col("q").alias("text")).distinct(), words)
     q_tokens = q_tokens.select("project", "token", F.col("key").alias("query_id"))
     labels = shots.select("project", shot_key().alias("key"), without_blanks(F.coalesce("label", F.lit(""))).alias("label")).where(F.length("label") >= 2)
-    tokens = F.regexp_replace("text", lexicon_marks(), " ")
+    tokens = token_clean(F.col("text"))
     label_words = lexicon.postings(labels.select("project", "key", F.col("label").alias("text")).withColumn("text", tokens), words)
     q = q.withColumn("query_id", F.col("query_id").cast("string"))
     in_label = q_tokens.join(label_words, ["project", "token"]).groupBy("query_id", "project", "key").agg(F.sum("n").alias("n"))
@@ -142,12 +142,6 @@ def token_counts(queries: DataFrame, shots: DataFrame, texts: DataFrame, words:
     return label_part.unionByName(gated).groupBy("query_id", "project", "key").agg(F.sum("n").alias("n"))
 
 
-def lexicon_marks() -> str:
-    from storyloom.functions.text import TOKEN_MARKS
-
-    return TOKEN_MARKS
-
-
 def token_hits(counts: DataFrame, shots: DataFrame, k: int = QUOTA["token"], seed: str = "pick") -> DataFrame:
     """Hits of the token channel: the highest count (first in scan order), then others in an order that a seed decides."""
     rows = counts.join(shots.select(shot_key().alias("key"), "chapter", "pos", "shot_id"), "key")
