@@ -16,8 +16,9 @@ from storyloom.llm.common import cut
 ALPHA = 0.4
 LEAST_COUNT = 2  # a bigram counts as seen from here on; each text is in the corpus itself, so a count of one says nothing
 HOT_WORDS = 65_535  # the most frequent words, whose counts every task knows; a fixed bound
-BUCKET_TOKENS = 3_000_000
-CHUNK_TOKENS = 1_000_000
+TOP_SHARE = 500  # a top word makes up at least one in so many of all; so there are at most so many
+BUCKET_TOKENS = 2_500_000
+CHUNK_TOKENS = 500_000
 _FIRST, _LAST = np.uint64(1), np.uint64(0)  # stand before the first and after the last word
 
 
@@ -34,6 +35,12 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _times(values: np.ndarray) -> np.ndarray:
+    """How often each element occurs among all."""
+    _, inverse, n = np.unique(values, return_inverse=True, return_counts=True)
+    return n.astype(np.int32)[inverse]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """(keys, word hashes) of so many documents at a time that they hold about ``CHUNK_TOKENS`` words."""
     keys, words, n = [], [], 0
@@ -64,12 +71,28 @@ def unigrams(keyed: DataFrame) -> DataFrame:
 
 
 class Hot:
-    """Counts of the most frequent words, and the number of words in all."""
+    """Counts of the most frequent words and the number of words in all; and counts of all pairs of top words.
+
+    A pair that makes up a large share of all bigrams is one of top words. Those pairs are counted before the shuffle and scored where they stand.
+    """
 
     def __init__(self, words: list[int], counts: list[int], total: int) -> None:
         w = np.array(words, np.int64).view(np.uint64)
         order = np.argsort(w)
         self.words, self.counts, self.total = w[order], np.array(counts, np.int64)[order], total
+        self.top = np.flatnonzero(self.counts * TOP_SHARE >= max(1, total))[:TOP_SHARE]
+        self.rank = np.full(len(w), -1, np.int64)
+        self.rank[self.top] = np.arange(len(self.top))
+        self.pairs = np.zeros(len(self.top) ** 2, np.int64)
+
+    def pair_places(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each pair in the table of top pairs, and whether both words are top words."""
+        if not len(self.top):
+            return np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+        (i, x), (j, y) = self.places(a), self.places(b)
+        i, j = np.where(x, self.rank[i], -1), np.where(y, self.rank[j], -1)
+        both = (i >= 0) & (j >= 0)
+        return np.where(both, i * len(self.top) + j, 0), both
 
     def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word in the table, and whether it is there."""
@@ -79,20 +102,47 @@ class Hot:
         return at, self.words[at] == h
 
 
-def bigrams(keyed: DataFrame, hot, buckets: int) -> DataFrame:
+def _followed(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, second word and document of each bigram, the start and end signs included."""
+    a = np.concatenate([np.concatenate(([_FIRST], w)) for w in words])
+    b = np.concatenate([np.concatenate((w, [_LAST])) for w in words])
+    return a, b, np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+
+
+def top_pairs(keyed: DataFrame, hot) -> DataFrame:
+    """(place, n): counts of the pairs of top words, at most the square of their number; each task sends only its sums."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = hot.value
+        n = np.zeros(max(1, len(table.pairs)), np.int64)
+        for _, words in _chunks(batches):
+            a, b, _ = _followed(words)
+            place, both = table.pair_places(a, b)
+            n += np.bincount(place[both], minlength=len(n))
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], names=["place", "n"])
+
+    return keyed.mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+
+
+def bigrams(keyed: DataFrame, hot, buckets: int, alpha: float, least: int) -> DataFrame:
     """Every bigram of every document, packed by (chunk of documents, bucket).
 
     A bigram goes to a bucket by its first word if that one is rare, else by both words: so all its occurrences meet in one bucket, together with all
     of a rare first word; and a frequent first word is spread over all buckets. Frequent words are written as their place in the table.
+    Pairs of top words don't go anywhere: they are scored here, and their sums by document travel with the chunk's first bucket.
     """
-    names = ["bucket", "docs", "runs", "kinds", "a_hot", "a_rare", "b_hot", "b_rare"]
+    names = ["bucket", "docs", "runs", "kinds", "a_hot", "a_rare", "b_hot", "b_rare", "top_docs", "top_sums", "top_tokens"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = hot.value
         for keys, words in _chunks(batches):
-            a = np.concatenate([np.concatenate(([_FIRST], w)) for w in words])
-            b = np.concatenate([np.concatenate((w, [_LAST])) for w in words])
-            doc = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+            a, b, doc = _followed(words)
+            place, both = table.pair_places(a, b)
+            together, before, after = table.pairs[place[both]], table.counts[table.places(a[both])[0]], table.counts[table.places(b[both])[0]]
+            value = np.log(np.where(together >= least, together / before, alpha / max(1, table.total) * after))
+            tops = (keys.tobytes(), np.bincount(doc[both], value, len(keys)).tobytes(), np.bincount(doc[both], minlength=len(keys)).astype(np.int64).tobytes())
+            a, b, doc = a[~both], b[~both], doc[~both]
             a_at, a_hot = table.places(a)
             needed = ~a_hot | (b != _LAST)  # the last word only counts as a rare first one
             a, b, doc, a_at, a_hot = a[needed], b[needed], doc[needed], a_at[needed], a_hot[needed]
@@ -103,18 +153,18 @@ def bigrams(keyed: DataFrame, hot, buckets: int) -> DataFrame:
             rows = []
             for k in range(buckets):
                 i = order[edges[k] : edges[k + 1]]
-                if len(i):
+                if len(i) or (k == buckets - 1 and not rows):
                     d, runs = np.unique(doc[i], return_counts=True)
                     x, y = a_hot[i], b_hot[i]
-                    rows.append((k, keys[d].tobytes(), runs.astype(np.uint32).tobytes(), (x * 2 + y).astype(np.uint8).tobytes(), a_at[i[x]].astype(np.uint16).tobytes(), a[i[~x]].tobytes(), b_at[i[y]].astype(np.uint16).tobytes(), b[i[~y]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.binary() if j else pa.int32()) for j in range(8)], names=names)
+                    rows.append((k, keys[d].tobytes(), runs.astype(np.uint32).tobytes(), (x * 2 + y).astype(np.uint8).tobytes(), a_at[i[x]].astype(np.uint16).tobytes(), a[i[~x]].tobytes(), b_at[i[y]].astype(np.uint16).tobytes(), b[i[~y]].tobytes(), *(tops if not rows else (b"", b"", b""))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.binary() if j else pa.int32()) for j in range(len(names))], names=names)
 
-    return keyed.mapInArrow(packed, "bucket int, docs binary, runs binary, kinds binary, a_hot binary, a_rare binary, b_hot binary, b_rare binary")
+    return keyed.mapInArrow(packed, "bucket int, docs binary, runs binary, kinds binary, a_hot binary, a_rare binary, b_hot binary, b_rare binary, top_docs binary, top_sums binary, top_tokens binary")
 
 
 def bucket_scores(packed: DataFrame, hot, alpha: float, least: int) -> DataFrame:
-    """Rows (key, word, value, tokens): sums of log scores of a bucket's bigrams by document, word a filler; and, with tokens 0 and value 0, one row for
-    each bigram that backs off to a rare word, whose count isn't known in the bucket."""
+    """Rows (key, word, value, tokens): sums of log scores of a bucket's bigrams by document, word a filler; and, with value and tokens 0, one row for each
+    bigram that backs off to a rare word, whose count isn't known in the bucket."""
 
     def scored(table: pa.Table) -> pa.Table:
         known = hot.value
@@ -122,31 +172,32 @@ def bucket_scores(packed: DataFrame, hot, alpha: float, least: int) -> DataFrame
         def joined(name: str, kind: type) -> np.ndarray:
             return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
 
-        key = np.repeat(joined("docs", np.int64), joined("runs", np.uint32))
+        docs, at = np.unique(joined("docs", np.int64), return_inverse=True)
+        place = np.repeat(at.astype(np.int32), joined("runs", np.uint32))
         kinds = joined("kinds", np.uint8)
         a_hot, b_hot = kinds >= 2, kinds % 2 == 1
         a_at, b_at = joined("a_hot", np.uint16), joined("b_hot", np.uint16)
-        a, b = np.empty(len(key), np.uint64), np.empty(len(key), np.uint64)
+        a, b = np.empty(len(kinds), np.uint64), np.empty(len(kinds), np.uint64)
         a[a_hot], a[~a_hot] = known.words[a_at], joined("a_rare", np.uint64)
         b[b_hot], b[~b_hot] = known.words[b_at], joined("b_rare", np.uint64)
-        _, inverse, n = np.unique(pair_hash(a, b), return_inverse=True, return_counts=True)
-        together = n[inverse]
-        before = np.empty(len(key), np.int64)
-        before[a_hot] = known.counts[a_at]
-        _, inverse, n = np.unique(a[~a_hot], return_inverse=True, return_counts=True)
-        before[~a_hot] = n[inverse]
-        after = np.ones(len(key), np.int64)
+        before = np.empty(len(a), np.int64)
+        before[a_hot], before[~a_hot] = known.counts[a_at], _times(a[~a_hot])
+        together = _times(pair_hash(a, b))
+        del a  # a bucket's arrays are what memory goes into
+        after = np.ones(len(b), np.int64)
         after[b_hot] = known.counts[b_at]
-        scores = b != _LAST
-        seen = together >= least
-        value = np.where(seen, np.log(together / before), math.log(alpha) + np.log(after / known.total)) * scores
-        docs, place = np.unique(key, return_inverse=True)
+        scores, seen = b != _LAST, together >= least
+        value = np.where(seen, together / before, alpha / known.total * after)
+        np.log(value, out=value)
+        value *= scores
         ask = scores & ~seen & ~b_hot
-        sums, tokens = np.bincount(place, value), np.bincount(place, scores).astype(np.int64)
+        sums, tokens = np.bincount(place, value, len(docs)), np.bincount(place, scores, len(docs)).astype(np.int64)
         none = int(ask.sum())
-        return pa.table({"key": np.concatenate([docs, key[ask]]), "word": np.concatenate([docs, b[ask].view(np.int64)]), "value": np.concatenate([sums, np.zeros(none)]), "tokens": np.concatenate([tokens, np.zeros(none, np.int64)]), "ask": np.concatenate([np.zeros(len(docs), np.int64), np.ones(none, np.int64)])})
+        top = joined("top_docs", np.int64)
+        words = np.concatenate([docs, top, b[ask].view(np.int64)])
+        return pa.table({"key": np.concatenate([docs, top, docs[place[ask]]]), "word": words, "value": np.concatenate([sums, joined("top_sums", np.float64), np.zeros(none)]), "tokens": np.concatenate([tokens, joined("top_tokens", np.int64), np.zeros(none, np.int64)])})
 
-    return packed.groupBy("bucket").applyInArrow(scored, "key long, word long, value double, tokens long, ask long")
+    return packed.groupBy("bucket").applyInArrow(scored, "key long, word long, value double, tokens long")
 
 
 def score(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST_COUNT, hot_words: int = HOT_WORDS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -167,12 +218,15 @@ def score(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST_COUNT, hot_w
     words = cut(unigrams(keyed))
     total = words.where(~F.col("word").eqNullSafe(F.lit(int(_FIRST)))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     top = words.where("word is not null").orderBy(F.col("n").desc(), "word").limit(hot_words).collect()  # at most hot_words rows
-    hot = context.broadcast(Hot([r.word for r in top], [r.n for r in top], total))
-    found = bucket_scores(bigrams(keyed, hot, max(1, math.ceil(total / bucket_tokens))), hot, alpha, least)
+    table = Hot([r.word for r in top], [r.n for r in top], total)
+    for r in top_pairs(keyed, context.broadcast(table)).collect():  # at most the square of TOP_SHARE rows
+        table.pairs[r.place] = r.n
+    hot = context.broadcast(table)
+    found = bucket_scores(bigrams(keyed, hot, max(1, math.ceil(total / bucket_tokens)), alpha, least), hot, alpha, least)
     rare = words.where("word is not null").select(F.col("word"), F.col("n"))
     # the filler of a sum is its document's key: those rows meet no word, and none piles up on one key
     rows = found.join(rare.hint("shuffle_hash"), "word", "left")
-    value = F.col("value") + F.when(F.col("ask") == 1, F.log(F.coalesce(F.col("n"), F.lit(1)).cast("double"))).otherwise(0.0)
+    value = F.col("value") + F.when(F.col("tokens") == 0, F.log(F.coalesce("n", F.lit(1)).cast("double"))).otherwise(0.0)
     sums = rows.groupBy("key").agg(F.sum(value).alias("log_score"), F.sum("tokens").alias("n_tokens"))
     listed = docs.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
     joined = listed.join(sums, "key", "left")
