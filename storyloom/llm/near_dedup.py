@@ -20,19 +20,26 @@ TILE = 2048
 _HASHES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash over word shingles as a signed number; no words: 0."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of the word shingles in order, some at a time; of the whole sequence if there are fewer words; nothing for no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[len(ends) - n :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for k in range(0, n, _HASHES_AT_ONCE):
-        hashes = np.array([digest(flat[i:j], 42) for i, j in zip(starts[k : k + _HASHES_AT_ONCE], stops[k : k + _HASHES_AT_ONCE], strict=True)], "<u8")
+        yield np.array([digest(flat[i:j], 42) for i, j in zip(starts[k : k + _HASHES_AT_ONCE], stops[k : k + _HASHES_AT_ONCE], strict=True)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash over word shingles as a signed number; no words: 0."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        n += len(hashes)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(counts * 2 > n, bitorder="little")
     return int(bits.view("<i8")[0])
@@ -159,10 +166,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one with the smallest doc_id (then text hash)."""
-    groups = near_duplicates(docs, **settings)
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group (doc_id, text_hash, root): the one with the smallest doc_id (then text hash)."""
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("row"))
     best = best.select(F.col("row.doc_id").alias("k_id"), F.col("row.text_hash").alias("k_hash"))
     keyed = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
     return keyed.join(best, F.expr("doc_id <=> k_id and _hash = k_hash"), "left_semi").select(*(f"`{c}`" for c in docs.columns))
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates."""
+    return one_of_each(docs, near_duplicates(docs, **settings))

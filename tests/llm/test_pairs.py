@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from storyloom.llm import components, decontaminate, mixing, near_dedup
+from storyloom.llm import components, decontaminate, mixing, near_copies, near_dedup
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, root string, size string, fp string, n string"
 
@@ -90,6 +90,32 @@ def test_near_duplicates(spark, sf_dir):
     assert near_dedup.keep_one(docs(spark, [])).count() == 0
 
 
+def test_near_copies_against_brute_force(spark, sf_dir):
+    r = np.random.default_rng(5)
+    rows = [(x.doc_id, x.text, x.source) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for c in range(12):  # copies with more and more changed words, around and beyond the limit
+        words = [f"w{x}" for x in r.integers(0, 5000, 150)]
+        for k in range(10):
+            copy = list(words)
+            for at in r.choice(150, k, replace=False):
+                copy[at] = f"new{k}"
+            rows.append((10_000 + 10 * c + k, " ".join(copy), "x"))
+    rows += [(9001, None, None), (9000, "", "x"), (9003, "Same Words Here", "x"), (9004, "same words\nhere", None), (9004, "same words\nhere", None), (None, "alone in this", "x"), (9005, "long " * 30_000, "x")]
+    sets = []
+    for _, text, _ in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    group = roots(len(rows), near)
+    first = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    kept = near_copies.keep_one(docs(spark, rows))
+    assert kept.columns == docs(spark, rows).columns
+    assert Counter(x.doc_id for x in kept.collect()) == Counter(first.values())
+    bits = [plain_fingerprint(rows[i][1]) for i in range(len(rows))]
+    assert any(bin(bits[i] ^ bits[j]).count("1") > 3 for i, j in near)  # what 3 bits of three-word shingles miss
+    assert near_copies.keep_one(docs(spark, [])).count() == 0
+
+
 def shingles(text):
     words = re.findall(r"[^\W_]+", (text or "").lower())
     return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
