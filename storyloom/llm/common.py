@@ -62,6 +62,28 @@ def map_values(df: DataFrame, keep: list[Column], value: Column, fn: Callable[[o
     return df.select(*keep, value.alias("_value")).mapInArrow(run, out)
 
 
+def map_batches(df: DataFrame, keep: list[Column], value: Column, fn: Callable[[Iterator[pa.Array]], Iterator[list[tuple]]], schema: T.StructType) -> DataFrame:
+    """Like ``map_values`` with a function over the batches of a task: for each array of values it gives a list of as many rows."""
+    kept = df.select(*keep)
+    out = T.StructType([*kept.schema.fields, *schema.fields])
+    kinds = [pa_type(f.dataType) for f in schema.fields]
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def values() -> Iterator[pa.Array]:
+            for batch in batches:
+                held.append(batch)
+                yield batch.column(n)
+
+        for made in fn(values()):
+            columns = [pa.array([m[i] for m in made], kinds[i]) for i in range(len(kinds))]
+            yield pa.RecordBatch.from_arrays([*held.pop(0).columns[:n], *columns], names=out.fieldNames())
+
+    return df.select(*keep, value.alias("_value")).mapInArrow(run, out)
+
+
 def pa_type(kind: T.DataType) -> pa.DataType:
     simple = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.DoubleType(): pa.float64(), T.BooleanType(): pa.bool_(), T.BinaryType(): pa.binary()}
     return pa.list_(pa_type(kind.elementType)) if isinstance(kind, T.ArrayType) else simple[kind]
