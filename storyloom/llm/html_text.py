@@ -6,6 +6,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,16 @@ TOKENS = {
     "hidden": "hidden visuallyhidden invisible none".split(),
 }
 _KIND = {t: i for i, tokens in enumerate(TOKENS.values()) for t in tokens}
-_TAGS = ["article", "main", "section", "div", "p", "h", "li", "list", "nav", "header", "footer", "aside", "form", "blockquote", "pre", "table", "figure", "body"]
+_TAGS = ["article", "main", "section", "div", "p", "h", "li", "list", "nav", "header", "footer", "aside", "form", "blockquote", "pre", "table", "figure", "text"]
 _TAG_NUMBER = {t: i for i, t in enumerate(_TAGS)} | {f"h{k}": 5 for k in range(1, 7)} | dict.fromkeys(("ul", "ol", "dl", "menu"), 7) | dict.fromkeys(("dt", "dd"), 6) | dict.fromkeys(("tr", "td", "th", "tbody", "thead", "tfoot"), 15) | {"figcaption": 16, "html": 17, "hgroup": 5}
 
 FEATURES = [*(f"tag_{t}" for t in _TAGS), *(f"token_{k}" for k in TOKENS), *(f"above_{k}" for k in TOKENS), "above_article", "above_main", "above_nav", "above_header", "above_footer", "above_aside", "above_form", "depth", "log_text", "link_share", "text_share", "density", "tags_inside", "controls", "place", "siblings", "sibling_share", "paragraphs", "commas", "token_other", "above_other"]
-SAMPLE_PAGES, TREES, DEPTH, RATE = 300, 50, 4, 0.3
+SAMPLE_PAGES, TREES, DEPTH, RATE = 600, 60, 5, 0.3
+MARK = "\ue000"
+
+
+class Linked(str):
+    """Text inside a link."""
 
 
 class Node:
@@ -59,20 +65,26 @@ class Node:
 
 
 def parse(text: str) -> Node:
-    """The tree of block elements; inline markup only leaves its text. ``parts`` of a node holds its texts and child nodes in order.
+    """The tree of block and custom elements; inline markup only leaves its text. ``parts`` of a node holds its texts and child nodes in order.
 
     End tags that are left out, or match nothing, and a page that is cut off, do no harm: a block closes an open paragraph, what is open at the end is closed.
     """
     root = Node("html", "", None)
     here, at, n, links = root, 0, len(text), 0
+    open_: Counter[str] = Counter()  # tags that are open, so that an end tag without a start climbs nowhere
 
     def add(s: str) -> None:
         if s:
-            here.parts.append(s)
-            here.length += len(s)
-            here.commas += s.count(",")
-            if links:
-                here.linked += len(s)
+            here.parts.append(Linked(s) if links else s)
+
+    def close(last: Node) -> Node:
+        """Closes what is open down to ``last``, itself included."""
+        node = here
+        while True:
+            open_[node.tag] -= 1
+            if node is last:
+                return last.up
+            node = node.up
 
     while at < n:
         m = _TAG.search(text, at)
@@ -89,12 +101,11 @@ def parse(text: str) -> Node:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag in _BLOCKS:
+            elif open_[tag] > 0:
                 node = here
-                while node is not None and node.tag != tag:
+                while node.tag != tag:
                     node = node.up
-                if node is not None and node.up is not None:
-                    here = node.up
+                here = close(node)
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(text, at)
@@ -108,24 +119,26 @@ def parse(text: str) -> Node:
         elif tag == "a":
             links += 1
             here.inside += 1
-        elif tag in _BLOCKS:
+        elif tag in _BLOCKS or "-" in tag:
             links = 0
-            if tag in _CLOSES_P:
+            if tag in _CLOSES_P and open_["p"] > 0:
                 node = here
                 while node.up is not None and node.tag not in _SCOPE and node.tag not in ("li", "td", "th", "dd"):
                     if node.tag == "p":
-                        here = node.up
+                        here = close(node)
                         break
                     node = node.up
             for other in _SELF_CLOSING.get(tag, ()):
-                node = here
-                while node.up is not None and node.tag not in _SCOPE:
-                    if node.tag == other:
-                        here = node.up
-                        break
-                    node = node.up
+                if open_[other] > 0:
+                    node = here
+                    while node.up is not None and node.tag not in _SCOPE:
+                        if node.tag == other:
+                            here = close(node)
+                            break
+                        node = node.up
             if tag in ("html", "body"):
                 continue
+            open_[tag] += 1
             node = Node(tag, m[3], here)
             here.parts.append(node)
             here.below.append(node)
@@ -136,11 +149,37 @@ def parse(text: str) -> Node:
     return root
 
 
+def settle(node: Node) -> None:
+    """Each run of text beside block elements, and any in the root, becomes a node of its own, which is judged like the others."""
+    if node.below or node.up is None:
+        parts, run = [], []
+        for part in [*node.parts, None]:
+            if isinstance(part, str):
+                run.append(part)
+                continue
+            if run and "".join(run).strip():
+                text = Node("text", "", node)
+                text.parts = run
+                parts.append(text)
+            run = []
+            if part is not None:
+                parts.append(part)
+        node.parts = parts
+        node.below = [p for p in parts]
+        return
+    for part in node.parts:
+        if part != " ":
+            node.length += len(part)
+            node.commas += part.count(",")
+            if isinstance(part, Linked):
+                node.linked += len(part)
+
+
 def flat(root: Node) -> list[Node]:
     """The nodes, parents first; sums of what is below are made on the way."""
     nodes = [root]
     for node in nodes:
-        node.number = 0
+        settle(node)
         nodes.extend(node.below)
     for node in reversed(nodes):
         node.paragraphs += node.tag == "p"
@@ -253,8 +292,7 @@ def block_texts(root: Node, keep: list[bool]) -> Iterator[str]:
     while stack:
         part = next(stack[-1], None)
         if isinstance(part, str):
-            if keep[holders[-1].number] and (holders[-1] is not root):
-                run.append(part)
+            run.append(part)
             continue
         if run:
             if clean := _SPACE.sub(" ", entities.unescape("".join(run))).strip():
@@ -269,11 +307,14 @@ def block_texts(root: Node, keep: list[bool]) -> Iterator[str]:
 
 
 def sample_page(r: random.Random) -> str:
-    """A made-up page; main blocks carry the attribute data-m, which the model doesn't see."""
+    """A made-up page; the texts of main blocks begin with ``MARK``, which the model doesn't see."""
 
     def words(lo: int, hi: int) -> str:
         return " ".join("".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(1, 10))) + r.choice(["", "", "", ",", "."]) for _ in range(r.randint(lo, hi)))
 
+    def main(lo: int, hi: int) -> str:
+        return MARK + words(lo, hi)
+
     def link() -> str:
         return f'<a href="/{words(1, 1)}">{words(1, 3)}</a>'
 
@@ -284,33 +325,49 @@ def sample_page(r: random.Random) -> str:
         inner = "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 9))) + "</ul>"
         return r.choice([f"<nav>{inner}</nav>", f'<div class="{r.choice(TOKENS["menu"])}">{inner}</div>'])
 
-    def paragraphs(n: int, m: str) -> str:
+    def paragraphs(n: int) -> str:
         out = ""
         for _ in range(n):
-            body = words(*r.choice([(1, 4), (8, 40), (30, 120), (100, 300)]))
-            out += r.choice([f"<p{m}>{body}</p>"] * 6 + [f"<p{m}><b>{body}<br>", f"<p{m}>{body} <a href='#'>{words(1, 2)}</a> {words(3, 9)}</p>", f"<blockquote{m}>{body}</blockquote>", f"<h2{m}>{words(1, 6)}</h2><p{m}>{body}</p>", f"<ul{m}><li{m}>{words(2, 12)}</li><li{m}>{words(2, 12)}</li></ul>", f"<div{m}>{body}</div>", f"<pre{m}>{body}</pre>"])
+            size = r.choice([(1, 4), (8, 40), (30, 120), (100, 300)])
+            body = main(*size)
+            out += r.choice([f"<p>{body}</p>"] * 6 + [f"<p><b>{body}<br>", f"<p>{body} <a href='#'>{words(1, 2)}</a> {words(3, 9)}</p>", f"<blockquote>{body}</blockquote>", f"<h2>{main(1, 6)}</h2><p>{body}</p>", f"<ul><li>{main(2, 12)}</li><li>{main(2, 12)}</li></ul>", f"<div>{body}</div>", f"<pre>{body}</pre>"])
         return out
 
+    def loose(n: int) -> str:
+        """Running text without paragraph elements."""
+        between = r.choice(["<br>", "<br><br>\n", "\n<hr>"])
+        way = r.choice(["plain", "span", "font"])
+        lines = [main(*r.choice([(4, 20), (20, 90)])) for _ in range(n)]
+        return between.join(x if way == "plain" else f"<{way}>{x}</{way}>" for x in lines)
+
     def noise(kind: str) -> str:
         name = r.choice(TOKENS[kind])
         body = r.choice([words(2, 40), f"<p>{words(3, 30)}</p>", f"<p>{words(2, 12)} {link()}</p>", f"<h3>{words(1, 4)}</h3><p>{words(3, 30)}</p>"])
         tag = r.choice(["div", "div", "section", "aside" if kind in ("side", "advert") else "div"])
         return f'<{tag} {r.choice(["class", "id"])}="{name}">{body}</{tag}>'
 
-    m = ' data-m="1"'
     head = f"<html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>"
-    top = r.choice([menu(), f"<header>{words(1, 5)}{menu()}</header>", f'<header{named("site", "masthead")}><h1>{words(1, 4)}</h1>{menu()}</header>', ""])
+    top = r.choice([menu(), f"<header>{words(1, 5)}{menu()}</header>", f'<header{named("site", "masthead")}><h1>{words(1, 4)}</h1>{menu()}</header>', "", " | ".join(link() for _ in range(r.randint(2, 7)))])
     extra = "".join(noise(r.choice(["advert", "notice", "menu"])) for _ in range(r.randint(0, 2)))
-    inner = (f"<h1{m}>{words(2, 12)}</h1>" if r.random() < 0.8 else "") + paragraphs(r.randint(0, 9), m)
+    inner = (f"<h1>{main(2, 12)}</h1>" if r.random() < 0.8 else "") + paragraphs(r.randint(0, 9))
+    if r.random() < 0.25:
+        inner += noise(r.choice(["advert", "menu", "notice"])) + paragraphs(r.randint(1, 4))
+    where = r.choice(["article"] * 8 + ["main", "div", "section"] * 2 + ["body"] * 3 + ["loose"] * 3)
+    if where == "body":  # no element around the article
+        body = inner
+    elif where == "loose":
+        body = (f"<h1>{main(2, 12)}</h1>" if r.random() < 0.6 else "") + r.choice(["{}", "<div>{}</div>", "<article>{}</article>", "<story-body>{}</story-body>", "<center>{}</center>"]).format(loose(r.randint(1, 6)))
+    else:
+        label = named(*TOKENS["content"][:10]) if where in ("article", "main") else f' class="{r.choice(TOKENS["content"])}"'
+        body = f"<{where}{label}>{inner}</{where}>"
+    if r.random() < 0.1:
+        body = f"<table><tr><td>{menu()}</td><td>{body}</td></tr></table>"
     if r.random() < 0.25:
-        inner += noise(r.choice(["advert", "menu", "notice"])) + paragraphs(r.randint(1, 4), m)
-    where = r.choice(["article"] * 4 + ["main", "div", "section"])
-    label = named(*TOKENS["content"][:10]) if where in ("article", "main") else f' class="{r.choice(TOKENS["content"])}"'
-    body = f"<{where}{label}{m}>{inner}</{where}>"
-    if r.random() < 0.3:
-        body = f'<main{m}>{body}{"".join(noise("comments") for _ in range(r.randint(0, 2)))}</main>'
+        body = f'<main>{body}{"".join(noise("comments") for _ in range(r.randint(0, 2)))}</main>'
+    if r.random() < 0.15:
+        body = f'<div{named("page", "wrapper", "container")}>{body}</div>'
     after = "".join(r.choice([lambda: f"<aside><h3>{words(1, 3)}</h3><p>{words(3, 40)}</p></aside>", lambda: noise("side"), lambda: noise("comments"), lambda: f'<form><label>{words(1, 2)}</label><input name="q"><button>{words(1, 1)}</button><p>{words(2, 10)}</p></form>', lambda: noise("notice"), lambda: f'<div class="comments"><h3>{words(1, 2)}</h3>' + "".join(f'<div class="comment"><p>{words(3, 60)}</p></div>' for _ in range(r.randint(1, 4))) + "</div>"])() for _ in range(r.randint(0, 3)))
-    foot = r.choice([f"<footer>&copy; {words(1, 12)}</footer>", f"<footer><p>{words(1, 9)}</p>{menu()}</footer>", f'<div id="footer">{words(2, 9)}</div>', ""])
+    foot = r.choice([f"<footer>&copy; {words(1, 12)}</footer>", f"<footer><p>{words(1, 9)}</p>{menu()}</footer>", f'<div id="footer">{words(2, 9)}</div>', "", f"&copy; {words(1, 4)}", f"{link()} - {link()} &copy; {words(1, 3)}"])
     tail = r.choice(["</body></html>", "</body></html>", ""])
     return head + top + extra + body + after + foot + tail
 
@@ -322,18 +379,18 @@ def trained() -> Trees:
     xs, ys = [], []
     for _ in range(SAMPLE_PAGES):
         page = sample_page(r)
-        nodes = flat(parse(page.replace(' data-m="1"', " data-m")))
+        nodes = flat(parse(page.replace(MARK, "")))
         xs.append(node_features(nodes)[1:])
-        ys += _marks(page, len(nodes))[1:]
+        ys += marked(page)[1:]
     return Trees(np.concatenate(xs), np.array(ys, float))
 
 
-def _marks(page: str, n: int) -> list[bool]:
-    """Which nodes of a made-up page carry the mark, in the order of flat()."""
-    marked = parse(re.sub(r'(?: (?:class|id)="[^"]*")? data-m="1"', ' class="hidden"', page))
-    hidden = _KIND["hidden"]
-    found = [hidden in node.tokens and node.tag != "span" for node in flat(marked)]
-    assert len(found) == n
+def marked(page: str) -> list[bool]:
+    """Which nodes of a made-up page hold marked text, themselves or further down, in the order of flat()."""
+    nodes = flat(parse(page))
+    found = [any(isinstance(p, str) and MARK in p for p in node.parts) for node in nodes]
+    for node in reversed(nodes[1:]):
+        found[node.up.number] |= found[node.number]
     return found
 
 

@@ -109,17 +109,51 @@ def test_extraction_on_pages_not_trained_on():
     model, r, wrong = html_text.trained(), random.Random(4321), 0
     for _ in range(100):
         page = html_text.sample_page(r)
-        nodes = html_text.flat(html_text.parse(page.replace(' data-m="1"', " data-m")))
+        nodes = html_text.flat(html_text.parse(page.replace(html_text.MARK, "")))
         keep = html_text.chosen(nodes, model.margins(html_text.node_features(nodes)))
-        marks = html_text._marks(page, len(nodes))
+        marks = html_text.marked(page)
         wrong += any(a != b for a, b, n in zip(keep[1:], marks[1:], nodes[1:], strict=True) if n.length)
         assert all(keep[n.up.number] for n in nodes[1:] if keep[n.number])
     assert wrong <= 3
 
 
-def test_given_pages(spark, sf_dir):
+LONG = "The river ran past the old mill, and nobody in the village could say who had built it first."
+NAV, FOOT = '<nav><a href="/">Home</a> <a href="/b">News</a></nav>', "<footer>&copy; 2024 Press</footer>"
+#: Written by hand: (page, its main text).
+PAGES = [
+    (f"<body>{NAV}<h1>Title</h1>{LONG}<br>{LONG}{FOOT}</body>", f"Title {LONG} {LONG}"),
+    (f"<html><body>{NAV}<p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>{FOOT}</body></html>", f"{LONG} {LONG} {LONG}"),
+    (f"<body>{NAV}<div><span>{LONG}</span><br><span>{LONG}</span></div>{FOOT}", f"{LONG} {LONG}"),
+    (f"<body>{LONG}", LONG),
+    (f"<body>{NAV}<article><p>{LONG}</p></article></article>{LONG} {LONG}", f"{LONG} {LONG} {LONG}"),
+    (f"<body>{NAV}<story-text>{LONG}<br>{LONG}</story-text>{FOOT}", f"{LONG} {LONG}"),
+    (f'<body><header><h1>Site</h1>{NAV}</header><div id="content"><h2>Head</h2>{LONG}<p>{LONG}</p></div><div class="sidebar"><p>See also this</p></div><div id="comments"><div class="comment"><p>{LONG}</p></div></div>{FOOT}', f"Head {LONG} {LONG}"),
+    (f'<table><tr><td>{NAV}</td><td class="content"><p>{LONG}<p>{LONG}</td></tr></table>', f"{LONG} {LONG}"),
+]
+
+
+@pytest.mark.parametrize("i", range(len(PAGES)))
+def test_pages_written_by_hand(i):
+    page, text = PAGES[i]
+    assert html_text.main_texts([page], html_text.trained()) == [text]
+
+
+def test_deep_pages_are_quick():
+    import time
+
+    html_text.trained()
+    began = time.time()
+    for page in ("<div>" * 8000 + "</p>" * 8000 + "x", "<center>" * 8000 + "<p>x" + "</div>" * 8000, "<ul><li>" * 4000 + "</dd>" * 8000, "<p><b>" * 8000, "<a-b>" * 8000):
+        html_text.main_texts([page], html_text.trained())
+    assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_given_pages(spark, sf):
     import html
 
+    sf_dir = f"/root/testdata/{sf}"
+
     for r in html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = re.search("<article>(.*?)</article>", r.html, re.S)[1]
         blocks = (re.sub(r"\s+", " ", html.unescape(re.sub("</?b>", "", b.replace("<br>", " ")))).strip() for b in re.split("</?(?:p|h1)>", inner))
