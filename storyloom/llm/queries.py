@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from storyloom.llm import decontaminate, html_text, licenses, lm_score, mixing, near_dedup, pii, quality_model, quality_rules, secrets
 from storyloom.llm.common import load
 
+#: Stands for a secret that a run takes from its own store.
+PII_KEY = "surrogates-1"
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(load(spark, sf_dir, "documents"))
@@ -41,7 +44,7 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(load(spark, sf_dir, "documents")).drop("text_hash")
+    return pii.surrogates(load(spark, sf_dir, "documents"), PII_KEY).drop("text_hash")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,13 +73,49 @@ def test_surrogates_keep_entities_apart():
     assert re.sub(r"\D", "", a)[1:] == re.sub(r"\D", "", b) and a.startswith("+1 (")
     assert pii.surrogate("name", "Frau Anna Müller", key).split()[1] in pii.GIVEN["f"]
     assert pii.surrogate("email", "Anna.B@X.example.com", key).lower() == pii.surrogate("email", "anna.b@x.example.com", key)
+    iban = pii.surrogate("iban", "DE89 3704 0044 0532 0130 00", key).replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert pii.surrogate("phone", "+33 1 23 45 67 89", key).startswith("+33 ") and pii.surrogate("phone", "030 1234567", key)[0] == "0"
+
+
+@pytest.mark.parametrize(("script", "of"), [("plain", "abcyz"), ("accented", "aéßþ"), ("Cyrillic", "аяё"), ("Greek", "αως")])
+def test_made_up_names_are_distinct(script, of):
+    import itertools
+
+    names = ["".join(x) for n in range(1, 6) for x in itertools.product(of, repeat=n)]
+    made = {pii.made_up(n, b"k") for n in names if script == "plain" or not n.isascii()}
+    assert len(made) == len([n for n in names if script == "plain" or not n.isascii()])
+
+
+def test_every_capital_and_script():
+    key = b"k"
+    for c in pii._UP:
+        text = f"Mr {c}{c.lower()}x was here, {c}{c.lower()}x left"
+        made, kinds = pii.replaced(text, key)
+        assert kinds == ["name", "name"] and f" {c}{c.lower()}x" not in made
+    made, _ = pii.replaced("Mr Þð and Герр; Елена Ласкова, Ласкова. Δημήτρης Ράλλης. 王伟先生 met Łukasz; Dr. O'Brien, Anna von Trapp-Lang", key)
+    for gone in ("Þð", "Елена", "Ласкова", "Δημήτρης", "Ράλλης", "王伟", "Brien", "Anna", "Trapp", "Lang"):
+        assert gone not in made
+    assert "先生" in made and "von" in made and "Dr. O'" in made
+
+
+def test_names_agree_within_and_across_texts():
+    made = pii.replaced("Mr Smith met John Smith. Smith left; John stayed. Grace under fire.", b"k")[0]
+    m = re.fullmatch(r"Mr (\w+) met (\w+) (\w+)\. (\w+) left; (\w+) stayed\. Grace under fire\.", made)
+    assert m[1] == m[3] == m[4] != "Smith" and m[2] == m[5] != "John" and m[2] in pii.GIVEN["m"]
+    assert pii.replaced("Ask Mrs Smith", b"k")[0] == f"Ask Mrs {m[1]}"
+
+
+def test_more_formats():
+    text = "+33 1 23 45 67 89, +49 30 12345678, +44 20 7946 0958, 030 1234567, 01 23 45 67 89, 3782 822463 10005, 2001:db8::ff00:42:8329, fe80::1ff:fe23:4567:890a; at 10:30, 2024-05-17, 1.5 or 12:30:45"
+    assert [k for k, _, _ in pii.entities(text)] == ["phone"] * 5 + ["card", "ip", "ip"]
 
 
 def test_pii(spark, sf_dir):
     mail = "write to ab.cd9@mail1.example.com or AB.cd9@mail1.example.com, card 4111 1111 1111 1111"
-    rows = [*EDGES, (50, mail, "a"), (51, mail, "b")] + [(r.doc_id + 100, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = [*EDGES, (50, mail, "a"), (51, mail, "b"), (52, "Mr Þð, Frau Ÿy and Anna Иванова", "a")] + [(r.doc_id + 100, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     d = docs(spark, rows)
-    out = pii.surrogates(d).collect()
+    out = pii.surrogates(d, "k").collect()
     made = {r.doc_id: r.text for r in out}
     assert len(out) == len(rows) and made[50] == made[51] and "ab.cd9" not in made[50] and made[1] is None and made[2] == ""
     mails = re.findall(r"\S+@\S+com", made[50])
@@ -90,7 +126,7 @@ def test_pii(spark, sf_dir):
         for _, a, b in found:
             assert t[a:b] not in made[i]
     assert pii.collisions(pii.inventory(d, "k")).count() == 0
-    assert pii.surrogates(docs(spark, [])).count() == 0
+    assert pii.surrogates(docs(spark, []), "k").count() == 0
 
 
 PAGE = '<html><head><title>T</title><style>p{}</style><script>var a="</p>"</script></head><body><header><h1>Site</h1><nav><a href="/x">Home</a></nav></header><div class="cookie-notice">We use cookies</div><article><h1>Title &amp; more</h1><p><b>First<br>part.<p>Second&nbsp;one\n  here &lt;ok&gt;<ul><li>a</li><li>b<li>c</ul><div class="ad">Buy now</div><p>End&am</article><aside><p>See also</p></aside><section class="comments"><div class="comment"><p>Nice!</p></div></section><form><label>Mail</label><input></form><footer>&copy; x'
