@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import cut
+from storyloom.llm.common import table
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 21
 BLOCKS = 11
-BROADCAST_ROWS = 200_000
 
 
 def with_shingles(df: DataFrame, text: str, hashes: str, shingle: int = SHINGLE) -> DataFrame:
@@ -66,12 +65,7 @@ def benchmark_items(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return with_multiset(with_simhash(items, "hashes", "fp"), "hashes", "multiset").select("item_id", F.size("hashes").alias("n"), "hashes", "multiset", "fp")
 
 
-def fitted(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """``df`` marked for broadcast if it is small enough; else the join shuffles, and adaptive execution splits its hot keys."""
-    return F.broadcast(df) if rows <= most else df
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, text_hash, item_id, start, similarity): benchmark items found in documents, at their best place.
 
     A window of item size can only be similar if it shares a shingle, so windows are laid where a document's shingle equals
@@ -81,28 +75,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
     the radius is verified by the exact weighted (multiset) Jaccard similarity of the shingles. At a similarity of just 0.8 two fingerprints
     differ in about ten bits, so the radius misses about one such window in ten thousand, and no exact copy.
 
+    The plan is the same for all sizes: the words that are joined carry no arrays, and which side of a join is broadcast is the optimizer's choice by
+    the size of the written tables.
+
     Passages are found anywhere in whole texts, case and punctuation aside; an item cut off by the end of a text is compared with what is there.
     Items and texts of fewer than five words have the whole sequence as one shingle: they match only if equal. Null or empty texts and
     items: no result. Null ids: carried. Repeated rows: one result row for each distinct (doc_id, text, item). Empty tables: empty result.
     """
-    items = cut(benchmark_items(benchmark, shingle)).where("n > 0")
-    size = items.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()  # one row
-    where = items.select("n", F.posexplode("hashes").alias("offset", "h"), F.col("hashes").alias("item_hashes"))
-    where = where.select("h", "n", "offset", F.get("item_hashes", F.col("offset") - 1).alias("item_before")).distinct()
-    hashed = with_shingles(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), "text", "hashes", shingle).drop("text")
+    items = table(benchmark_items(benchmark, shingle).where("n > 0").withColumn("item_no", F.monotonically_increasing_id()))
+    # written, so that the join knows its size: a small one is broadcast by the optimizer, a large one is not
+    where = items.select("n", F.posexplode(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), F.get("hashes", i - 1).alias("before")))).alias("offset", "at"))
+    where = table(where.select(F.col("at.h").alias("h"), F.col("at.before").alias("item_before"), "n", "offset").distinct())
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    hashed = with_shingles(keyed, "text", "hashes", shingle).select("doc_id", "text_hash", F.transform("hashes", lambda h, i: F.struct(h.alias("h"), F.get("hashes", i - 1).alias("before"))).alias("pairs"))
     # outer: of the inner form the optimizer infers a filter on the array, which it moves down and computes from scratch for each word
-    exploded = hashed.select("doc_id", "text_hash", "hashes", F.posexplode_outer("hashes").alias("pos", "h"))
-    hits = exploded.join(fitted(where, size["shingles"], broadcast_rows), "h")
-    hits = hits.where(F.col("item_before").isNull() | (F.col("pos") == 0) | ~F.get("hashes", F.col("pos") - 1).eqNullSafe(F.col("item_before")))
-    start = F.greatest(F.col("pos") - F.col("offset"), F.lit(0))
-    window = F.slice("hashes", start + 1, F.col("n") - F.greatest(F.col("offset") - F.col("pos"), F.lit(0)))
-    # written here, also so that nothing of the next steps moves into the join above, which must stay in generated code: there a
-    # document's array isn't copied for each of its words, only for the few that match
-    windows = cut(hits.select("doc_id", "text_hash", "n", start.alias("start"), window.alias("window")))
-    windows = with_multiset(with_simhash(windows, "window", "window_fp"), "window", "window_set")
-    probes = windows.select("doc_id", "text_hash", "n", "start", "window_fp", "window_set", F.explode(block_keys(F.col("window_fp"), blocks)).alias("key"))
-    index = items.select("n", "item_id", "fp", "multiset", F.explode(block_keys(F.col("fp"), blocks, near=True)).alias("key"))
-    found = probes.join(fitted(index, size["items"] * (64 + blocks), broadcast_rows), ["n", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("window_fp"))) <= radius)
+    words = hashed.select("doc_id", "text_hash", F.posexplode_outer("pairs").alias("pos", "at")).select("doc_id", "text_hash", "pos", "at.h", "at.before")
+    hits = words.join(where, "h").where(F.col("item_before").isNull() | (F.col("pos") == 0) | ~F.col("before").eqNullSafe(F.col("item_before")))
+    start, length = F.greatest(F.col("pos") - F.col("offset"), F.lit(0)), F.col("n") - F.greatest(F.col("offset") - F.col("pos"), F.lit(0))
+    hits = table(hits.select("doc_id", "text_hash", "n", start.alias("start"), length.alias("length")).distinct())
+    # only documents with a hit are hashed again, once each; so the rows of the join above hold no arrays
+    same = F.expr("d.doc_id <=> h.doc_id and d.text_hash = h.text_hash")
+    again = with_shingles(keyed.alias("d").join(hits.select("doc_id", "text_hash").distinct().alias("h"), same, "left_semi"), "text", "hashes", shingle).drop("text")
+    windows = again.alias("d").join(hits.alias("h"), same).select("h.*", F.slice("hashes", F.col("start") + 1, F.col("length")).alias("window"))
+    windows = table(with_multiset(with_simhash(windows, "window", "window_fp"), "window", "window_set").drop("window", "length").distinct())
+    probes = windows.select("doc_id", "text_hash", "n", "start", "window_fp", F.explode(block_keys(F.col("window_fp"), blocks)).alias("key"))
+    index = table(items.select("n", "item_no", "fp", F.explode(block_keys(F.col("fp"), blocks, near=True)).alias("key")))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("window_fp"))) <= radius
+    candidates = probes.join(index, ["n", "key"]).where(near).select("doc_id", "text_hash", "n", "start", "item_no").distinct()
+    same_window = F.expr("w.doc_id <=> c.doc_id and w.text_hash = c.text_hash and w.n = c.n and w.start = c.start")
+    found = windows.alias("w").join(candidates.alias("c"), same_window).select("w.*", "item_no").join(items.select("item_no", "item_id", "multiset"), "item_no")
     shared = F.size(F.array_intersect("window_set", "multiset"))
     found = found.withColumn("similarity", shared / (F.size("window_set") + F.size("multiset") - shared)).where(F.col("similarity") >= similarity)
     best = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best"))

@@ -152,13 +152,46 @@ def test_decontamination(spark, sf_dir):
     assert got == want
     assert {9001, 9002, 9006, None} <= {k[0] for k in got} and not {9003, 9004, 9005} & {k[0] for k in got}
     # the join that shuffles gives the same
-    assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(d, b, broadcast_rows=0).collect()} == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(d, b).collect()} == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     kept = decontaminate.keep_clean(d, b)
     assert kept.columns == d.columns and kept.count() == len(rows) - len({k[0] for k in got})
     assert decontaminate.leaks(docs(spark, []), b).count() == 0
     assert decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_recall_at_the_limit(spark):
+    """Windows whose similarity is just 0.8 or more: nearly all lie within the radius of the fingerprints."""
+    r = np.random.default_rng(3)
+    items = [(i, " ".join(f"w{x}" for x in r.integers(0, 4000, r.integers(20, 90)))) for i in range(60)]
+    rows, want = [], set()
+    for k in range(1500):
+        i, t = items[k % len(items)]
+        words = t.split()
+        n = len(words) - 4
+        edited = list(words)
+        for at in r.choice(len(words), max(1, len(words) // 60), replace=False):
+            edited[at] = "changed"
+        a, b = Counter(shingles(t)), Counter(shingles(" ".join(edited)))
+        shared = sum((a & b).values())
+        if 0.8 <= shared / (2 * n - shared) <= 0.86:
+            want.add((k, i))
+        rows.append((k, "at first " + " ".join(edited) + " at last", "x"))
+    assert len(want) > 150
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want & got) >= 0.99 * len(want)
+
+
+def test_decontamination_of_a_long_text_without_broadcast(spark):
+    long = " ".join(f"v{i % 7000}" for i in range(20_000))
+    item = " ".join(long.split()[500:560])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = decontaminate.leaks(docs(spark, [(1, long, "x"), (2, "short text", "x")]), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [(r.doc_id, r.item_id, r.start, r.similarity) for r in got] == [(1, 7, 500, 1.0)]
+
+
 def mix_targets(sizes, share=1.5, most=2.0, cycle=(3.0, 1.0, 2.0)):
     """The targets by sharing the excess again and again."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
