@@ -84,6 +84,21 @@ def map_batches(df: DataFrame, keep: list[Column], value: Column, fn: Callable[[
     return df.select(*keep, value.alias("_value")).mapInArrow(run, out)
 
 
+def add_values(df: DataFrame, value: str, fn: Callable[[object], tuple], schema: T.StructType) -> DataFrame:
+    """``df`` with the columns that ``fn`` makes from the column ``value``; its own columns pass through in Arrow batches."""
+    out = T.StructType([*df.schema.fields, *schema.fields])
+    kinds = [pa_type(f.dataType) for f in schema.fields]
+    n, at = len(df.columns), df.columns.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [fn(v.as_py()) for v in batch.column(at)]
+            columns = [pa.array([m[i] for m in made], kinds[i]) for i in range(len(kinds))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=out.fieldNames())
+
+    return df.mapInArrow(run, out)
+
+
 def pa_type(kind: T.DataType) -> pa.DataType:
     simple = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.DoubleType(): pa.float64(), T.BooleanType(): pa.bool_(), T.BinaryType(): pa.binary()}
     return pa.list_(pa_type(kind.elementType)) if isinstance(kind, T.ArrayType) else simple[kind]

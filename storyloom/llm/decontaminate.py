@@ -112,7 +112,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item."""
-    found = leaks(docs, benchmark, **settings).groupBy("doc_id", "text_hash").agg(F.lit(1).alias("_one"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    found = table(leaks(docs, benchmark, **settings).select("doc_id", "text_hash").distinct())  # written: where it is small, no text is shuffled
     same = F.expr("d.doc_id <=> f.doc_id and d._hash = f.text_hash")
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
     return keyed.alias("d").join(found.alias("f"), same, "left_anti").select(*(f"`{c}`" for c in docs.columns))

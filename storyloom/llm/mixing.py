@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import WORD, cut
+from storyloom.llm.common import WORD, cut, table
 
 CYCLE = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -97,10 +97,14 @@ def copies(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = SHA
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The mixed documents themselves: every row of ``docs`` as often as it is taken, with ``copy_no`` from 1."""
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    taken = copies(keyed, key=("doc_id", "text_hash"), **settings).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("copies"))
-    keyed = keyed.dropDuplicates(["doc_id", "text_hash", "source"])  # what repeated rows are taken is in the sum
-    same = F.expr("d.doc_id <=> t.doc_id and d.text_hash = t.text_hash and d.source <=> t.source")
-    rows = keyed.alias("d").join(taken.where("copies > 0").alias("t"), same)
-    return rows.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("t.copies").cast("int"))).alias("copy_no"))
+    """The mixed documents themselves: every row of ``docs`` as often as it is taken, with ``copy_no`` from 1.
+
+    Texts are shuffled at most once, to meet their counts; only rows that repeat are brought together once more, and come out as often as they are taken in all.
+    """
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    key = ["doc_id", "_text_hash", "source"]
+    taken = copies(keyed, key=("doc_id", "_text_hash"), **settings).groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    same = F.expr("d.doc_id <=> t.doc_id and d._text_hash = t._text_hash and d.source <=> t.source")
+    rows = keyed.alias("d").join(table(taken.where("_copies > 0")).alias("t"), same).select("d.*", "t._copies", "t._rows")
+    once = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(key))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy_no"))

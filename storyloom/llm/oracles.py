@@ -51,19 +51,23 @@ counts AS (
   FROM words w LEFT JOIN lines l USING (row_no) LEFT JOIN repeated r USING (row_no)),
 failed AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-         n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_upper > 60 * n_words AS rule_failed
+         n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_upper > 60 * n_words AS rule_failed,
+         n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 200 * n_symbols > 10 * n_words OR 200 * n_dup_lines > 30 * n_lines OR 200 * n_upper > 60 * n_words AS strict_failed
   FROM counts),
 hosts AS (
   SELECT host, count(*) AS n, count(*) FILTER (WHERE rule_failed) AS failed FROM failed GROUP BY host),
-moments AS (
-  SELECT avg(failed / n) AS m, var_samp(failed / n) AS v, count(*) AS hosts FROM hosts),
+totals AS (
+  SELECT sum(n) AS every, sum(failed) / sum(n) AS mean, count(*) AS k FROM hosts),
+spread AS (
+  SELECT any_value(mean) AS mean, any_value(k) AS k, sum(n * (failed / n - mean) * (failed / n - mean)) AS squares, sum((1 - n / every) * (n - 1)) AS room FROM hosts, totals),
 prior AS (
-  SELECT CASE WHEN ok THEN m * (m * (1 - m) / v - 1) ELSE 1 END AS a, CASE WHEN ok THEN (1 - m) * (m * (1 - m) / v - 1) ELSE 1 END AS b
-  FROM (SELECT *, hosts > 1 AND v > 0 AND m * (1 - m) > v AS ok FROM moments)),
+  SELECT mean, CASE WHEN mean * (1 - mean) > 0 AND room > 0 THEN greatest(0, least(1, (squares - mean * (1 - mean) * (k - 1)) / (mean * (1 - mean) * room))) ELSE 0 END AS rho FROM spread),
+rates AS (
+  SELECT host, mean, (failed * rho + mean * (1 - rho)) / (n * rho + 1 - rho) AS rate FROM hosts, prior),
 verdicts AS (
-  SELECT host, CASE WHEN (failed + a) / (n + a + b) > 0.9 THEN 'reject' WHEN (failed + a) / (n + a + b) > 0.05 THEN 'watch' ELSE 'trust' END AS host_verdict FROM hosts, prior)
+  SELECT host, CASE WHEN rate > 0.9 THEN 'reject' WHEN rate > 2.0 * mean THEN 'watch' WHEN rate < 0.5 * mean THEN 'trust' ELSE 'ordinary' END AS host_verdict FROM rates)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND host_verdict <> 'reject' AND NOT (host_verdict = 'watch' AND rule_failed) AS kept, rule_failed, host_verdict
+       NOT base_failed AND host_verdict <> 'reject' AND NOT (host_verdict = 'ordinary' AND rule_failed) AND NOT (host_verdict = 'watch' AND strict_failed) AS kept, rule_failed, host_verdict
 FROM failed f JOIN verdicts v ON f.host IS NOT DISTINCT FROM v.host
 """
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import cut, map_values
+from storyloom.llm.common import add_values, map_values, table
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -17,7 +17,9 @@ MOST_REPEATED = 30  # per cent of words
 MOST_SYMBOLS = 10  # symbols per hundred words
 MOST_DUPLICATE_LINES = 30  # per cent of lines with a word
 MOST_UPPER = 60  # per cent of words
-WATCH, REJECT = 0.05, 0.9  # shrunk failure rates
+TRUST, WATCH = 0.5, 2.0  # a host's shrunk failure rate, by that of all documents
+REJECT = 0.9  # a host's shrunk failure rate
+STRICT = 2  # the limits of watched hosts are lower by this factor
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 
@@ -60,39 +62,72 @@ def counts(text: str | None) -> tuple[int, ...]:
     return len(words), sum(map(len, words)), len(_SYMBOL.findall(text)), repeats, repeated_words(words), lines, sum(map(str.isupper, words))
 
 
-def judged(docs: DataFrame, host: str = "source", watch: float = WATCH, reject: float = REJECT) -> DataFrame:
+def flags() -> tuple[Column, Column, Column]:
+    """base_failed, rule_failed and strict_failed from the counts; each implies the next."""
+    base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+    def soft(factor: int) -> Column:
+        return (100 * factor * F.col("n_symbols") > MOST_SYMBOLS * F.col("n_words")) | (100 * factor * F.col("n_dup_lines") > MOST_DUPLICATE_LINES * F.col("n_lines")) | (100 * factor * F.col("n_upper") > MOST_UPPER * F.col("n_words"))
+
+    return base, base | soft(1), base | soft(STRICT)
+
+
+def verdicts(rows: DataFrame, trust: float = TRUST, watch: float = WATCH, reject: float = REJECT) -> DataFrame:
+    """(host, host_rate, host_verdict) of rows (host, rule_failed).
+
+    The beta prior has the mean rate of all documents and the variance between hosts that is left when the sampling noise of each host's own
+    documents is taken off (moments of the beta-binomial, hosts weighing by their documents). Hosts that differ no more than chance would have them get the mean.
+    """
+    hosts = table(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("rule_failed").alias("failed")))
+    totals = hosts.agg(F.sum("n").alias("all"), F.sum("failed").alias("all_failed"), F.count(F.lit(1)).alias("hosts"))  # one row
+    mean = F.col("all_failed") / F.col("all")
+    off = F.col("failed") / F.col("n") - mean
+    spread = hosts.join(F.broadcast(totals)).agg(F.first("all").alias("all"), F.first(mean).alias("mean"), F.first("hosts").alias("hosts"), F.sum(F.col("n") * off * off).alias("squares"), F.sum((1 - F.col("n") / F.col("all")) * (F.col("n") - 1)).alias("room"))
+    noise = F.col("mean") * (1 - F.col("mean"))
+    shared = (F.col("squares") - noise * (F.col("hosts") - 1)) / (noise * F.col("room"))
+    prior = spread.select("mean", F.when((noise > 0) & (F.col("room") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), shared))).otherwise(0.0).alias("shared"))
+    # (failed + a) / (n + a + b) with a + b = 1 / shared - 1 and a = mean * (a + b), without the division by zero
+    rate = (F.col("failed") * F.col("shared") + F.col("mean") * (1 - F.col("shared"))) / (F.col("n") * F.col("shared") + 1 - F.col("shared"))
+    rated = hosts.join(F.broadcast(prior)).select("host", rate.alias("host_rate"), "mean")
+    verdict = F.when(F.col("host_rate") > reject, "reject").when(F.col("host_rate") > watch * F.col("mean"), "watch").when(F.col("host_rate") < trust * F.col("mean"), "trust").otherwise("ordinary")
+    return table(rated.select("host", "host_rate", verdict.alias("host_verdict")))
+
+
+def with_verdict(rows: DataFrame, of_hosts: DataFrame, host: str) -> DataFrame:
+    """Joins host verdicts back; the written table of hosts is broadcast by the optimizer where it is small."""
+    joined = rows.alias("r").join(of_hosts.alias("v"), F.expr(f"r.`{host}` <=> v.host"), "left").select("r.*", "v.host_rate", "v.host_verdict")
+    base, rule, strict = flags()
+    gone = base | (F.col("host_verdict") == "reject") | ((F.col("host_verdict") == "ordinary") & rule) | ((F.col("host_verdict") == "watch") & strict)
+    return joined.withColumn("kept", ~gone)
+
+
+def judged(docs: DataFrame, host: str = "source", **settings) -> DataFrame:
     """(doc_id, text_hash, host, counts..., base_failed, rule_failed, host_rate, host_verdict, kept) for each row.
 
     base_failed: too few words or too much repeated. rule_failed: that, or too many symbols, duplicate lines or capitals. A host's failure rate is
-    (failed + a) / (documents + a + b); the beta prior (a, b) has the mean and variance of the hosts' own rates (method of moments).
-    Verdict by that rate: over ``reject`` all its documents go; over ``watch`` those that fail any rule go; else only base failures.
+    (failed + a) / (documents + a + b) with an empirical beta prior (a, b), see ``verdicts``. By that rate a host is trusted (half the mean rate: only base failures
+    go), ordinary (documents that fail any rule go), watched (twice the mean: the limits are halved) or rejected (0.9: all its documents go).
 
     Null text: no words, base_failed. Null host: a host of its own. Null doc_id: kept in the result. Repeated rows: rows of their own.
-    Empty table: empty result. One host only: the prior is uniform.
+    Empty table: empty result. One host only: its rate is the mean, so it is ordinary or rejected.
     """
     schema = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
     keep = [F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(host).alias("host")]
-    rows = map_values(docs, keep, F.col("text"), counts, schema)
-    base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    soft = (100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("n_words")) | (100 * F.col("n_dup_lines") > MOST_DUPLICATE_LINES * F.col("n_lines")) | (100 * F.col("n_upper") > MOST_UPPER * F.col("n_words"))
-    rows = cut(rows.withColumn("base_failed", base).withColumn("rule_failed", base | soft))
-    hosts = cut(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("rule_failed").alias("failed")))
-    rate = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.count(F.lit(1)).alias("hosts"))  # one row
-    strength = F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1
-    usable = (F.col("hosts") > 1) & (F.col("var") > 0) & (F.col("mean") * (1 - F.col("mean")) > F.col("var"))
-    prior = prior.select(F.when(usable, F.col("mean") * strength).otherwise(1.0).alias("a"), F.when(usable, (1 - F.col("mean")) * strength).otherwise(1.0).alias("b"))
-    shrunk = (F.col("failed") + F.col("a")) / (F.col("n") + F.col("a") + F.col("b"))
-    verdicts = cut(hosts.join(F.broadcast(prior)).select("host", shrunk.alias("host_rate")))
-    verdict = F.when(F.col("host_rate") > reject, "reject").when(F.col("host_rate") > watch, "watch").otherwise("trust")
-    joined = rows.alias("r").join(verdicts.alias("v"), F.expr("r.host <=> v.host")).select("r.*", "host_rate").withColumn("host_verdict", verdict)
-    kept = ~F.col("base_failed") & (F.col("host_verdict") != "reject") & ~((F.col("host_verdict") == "watch") & F.col("rule_failed"))
-    return joined.withColumn("kept", kept)
+    base, rule, _ = flags()
+    rows = table(map_values(docs, keep, F.col("text"), counts, schema).withColumn("base_failed", base).withColumn("rule_failed", rule))
+    return with_verdict(rows, verdicts(rows.select("host", "rule_failed"), **settings), "host")
 
 
 def keep_good(docs: DataFrame, host: str = "source", **settings) -> DataFrame:
-    """``docs`` without the rows that the rules reject. Each verdict goes by (doc_id, host, text), so repeated rows share theirs."""
-    good = judged(docs, host, **settings).where("kept").groupBy("doc_id", "text_hash", "host").agg(F.lit(1).alias("_one"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.expr(f"d.doc_id <=> g.doc_id and d._hash = g.text_hash and d.`{host}` <=> g.host")
-    return keyed.alias("d").join(good.alias("g"), same, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    """``docs`` without the rows that the rules reject.
+
+    The rules are counted once for the hosts' rates and once more beside the texts as they pass, so that no text is shuffled.
+    """
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+    _, rule, _ = flags()
+    failed = map_values(docs, [F.col(f"`{host}`").alias("host")], F.col("text"), counts, schema).select("host", rule.alias("rule_failed"))
+    of_hosts = verdicts(failed, **settings)
+    # the counts have names of their own beside the columns of docs
+    named = docs.select(*(F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns))
+    good = with_verdict(add_values(named, "d_text", counts, schema), of_hosts, f"d_{host}").where("kept")
+    return good.select(*(F.col(f"`d_{c}`").alias(c) for c in docs.columns))

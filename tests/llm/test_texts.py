@@ -46,11 +46,44 @@ def test_rules(spark, sf_dir):
     assert quality_rules.judged(docs(spark, [])).count() == 0
 
 
-def test_rules_reject_a_bad_host(spark):
+def plain_verdicts(hosts):
+    """Host verdicts from {host: (documents, failed)}, with the beta prior written out."""
+    every, failed = sum(n for n, _ in hosts.values()), sum(f for _, f in hosts.values())
+    mean = failed / every
+    squares = sum(n * (f / n - mean) ** 2 for n, f in hosts.values())
+    room = sum((1 - n / every) * (n - 1) for n, _ in hosts.values())
+    rho = min(1, max(0, (squares - mean * (1 - mean) * (len(hosts) - 1)) / (mean * (1 - mean) * room)))
+    rates = {}
+    for h, (n, f) in hosts.items():
+        a, b = (mean * (1 / rho - 1), (1 - mean) * (1 / rho - 1)) if rho else (mean * 1e15, (1 - mean) * 1e15)
+        rates[h] = (f + a) / (n + a + b)
+    return {h: "reject" if r > 0.9 else "watch" if r > 2 * mean else "trust" if r < 0.5 * mean else "ordinary" for h, r in rates.items()}
+
+
+@pytest.mark.parametrize("differ", [True, False])
+def test_host_verdicts(spark, differ):
     words = " ".join(f"w{i}" for i in range(40))
-    rows = [(i, words + f" n{i}", "good") for i in range(200)] + [(1000 + i, "bad", "bad") for i in range(400)] + [(2000, words, "bad")] + [(3000, words, f"h{i}") for i in range(20)]
-    kept = {(r.doc_id, r.host): r.kept for r in quality_rules.judged(docs(spark, rows)).collect()}
-    assert not kept[2000, "bad"] and kept[0, "good"] and kept[3000, "h3"]
+    loud = words + " # # # # #"  # over the limit of symbols
+    near = words + " # # #"  # over half of it
+    shares = {"clean": 0, "usual": 30, "odd": 80, "bad": 100, "small": 100} if differ else {"a": 30, "b": 30, "c": 30}
+    sizes = {"clean": 300, "usual": 900, "odd": 120, "bad": 200, "small": 2}
+    rows, hosts = [], {}
+    for h, share in shares.items():
+        n = sizes.get(h, 300)
+        bad = n * share // 100
+        texts = [loud if i < bad else near if i < bad + 5 else words for i in range(n)]
+        rows += [(len(rows) + i, t + f" n{i}", h) for i, t in enumerate(texts)]
+        hosts[h] = n, bad
+    d = docs(spark, rows)
+    got = quality_rules.judged(d).collect()
+    want = plain_verdicts(hosts)
+    assert {r.host: r.host_verdict for r in got} == want
+    assert set(want.values()) == ({"trust", "ordinary", "watch", "reject"} if differ else {"ordinary"})
+    text = {i: t for i, t, _ in rows}
+    for r in got:
+        v = want[r.host]
+        assert r.kept == (v == "trust" or (v == "ordinary" and "# # # # #" not in text[r.doc_id]) or (v == "watch" and "#" not in text[r.doc_id]))
+    assert Counter(r.doc_id for r in quality_rules.keep_good(d).collect()) == Counter(r.doc_id for r in got if r.kept)
 
 
 @settings(max_examples=200, deadline=None)
