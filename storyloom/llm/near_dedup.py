@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import cut, map_values, row_key
+from storyloom.llm.common import cut, map_values, row_key, table
 from storyloom.llm.components import components
 
 RADIUS = 3
@@ -167,11 +167,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group (doc_id, text_hash, root): the one with the smallest doc_id (then text hash)."""
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("row"))
-    best = best.select(F.col("row.doc_id").alias("k_id"), F.col("row.text_hash").alias("k_hash"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
-    return keyed.join(best, F.expr("doc_id <=> k_id and _hash = k_hash"), "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    """``docs`` with one row of each group (doc_id, text_hash, root): the one with the smallest doc_id (then text hash).
+
+    The chosen rows are written as keys, so that no text is shuffled where they are few; else texts are shuffled once. Only rows that repeat are brought together once more.
+    """
+    best = groups.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    best = best.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "rows")).alias("row"))
+    best = table(best.select(F.col("row.doc_id").alias("k_id"), F.col("row.text_hash").alias("k_hash"), F.col("row.rows").alias("k_rows")))
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    rows = keyed.alias("d").join(best.alias("b"), F.expr("d.doc_id <=> b.k_id and d._hash = b.k_hash")).select("d.*", F.col("b.k_rows").alias("_rows"))
+    once = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(["doc_id", "_hash"]))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
