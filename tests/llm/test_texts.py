@@ -273,7 +273,7 @@ def test_lm_scores_of_nothing(spark):
 
 
 def test_licenses(spark):
-    mit = licenses.TEMPLATES["MIT"][-1]
+    mit = licenses.NOTICES["MIT"][-1]
     rows = [(1, "a/b/LICENSE", mit), (2, "a/b/c/x", "hello"), (3, "a/y", "hello\nReleased under the MIT License. And so on"), (4, "LICENSE", "Licensed under the Apache License, Version 2.0."), (5, None, None), (6, "a/b/c/d/e", None), (7, "a/z", "the licensee talked about permission and other things at length"), (7, "a/z", "the licensee talked about permission and other things at length"), (8, "q", "")]
     f = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, path string, text string, license string")
     got = Counter((r.doc_id, r.own_license, r.inherited_license, r.license) for r in licenses.scan(f).collect())
@@ -282,16 +282,57 @@ def test_licenses(spark):
     assert licenses.scan(f.limit(0)).count() == 0
 
 
+BSD = licenses.TEXTS["BSD-3-Clause"]
+APACHE = licenses.NOTICES["Apache-2.0"][-1]
+
+
+def wrapped(text, sign, width=60):
+    import textwrap
+
+    return "\n".join(sign + line for line in textwrap.wrap(text, width))
+
+
+def test_whole_licence_files_and_wrapped_headers(spark):
+    mit = "MIT License\n\nCopyright (c) 2024 Jane Roe\n\n" + "\n\n".join(wrapped(t, "") for t in licenses.TEXTS["MIT"][28:].split(" THE SOFTWARE IS"))
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation\n\n" + "Preamble text about freedom. " * 400
+    header = "/*\n" + " * Copyright 2020 Some Company\n *\n" + wrapped(APACHE, " * ") + "\n */\n\nint main() { return 0; }\n" * 3
+    rows = [("m/LICENSE", mit), ("m/src/a.c", "int x;"), ("b/LICENSE", "Copyright (c) 2001, The Authors\nAll rights reserved.\n\n" + wrapped(BSD, "")), ("b/deep/er/x", None), ("g/COPYING", gpl), ("g/x/y.c", ""), ("m/h.c", header), ("m/py/t.py", wrapped(APACHE, "# ") + "\n\n" + " ".join(f"name{i} = {i}" for i in range(90))), ("z/readme", "A story.\n\n" + "It went on without a licence, free of charge and of warranty. " * 40), ("m/h2/f", "x")]
+    f = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: (r.own_license, r.inherited_license, r.license) for r in licenses.scan(f).collect()}
+    assert got == {
+        "m/LICENSE": ("MIT", "MIT", "MIT"), "m/src/a.c": (None, "MIT", "MIT"), "b/LICENSE": ("BSD-3-Clause", "BSD-3-Clause", "BSD-3-Clause"), "b/deep/er/x": (None, "BSD-3-Clause", "BSD-3-Clause"), "g/COPYING": ("GPL-3.0", "GPL-3.0", "GPL-3.0"), "g/x/y.c": (None, "GPL-3.0", "GPL-3.0"),
+        "m/h.c": ("Apache-2.0", "MIT", "Apache-2.0"), "m/py/t.py": ("Apache-2.0", "MIT", "Apache-2.0"), "z/readme": (None, None, None), "m/h2/f": (None, "MIT", "MIT"),
+    }
+
+
+def plain_cosines(text):
+    weights, idf, unknown = licenses.template_terms()
+    v = {w: n * idf.get(w, unknown) for w, n in Counter(re.findall("[a-z0-9]+", text.lower())).items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return [sum(x * weights[w][i] for w, x in v.items() if w in weights) / norm if norm else 0.0 for i in range(len(licenses.TEMPLATES))]
+
+
 def test_cosine_against_plain(spark):
-    names, weights, idf, unknown = licenses.template_terms()
     texts = ["Released under the MIT License.", "this file is under the Apache License version 2.0 of old", "permission to copy permission"]
     got = {r.k: (r.license, r.similarity) for r in licenses.similar(spark.createDataFrame(list(enumerate(texts)), "k int, line string"), ["k"], "line").collect()}
     for k, t in enumerate(texts):
-        bag = Counter(re.findall("[a-z0-9]+", t.lower()))
-        v = {w: n * idf.get(w, unknown) for w, n in bag.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        sims = [sum(x * weights[w][i] for w, x in v.items() if w in weights) / norm for i in range(len(names))]
-        assert got[k] == (names[max(range(len(names)), key=lambda i: round(sims[i], 6))], round(max(sims), 6))
+        sims = plain_cosines(t)
+        assert got[k] == (licenses.TEMPLATES[max(range(len(sims)), key=lambda i: round(sims[i], 6))][0], round(max(sims), 6))
+
+
+def test_bounds_lose_nothing(spark):
+    """Parts of templates, mixed with other words: what reaches the limit has a cue and passes the bound."""
+    r = random.Random(8)
+    texts = [""]
+    for _ in range(400):
+        words = r.choice(licenses.TEMPLATES)[2].split()
+        part = [w for w in words if r.random() < r.choice([0.5, 0.8, 1.0])] + [f"x{r.randint(0, 99)}" for _ in range(r.randint(0, len(words) // 2))]
+        texts.append(" ".join(part))
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").select("k", licenses.reachable(F.col("t"), 0.75).alias("may"))
+    may, cues = {r.k: r.may for r in d.collect()}, set(licenses.cues(0.75))
+    reached = [k for k, t in enumerate(texts) if max(plain_cosines(t)) >= 0.75]
+    assert len(reached) > 100 and all(may[k] and cues & set(re.findall("[a-z0-9]+", texts[k].lower())) for k in reached)
+    assert not may[0]
 
 
 def test_pipeline(spark, sf_dir):
