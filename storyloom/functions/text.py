@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 _BLANKS = [0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 BLANK = r"[\t\n\x0B\f\r" + "".join(map(chr, _BLANKS)) + "]"
+_INDENT = BLANK.replace("\\n", "")  # blanks within a line
+#: The marks that are left out, the heading forms, and the Markdown forms in ``markdown_length``.
 SENTENCE_MARKS = "[，。！？…、；：\"'“”‘’—–·《》「」『』【】〈〉" + BLANK[1:]
 QUERY_MARKS = "[，。！？…、；：\"“”‘’「」『』—–·〈〉（）《》" + BLANK[1:]
 TOKEN_MARKS = "[\\[\\]（）()【】「」『』、，。！？：；“”‘’\"'—–·〈〉《》" + BLANK[1:]
@@ -110,8 +112,8 @@ def markdown_length(c: Column) -> Column:
         (r"`[^`]*`", ""),
         (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
         (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?m)^[^\S\n]*(#{1,6}[^\S\n]+|>[^\S\n]?|[-*+][^\S\n]+|[0-9]+\.[^\S\n]+)", ""),
-        (r"(?m)^\s*([-*_]){3,}\s*$", ""),
+        (f"(?md)^{_INDENT}*(#{{1,6}}{_INDENT}+|>{_INDENT}?|[-*+]{_INDENT}+|[0-9]+\\.{_INDENT}+)", ""),
+        (f"(?:^|(?<=[\n\r\u2028\u2029])){BLANK}*([-*_]){{3,}}{BLANK}*(?=[\n\r\u2028\u2029]|\\z)", ""),
         (r"\*\*([^*]+)\*\*", "$1"),
         (r"\*([^*]+)\*", "$1"),
         (r"__([^_]+)__", "$1"),

@@ -74,8 +74,10 @@ def synthetic_corpus(manuscripts: DataFrame) -> DataFrame:
     m = m.select("project", "number", F.when(has, title).otherwise("").alias("found"), body.alias("body"))
     n_lines = F.when(F.col("body").isNull(), 0).otherwise(F.size(F.split("body", "\n", -1)))
     m = m.withColumn("n_lines", n_lines)
+    # only numbers go through the window; the texts are met again by chapter
     w = Window.partitionBy("project").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("end", F.sum(F.col("n_lines") + 1).over(w))
+    ends = m.select("project", "number", F.sum(F.col("n_lines") + 1).over(w).alias("end"))
+    m = m.join(ends, ["project", "number"])
     heading = F.concat(F.lit("第"), numeral(F.col("number")), F.lit("章 "), F.col("found"))
     shown = F.when(F.col("found") == "", F.concat(F.lit("第"), F.col("number").cast("string"), F.lit("章"))).otherwise(F.col("found"))
     return m.select("project", "number", shown.alias("title"), heading.alias("heading"), F.coalesce("body", F.lit("")).alias("body"), (F.col("end") - F.col("n_lines")).alias("start"), "end", F.length(without_blanks(F.coalesce("body", F.lit("")))).alias("chars"))

@@ -172,7 +172,9 @@ def patched(document: str | None, patches: list[tuple[str, str]]) -> tuple[str |
         try:
             for step in steps[:-1]:
                 here = here[step]
-            if value == "__DELETE__":
+            if value == "__DELETE__" and isinstance(here, list):
+                here[steps[-1]] = None  # the place stays, so that later patches meet the same numbers
+            elif value == "__DELETE__":
                 del here[steps[-1]]
             elif isinstance(here, list) and not 0 <= steps[-1] < len(here):
                 raise IndexError(path)

@@ -22,13 +22,32 @@ def selected_work(listed: DataFrame, pending: DataFrame | None = None, everythin
 
 
 def range_state(listed: DataFrame, done: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(id, project, todo, missing, reason) of tasks (id, project, from_ch, to_ch); ranges meet the chapters by book."""
-    rows = tasks.join(listed.join(done.withColumn("have", F.lit(True)), ["project", "number"], "left"), "project", "left").where(F.col("number").isNull() | F.col("number").between(F.col("from_ch"), F.col("to_ch")))
-    per = rows.groupBy("id", "project").agg(F.count("number").alias("todo"), F.count_if(F.col("number").isNotNull() & F.col("have").isNull()).alias("missing"))
-    out = tasks.select("id", "project").join(per, ["id", "project"], "left").na.fill(0, ["todo", "missing"])
+    """(id, project, todo, missing, reason) of tasks (id, project, from_ch, to_ch).
+
+    The ends of the ranges are laid among the chapters of their book, and running counts at the two ends are subtracted: each book is sorted once, whatever the number
+    of tasks, and no task meets a chapter.
+    """
+    have = listed.join(done.select("project", "number", F.lit(True).alias("have")), ["project", "number"], "left")
+    none = F.lit(None).cast(dict(tasks.dtypes)["id"])
+    chapters = have.select("project", F.col("number").alias("at"), F.lit(1).alias("side"), none.alias("id"), F.lit(1).alias("n"), F.when(F.col("have").isNull(), 1).otherwise(0).alias("lacks"))
+    ends = [tasks.select("project", F.col(c).alias("at"), F.lit(side).alias("side"), "id", F.lit(0).alias("n"), F.lit(0).alias("lacks")) for c, side in (("from_ch", 0), ("to_ch", 2))]
+    so_far = Window.partitionBy("project").orderBy("at", "side").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = chapters.unionByName(ends[0]).unionByName(ends[1])
+    rows = rows.select("id", "project", "side", F.sum("n").over(so_far).alias("n"), F.sum("lacks").over(so_far).alias("lacks")).where("side <> 1")
+    sign = F.col("side") - 1
+    out = rows.groupBy("id", "project").agg(F.greatest(F.sum(sign * F.col("n")), F.lit(0)).alias("todo"), F.greatest(F.sum(sign * F.col("lacks")), F.lit(0)).alias("missing"))
     return out.withColumn("reason", F.when(F.col("todo") == 0, "empty_range").when(F.col("missing") == 0, "complete").otherwise("open"))
 
 
+def range_missing(listed: DataFrame, done: DataFrame, tasks: DataFrame, width: int = 64) -> DataFrame:
+    """(id, project, pos, number): the missing chapters of each task's range, in order. Ranges meet chapters by (book, block of ``width`` numbers)."""
+    lacking = listed.join(done, ["project", "number"], "left_anti").withColumn("block", F.floor(F.col("number") / width))
+    blocks = F.sequence(F.floor(F.col("from_ch") / width), F.floor(F.col("to_ch") / width))
+    ranges = tasks.where("from_ch <= to_ch").select("id", "project", "from_ch", "to_ch", F.explode(blocks).alias("block"))
+    rows = ranges.join(lacking, ["project", "block"]).where(F.col("number").between(F.col("from_ch"), F.col("to_ch")))
+    return rows.select("id", "project", F.row_number().over(Window.partitionBy("id", "project").orderBy("number")).alias("pos"), "number")
+
+
 def next_batch(done: DataFrame, size: int = 30) -> DataFrame:
     """(project, start, end) of the batch after the annotated chapters."""
     return done.groupBy("project").agg((F.count(F.lit(1)) + 1).alias("start")).withColumn("end", F.col("start") + size - 1)

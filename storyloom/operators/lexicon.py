@@ -15,6 +15,7 @@ from storyloom.functions.text import sentence_clean, trimmed
 from storyloom.sources.checkpoints import cut
 
 MIN_PMI, MIN_COUNT, LONGEST, MIN_FREQUENCY = 2.0, 3, 7, 3
+SLICE_ROWS = 20_000
 
 
 def label_words(shots: DataFrame) -> DataFrame:
@@ -71,37 +72,63 @@ def pmi_table(clean: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     return rows.select("project", "gram", "n", F.log2(together / single).alias("pmi"))
 
 
-def cut_at_bonds(text: str, bonded: set[str], longest: int = LONGEST) -> list[str]:
-    """L4: maximal runs of bonded neighbours, in pieces of ``longest``; characters that always cut give no word."""
-    words, run = [], ""
-    for c in text:
-        if c in CUT_CHARS:
-            words.append(run)
-            run = ""
-        elif run and len(run) < longest and run[-1] + c in bonded:
-            run += c
-        else:
-            words.append(run)
-            run = c
-    return [w for w in [*words, run] if w]
+_CUTS = np.sort(np.array([ord(c) for c in set(CUT_CHARS)], np.uint64))
+_GAP = "\ud800"  # no text holds it; stands between texts
 
 
-def pmi_words(clean: DataFrame, pmi: DataFrame, min_pmi: float = MIN_PMI, slices: int = 16) -> DataFrame:
+def _codes(texts: list[str]) -> tuple[str, np.ndarray]:
+    """The texts one after the other with a gap after each, and their code points."""
+    whole = _GAP.join([*texts, ""])
+    return whole, np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values stand in the sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def cut_at_bonds(texts: list[str], bonded: np.ndarray, longest: int = LONGEST) -> Counter[str]:
+    """L4: how often each word occurs: maximal runs of bonded neighbours, in pieces of ``longest``; characters that always cut give no word.
+
+    ``bonded``: sorted pairs, the first character's code times 2**32 plus the second's.
+    """
+    whole, codes = _codes(texts)
+    if not len(codes):
+        return Counter()
+    cuts = _among(codes, _CUTS) | (codes == ord(_GAP))
+    begins = np.ones(len(codes), bool)
+    begins[1:] = cuts[1:] | cuts[:-1] | ~_among((codes[:-1] << np.uint64(32)) | codes[1:], bonded)
+    at = np.arange(len(codes))
+    begins |= (at - np.maximum.accumulate(np.where(begins, at, 0))) % longest == 0
+    starts = np.flatnonzero(begins)
+    stops = np.append(starts[1:], len(codes))
+    keep = ~cuts[starts]
+    return Counter([whole[i:j] for i, j in zip(starts[keep].tolist(), stops[keep].tolist(), strict=True)])
+
+
+def slices(rows: DataFrame, size: int) -> DataFrame:
+    """(project, slices): into how many groups of about ``size`` rows a book is dealt."""
+    return rows.groupBy("project").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("slices"))
+
+
+def pmi_words(clean: DataFrame, pmi: DataFrame, min_pmi: float = MIN_PMI, size: int = SLICE_ROWS) -> DataFrame:
     """L4: (project, word, n): statistical words and how often they occur.
 
-    Sentences of a book are dealt over ``slices`` groups, and only the book's bonded pairs are repeated for each; counts are added up afterwards.
+    Sentences of a book are dealt over groups of about ``size``, and only the book's bonded pairs are repeated for each; counts are added up afterwards.
     """
-    slots = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slot")
-    bonds = pmi.where(F.col("pmi") >= min_pmi).select(F.col("project").alias("b_project"), slots, F.col("gram").alias("gram"))
-    dealt = clean.where("clean <> ''").groupBy("project", "clean").agg(F.count(F.lit(1)).alias("times")).withColumn("slot", F.pmod(F.xxhash64("clean"), F.lit(slices)).cast("int"))
+    clean = clean.where("clean <> ''")
+    dealt_to = cut(slices(clean, size))
+    bonds = pmi.where(F.col("pmi") >= min_pmi).join(dealt_to, "project").select(F.col("project").alias("b_project"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slot"), F.col("gram").alias("gram"))
+    dealt = clean.join(dealt_to, "project").select("project", "clean", F.pmod(F.xxhash64("clean"), "slices").cast("int").alias("slot"))
 
     def words_of(sentences: pa.Table, grams: pa.Table) -> pa.Table:
-        bonded = set(grams.column("gram").to_pylist())
-        found: Counter[tuple[str, str]] = Counter()
-        for book, text, times in zip(*(sentences.column(c).to_pylist() for c in ("project", "clean", "times")), strict=True):
-            for word in cut_at_bonds(text, bonded):
-                found[book, word] += times
-        return pa.table({"project": pa.array([b for b, _ in found], pa.string()), "word": pa.array([w for _, w in found], pa.string()), "n": pa.array(found.values(), pa.int64())})
+        if not sentences.num_rows:
+            return pa.table({"project": pa.array([], pa.string()), "word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+        bonded = np.sort(np.array([ord(g[0]) << 32 | ord(g[1]) for g in grams.column("gram").to_pylist()], np.uint64))
+        found = cut_at_bonds(sentences.column("clean").to_pylist(), bonded)
+        return pa.table({"project": pa.array([sentences.column("project")[0].as_py()] * len(found), pa.string()), "word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
     rows = dealt.groupBy("project", "slot").cogroup(bonds.groupBy("b_project", "slot")).applyInArrow(words_of, "project string, word string, n long")
     return rows.groupBy("project", "word").agg(F.sum("n").alias("n"))
@@ -139,38 +166,58 @@ def needs_rebuild(now: DataFrame, recorded: DataFrame) -> DataFrame:
     return per.where("n > 0").select("project", "rebuild")
 
 
-def tokenize(text: str, words: dict[str, list[str]]) -> list[str]:
-    """Longest lexicon word at each place; what begins none is passed over. ``words``: by first character, longest first."""
-    out, i = [], 0
-    while i < len(text):
-        word = next((w for w in words.get(text[i], ()) if text.startswith(w, i)), None)
-        if word:
-            out.append(word)
-        i += len(word) if word else 1
-    return out
-
-
-def by_first(words: Iterator[str]) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for w in sorted(words, key=lambda w: (-len(w), w)):
-        out.setdefault(w[0], []).append(w)
-    return out
-
-
-def postings(texts: DataFrame, words: DataFrame, slices: int = 16) -> DataFrame:
+class Words:
+    """A lexicon as sorted hashes of its words by length, to find the longest word at each place of a text."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = set(words) - {""}
+        self.by_length: dict[int, np.ndarray] = {}
+        for n in {len(w) for w in self.words}:
+            codes = np.array([[ord(c) for c in w] for w in self.words if len(w) == n], np.uint64)
+            self.by_length[n] = np.sort(self._hash([codes[:, i] for i in range(n)]))
+
+    @staticmethod
+    def _hash(columns: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(columns[0]), np.uint64)
+        for c in columns:
+            out = (out ^ c) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def tokens(self, texts: list[str]) -> list[tuple[int, str]]:
+        """(number of the text, word) in order: the longest word at each place; what begins none is passed over."""
+        whole, codes = _codes(texts)
+        found = []
+        for n in sorted(self.by_length, reverse=True):
+            if len(codes) >= n:
+                at = np.flatnonzero(_among(self._hash([codes[i : len(codes) - n + 1 + i] for i in range(n)]), self.by_length[n]))
+                found.append((at, np.full(len(at), n)))
+        if not found:
+            return []
+        at, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-sizes, at))
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        out, free = [], 0
+        for i, n, text in zip(at[order].tolist(), sizes[order].tolist(), np.searchsorted(ends, at[order], side="right").tolist(), strict=True):
+            if i >= free and (word := whole[i : i + n]) in self.words:
+                out.append((text, word))
+                free = i + n
+        return out
+
+
+def postings(texts: DataFrame, words: DataFrame, size: int = SLICE_ROWS) -> DataFrame:
     """(project, key, token, n) of texts (project, key, text): each text is tokenized once, with its own book's lexicon.
 
-    A book's texts are dealt over ``slices`` groups, each with the book's lexicon, so that a large book isn't one task.
+    A book's texts are dealt by key over groups of about ``size``, each with the book's lexicon, so that a large book isn't one task; a key's words are counted in its group.
     """
-    slots = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slot")
-    lists = words.select(F.col("project").alias("w_project"), F.col("word").alias("word"), slots)
-    dealt = texts.select("project", "key", "text", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int").alias("slot"))
+    dealt_to = cut(slices(texts, size))
+    lists = words.join(dealt_to, "project").select(F.col("project").alias("w_project"), F.col("word").alias("word"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slot"))
+    dealt = texts.join(dealt_to, "project").select("project", "key", "text", F.pmod(F.xxhash64("key"), "slices").cast("int").alias("slot"))
 
     def tokens_of(rows: pa.Table, lexicon: pa.Table) -> pa.Table:
-        first = by_first(lexicon.column("word").to_pylist())
-        named = zip(*(rows.column(c).to_pylist() for c in ("project", "key", "text")), strict=True)
-        found = [(p, k, t) for p, k, text in named for t in tokenize(text, first)]
-        return pa.table({c: pa.array([x[i] for x in found], pa.string()) for i, c in enumerate(("project", "key", "token"))})
+        keys = rows.column("key").to_pylist()
+        counts = Counter((keys[i], w) for i, w in Words(lexicon.column("word").to_pylist()).tokens([t or "" for t in rows.column("text").to_pylist()])) if keys else {}
+        book = rows.column("project")[0].as_py() if keys else None
+        return pa.table({"project": pa.array([book] * len(counts), pa.string()), "key": pa.array([k for k, _ in counts], pa.string()), "token": pa.array([w for _, w in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    tokens = dealt.groupBy("project", "slot").cogroup(lists.groupBy("w_project", "slot")).applyInArrow(tokens_of, "project string, key string, token string")
-    return tokens.groupBy("project", "key", "token").agg(F.count(F.lit(1)).alias("n"))
+    return dealt.groupBy("project", "slot").cogroup(lists.groupBy("w_project", "slot")).applyInArrow(tokens_of, "project string, key string, token string, n long")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from storyloom.functions.text import fixed, fnv1a, padded, query_clean, token_clean, trimmed, without_blanks
 from storyloom.operators import lexicon
 from storyloom.operators.rollup import ordered_text
+from storyloom.sources.checkpoints import cut
 
 SHOT = ["project", "chapter", "shot_id"]
 QUOTA = {"label": 2, "token": 2, "vec": 2}
@@ -100,20 +101,26 @@ def label_hits(shots: DataFrame, requests: DataFrame, k: int = QUOTA["label"]) -
     return rows.select("query_id", F.lit("label").alias("channel"), "rank", "score", *SHOT)
 
 
-def substrings(text: Column, least: int, most: Column) -> Column:
-    """The distinct substrings of ``text`` of ``least`` to ``most`` characters."""
+def substrings(text: Column, lengths: Column) -> Column:
+    """The distinct substrings of ``text`` that have one of ``lengths``."""
     n = F.length(text)
-    lengths = F.when(F.least(n, most) >= least, F.sequence(F.lit(least), F.least(n, most))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(lengths, lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size)))))
+    fitting = F.filter(lengths, lambda size: size <= n)
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size)))))
 
 
 def containment(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(query_id, project, key) where a label holds the query or the query holds the label; both are spelled out in substrings, so this is an equi-join."""
-    longest = labels.agg(F.coalesce(F.max(F.length("label")), F.lit(0)).alias("longest"))  # one row
-    q = queries.join(F.broadcast(longest))
-    inside = q.select("query_id", "project", F.explode(substrings(F.col("q"), 2, F.col("longest"))).alias("label")).join(labels, ["project", "label"]).select("query_id", "project", "key")
-    parts = labels.select("project", "key", F.explode(substrings(F.col("label"), 2, F.length("label"))).alias("q"))
-    around = queries.join(parts, ["project", "q"]).select("query_id", "project", "key")
+    """(query_id, project, key) where a label holds the query or the query holds the label, both of two characters or more.
+
+    Both are spelled out in substrings, only of lengths that the other side of their book has, so this is an equi-join and one long label costs nothing elsewhere.
+    """
+
+    def lengths(rows: DataFrame, of: str) -> DataFrame:
+        return rows.where(F.length(of) >= 2).groupBy("project").agg(F.collect_set(F.length(of)).alias("lengths"))
+
+    asked = queries.join(lengths(labels, "label"), "project")
+    inside = asked.select("query_id", "project", F.explode(substrings(F.col("q"), F.col("lengths"))).alias("label")).join(labels, ["project", "label"]).select("query_id", "project", "key")
+    spelled = labels.join(lengths(queries, "q"), "project").select("project", "key", F.explode(substrings(F.col("label"), F.col("lengths"))).alias("q"))
+    around = queries.join(spelled, ["project", "q"]).select("query_id", "project", "key")
     return inside.unionByName(around).distinct()
 
 
@@ -121,25 +128,27 @@ def token_counts(queries: DataFrame, shots: DataFrame, texts: DataFrame, words:
     """(query_id, project, key, n): overlap of each query (query_id, project, text) with the shots of its book.
 
     The parts: words of the label in the query, at least one if label and query hold each other; words of the text, if it is as long as the query and they share two characters.
-    Shots are tokenized once; queries meet them by (project, token).
+    Shots are tokenized once; queries meet them by (project, token). Who shares a word of two different characters shares two characters, so texts are only looked at again
+    for pairs that share none but words of one repeated character.
     """
-    q = queries.select("query_id", "project", query_clean(F.col("text")).alias("q")).where(F.length("q") >= 2)
-    q_tokens = lexicon.postings(q.select("project", F.col("query_id").cast("string").alias("key"), F.col("q").alias("text")).distinct(), words)
-    q_tokens = q_tokens.select("project", "token", F.col("key").alias("query_id"))
-    labels = shots.select("project", shot_key().alias("key"), without_blanks(F.coalesce("label", F.lit(""))).alias("label")).where(F.length("label") >= 2)
-    tokens = token_clean(F.col("text"))
-    label_words = lexicon.postings(labels.select("project", "key", F.col("label").alias("text")).withColumn("text", tokens), words)
-    q = q.withColumn("query_id", F.col("query_id").cast("string"))
+    q = cut(queries.select(F.col("query_id").cast("string").alias("query_id"), "project", query_clean(F.col("text")).alias("q")).where(F.length("q") >= 2))
+    q_tokens = lexicon.postings(q.select("project", F.col("query_id").alias("key"), F.col("q").alias("text")).distinct(), words)
+    q_tokens = cut(q_tokens.select("project", "token", F.col("key").alias("query_id")).join(q.select("query_id", "project", F.length("q").alias("q_length")), ["query_id", "project"]))
+    labels = cut(shots.select("project", shot_key().alias("key"), without_blanks(F.coalesce("label", F.lit(""))).alias("label")).where(F.length("label") >= 2))
+    label_words = lexicon.postings(labels.select("project", "key", token_clean(F.col("label")).alias("text")), words)
     in_label = q_tokens.join(label_words, ["project", "token"]).groupBy("query_id", "project", "key").agg(F.sum("n").alias("n"))
     held = containment(q, labels).select("query_id", "project", "key", F.lit(1).cast("long").alias("n"))
     label_part = in_label.unionByName(held).groupBy("query_id", "project", "key").agg(F.max("n").alias("n"))
     plain = texts.select("project", shot_key().alias("key"), "text")
-    text_words = lexicon.postings(plain.withColumn("text", tokens), words)
-    in_text = q_tokens.join(text_words, ["project", "token"]).groupBy("query_id", "project", "key").agg(F.sum("n").alias("n"))
-    gated = in_text.join(q, ["query_id", "project"]).join(plain, ["project", "key"])
+    lengths = plain.select("project", "key", F.length("text").alias("t_length"))
+    text_words = lexicon.postings(plain.withColumn("text", token_clean(F.col("text"))), words).join(lengths, ["project", "key"])
+    varied = F.size(F.array_distinct(F.filter(F.split("token", ""), lambda c: c != ""))) > 1
+    in_text = q_tokens.withColumn("varied", varied).join(text_words, ["project", "token"]).where("t_length >= q_length").groupBy("query_id", "project", "key").agg(F.sum("n").alias("n"), F.bool_or("varied").alias("varied"))
+    in_text = cut(in_text)
     chars = F.array_intersect(F.filter(F.split("q", ""), lambda c: c != ""), F.split("text", ""))
-    gated = gated.where((F.length("text") >= F.length("q")) & (F.size(chars) >= 2)).select("query_id", "project", "key", "n")
-    return label_part.unionByName(gated).groupBy("query_id", "project", "key").agg(F.sum("n").alias("n"))
+    odd = in_text.where("not varied").join(q, ["query_id", "project"]).join(plain, ["project", "key"]).where(F.size(chars) >= 2)
+    every = label_part.unionByName(in_text.where("varied").drop("varied")).unionByName(odd.select("query_id", "project", "key", "n"))
+    return every.groupBy("query_id", "project", "key").agg(F.sum("n").alias("n"))
 
 
 def token_hits(counts: DataFrame, shots: DataFrame, k: int = QUOTA["token"], seed: str = "pick") -> DataFrame:
@@ -156,41 +165,43 @@ def token_hits(counts: DataFrame, shots: DataFrame, k: int = QUOTA["token"], see
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = QUOTA["vec"], block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, channel, rank, score, project, chapter, shot_id): the most similar shots by exact cosine; a zero vector scores 0.
 
-    Queries (query_id, embedding) are taken in blocks of about ``block``; each block's matrix goes to the tasks, which send back only their best k a query.
+    Queries (query_id, embedding) are packed into rows of about ``block``, vectors into runs as they lie; each run meets each block of queries within a task, which
+    keeps the best k a query. Nothing goes through the driver but the number of queries; the blocks are broadcast by the optimizer where they are small.
     """
-    n = queries.count()
-    parts = [_cosine_block(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), vectors, k) for blocks in [max(1, math.ceil(n / block))] for b in range(blocks)]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionAll(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), *SHOT))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.lit("vec").alias("channel"), "rank", "score", *SHOT)
+    blocks = max(1, math.ceil(queries.count() / block))
+    kind = dict(queries.dtypes)["query_id"]
 
+    def unit(embeddings: list[list[float]]) -> np.ndarray:
+        m = np.array(embeddings, np.float64).reshape(len(embeddings), -1)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
-def _cosine_block(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    asked = queries.select("query_id", "embedding").orderBy("query_id").collect()  # one block
-    ids = np.array([r.query_id for r in asked])
-    matrix = np.array([r.embedding for r in asked], np.float64).reshape(len(asked), -1)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("query_id", ignore_index=True)
+        return pd.DataFrame({"block": [int(rows["block"][0])], "ids": [list(rows["query_id"])], "matrix": [unit(list(rows["embedding"])).tobytes()]})
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = shared.value
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            if not len(rows) or not len(ids):
-                continue
-            rows = rows.sort_values(SHOT, ignore_index=True)
-            v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-            scores = m @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).T
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            at = order.ravel()
-            out = rows.loc[at, SHOT].reset_index(drop=True)
-            out.insert(0, "query_id", np.repeat(ids, order.shape[1]))
-            out["score"] = np.take_along_axis(scores, order, 1).ravel()
-            yield out
+            if len(rows):
+                rows = rows.sort_values(SHOT, ignore_index=True)
+                yield pd.DataFrame({"shots": [[tuple(x) for x in rows[SHOT].itertuples(index=False)]], "vectors": [unit(list(rows["embedding"])).tobytes()]})
 
-    kind = dict(queries.dtypes)["query_id"]
-    return vectors.select(*SHOT, "embedding").mapInPandas(best, f"query_id {kind}, project string, chapter int, shot_id string, score double")
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pairs in batches:
+            for row in pairs.itertuples(index=False):
+                m, v = (np.frombuffer(x).reshape(n, -1) for x, n in ((row.matrix, len(row.ids)), (row.vectors, len(row.shots))))
+                scores = m @ v.T
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                found = [row.shots[i] for i in order.ravel()]
+                names = [[f[c] for f in found] for c in (SHOT if found and isinstance(found[0], dict) else range(3))]
+                yield pd.DataFrame({"query_id": np.repeat(np.array(row.ids), order.shape[1]), **dict(zip(SHOT, names, strict=True)), "score": np.take_along_axis(scores, order, 1).ravel()})
+
+    asked = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = cut(asked.groupBy("block").applyInPandas(packed, f"block int, ids array<{kind}>, matrix binary"))
+    laid = vectors.select(*SHOT, "embedding").mapInPandas(runs, "shots array<struct<project:string,chapter:int,shot_id:string>>, vectors binary")
+    laid = laid.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = laid.join(asked, "block").select("ids", "matrix", "shots", "vectors").mapInPandas(best, f"query_id {kind}, project string, chapter int, shot_id string, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), *SHOT))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.lit("vec").alias("channel"), "rank", "score", *SHOT)
 
 
 def merged(*channels: DataFrame) -> DataFrame:

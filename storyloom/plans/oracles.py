@@ -60,9 +60,9 @@ shot_counts AS (
 events_layer AS (
   SELECT DISTINCT project, type, chapter FROM shots),
 life AS (
-  SELECT project, type, list(chapter ORDER BY chapter) AS c FROM events_layer WHERE chapter % 3 = 0 GROUP BY ALL),
+  SELECT project, type, list(chapter ORDER BY chapter) AS c FROM events_layer GROUP BY ALL),
 lifecycle AS (
-  SELECT project, list_position({TYPES}, type) - 1 AS idx, type AS entity, c[1] AS start_ch, CASE WHEN len(c) % 7 = 0 THEN []::INT[] ELSE c[1:20] END AS chapters,
+  SELECT project, list_position({TYPES}, type) - 1 AS idx, type AS entity, c[1] AS start_ch, CASE WHEN len(c) % 7 = 0 THEN []::INT[] ELSE c END AS chapters,
          CASE WHEN len(c) % 3 = 0 THEN (CASE WHEN len(c) % 2 = 0 THEN c[-1] WHEN len(c) % 5 = 0 THEN c[-1] + 1 END) END AS end_ch, len(c) % 11 <> 0 AS has_end,
          CASE WHEN len(c) % 3 = 0 THEN '已回收' WHEN len(c) % 13 = 0 THEN '?' ELSE '悬置' END AS state, CASE WHEN len(c) % 4 = 0 THEN ' ' ELSE 'n' END AS note FROM life),
 target_rows AS (
@@ -187,7 +187,7 @@ _SQL = {
       FROM chapters c LEFT JOIN counts k ON k.project = c.project AND k.chapter = c.number LEFT JOIN shot_counts h ON h.project = c.project AND h.chapter = c.number GROUP BY c.project""",
     "chapter_list_restore": 'SELECT project, number, title, start, "end", ("end" - start + 1) * 50 AS chars FROM ranges',
     "missing_chapters": "SELECT project, number FROM chapter_text EXCEPT SELECT * FROM annotated",
-    "summary_feed": "SELECT project, string_agg('第' || CASE WHEN number < 10000 THEN lpad(number::VARCHAR, 4, '0') ELSE number::VARCHAR END || '章 ' || title || '（' || function || '）：' || substr(summary, 1, 20), chr(10) ORDER BY number) AS feed FROM chapters GROUP BY project",
+    "summary_feed": "SELECT project, string_agg('第' || CASE WHEN number < 10000 THEN lpad(number::VARCHAR, 4, '0') ELSE number::VARCHAR END || '章 ' || title || '（' || function || '）：' || summary, chr(10) ORDER BY number) AS feed FROM chapters GROUP BY project",
     "project_meta": f"""SELECT m.project, chapters_total, chapters_annotated, chapters_total - chapters_annotated AS chapters_missing, s.n AS sentences, h.n AS shots, coalesce(b.n, 0) AS bad_files, coalesce(i.n, 0) AS contract_issues, i.report, coalesce(b.n, 0) = 0 AS syntax_pass
       FROM meta m LEFT JOIN (SELECT project, count(*) AS n FROM sentences GROUP BY 1) s USING (project) LEFT JOIN (SELECT project, count(*) AS n FROM shots GROUP BY 1) h USING (project)
       LEFT JOIN (SELECT project, count(*) AS n FROM chapter_text WHERE number % 43 = 0 GROUP BY 1) b USING (project)
@@ -197,7 +197,9 @@ _SQL = {
     "batch_reentry": "SELECT project, CASE WHEN max(number) % 2 <> 0 THEN 't' || max(number) END AS temp_ts FROM fresh GROUP BY project",
     "pending_ledger": "SELECT * FROM ledger",
     "work_selection": "SELECT DISTINCT project, chapter AS number FROM ledger WHERE attempts % 2 <> 0 UNION ALL SELECT DISTINCT project, chapter FROM outcomes WHERE chapter BETWEEN 2 AND 3",
-    "pending_leftovers": "SELECT * FROM ledger WHERE chapter >= 4",
+    "pending_leftovers": "SELECT * FROM ledger l WHERE NOT EXISTS (FROM outcomes o WHERE o.project = l.project AND o.chapter = l.chapter AND NOT o.failed)",
+    "range_missing": """SELECT t.id, t.project, row_number() OVER (PARTITION BY t.id, t.project ORDER BY c.number) AS pos, c.number FROM tasks t JOIN chapter_text c ON c.project = t.project AND c.number BETWEEN t.from_ch AND t.to_ch
+      WHERE NOT EXISTS (FROM annotated a WHERE a.project = c.project AND a.number = c.number)""",
     "range_state": "SELECT *, CASE WHEN todo = 0 THEN 'empty_range' WHEN missing = 0 THEN 'complete' ELSE 'open' END AS reason FROM range_states",
     "next_batch": 'SELECT project, count(*) + 1 AS start, count(*) + 30 AS "end" FROM annotated GROUP BY project',
     "failure_fuse": "SELECT *, prior_failures * 10 > processed * 3 AS blown FROM (SELECT project, event_id AS seq_id, coalesce(sum(failed::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior_failures, row_number() OVER w AS processed FROM outcomes WINDOW w AS (PARTITION BY project ORDER BY ts, event_id))",
@@ -233,13 +235,13 @@ _SQL = {
         SELECT type, funcs, 1, score, project, chapter, pos, shot_id FROM scored s WHERE score > 0 AND NOT EXISTS (FROM picked p WHERE p.type = s.type AND p.funcs = s.funcs AND p.project = s.project AND p.chapter = s.chapter AND p.pos = s.pos))
       SELECT type, array_to_string(funcs, ',') AS funcs, rank, score::DOUBLE AS score, project, chapter, shot_id FROM (SELECT *, row_number() OVER (PARTITION BY type, funcs ORDER BY tier, score DESC, project, chapter, pos) AS rank FROM every) WHERE rank <= 2""",
     "containment_hits": """SELECT DISTINCT q.query_id, q.project, s.project || '|' || s.chapter || '|' || s.shot_id AS key
-      FROM (SELECT query_id, project, substr(regexp_replace(content, '[，。！？…、；："“”‘’「」『』—–·〈〉（）《》\\s\\x{00a0}\\x{3000}]', '', 'g'), 1, 40) AS q FROM asks) q JOIN shots s ON s.project = q.project AND length(q) >= 2 AND length(label) >= 2 AND (contains(s.label, q.q) OR contains(q.q, s.label))""",
+      FROM (SELECT query_id, project, regexp_replace(content, '[，。！？…、；："“”‘’「」『』—–·〈〉（）《》\\s\\x{00a0}\\x{3000}]', '', 'g') AS q FROM asks) q JOIN shots s ON s.project = q.project AND length(q) >= 2 AND length(label) >= 2 AND (contains(s.label, q.q) OR contains(q.q, s.label))""",
     "vector_topk": """SELECT query_id, project, chapter, shot_id, round(score, 6) AS score FROM (
         SELECT q.vec_id AS query_id, v.project, v.chapter, v.shot_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score,
           row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) DESC, v.project, v.chapter, v.shot_id) AS rank
         FROM vectors q CROSS JOIN vectors v WHERE q.vec_id % 100 = 0) WHERE rank <= 10""",
     "known_books": """SELECT query_id, b AS project, coalesce(b <> 'no such book', true) AS known FROM (SELECT query_id, CASE WHEN seq % 3 = 0 THEN 'no such book' WHEN seq % 3 = 1 THEN project END AS b FROM asks)""",
-    "embedding_inputs": "SELECT project, chapter, shot_id, substr(text, 1, 100) AS input FROM shot_texts WHERE text <> ''",
+    "embedding_inputs": "SELECT project, chapter, shot_id, substr(text, 1, 500) AS input FROM shot_texts WHERE text <> ''",
     "vector_plan": """SELECT f.project, f.chapter, coalesce(f.project = 'src9' AND EXISTS (FROM vindex x WHERE x.project = f.project), false) OR i.source_mtime IS DISTINCT FROM f.mtime AS rebuild FROM files f LEFT JOIN vindex i USING (project, chapter)""",
     "vector_stats": "SELECT project, sum(shot_count)::BIGINT AS shots, count(*) AS chapters FROM vindex GROUP BY project",
     "tagged_draft": "SELECT session_id, string_agg('【镜' || seq || '｜' || type || '｜' || label || '】' || chr(10) || content, chr(10) || chr(10) ORDER BY seq) AS draft FROM asks GROUP BY session_id",

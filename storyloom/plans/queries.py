@@ -170,13 +170,13 @@ def contract_check(spark, sf):
 
 def lifecycle(spark, sf):
     """A book's types of shots as lifecycle entries."""
-    e = adapter.events_layer(spark, sf).where("chapter % 3 = 0")
+    e = adapter.events_layer(spark, sf)
     per = e.groupBy("project", "type").agg(F.array_sort(F.collect_set("chapter")).alias("chapters"))
     order = F.create_map(*[F.lit(x) for i, t in enumerate(enums.SHOT_TYPES) for x in (t, i)])
     n = F.size("chapters")
     closed = n % 3 == 0
     end = F.when(closed, F.when(n % 2 == 0, F.element_at("chapters", -1)).when(n % 5 == 0, F.element_at("chapters", -1) + 1))
-    return per.select("project", order[F.col("type")].alias("idx"), F.col("type").alias("entity"), F.element_at("chapters", 1).alias("start_ch"), F.when(n % 7 == 0, F.array().cast("array<int>")).otherwise(F.slice("chapters", 1, 20)).alias("chapters"), end.alias("end_ch"), (n % 11 != 0).alias("has_end"), F.when(closed, "已回收").when(n % 13 == 0, "?").otherwise("悬置").alias("state"), F.when(n % 4 == 0, " ").otherwise("n").alias("note"))
+    return per.select("project", order[F.col("type")].alias("idx"), F.col("type").alias("entity"), F.element_at("chapters", 1).alias("start_ch"), F.when(n % 7 == 0, F.array().cast("array<int>")).otherwise(F.col("chapters")).alias("chapters"), end.alias("end_ch"), (n % 11 != 0).alias("has_end"), F.when(closed, "已回收").when(n % 13 == 0, "?").otherwise("悬置").alias("state"), F.when(n % 4 == 0, " ").otherwise("n").alias("note"))
 
 
 @query
@@ -268,7 +268,7 @@ def payload_salvage(spark, sf):
 @query
 def sentence_rebuild(spark, sf):
     """V3: sentence documents cut off in the middle of their last key."""
-    s = adapter.sentences(spark, sf).where("seq <= 3")
+    s = adapter.sentences(spark, sf)
     item = F.concat(F.lit('{"id":"'), "sid", F.lit('","struct":"'), F.when(F.col("seq") == 2, "?").otherwise(F.col("struct")), F.lit('","text":"'), F.regexp_replace(F.regexp_replace("text", r"\\", ""), '"', ""), F.lit('"}'))
     d = rollup.ordered_text(s, ["project", "chapter"], ["seq"], item, ",", "items")
     docs = d.select("project", "chapter", F.concat(F.lit('{"sentences":['), "items", F.lit(',{"te')).alias("text"))
@@ -370,7 +370,7 @@ def missing_chapters(spark, sf):
 
 @query
 def summary_feed(spark, sf):
-    return rollup.summary_feed(adapter.chapters(spark, sf).withColumn("summary", F.substring("summary", 1, 20)))
+    return rollup.summary_feed(adapter.chapters(spark, sf))
 
 
 @query
@@ -415,8 +415,8 @@ def entries(spark, sf):
 
 
 def instruction_rows(spark, sf):
-    """Of each book: merges of later chapters by type, one with a wrong name, one out of range, an insert, and a merge into it."""
-    later = adapter.events_layer(spark, sf).where("chapter % 3 = 1").groupBy("project", "type").agg(F.slice(F.array_sort(F.collect_set("chapter")), 1, 10).alias("chapters"))
+    """Of each book: merges of all chapters by the type after theirs, one with a wrong name, one out of range, an insert, and a merge into it."""
+    later = adapter.events_layer(spark, sf).groupBy("project", "type").agg(F.array_sort(F.collect_set(F.col("chapter") + 1)).alias("chapters"))
     e = entries(spark, sf).select("project", "idx", F.col("name").alias("type"))
     m = later.join(e, ["project", "type"])
     null = F.lit(None)
@@ -466,7 +466,8 @@ def work_selection(spark, sf):
 
 @query
 def pending_leftovers(spark, sf):
-    todo = adapter.outcomes(spark, sf).where("chapter < 4").select("project", F.col("chapter").alias("number")).distinct()
+    """What is pending of chapters that never went well; those that did are the work at hand."""
+    todo = adapter.outcomes(spark, sf).where("not failed").select("project", F.col("chapter").alias("number")).distinct()
     return ledger.leftovers(ledger.pending_ledger(adapter.outcomes(spark, sf)), todo)
 
 
@@ -482,6 +483,11 @@ def range_state(spark, sf):
     return ledger.range_state(listed(spark, sf), adapter.annotated(spark, sf), task_rows(spark, sf))
 
 
+@query
+def range_missing(spark, sf):
+    return ledger.range_missing(listed(spark, sf), adapter.annotated(spark, sf), task_rows(spark, sf))
+
+
 @query
 def next_batch(spark, sf):
     return ledger.next_batch(adapter.annotated(spark, sf))
@@ -623,10 +629,10 @@ def manifest_diff(spark, sf):
 
 
 def asked(spark, sf):
-    """Requests as queries of a book each: by word overlap they look for their label."""
+    """Requests as queries of a book each; by word overlap they look for their whole content."""
     r = adapter.requests(spark, sf)
     qid = F.concat_ws("-", "session_id", "seq")
-    return r.withColumn("query_id", qid).withColumn("project", F.concat(F.lit("src"), F.col("session_id") % 20)).withColumn("text", F.col("label"))
+    return r.withColumn("query_id", qid).withColumn("project", F.concat(F.lit("src"), F.col("session_id") % 20)).withColumn("text", F.col("content"))
 
 
 @query
@@ -649,7 +655,7 @@ def token_postings(spark, sf):
 @query
 def containment_hits(spark, sf):
     labels = adapter.shots(spark, sf).select("project", recall.shot_key().alias("key"), text.without_blanks(F.col("label")).alias("label")).where(F.length("label") >= 2)
-    q = asked(spark, sf).select("query_id", "project", F.substring(text.query_clean(F.col("content")), 1, 40).alias("q")).where(F.length("q") >= 2)
+    q = asked(spark, sf).select("query_id", "project", text.query_clean(F.col("content")).alias("q")).where(F.length("q") >= 2)
     return recall.containment(q, labels)
 
 
@@ -678,11 +684,12 @@ def vector_topk(spark, sf):
 
 
 def merged_hits(spark, sf):
-    """Three channels of each request; its vector is that of the row with its session's number."""
+    """Three channels of each request; its vector is that of the row with its session's number (of as many as there are) and its place in it."""
     s = adapter.shots(spark, sf)
     v = adapter.shot_vectors(spark, sf)
     at = v.select(F.concat(F.lit("src"), F.col("vec_id") % 20).alias("project"), (F.col("vec_id") + 1).cast("int").alias("chapter"), F.lit("1").alias("shot_id"), "embedding")
-    q = asked(spark, sf).where("seq = 1").join(v.select(F.col("vec_id").alias("session_id"), "embedding"), "session_id").select("query_id", "embedding")
+    n = F.broadcast(v.agg(F.count(F.lit(1)).alias("vectors")))  # one row
+    q = asked(spark, sf).join(n).withColumn("vec_id", (F.col("session_id") * 7 + F.col("seq")) % F.col("vectors")).join(v.select("vec_id", "embedding"), "vec_id").select("query_id", "embedding")
     return recall.merged(recall.label_hits(s, asked(spark, sf)), recall.token_hits(token_counts(spark, sf), s), recall.cosine_topk(q, at))
 
 
@@ -723,7 +730,7 @@ def known_books(spark, sf):
 
 @query
 def embedding_inputs(spark, sf):
-    return recall.embedding_inputs(recall.shot_texts(adapter.shots(spark, sf), adapter.sentences(spark, sf)), 100)
+    return recall.embedding_inputs(recall.shot_texts(adapter.shots(spark, sf), adapter.sentences(spark, sf)))
 
 
 @query

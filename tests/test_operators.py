@@ -4,10 +4,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from storyloom.functions.enums import CUT_CHARS
 from storyloom.operators import derive, draft, gates, json_audit, ledger, lexicon, recall, rollup
 
 SENTENCE = "project string, chapter int, pos int, sid string, seq int, struct string, text string, shot_id string"
@@ -163,12 +165,45 @@ def test_dialogue():
     assert draft.repaired_dialogue("价格：五十") == ("价格：五十", 0)
 
 
+def plain_pieces(text, bonded, longest=7):
+    """Runs of bonded neighbours, one character at a time."""
+    words, run = [], ""
+    for c in text:
+        if c in CUT_CHARS:
+            words, run = [*words, run], ""
+        elif run and len(run) < longest and run[-1] + c in bonded:
+            run += c
+        else:
+            words, run = [*words, run], c
+    return [w for w in [*words, run] if w]
+
+
+def plain_tokens(text, words):
+    out, i = [], 0
+    while i < len(text):
+        word = max((w for w in words if w and text.startswith(w, i)), key=len, default=None)
+        out += [word] if word else []
+        i += len(word) if word else 1
+    return out
+
+
+def codes(bonded):
+    return np.sort(np.array([ord(a) << 32 | ord(b) for a, b in bonded], np.uint64))
+
+
 def test_pieces():
     bonded = {"甲乙", "乙丙", "丙丁", "丁戊", "戊壬", "壬庚", "庚辛"}
-    assert lexicon.cut_at_bonds("甲乙丙丁戊壬庚辛", bonded) == ["甲乙丙丁戊壬庚", "辛"]
-    assert lexicon.cut_at_bonds("甲的乙丙x", bonded) == ["甲", "乙丙", "x"]
-    words = lexicon.by_first(iter(["庙会", "庙会傍晚"]))
-    assert lexicon.tokenize("庙会傍晚人多", words) == ["庙会傍晚"] and lexicon.tokenize("去庙会", words) == ["庙会"]
+    assert lexicon.cut_at_bonds(["甲乙丙丁戊壬庚辛"], codes(bonded)) == {"甲乙丙丁戊壬庚": 1, "辛": 1}
+    assert lexicon.cut_at_bonds(["甲的乙丙x", "", "丙"], codes(bonded)) == {"甲": 1, "乙丙": 1, "x": 1, "丙": 1}
+    assert lexicon.Words(["庙会", "庙会傍晚"]).tokens(["庙会傍晚人多", "", "去庙会"]) == [(0, "庙会傍晚"), (2, "庙会")]
+    assert lexicon.cut_at_bonds([], codes(bonded)) == {} and lexicon.Words([]).tokens(["x"]) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("甲乙丙的a𠀀", max_size=30), max_size=5), st.sets(st.text("甲乙丙的a𠀀", min_size=2, max_size=2)), st.sets(st.text("甲乙丙a𠀀", max_size=5)))
+def test_pieces_and_tokens_against_plain(texts, bonded, words):
+    assert lexicon.cut_at_bonds(texts, codes(bonded)) == Counter(w for t in texts for w in plain_pieces(t, bonded))
+    assert lexicon.Words(list(words)).tokens(texts) == [(i, w) for i, t in enumerate(texts) for w in plain_tokens(t, words)]
 
 
 def test_lexicon_counts(spark):
@@ -218,9 +253,9 @@ def test_label_recall(spark):
 
 def test_token_counts(spark):
     rows, s = library(spark)
-    words = [(b, w) for b in ("b0", "b1", "b2") for w in ["甲乙", "丙丁", "甲乙丙", "乙"] if not (b == "b2" and w == "甲乙丙")]
+    words = [(b, w) for b in ("b0", "b1", "b2") for w in ["甲乙", "丙丁", "甲乙丙", "乙", "丁丁"] if not (b == "b2" and w == "甲乙丙")]
     texts = [(x[0], x[1], x[2], x[3], x[6] + "乙丙" + x[6][::-1]) for x in rows]
-    q = [("1", "b0", "甲乙，丙"), ("2", "b1", "丙丁"), ("3", "b2", "甲"), ("4", "b2", "丁丙乙甲甲乙丙")]
+    q = [("1", "b0", "甲乙，丙"), ("2", "b1", "丙丁"), ("3", "b2", "甲"), ("5", "b0", "丁丁丁"), ("6", "b1", "丁丁x"), ("4", "b2", "丁丙乙甲甲乙丙")]
     t = spark.createDataFrame(texts, "project string, chapter int, pos int, shot_id string, text string")
     got = {(r.query_id, r.key): r.n for r in recall.token_counts(spark.createDataFrame(q, "query_id string, project string, text string"), s, t, spark.createDataFrame(words, "project string, word string")).collect()}
     want = {}
@@ -228,18 +263,18 @@ def test_token_counts(spark):
         clean = raw.replace("，", "")
         if len(clean) < 2:
             continue
-        first = lexicon.by_first(w for p, w in words if p == b)
-        qt = set(lexicon.tokenize(clean, first))
+        first = [w for p, w in words if p == b]
+        qt = set(plain_tokens(clean, first))
         for x, y in zip(rows, texts, strict=True):
             if x[0] != b:
                 continue
             n = 0
             if len(x[6]) >= 2:
-                n = sum(w in qt for w in lexicon.tokenize(x[6], first))
+                n = sum(w in qt for w in plain_tokens(x[6], first))
                 if clean in x[6] or x[6] in clean:
                     n = max(n, 1)
             if len(y[4]) >= len(clean) and sum(c in y[4] for c in set(clean)) >= 2:
-                n += sum(w in qt for w in lexicon.tokenize(y[4], first))
+                n += sum(w in qt for w in plain_tokens(y[4], first))
             if n:
                 want[i, f"{x[0]}|{x[1]}|{x[3]}"] = n
     assert got == want
