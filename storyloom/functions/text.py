@@ -18,15 +18,22 @@ _BLANKS = [0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0
 BLANK = r"[\t\n\x0B\f\r" + "".join(map(chr, _BLANKS)) + "]"
 _INDENT = BLANK.replace("\\n", "")  # blanks within a line
 #: The marks that are left out, the heading forms, and the Markdown forms in ``markdown_length``.
-SENTENCE_MARKS = "[，。！？…、；：\"'“”‘’—–·《》「」『』【】〈〉" + BLANK[1:]
-QUERY_MARKS = "[，。！？…、；：\"“”‘’「」『』—–·〈〉（）《》" + BLANK[1:]
-TOKEN_MARKS = "[\\[\\]（）()【】「」『』、，。！？：；“”‘’\"'—–·〈〉《》" + BLANK[1:]
+SENTENCE_MARKS = "，。！？…、；：\"'“”‘’—–·《》「」『』【】〈〉"
+QUERY_MARKS = "，。！？…、；：\"“”‘’「」『』—–·〈〉（）《》"
+TOKEN_MARKS = "[]（）()【】「」『』、，。！？：；“”‘’\"'—–·〈〉《》"
 _DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 _UNITS = {"十": 10, "百": 100, "千": 1000}
 _HEADING = f"^第([一二三四五六七八九十百零〇两]+)章{BLANK}+(.+)$"
 _LISTED = "^([0-9]+)、(.*)$"
 
 
+def _any_of(marks: str) -> str:
+    """A pattern for one of the marks or a blank. ASCII text never meets the long class of other characters, which is tried one by one."""
+    plain = "".join("\\" + c if c in "[]" else c for c in marks if c.isascii())
+    other = "".join(c for c in marks if not c.isascii()) + "".join(chr(b) for b in _BLANKS if b > 0x7F)
+    return f"[{plain}\\t\\n\\x0B\\f\\r ]|(?![\\x00-\\x7F])[{other}]"
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"^{BLANK}+", ""), f"{BLANK}+$", "")
 
@@ -41,17 +48,17 @@ def without_blanks(c: Column) -> Column:
 
 def sentence_clean(c: Column) -> Column:
     """Marks, quotes and blanks out, for character statistics."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), SENTENCE_MARKS, "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), _any_of(SENTENCE_MARKS), "")
 
 
 def query_clean(c: Column) -> Column:
     """A query for the token channel."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), QUERY_MARKS, "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), _any_of(QUERY_MARKS), "")
 
 
 def token_clean(c: Column) -> Column:
     """A text for the tokenizer; marks become spaces."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), TOKEN_MARKS, " ")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), _any_of(TOKEN_MARKS), " ")
 
 
 def is_short(c: Column, most: int = 12) -> Column:
