@@ -1,4 +1,4 @@
-"""Stupid-backoff scores: n-gram counts partitioned by hash, met by the corpus's own exploded n-grams, summed by document."""
+"""Stupid-backoff scores: tables of n-gram counts partitioned by hash, joined to the corpus's own exploded n-grams, summed by document."""
 
 from __future__ import annotations
 
@@ -11,15 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import cut
+from storyloom.llm.common import table
 
+ORDER = 3
 ALPHA = 0.4
-LEAST_COUNT = 2  # a bigram counts as seen from here on; each text is in the corpus itself, so a count of one says nothing
-HOT_WORDS = 65_535  # the most frequent words, whose counts every task knows; a fixed bound
-TOP_SHARE = 500  # a top word makes up at least one in so many of all; so there are at most so many
-BUCKET_TOKENS = 2_500_000
+LEAST_COUNT = 2  # an n-gram counts as seen from here on; each text is in the corpus itself, so a count of one says nothing
 CHUNK_TOKENS = 500_000
-_FIRST, _LAST = np.uint64(1), np.uint64(0)  # stand before the first and after the last word
+_FIRST = np.uint64(1)  # stands before the first word
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -28,206 +26,117 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * np.uint64(0x9E3779B97F4A7C15) + b
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
+def longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from that of all but its last word, and that word."""
+    x = (prefix ^ (prefix >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def _times(values: np.ndarray) -> np.ndarray:
-    """How often each element occurs among all."""
-    _, inverse, n = np.unique(values, return_inverse=True, return_counts=True)
-    return n.astype(np.int32)[inverse]
+def grams_of(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n from 1 to ``order`` the hash of the n-gram that ends at each word; before the text stand start signs."""
+    padded = np.concatenate((np.full(order - 1, _FIRST), words))
+    out = []
+    for n in range(1, order + 1):
+        gram = padded[order - n : len(padded) - n + 1]
+        for k in range(n - 1, 0, -1):
+            gram = longer(gram, padded[order - k : len(padded) - k + 1])
+        out.append(gram)
+    return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(keys, word hashes) of so many documents at a time that they hold about ``CHUNK_TOKENS`` words."""
-    keys, words, n = [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            h = word_hashes(text.as_py())
-            if len(h):
-                keys.append(key)
-                words.append(h)
-                n += len(h)
-            if n >= CHUNK_TOKENS:
-                yield np.array(keys, np.int64), words
-                keys, words, n = [], [], 0
-    if keys:
-        yield np.array(keys, np.int64), words
+def contexts_of(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n from 2 to ``order`` the hash of the n - 1 words before each word."""
+    before = grams_of(np.concatenate(([_FIRST], words)), order)
+    return [before[n - 2][:-1] for n in range(2, order + 1)]
 
 
-def unigrams(keyed: DataFrame) -> DataFrame:
-    """(word, n): how often each word hash occurs in all rows. Words that occur once are one row without a word, n of them in all."""
+def gram_counts(docs: DataFrame, order: int) -> DataFrame:
+    """(size, gram, context, n) of all n-grams of all rows, and of the contexts as such: how often each occurs. Tasks send sums of some ``CHUNK_TOKENS`` words at a time."""
+    names = ["size", "gram", "context", "n"]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, words in _chunks(batches):
-            u, n = np.unique(np.concatenate([*words, np.full(len(keys), _FIRST)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-    counts = keyed.mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.select(F.when(F.col("n") > 1, F.col("word")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Hot:
-    """Counts of the most frequent words and the number of words in all; and counts of all pairs of top words.
-
-    A pair that makes up a large share of all bigrams is one of top words. Those pairs are counted before the shuffle and scored where they stand.
-    """
-
-    def __init__(self, words: list[int], counts: list[int], total: int) -> None:
-        w = np.array(words, np.int64).view(np.uint64)
-        order = np.argsort(w)
-        self.words, self.counts, self.total = w[order], np.array(counts, np.int64)[order], total
-        self.top = np.flatnonzero(self.counts * TOP_SHARE >= max(1, total))[:TOP_SHARE]
-        self.rank = np.full(len(w), -1, np.int64)
-        self.rank[self.top] = np.arange(len(self.top))
-        self.pairs = np.zeros(len(self.top) ** 2, np.int64)
-
-    def pair_places(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each pair in the table of top pairs, and whether both words are top words."""
-        if not len(self.top):
-            return np.zeros(len(a), np.int64), np.zeros(len(a), bool)
-        (i, x), (j, y) = self.places(a), self.places(b)
-        i, j = np.where(x, self.rank[i], -1), np.where(y, self.rank[j], -1)
-        both = (i >= 0) & (j >= 0)
-        return np.where(both, i * len(self.top) + j, 0), both
-
-    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each word in the table, and whether it is there."""
-        if not len(self.words):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return at, self.words[at] == h
-
-
-def _followed(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, second word and document of each bigram, the start and end signs included."""
-    a = np.concatenate([np.concatenate(([_FIRST], w)) for w in words])
-    b = np.concatenate([np.concatenate((w, [_LAST])) for w in words])
-    return a, b, np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
-
-
-def top_pairs(keyed: DataFrame, hot) -> DataFrame:
-    """(place, n): counts of the pairs of top words, at most the square of their number; each task sends only its sums."""
+    def summed(held: list[list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for size, parts in enumerate(held):
+            if parts:
+                gram, context = (np.concatenate(x) for x in zip(*parts, strict=True))
+                found, at, n = np.unique(gram, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), size, np.int32)), pa.array(found.view(np.int64)), pa.array(context[at].view(np.int64)), pa.array(n)], names=names)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = hot.value
-        n = np.zeros(max(1, len(table.pairs)), np.int64)
-        for _, words in _chunks(batches):
-            a, b, _ = _followed(words)
-            place, both = table.pair_places(a, b)
-            n += np.bincount(place[both], minlength=len(n))
-        found = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], names=["place", "n"])
-
-    return keyed.mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-
-
-def bigrams(keyed: DataFrame, hot, buckets: int, alpha: float, least: int) -> DataFrame:
-    """Every bigram of every document, packed by (chunk of documents, bucket).
-
-    A bigram goes to a bucket by its first word if that one is rare, else by both words: so all its occurrences meet in one bucket, together with all
-    of a rare first word; and a frequent first word is spread over all buckets. Frequent words are written as their place in the table.
-    Pairs of top words don't go anywhere: they are scored here, and their sums by document travel with the chunk's first bucket.
-    """
-    names = ["bucket", "docs", "runs", "kinds", "a_hot", "a_rare", "b_hot", "b_rare", "top_docs", "top_sums", "top_tokens"]
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = hot.value
-        for keys, words in _chunks(batches):
-            a, b, doc = _followed(words)
-            place, both = table.pair_places(a, b)
-            together, before, after = table.pairs[place[both]], table.counts[table.places(a[both])[0]], table.counts[table.places(b[both])[0]]
-            value = np.log(np.where(together >= least, together / before, alpha / max(1, table.total) * after))
-            tops = (keys.tobytes(), np.bincount(doc[both], value, len(keys)).tobytes(), np.bincount(doc[both], minlength=len(keys)).astype(np.int64).tobytes())
-            a, b, doc = a[~both], b[~both], doc[~both]
-            a_at, a_hot = table.places(a)
-            needed = ~a_hot | (b != _LAST)  # the last word only counts as a rare first one
-            a, b, doc, a_at, a_hot = a[needed], b[needed], doc[needed], a_at[needed], a_hot[needed]
-            b_at, b_hot = table.places(b)
-            bucket = (np.where(a_hot, pair_hash(a, b), a) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for k in range(buckets):
-                i = order[edges[k] : edges[k + 1]]
-                if len(i) or (k == buckets - 1 and not rows):
-                    d, runs = np.unique(doc[i], return_counts=True)
-                    x, y = a_hot[i], b_hot[i]
-                    rows.append((k, keys[d].tobytes(), runs.astype(np.uint32).tobytes(), (x * 2 + y).astype(np.uint8).tobytes(), a_at[i[x]].astype(np.uint16).tobytes(), a[i[~x]].tobytes(), b_at[i[y]].astype(np.uint16).tobytes(), b[i[~y]].tobytes(), *(tops if not rows else (b"", b"", b""))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.binary() if j else pa.int32()) for j in range(len(names))], names=names)
-
-    return keyed.mapInArrow(packed, "bucket int, docs binary, runs binary, kinds binary, a_hot binary, a_rare binary, b_hot binary, b_rare binary, top_docs binary, top_sums binary, top_tokens binary")
-
-
-def bucket_scores(packed: DataFrame, hot, alpha: float, least: int) -> DataFrame:
-    """Rows (key, word, value, tokens): sums of log scores of a bucket's bigrams by document, word a filler; and, with value and tokens 0, one row for each
-    bigram that backs off to a rare word, whose count isn't known in the bucket."""
-
-    def scored(table: pa.Table) -> pa.Table:
-        known = hot.value
-
-        def joined(name: str, kind: type) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
-
-        docs, at = np.unique(joined("docs", np.int64), return_inverse=True)
-        place = np.repeat(at.astype(np.int32), joined("runs", np.uint32))
-        kinds = joined("kinds", np.uint8)
-        a_hot, b_hot = kinds >= 2, kinds % 2 == 1
-        a_at, b_at = joined("a_hot", np.uint16), joined("b_hot", np.uint16)
-        a, b = np.empty(len(kinds), np.uint64), np.empty(len(kinds), np.uint64)
-        a[a_hot], a[~a_hot] = known.words[a_at], joined("a_rare", np.uint64)
-        b[b_hot], b[~b_hot] = known.words[b_at], joined("b_rare", np.uint64)
-        before = np.empty(len(a), np.int64)
-        before[a_hot], before[~a_hot] = known.counts[a_at], _times(a[~a_hot])
-        together = _times(pair_hash(a, b))
-        del a  # a bucket's arrays are what memory goes into
-        after = np.ones(len(b), np.int64)
-        after[b_hot] = known.counts[b_at]
-        scores, seen = b != _LAST, together >= least
-        value = np.where(seen, together / before, alpha / known.total * after)
-        np.log(value, out=value)
-        value *= scores
-        ask = scores & ~seen & ~b_hot
-        sums, tokens = np.bincount(place, value, len(docs)), np.bincount(place, scores, len(docs)).astype(np.int64)
-        none = int(ask.sum())
-        top = joined("top_docs", np.int64)
-        words = np.concatenate([docs, top, b[ask].view(np.int64)])
-        return pa.table({"key": np.concatenate([docs, top, docs[place[ask]]]), "word": words, "value": np.concatenate([sums, joined("top_sums", np.float64), np.zeros(none)]), "tokens": np.concatenate([tokens, joined("top_tokens", np.int64), np.zeros(none, np.int64)])})
-
-    return packed.groupBy("bucket").applyInArrow(scored, "key long, word long, value double, tokens long")
-
-
-def score(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST_COUNT, hot_words: int = HOT_WORDS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
-    """(doc_id, n_tokens, log_score, mean_log_score) for each row, under the bigram model of all rows.
-
-    S(w | v) = n(v w) / n(v) if n(v w) >= least, else alpha * n(w) / N; logarithms are natural; the first word follows a start sign. Words are
-    lower-cased and white-space separated, a word and a bigram are their 64-bit hashes. Counts cover all rows and are exact.
-
-    Word counts are grouped by word. Only the ``hot_words`` most frequent reach every task (a fixed bound). Bigrams are shuffled once, packed, and are counted
-    and scored in their bucket; buckets hold about ``bucket_tokens`` each, however many there are. What backs off to a rare word is joined with the counts by word.
+        held, tokens = [[] for _ in range(order + 1)], 0
+        for batch in batches:
+            for text in batch.column(0):
+                words = word_hashes(text.as_py())
+                if not len(words):
+                    continue
+                tokens += len(words)
+                grams, contexts = grams_of(words, order), contexts_of(words, order)
+                for n in range(1, order + 1):
+                    held[n].append((grams[n - 1], contexts[n - 2] if n > 1 else grams[0]))
+                for n in range(1, order):  # a text's opening start signs are contexts too
+                    start = np.array([_FIRST])
+                    for _ in range(n - 1):
+                        start = longer(start, np.array([_FIRST]))
+                    held[n].append((start, start))
+                if tokens >= CHUNK_TOKENS:
+                    yield from summed(held)
+                    held, tokens = [[] for _ in range(order + 1)], 0
+        yield from summed(held)
+
+    rows = docs.select("text").mapInArrow(counted, "size int, gram long, context long, n long")
+    return rows.groupBy("size", "gram").agg(F.min("context").alias("context"), F.sum("n").alias("n"))
+
+
+def gram_values(counts: DataFrame, total: int, order: int, alpha: float, least: int) -> list[DataFrame]:
+    """For each size n a table (gram, value): the log of the score of a word whose longest seen n-gram that is."""
+    out = [counts.where("size = 1").select("gram", (F.log(F.col("n") / F.lit(float(max(1, total)))) + (order - 1) * math.log(alpha)).alias("value"))]
+    for n in range(2, order + 1):
+        seen = counts.where((F.col("size") == n) & (F.col("n") >= least))
+        before = counts.where(F.col("size") == n - 1).select(F.col("gram").alias("context"), F.col("n").alias("n_context"))
+        value = F.log(F.col("n") / F.col("n_context")) + (order - n) * math.log(alpha)
+        out.append(seen.join(before, "context").select("gram", value.alias("value")))
+    return out
+
+
+def exploded(keyed: DataFrame, order: int) -> DataFrame:
+    """(key, g1, ..., gN): one row for each word of each row."""
+    names = ["key", *(f"g{n}" for n in range(1, order + 1))]
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = word_hashes(text.as_py())
+                if len(words):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), key, np.int64)), *(pa.array(g.view(np.int64)) for g in grams_of(words, order))], names=names)
+
+    return keyed.mapInArrow(laid, ", ".join(f"{n} long" for n in names))
+
+
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST_COUNT) -> DataFrame:
+    """(doc_id, n_tokens, log_score, mean_log_score) for each row, under the model of all rows' n-grams up to ``order`` words.
+
+    S(w | u v) = n(u v w) / n(u v) if n(u v w) >= least, else alpha * S(w | v); S(w | v) = n(v w) / n(v) if n(v w) >= least, else alpha * n(w) / N. Logarithms are natural;
+    start signs stand before the first word. Words are lower-cased and white-space separated, a word and an n-gram are their 64-bit hashes. Counts cover all rows and are exact.
+
+    Counts are summed in the tasks, then by hash. The words of all documents meet the table of the longest n-grams; who finds nothing there goes on to the next shorter. A frequent
+    n-gram is one row of its table, and adaptive execution splits the many words that ask for it.
 
     Null and empty texts: n_tokens 0, log_score 0, mean null. Null doc_id: kept. Repeated rows: rows of their own with equal scores, and counted as
     often as they occur. Empty table: empty result.
     """
-    context = docs.sparkSession.sparkContext
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    keyed = docs.select(key.alias("key"), "text")
-    words = cut(unigrams(keyed))
-    total = words.where(~F.col("word").eqNullSafe(F.lit(int(_FIRST)))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = words.where("word is not null").orderBy(F.col("n").desc(), "word").limit(hot_words).collect()  # at most hot_words rows
-    table = Hot([r.word for r in top], [r.n for r in top], total)
-    for r in top_pairs(keyed, context.broadcast(table)).collect():  # at most the square of TOP_SHARE rows
-        table.pairs[r.place] = r.n
-    hot = context.broadcast(table)
-    found = bucket_scores(bigrams(keyed, hot, max(1, math.ceil(total / bucket_tokens)), alpha, least), hot, alpha, least)
-    rare = words.where("word is not null").select(F.col("word"), F.col("n"))
-    # the filler of a sum is its document's key: those rows meet no word, and none piles up on one key
-    rows = found.join(rare.hint("shuffle_hash"), "word", "left")
-    value = F.col("value") + F.when(F.col("tokens") == 0, F.log(F.coalesce("n", F.lit(1)).cast("double"))).otherwise(0.0)
-    sums = rows.groupBy("key").agg(F.sum(value).alias("log_score"), F.sum("tokens").alias("n_tokens"))
+    counts = table(gram_counts(docs, order))
+    starts = F.lit(int(_FIRST))
+    total = counts.where((F.col("size") == 1) & (F.col("gram") != starts)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    values = gram_values(counts, total, order, alpha, least)
+    asking = exploded(docs.select(key.alias("key"), "text"), order)
+    sums = None
+    for n in range(order, 0, -1):
+        met = asking.join(values[n - 1].withColumnRenamed("gram", f"g{n}"), f"g{n}", "left")
+        part = met.where("value is not null").groupBy("key").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("tokens"))
+        sums = part if sums is None else sums.unionByName(part)
+        asking = met.where("value is null").select("key", *(f"g{m}" for m in range(1, n)))
+    sums = sums.groupBy("key").agg(F.sum("value").alias("log_score"), F.sum("tokens").alias("n_tokens"))
     listed = docs.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
     joined = listed.join(sums, "key", "left")
     n = F.coalesce(F.col("n_tokens") / F.col("times"), F.lit(0)).cast("long")
