@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.sources.checkpoints import cut, table
+
+__all__ = ["WORD", "add_values", "cut", "load", "map_batches", "map_values", "pa_type", "row_key", "table"]
+
 #: A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,30 +21,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there, so that a lost executor costs no recomputation.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only without it (tests) one is made here.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as Parquet. For loops: a checkpoint keeps the size that the optimizer guessed for its plan, and the guesses of joins of
-    joins of ... multiply until they take minutes to write down; a file has its own size."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
 def map_values(df: DataFrame, keep: list[Column], value: Column, fn: Callable[[object], tuple], schema: T.StructType) -> DataFrame:
     """``keep`` columns followed by the columns that ``fn`` makes from one value; one output row for each input row.
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import map_values, row_key
+from storyloom.llm.common import map_batches, map_values, row_key
 from storyloom.llm.quality_rules import repeated_words
 
 SAMPLE_ROWS = 20_000  # labelled rows that the model is fitted on, at most
@@ -91,22 +93,24 @@ class Ranker:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights
 
-    def score(self, x: np.ndarray) -> float:
-        z = self.slope * (float(self.raw(x)) - self.cut) + np.log(self.threshold / (1 - self.threshold))
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """The score of each row of features."""
+        z = self.slope * (self.raw(x) - self.cut) + np.log(self.threshold / (1 - self.threshold))
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ranker:
     """The model, from at most ``sample_rows`` labelled rows outside the held-out fold: those whose hashed doc_id is smallest.
 
-    Only the sample's features reach the driver, ``sample_rows`` x 18 numbers at most.
+    Only the sample's features reach the driver, ``sample_rows`` x 18 numbers at most: of rows that share a doc_id one counts.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top")  # contradictory labels teach nothing
     sample = known.select("doc_id", "quality", F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows rows
     schema = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
-    found = map_values(rows, [F.col("doc_id"), F.col("quality")], F.col("text"), lambda t: ([float(v) for v in features(t)],), schema).orderBy("doc_id", "x").collect()
+    found = map_values(rows, [F.col("doc_id"), F.col("quality")], F.col("text"), lambda t: ([float(v) for v in features(t)],), schema)
+    found = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").collect()
     x = np.array([r.x for r in found]).reshape(len(found), len(FEATURES))
     return Ranker(x, np.array([r.quality for r in found]))
 
@@ -120,5 +124,11 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
     """
     model = fit(docs, labels, sample_rows)
     schema = T.StructType([T.StructField("score", T.DoubleType())])
-    found = map_values(docs, row_key(), F.col("text"), lambda t: (model.score(np.array(features(t))),), schema)
+
+    def scores(batches: Iterator[pa.Array]) -> Iterator[list[tuple]]:
+        for texts in batches:
+            x = np.array([features(t.as_py()) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
+            yield [(s,) for s in model.score(x).tolist()]
+
+    found = map_batches(docs, row_key(), F.col("text"), scores, schema)
     return found.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int")).select("doc_id", "text_hash", "held_out", "score", "predicted")

@@ -252,19 +252,29 @@ def test_quality_model_edges(spark):
     assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0) for r in out)
 
 
-def plain_scores(rows):
-    texts = [["\x01", *(t or "").lower().encode().split()] for _, t, _ in rows]
-    texts = [t if len(t) > 1 else [] for t in texts]
-    one, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:], strict=False))
-    total = sum(max(0, len(t) - 1) for t in texts)
-    return Counter((r[0], max(0, len(t) - 1), round(sum(math.log(two[p] / one[p[0]]) if two[p] >= 2 else math.log(0.4 * one[p[1]] / total) for p in zip(t, t[1:], strict=False)), 5)) for r, t in zip(rows, texts, strict=True))
+def plain_scores(rows, order):
+    texts = [(t or "").lower().encode().split() for _, t, _ in rows]
+    padded = [["\x01"] * (order - 1) + t for t in texts]
+    n = Counter(tuple(p[i - k : i]) for p, t in zip(padded, texts, strict=True) if t for k in range(1, order + 1) for i in range(order, len(p) + 1))
+    for t in texts:  # the opening contexts
+        if t:
+            n.update(("\x01",) * k for k in range(1, order))
+    total = sum(map(len, texts))
 
+    def log_score(context, word):
+        if not context:
+            return math.log(n[word,] / total)
+        gram = (*context, word)
+        return math.log(n[gram] / n[context]) if n[gram] >= 2 else math.log(0.4) + log_score(context[1:], word)
 
-@pytest.mark.parametrize(("hot", "bucket"), [(65_535, 3_000_000), (40, 20_000), (0, 9_000)])
-def test_lm_scores(spark, sf_dir, hot, bucket):
-    rows = [e for e in EDGES if e[0] != 5] + [(r.doc_id + 100, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80).collect()]
-    got = lm_score.score(docs(spark, rows), hot_words=hot, bucket_tokens=bucket).collect()
-    assert Counter((r.doc_id, r.n_tokens, round(r.log_score, 5)) for r in got) == plain_scores(rows)
+    return Counter((r[0], len(t), round(sum(log_score(tuple(p[i : i + order - 1]), w) for i, w in enumerate(t)), 4)) for r, t, p in zip(rows, texts, padded, strict=True))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(spark, sf_dir, order):
+    rows = EDGES + [(r.doc_id + 100, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80).collect()]
+    got = lm_score.score(docs(spark, rows), order=order).collect()
+    assert Counter((r.doc_id, r.n_tokens, round(r.log_score, 4)) for r in got) == plain_scores(rows, order)
 
 
 def test_lm_scores_of_nothing(spark):
@@ -354,3 +364,14 @@ def test_queries_keep_rows(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op1_mixing", "op4_simhash_dedup", "op5_secrets", "op10_quality_rules"):
         assert QUERIES[name](spark, sf_dir).select(F.count_distinct("doc_id")).first()[0] == n
+
+
+def test_quality_model_sample_is_bounded(spark):
+    """Rows that share a doc_id count once in the sample, whatever their number; ties at the threshold are predicted 1."""
+    words = " ".join(f"w{i}" for i in range(60))
+    d = docs(spark, [(1, words, "a")] * 300 + [(2, "# | # | " * 30, "a")] * 300 + [(i, words + f" {i}", "a") for i in range(3, 40)])
+    labels = spark.createDataFrame([(i, int(i != 2), 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(d, labels, sample_rows=10)
+    assert model.score(model.mean[None]).shape == (1,)
+    out = quality_model.scored(d, labels).collect()
+    assert len(out) == d.count() and all(r.predicted == (r.score >= 0.3) for r in out)
