@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from storyloom.plans.oracles_recall import recall_sql
+
 TYPES = "['信息','对话','心理','动作','事件','环境']"
 FUNCS = "['塑造人物','引入世界观','设置动机','推进','铺垫','反转','爆发','转场','收束分镜','悬念']"
 CHAPTER_FUNCS = "['开端','推进','铺垫','爆发','转折','收束章节','过渡']"
@@ -244,9 +246,23 @@ _SQL = {
     "embedding_inputs": "SELECT project, chapter, shot_id, substr(text, 1, 500) AS input FROM shot_texts WHERE text <> ''",
     "vector_plan": """SELECT f.project, f.chapter, coalesce(f.project = 'src9' AND EXISTS (FROM vindex x WHERE x.project = f.project), false) OR i.source_mtime IS DISTINCT FROM f.mtime AS rebuild FROM files f LEFT JOIN vindex i USING (project, chapter)""",
     "vector_stats": "SELECT project, sum(shot_count)::BIGINT AS shots, count(*) AS chapters FROM vindex GROUP BY project",
+    "markdown_words": r"""SELECT project, number, length(regexp_replace(m, '[\s\x{00a0}\x{3000}]', '', 'g')) AS chars FROM (SELECT project, number,
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        CASE WHEN number % 2 = 0 THEN '# t' || number || chr(10) || text ELSE text END,
+        '(?s)```.*?```', '', 'g'), '`[^`]*`', '', 'g'), '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'),
+        '(?m)^[^\S\n]*(#{1,6}[^\S\n]+|>[^\S\n]?|[-*+][^\S\n]+|[0-9]+\.[^\S\n]+)', '', 'g'), '(?m)^\s*([-*_]){3,}\s*$', '', 'g'),
+        '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '__([^_]+)__', '\1', 'g'), '_([^_]+)_', '\1', 'g'), '~~([^~]+)~~', '\1', 'g') AS m FROM chapter_text)""",
+    "safe_names": r"""SELECT session_id, seq, CASE WHEN c = '' THEN '未命名' ELSE c END AS name, regexp_matches(label, '^[一-龥A-Za-z0-9_·《》（）()]+$') AND length(label) <= 50 AS is_corpus_name,
+      CASE WHEN session_id * 97 < 1000 THEN lpad((session_id * 97)::VARCHAR, 4, '0') ELSE (session_id * 97)::VARCHAR END AS padded
+      FROM (SELECT *, substr(regexp_replace(CASE WHEN seq = 1 THEN '??  ' ELSE content END, '[\\/:*?"<>|，。！？、\s\x{00a0}\x{3000}]', '', 'g'), 1, 12) AS c FROM asks)""",
+    "fnv_temperature": """, hashed AS (SELECT session_id, seq, content, 0 AS i, 2166136261::BIGINT AS h FROM asks
+        UNION ALL SELECT session_id, seq, content, i + 1, (xor(h, unicode(substr(content, i + 1, 1))::BIGINT) * 16777619) % 4294967296 FROM hashed WHERE i < length(content))
+      SELECT session_id, seq, h AS hash, round(0.6::DOUBLE + h / 4294967296.0::DOUBLE * (1.3::DOUBLE - 0.6::DOUBLE), 8) AS temperature FROM hashed WHERE i = length(content)""",
+    "sentence_rebuild": """SELECT project, chapter, pos, sid, seq, CASE WHEN seq = 2 THEN '短句' ELSE struct END AS struct, replace(replace(text, chr(92), ''), '"', '') AS text FROM sentences""",
     "tagged_draft": "SELECT session_id, string_agg('【镜' || seq || '｜' || type || '｜' || label || '】' || chr(10) || content, chr(10) || chr(10) ORDER BY seq) AS draft FROM asks GROUP BY session_id",
     "user_blocks": """SELECT session_id, seq, regexp_matches(t, '\\n\\s*\\n') OR regexp_matches(t, '(?m)(^|\\n)\\s*(---|###|【|\\[[0-9]+\\]|[0-9]+[.、])') AS blocks
       FROM (SELECT session_id, seq, CASE session_id % 4 WHEN 0 THEN content || chr(10) || ' ' || chr(10) || content WHEN 1 THEN 'x' || chr(10) || '【a】' || content WHEN 2 THEN '12. ' || content ELSE content END AS t FROM asks)""",
 }
 
+_SQL |= recall_sql(_SQL["label_recall"])
 ORACLES = {name: f"{BASE}{sql}" for name, sql in _SQL.items()}
