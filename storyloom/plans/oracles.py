@@ -246,6 +246,13 @@ _SQL = {
     "embedding_inputs": "SELECT project, chapter, shot_id, substr(text, 1, 500) AS input FROM shot_texts WHERE text <> ''",
     "vector_plan": """SELECT f.project, f.chapter, coalesce(f.project = 'src9' AND EXISTS (FROM vindex x WHERE x.project = f.project), false) OR i.source_mtime IS DISTINCT FROM f.mtime AS rebuild FROM files f LEFT JOIN vindex i USING (project, chapter)""",
     "vector_stats": "SELECT project, sum(shot_count)::BIGINT AS shots, count(*) AS chapters FROM vindex GROUP BY project",
+    "layer_sentences": "SELECT project, chapter, pos, sid, seq, struct, text FROM sentences WHERE chapter % 9 <> 0",
+    "layer_rejects": "SELECT DISTINCT project, chapter FROM sentences WHERE chapter % 9 = 0",
+    "layer_shots": "SELECT project, chapter, pos, shot_id, type, array_to_string(funcs, ',') AS funcs, label, array_to_string(ids, ',') AS sentence_ids FROM shots WHERE chapter % 9 <> 0",
+    "manuscript_files": r"""SELECT project, number, CASE WHEN number % 2 = 0 THEN 't' || number WHEN regexp_matches(text, '^#\s+[^\n]') THEN trim(regexp_extract(text, '^#\s+([^\n]+)', 1)) END AS title,
+      md5(CASE WHEN number % 2 = 0 THEN '# t' || number || chr(10) || text ELSE text END) AS content_md5, number * 60 AS mtime FROM chapter_text WHERE number < 10000""",
+    "split_chapters": "SELECT project, number, '第' || CASE WHEN number < 1000 THEN lpad(number::VARCHAR, 4, '0') ELSE number::VARCHAR END || '章_t' || number || '.txt' AS file_name, md5(text) AS text_md5 FROM chapter_text",
+    "published": "SELECT project, number, CASE WHEN project IN ('src1', 'src2') THEN 2 ELSE 1 END AS version FROM chapter_text WHERE project NOT IN ('src1', 'src2') OR number % 40 < 20",
     "markdown_words": r"""SELECT project, number, length(regexp_replace(m, '[\s\x{00a0}\x{3000}]', '', 'g')) AS chars FROM (SELECT project, number,
       regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
         CASE WHEN number % 2 = 0 THEN '# t' || number || chr(10) || text ELSE text END,

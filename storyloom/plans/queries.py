@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from storyloom.functions import enums, text
 from storyloom.operators import chapters, derive, draft, gates, json_audit, ledger, lexicon, recall, rollup
 from storyloom.sources import adapter, stores
-from storyloom.sources.checkpoints import cut
+from storyloom.sources.checkpoints import cut, fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,6 +107,72 @@ def markdown_words(spark, sf):
     return manuscripts(spark, sf).select("project", "number", text.markdown_length(F.col("content")).alias("chars"))
 
 
+# --- files: the tables written as the documents of a layer, and read again
+
+
+def layer_files(spark, sf, documents):
+    """(path, text, mtime) of documents (project, chapter, doc); every ninth is cut off."""
+    path = F.concat(F.lit("data/"), "project", F.lit("project/layer/第"), text.padded(F.col("chapter")), F.lit("章.json"))
+    json = F.to_json("doc")
+    return documents.select(path.alias("path"), F.when(F.col("chapter") % 9 == 0, F.substring(json, 1, 40)).otherwise(json).alias("text"), F.current_timestamp().alias("mtime"))
+
+
+def sentence_files(spark, sf):
+    s = adapter.sentences(spark, sf)
+    item = F.struct("seq", F.col("sid").alias("id"), "struct", "text", F.col("shot_id").alias("shotId"))
+    doc = F.struct(F.lit("x").alias("source"), F.array_sort(F.collect_list(item)).alias("sentences"))
+    return layer_files(spark, sf, s.groupBy("project", "chapter").agg(doc.alias("doc")))
+
+
+@query
+def layer_sentences(spark, sf):
+    """Sentence documents as flat rows."""
+    return stores.flat_sentences(stores.parsed_layer(sentence_files(spark, sf), stores.SENTENCE_DOCUMENT)[0]).drop("shot_id")
+
+
+@query
+def layer_rejects(spark, sf):
+    """What doesn't parse."""
+    return stores.parsed_layer(sentence_files(spark, sf), stores.SENTENCE_DOCUMENT)[1].select("project", "chapter")
+
+
+@query
+def layer_shots(spark, sf):
+    """Shot documents as flat rows."""
+    s = adapter.shots(spark, sf)
+    item = F.struct("pos", F.col("shot_id").alias("id"), "type", "funcs", "label", F.col("sentence_ids").alias("sentenceIds"))
+    docs = s.groupBy("project", "chapter").agg(F.struct(F.array_sort(F.collect_list(item)).alias("shots")).alias("doc"))
+    rows = stores.flat_shots(stores.parsed_layer(layer_files(spark, sf, docs), stores.SHOT_DOCUMENT)[0])
+    return rows.select("project", "chapter", "pos", "shot_id", "type", joined("funcs").alias("funcs"), "label", joined("sentence_ids").alias("sentence_ids"))
+
+
+@query
+def manuscript_files(spark, sf):
+    """Manuscripts as files; the title is a first line with a mark."""
+    m = manuscripts(spark, sf)
+    path = F.concat(F.lit("books/"), "project", F.lit("/第"), text.padded(F.col("number")), F.lit("章.md"))
+    rows = stores.parsed_manuscripts(m.select(path.alias("path"), F.col("content").alias("text"), "mtime"))
+    return rows.select("project", "number", "title", F.md5("content").alias("content_md5"), F.unix_timestamp("mtime").alias("mtime"))
+
+
+@query
+def split_chapters(spark, sf):
+    """Written by book, with the name that each chapter's file would have, and read again."""
+    path = fresh_path(spark)
+    stores.write_split_chapters(adapter.chapter_text(spark, sf).withColumn("title", F.concat(F.lit("t"), "number")), path)
+    return spark.read.parquet(path).select("project", "number", "file_name", F.md5("text").alias("text_md5"))
+
+
+@query
+def published(spark, sf):
+    """Chapters published by book; then some books once more, which replaces these books and no other."""
+    path = fresh_path(spark)
+    t = adapter.chapter_text(spark, sf).select("project", "number", F.lit(1).alias("version"))
+    stores.publish(t, path)
+    stores.publish(t.where("project in ('src1', 'src2') and number % 40 < 20").withColumn("version", F.lit(2)), path)
+    return spark.read.parquet(path).select("project", "number", "version")
+
+
 # --- gates
 
 

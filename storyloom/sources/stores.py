@@ -64,7 +64,12 @@ def write_chapter_lists(chapters: DataFrame, path: str) -> None:
 
 def read_layer(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Documents (project, chapter, mtime, doc) of a layer's ``第NNNN章.json`` files, and the rows (project, chapter, text) that don't parse."""
-    files = whole_files(spark, path).withColumn("name", file_name(F.col("path"))).where(F.col("name").rlike("^第[0-9]{4,}章\\.json$"))
+    return parsed_layer(whole_files(spark, path), schema)
+
+
+def parsed_layer(files: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """S4 for files (path, text, mtime). A strict reader stops if there are rejects, a lenient one goes on with the documents."""
+    files = files.withColumn("name", file_name(F.col("path"))).where(F.col("name").rlike("^第[0-9]{4,}章\\.json$"))
     rows = files.select(F.url_decode(F.regexp_extract("path", "/([^/]+)project/", 1)).alias("project"), F.regexp_extract("name", "([0-9]+)", 1).cast("int").alias("chapter"), "mtime", "text")
     parsed = rows.withColumn("doc", F.when(F.expr("try_parse_json(text)").isNotNull(), F.from_json("text", schema)))
     return parsed.where("doc is not null").select("project", "chapter", "mtime", "doc"), parsed.where("doc is null").select("project", "chapter", "text")
@@ -89,7 +94,12 @@ def list_projects(my: DataFrame, ex: DataFrame) -> DataFrame:
 
 def read_manuscripts(spark: SparkSession, path: str) -> DataFrame:
     """(project, number, title, content, mtime) of ``<book>/第NNNN章.md``; the title is a first line ``# ...``."""
-    files = whole_files(spark, path, "*.md").withColumn("name", file_name(F.col("path"))).where(F.col("name").rlike("^第[0-9]{4}章\\.md$"))
+    return parsed_manuscripts(whole_files(spark, path, "*.md"))
+
+
+def parsed_manuscripts(files: DataFrame) -> DataFrame:
+    """S6 for files (path, text, mtime)."""
+    files = files.withColumn("name", file_name(F.col("path"))).where(F.col("name").rlike("^第[0-9]{4}章\\.md$"))
     title = F.regexp_extract("text", r"^#\s+([^\n]+)", 1)
     return files.select(F.url_decode(F.regexp_extract("path", "/([^/]+)/[^/]+$", 1)).alias("project"), F.regexp_extract("name", "([0-9]{4})", 1).cast("int").alias("number"), F.when(title != "", trimmed(title)).alias("title"), F.col("text").alias("content"), "mtime")
 

@@ -39,6 +39,7 @@ def test_fnv_and_rounding(spark):
 
 def test_markdown_blocks_names(spark):
     assert column(spark, ["# T\n- **a** `x`\n---\n> [l](u)\n```\ncode\n```\n1. b"], text.markdown_length) == [4]
+    assert column(spark, ["　# 题", "\u00a0- 甲", "　---　\n乙", "a # b", "x\u0085# y"], text.markdown_length) == [1, 1, 1, 3, 4]
     assert column(spark, ["a\n \nb", "x\n### y", "3. a", "plain"], text.has_user_blocks) == [True, True, True, False]
     assert column(spark, ["a/b，c d", "？", "x" * 20], text.safe_name) == ["abcd", "未命名", "x" * 12]
     assert column(spark, ["红楼梦", "a/b"], text.is_corpus_name) == [True, False]

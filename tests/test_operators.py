@@ -155,10 +155,12 @@ def test_json_places_and_salvage(spark):
     broken = spark.createDataFrame([("b", 1, '{"sentences":[{"text":"a\\"b","struct":"句从"},{"text":"c","struct":"?"},{"text":"d"')], "project string, chapter int, text string")
     assert [(r.sid, r.struct, r.text) for r in json_audit.rebuilt_sentences(broken).orderBy("pos").collect()] == [("S1", "句从", 'a\\"b'), ("S2", "短句", "c"), ("S3", "短句", "d")]
     assert json_audit.patched('{"a":[{"b":1}],"c":2}', [("a[0].b", "5"), ("c", "__DELETE__"), ("x.y", "1"), ("a[4]", "1")]) == ('{"a": [{"b": 5}]}', 2)
+    assert json_audit.patched('{"a":[1,2,3]}', [("a[0]", "__DELETE__"), ("a[2]", "9")]) == ('{"a": [null, 2, 9]}', 0)  # a place that goes leaves the others' numbers
 
 
 def test_dialogue():
     assert draft.repaired_dialogue("“走吧，”他笑了笑“快走。”") == ("他笑了笑：“走吧。快走。”", 2)
+    assert draft.repaired_dialogue("“走吧 ”笑道“快走。”") == ("笑道：“走吧 。快走。”", 2)  # the blank stays
     assert draft.repaired_dialogue("他说，“走”") == ("他说：“走”", 1)
     assert draft.repaired_dialogue("他走来“走”") == ("他走来：“走”", 1)
     assert draft.repaired_dialogue("嗤笑：他放下") == ("嗤笑，他放下", 1)
@@ -319,10 +321,35 @@ def test_manifest(spark):
     assert {r.project: r.rebuild for r in lexicon.needs_rebuild(now, then).collect()} == {"a": False, "b": True, "c": True}
 
 
-def test_every_query_runs_and_has_its_oracle(spark, sf_dir):
+def test_ranges_against_plain(spark):
+    r = random.Random(4)
+    listed = {(f"b{r.randint(0, 3)}", r.randint(1, 300)) for _ in range(400)}
+    done = set(r.sample(sorted(listed), 250))
+    tasks = [(i, f"b{i % 5}", a := r.randint(0, 300), a + r.randint(-2, 90)) for i in range(60)]
+    chapters = spark.createDataFrame(sorted(listed), "project string, number int")
+    have = spark.createDataFrame(sorted(done), "project string, number int")
+    asked = spark.createDataFrame(tasks, "id int, project string, from_ch int, to_ch int")
+    want, lists = {}, []
+    for i, b, lo, hi in tasks:
+        inside = [x for x in listed if x[0] == b and lo <= x[1] <= hi]
+        lacking = sorted(n for x, n in inside if (x, n) not in done)
+        want[i] = len(inside), len(lacking), "empty_range" if not inside else "open" if lacking else "complete"
+        lists += [(i, b, k + 1, n) for k, n in enumerate(lacking)]
+    assert {x.id: (x.todo, x.missing, x.reason) for x in ledger.range_state(chapters, have, asked).collect()} == want
+    assert sorted(map(tuple, ledger.range_missing(chapters, have, asked).collect())) == sorted(lists)
+
+
+def test_containment_of_long_labels(spark):
+    q = spark.createDataFrame([("1", "b", "甲乙丙丁戊"), ("2", "b", "乙丙"), ("3", "c", "甲")], "query_id string, project string, q string")
+    labels = [("b", "k1", "丙丁"), ("b", "k2", "子" * 3000 + "甲乙丙丁戊"), ("b", "k3", "乙"), ("b", "k4", "丁丙"), ("c", "k5", "丙丁")]
+    got = recall.containment(q, spark.createDataFrame(labels, "project string, key string, label string"))
+    assert sorted(map(tuple, got.collect())) == [("1", "b", "k1"), ("1", "b", "k2"), ("2", "b", "k2")]
+
+
+def test_some_queries_run(spark, sf_dir):
     from storyloom.plans.oracles import ORACLES
     from storyloom.plans.queries import QUERIES
 
     assert set(ORACLES) <= set(QUERIES)
-    for name in ("missing_chapters", "suspense_list", "chapter_sizes", "dialogue_repair", "vector_plan"):
+    for name in ("layer_sentences", "layer_shots", "layer_rejects", "manuscript_files", "split_chapters", "published", "missing_chapters", "suspense_list", "chapter_sizes", "dialogue_repair", "vector_plan"):
         assert QUERIES[name](spark, sf_dir).count() > 0
