@@ -116,6 +116,28 @@ def test_near_copies_against_brute_force(spark, sf_dir):
     assert near_copies.keep_one(docs(spark, [])).count() == 0
 
 
+def test_tiled_pairs_against_all(spark):
+    """Hot keys that go on over tiles and partitions."""
+    r = np.random.default_rng(9)
+    base = r.integers(-(1 << 62), 1 << 62, (6, 2))
+    rows, node = [], 0
+    for key, size in [(1, 300), (2, 2), (3, 1), (4, 40), (9, 700)]:
+        for _ in range(size):
+            node += 1
+            fp = [int(x) ^ sum(1 << int(b) for b in r.integers(0, 62, 6)) for x in base[r.integers(0, 6)]]
+            rows.append((key, int(r.integers(80, 120)), node, int(r.integers(0, 5)), *fp))
+    d = spark.createDataFrame(rows, "key long, n long, node long, root long, fp0 long, fp1 long")
+    want = set()
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            bits = sum(bin((x[k] ^ y[k]) & (1 << 64) - 1).count("1") for k in (4, 5))
+            if x[0] == y[0] and x[3] != y[3] and bits <= 20 and min(x[1], y[1]) >= 0.8 * max(x[1], y[1]):
+                want.add((min(x[2], y[2]), max(x[2], y[2])))
+    for tile in (16, 2048):
+        assert {(p.a, p.b) for p in near_copies.tiled_pairs(d, 0.8, 20, tile).collect()} == want
+    assert len(want) > 1000
+
+
 def shingles(text):
     words = re.findall(r"[^\W_]+", (text or "").lower())
     return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
