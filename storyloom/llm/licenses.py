@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -50,7 +51,24 @@ OPENINGS = {
 TEMPLATES = [(name, "notice", text) for name, texts in NOTICES.items() for text in texts] + [(name, "text", text) for name, text in TEXTS.items()] + [(name, "opening", text) for name, text in OPENINGS.items()]
 _MARKER = r"(?m)^[ \t]*(?:[#*;%>|!]+|/[/*]+|--+|<!--|\(\*)?[ \t]*"
 _TERM = "[^a-z0-9]+"
-_COMMON = frozenset("a above all an and any are as at be by can following for free from if in is it may not of on or other out see shall source that the this to under use used version whether with without work you".split())
+_FUNCTION = frozenset("a above all an and any are as at be but by can do either even for from have if in into is it its may more must no nor not of on one only or other our out shall should so such than that the their these they this to under was way which whom will with you your".split())
+#: Ordinary words, which are cues only where a template has no others.
+_COMMON = frozenset(
+    "a above act action all along an and any anyone appear are as at author authors basis be benefit business but by can caused charge claim code commercial conditions contract copies copy data deal details direct distribute do documentation either even event except express failure "
+    "fee file files following for form forms free from general have hereby holder holders hope however if implied in including interest is it january june kind law laws limited list loss make materials may means met must name names no not notice obtain of on one only or other out party perpetuity permission "
+    "permitted person place possibility prior product products profits program provided public purpose received release released retain rights see sell service services shall should so source special specific strict subject such terms that the their theory these they this to under use used user version "
+    "way whatsoever which whether will with without work write written you your".split()
+)
+
+
+def damped(n: int) -> float:
+    """Term frequency: 1 + ln n, so that words that are frequent everywhere don't make up most of a long licence."""
+    return 1 + math.log(n) if n else 0.0
+
+
+def constant(values: list[str]) -> Column:
+    """An array literal as one expression, not one for each element."""
+    return F.split(F.lit(" ".join(values)), " ")
 
 
 def template_terms() -> tuple[dict[str, list[float]], dict[str, float], float]:
@@ -58,8 +76,8 @@ def template_terms() -> tuple[dict[str, list[float]], dict[str, float], float]:
     bags = [Counter(re.findall(r"[a-z0-9]+", text.lower())) for _, _, text in TEMPLATES]
     df = Counter(t for bag in bags for t in bag)
     idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in df.items()}
-    norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in bag.items())) for bag in bags]
-    weights = {t: [bag[t] * idf[t] / norm for bag, norm in zip(bags, norms, strict=True)] for t in sorted(df)}
+    norms = [math.sqrt(sum((damped(n) * idf[t]) ** 2 for t, n in bag.items())) for bag in bags]
+    weights = {t: [damped(bag[t]) * idf[t] / norm for bag, norm in zip(bags, norms, strict=True)] for t in sorted(df)}
     return weights, idf, math.log(1 + len(bags)) + 1
 
 
@@ -72,7 +90,7 @@ def cues(least: float) -> list[str]:
     weights, _, _ = template_terms()
     found = set()
     for i in range(len(TEMPLATES)):
-        terms = sorted((t for t, w in weights.items() if w[i] > 0), key=lambda t: (t in _COMMON, -weights[t][i], t))
+        terms = sorted((t for t, w in weights.items() if w[i] > 0), key=lambda t: (2 if t in _FUNCTION or len(t) < 3 else int(t in _COMMON or t.isdigit()), -weights[t][i], t))
         left = 1.0
         for t in terms:
             if left < least**2 - 1e-9:
@@ -89,9 +107,9 @@ def terms_of(text: Column) -> Column:
 def reachable(text: Column, least: float) -> Column:
     """Whether the terms of ``text`` allow a cosine of ``least`` to any template, by the same bound; loses nothing."""
     weights, _, _ = template_terms()
-    known = F.array_intersect(terms_of(text), F.array(*map(F.lit, weights)))
-    squares = F.create_map(*[x for t, w in weights.items() for x in (F.lit(t), F.array(*[F.lit(v * v) for v in w]))])
-    zero = F.array(*[F.lit(0.0)] * len(TEMPLATES))
+    known = F.array_intersect(terms_of(text), constant(list(weights)))
+    squares = F.from_json(F.lit(json.dumps({t: [v * v for v in w] for t, w in weights.items()})), "map<string,array<double>>")
+    zero = F.array_repeat(F.lit(0.0), len(TEMPLATES))
     return F.array_max(F.aggregate(known, zero, lambda s, t: F.zip_with(s, squares[t], lambda a, b: a + b))) >= least**2 - 1e-9
 
 
@@ -102,7 +120,7 @@ def similar(units: DataFrame, keys: list[str], text: str) -> DataFrame:
     known = F.broadcast(spark.createDataFrame([(t, idf[t], w) for t, w in weights.items()], "term string, idf double, weights array<double>"))  # a fixed table
     counts = units.select(*keys, F.explode(F.split(F.lower(text), _TERM)).alias("term")).where("term <> ''").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
     rows = counts.join(known, "term", "left")
-    weight = F.col("n") * F.coalesce("idf", F.lit(unknown))
+    weight = (1 + F.log("n")) * F.coalesce("idf", F.lit(unknown))
     dots = [F.coalesce(F.sum(weight * F.col("weights")[i]), F.lit(0.0)).alias(f"dot{i}") for i in range(len(TEMPLATES))]
     summed = rows.groupBy(*keys).agg(F.sqrt(F.sum(weight * weight)).alias("norm"), *dots)
     best = F.array_max(F.array(*[F.struct(F.round(F.col(f"dot{i}") / F.col("norm"), 6).alias("similarity"), F.lit(-i).alias("first"), F.lit(name).alias("license"), F.lit(kind).alias("kind")) for i, (name, kind, _) in enumerate(TEMPLATES)]))
@@ -124,12 +142,17 @@ def units(text: Column) -> Column:
 def own_licenses(files: DataFrame, header: float = HEADER_SIMILARITY, whole: float = FILE_SIMILARITY) -> DataFrame:
     """(path, text_hash, license, similarity, is_file) of the files that name a licence: in a block, sentence or line, or as a whole.
 
-    What can't reach the limits is left out before any shuffle, by bounds that lose nothing: texts without a cue, then units whose terms don't suffice.
+    What can't reach the limits is left out before any shuffle, by bounds that lose nothing: texts and units without a cue, then units whose terms don't suffice.
     """
     least = min(header, whole)
-    cued = files.where(F.arrays_overlap(terms_of(F.col("text")), F.array(*map(F.lit, cues(least))))).select("path", F.xxhash64("text").alias("text_hash"), "text")
+    known = constant(cues(least))
+
+    def cue(text: Column) -> Column:
+        return F.arrays_overlap(F.split(F.lower(text), _TERM), known)
+
+    cued = files.where(cue(F.col("text"))).select("path", F.xxhash64("text").alias("text_hash"), "text")
     parts = cued.select("path", "text_hash", F.explode(F.transform(units(F.col("text")), lambda u: F.struct(u["kind"].alias("unit_kind"), u["text"].alias("unit")))).alias("u")).select("path", "text_hash", "u.*")
-    found = table(parts.where(reachable(F.col("unit"), least)).distinct())
+    found = table(parts.where(F.when(cue(F.col("unit")), reachable(F.col("unit"), least)).otherwise(False)).distinct())
     scored = similar(found, ["path", "text_hash", "unit_kind", "unit"], "unit")
     # a licence file is one as a whole, or its first block is the opening of a long licence
     is_file = ((F.col("unit_kind") == "whole") & (F.col("similarity") >= whole)) | ((F.col("unit_kind") == "first") & (F.col("kind") == "opening") & (F.col("similarity") >= header))

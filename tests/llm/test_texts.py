@@ -305,7 +305,7 @@ def wrapped(text, sign, width=60):
 def test_whole_licence_files_and_wrapped_headers(spark):
     mit = "MIT License\n\nCopyright (c) 2024 Jane Roe\n\n" + "\n\n".join(wrapped(t, "") for t in licenses.TEXTS["MIT"][28:].split(" THE SOFTWARE IS"))
     gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation\n\n" + "Preamble text about freedom. " * 400
-    header = "/*\n" + " * Copyright 2020 Some Company\n *\n" + wrapped(APACHE, " * ") + "\n */\n\nint main() { return 0; }\n" * 3
+    header = "/*\n" + " * Copyright 2020 Some Company\n *\n" + wrapped(APACHE, " * ") + "\n */\n\n" + "\n".join(f"int field{i} = other{i};" for i in range(90))
     rows = [("m/LICENSE", mit), ("m/src/a.c", "int x;"), ("b/LICENSE", "Copyright (c) 2001, The Authors\nAll rights reserved.\n\n" + wrapped(BSD, "")), ("b/deep/er/x", None), ("g/COPYING", gpl), ("g/x/y.c", ""), ("m/h.c", header), ("m/py/t.py", wrapped(APACHE, "# ") + "\n\n" + " ".join(f"name{i} = {i}" for i in range(90))), ("z/readme", "A story.\n\n" + "It went on without a licence, free of charge and of warranty. " * 40), ("m/h2/f", "x")]
     f = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string")
     got = {r.path: (r.own_license, r.inherited_license, r.license) for r in licenses.scan(f).collect()}
@@ -317,7 +317,7 @@ def test_whole_licence_files_and_wrapped_headers(spark):
 
 def plain_cosines(text):
     weights, idf, unknown = licenses.template_terms()
-    v = {w: n * idf.get(w, unknown) for w, n in Counter(re.findall("[a-z0-9]+", text.lower())).items()}
+    v = {w: (1 + math.log(n)) * idf.get(w, unknown) for w, n in Counter(re.findall("[a-z0-9]+", text.lower())).items()}
     norm = math.sqrt(sum(x * x for x in v.values()))
     return [sum(x * weights[w][i] for w, x in v.items() if w in weights) / norm if norm else 0.0 for i in range(len(licenses.TEMPLATES))]
 
