@@ -126,6 +126,22 @@ def rejected_instructions(entries: DataFrame, instructions: DataFrame) -> DataFr
     return given.join(done, ["project", "layer"], "left").select("project", "layer", "given", F.coalesce("applied", F.lit(0)).alias("applied")).withColumn("rejected", F.col("given") - F.col("applied"))
 
 
+def rejections(entries: DataFrame, instructions: DataFrame) -> DataFrame:
+    """(project, layer, seq, action, idx, reason) of each instruction that isn't applied: an action that there isn't, an insert without a name, a merge
+    into a place where no entry is by then, or into one of another name."""
+    base = entries.groupBy("project", "layer").agg((F.max("idx") + 1).alias("n_base"))
+    named = instructions.where("action = 'insert' and name is not null").join(base, ["project", "layer"], "left")
+    place = F.row_number().over(Window.partitionBy("project", "layer").orderBy("seq")) - 1 + F.coalesce("n_base", F.lit(0))
+    born = named.select("project", "layer", place.alias("idx"), F.col("name").alias("e_name"), F.col("seq").cast("long").alias("born"))
+    every = entries.select("project", "layer", "idx", F.col("name").alias("e_name"), F.lit(-1).cast("long").alias("born")).unionByName(born)
+    rows = instructions.join(every, ["project", "layer", "idx"], "left")
+    there = F.col("born").isNotNull() & (F.col("seq") > F.col("born"))
+    fits = F.col("entity").isNull() | (F.col("entity") == "") | (F.col("entity") == F.col("e_name"))
+    merge = F.col("action") == "merge"
+    reason = F.when(merge & ~F.coalesce(there, F.lit(False)), "no_entry").when(merge & ~F.coalesce(fits, F.lit(False)), "other_name").when((F.col("action") == "insert") & F.col("name").isNull(), "no_name").when(~F.col("action").isin("merge", "insert"), "unknown_action")
+    return rows.select("project", "layer", "seq", "action", "idx", reason.alias("reason")).where("reason is not null")
+
+
 def updated_snapshots(snapshots: DataFrame, fresh: DataFrame) -> DataFrame:
     """(project, layer, aggregated): old and new chapters, in order."""
     new = fresh.groupBy("project").agg(F.array_sort(F.collect_set("number")).alias("new"))

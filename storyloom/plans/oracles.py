@@ -140,6 +140,30 @@ _RANKED_SHOTS = """SELECT g.type, g.funcs, s.project, s.chapter, s.pos, s.shot_i
     2.0 * len(list_filter(g.funcs, lambda f: list_contains(s.funcs, f))) + CASE WHEN s.type = g.type THEN 0.5 ELSE 0 END AS score
   FROM (SELECT DISTINCT type, list_sort(funcs) AS funcs FROM asks) g CROSS JOIN shots s"""
 
+_APPLIED = """,
+entries AS (SELECT project, 'event' AS layer, (row_number() OVER (PARTITION BY project ORDER BY idx) - 1)::INT AS idx, entity AS name, chapters, state, end_ch FROM lifecycle),
+later AS (SELECT project, type, list_sort(list(chapter + 1)) AS chapters FROM events_layer GROUP BY ALL),
+merging AS (SELECT e.project, e.idx, e.name AS type, l.chapters FROM entries e JOIN later l ON l.project = e.project AND l.type = e.name),
+books AS (SELECT project, max(idx) + 1 AS n FROM entries GROUP BY project),
+instructions AS (
+  SELECT project, 'event' AS layer, idx * 10 AS seq, 'merge' AS action, idx, CASE WHEN idx % 4 = 3 THEN 'other' WHEN idx % 2 = 0 THEN type END AS entity, chapters, CASE WHEN idx % 2 = 0 THEN '已回收' ELSE '悬置' END AS state, CASE WHEN idx % 3 = 0 THEN chapters[1] END AS end_ch, NULL::VARCHAR AS name FROM merging
+  UNION ALL SELECT project, 'event', 5, 'merge', idx, type, chapters, '已回收', 9999, NULL FROM merging WHERE idx = 0
+  UNION ALL SELECT project, 'event', 40, 'insert', NULL, NULL, [1], '悬置', NULL, 'new' FROM books
+  UNION ALL SELECT project, 'event', 35, 'merge', n, NULL, [777], NULL, NULL, NULL FROM books
+  UNION ALL SELECT project, 'event', 45, 'merge', n, NULL, [5], NULL, NULL, NULL FROM books
+  UNION ALL SELECT project, 'event', 50, 'merge', 99, NULL, [], NULL, NULL, NULL FROM books
+  UNION ALL SELECT project, 'event', 60, 'drop', 0, NULL, [], NULL, NULL, NULL FROM books),
+all_entries AS (
+  SELECT *, -1 AS born FROM entries
+  UNION ALL SELECT i.project, i.layer, (b.n + row_number() OVER (PARTITION BY i.project, i.layer ORDER BY i.seq) - 1)::INT, i.name, i.chapters, i.state, i.end_ch, i.seq FROM instructions i JOIN books b USING (project) WHERE i.action = 'insert' AND i.name IS NOT NULL),
+fits AS (
+  SELECT e.project, e.layer, e.idx, list_distinct(flatten(list(i.chapters))) AS more, bool_or(i.state = '已回收') AS closes, arg_min(i.end_ch, i.seq) FILTER (WHERE i.end_ch IS NOT NULL) AS first_end, count(*) AS merged
+  FROM instructions i JOIN all_entries e ON e.project = i.project AND e.layer = i.layer AND e.idx = i.idx AND i.action = 'merge' AND i.seq > e.born AND (i.entity IS NULL OR i.entity = '' OR i.entity = e.name) GROUP BY ALL),
+applied AS (
+  SELECT e.project, e.layer, e.idx, e.name, CASE WHEN f.merged IS NULL THEN e.chapters ELSE list_sort(list_distinct(list_concat(e.chapters, f.more))) END AS chapters,
+    CASE WHEN e.layer = 'event' AND e.state = '悬置' AND f.closes THEN '已回收' ELSE e.state END AS state, coalesce(e.end_ch, f.first_end) AS end_ch, coalesce(f.merged, 0) + CASE WHEN e.born >= 0 THEN 1 ELSE 0 END AS applied
+  FROM all_entries e LEFT JOIN fits f ON f.project = e.project AND f.layer = e.layer AND f.idx = e.idx)"""
+
 _SQL = {
     "sentences": "SELECT * FROM sentences",
     "shots": "SELECT project, chapter, pos, shot_id, type, array_to_string(funcs, ',') AS funcs, label, array_to_string(ids, ',') AS sentence_ids FROM shots",
@@ -253,6 +277,12 @@ _SQL = {
       md5(CASE WHEN number % 2 = 0 THEN '# t' || number || chr(10) || text ELSE text END) AS content_md5, number * 60 AS mtime FROM chapter_text WHERE number < 10000""",
     "split_chapters": "SELECT project, number, '第' || CASE WHEN number < 1000 THEN lpad(number::VARCHAR, 4, '0') ELSE number::VARCHAR END || '章_t' || number || '.txt' AS file_name, md5(text) AS text_md5 FROM chapter_text",
     "published": "SELECT project, number, CASE WHEN project IN ('src1', 'src2') THEN 2 ELSE 1 END AS version FROM chapter_text WHERE project NOT IN ('src1', 'src2') OR number % 40 < 20",
+    "apply_instructions": _APPLIED + """ SELECT project, layer, idx, name, array_to_string(chapters, ',') AS chapters, state, end_ch, applied FROM applied""",
+    "rejected_instructions": _APPLIED + """ SELECT g.project, g.layer, g.given, coalesce(a.applied, 0)::BIGINT AS applied, (g.given - coalesce(a.applied, 0))::BIGINT AS rejected
+      FROM (SELECT project, layer, count(*) AS given FROM instructions GROUP BY ALL) g LEFT JOIN (SELECT project, layer, sum(applied) AS applied FROM applied GROUP BY ALL) a USING (project, layer)""",
+    "rejection_reasons": _APPLIED + """ SELECT * FROM (SELECT i.project, i.layer, i.seq, i.action, i.idx, CASE WHEN action = 'merge' AND (e.born IS NULL OR i.seq <= e.born) THEN 'no_entry'
+        WHEN action = 'merge' AND i.entity <> '' AND i.entity <> e.name THEN 'other_name' WHEN action = 'insert' AND i.name IS NULL THEN 'no_name' WHEN action NOT IN ('merge', 'insert') THEN 'unknown_action' END AS reason
+      FROM instructions i LEFT JOIN all_entries e ON e.project = i.project AND e.layer = i.layer AND e.idx = i.idx) WHERE reason IS NOT NULL""",
     "markdown_words": r"""SELECT project, number, length(regexp_replace(m, '[\s\x{00a0}\x{3000}]', '', 'g')) AS chars FROM (SELECT project, number,
       regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
         CASE WHEN number % 2 = 0 THEN '# t' || number || chr(10) || text ELSE text END,

@@ -514,6 +514,11 @@ def rejected_instructions(spark, sf):
     return rollup.rejected_instructions(entries(spark, sf), instruction_rows(spark, sf))
 
 
+@query
+def rejection_reasons(spark, sf):
+    return rollup.rejections(entries(spark, sf), instruction_rows(spark, sf))
+
+
 # --- ledgers
 
 
