@@ -73,7 +73,7 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(project, text): a corpus file for each ten chapters of a book; each chapter is a heading line ``N、<doc_id>`` and its text's lines."""
+    """(project, text): a corpus file for each 200 chapter numbers of a book; each chapter is a heading line ``N、<doc_id>`` and its text's lines."""
     rows = chapter_text(spark, sf_dir)
     text = F.concat(F.col("number").cast("string"), F.lit("、d"), (F.col("number") - 1).cast("string"), F.lit("\n"), F.col("text"))
     book = F.concat("project", F.lit("-"), F.floor(F.col("number") / 200).cast("string"))

@@ -38,6 +38,7 @@ def corpus_lines(corpora: DataFrame) -> DataFrame:
 
 def parse_chapter_list(lines: DataFrame) -> DataFrame:
     """Rows ``number,title,start,end,chars`` or ``number,title,start-end`` of (project, line); a title may hold commas, other rows go."""
+    # fixed values: the two forms of a row
     five, three = r"^(\d+),(.+),(\d+),(\d+),(\d+)$", r"^(\d+),(.+?),(\d+)-(\d+)$"
     line = F.col("line")
     long = line.rlike(five)
