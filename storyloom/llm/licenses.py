@@ -152,8 +152,8 @@ def own_licenses(files: DataFrame, header: float = HEADER_SIMILARITY, whole: flo
 
     cued = files.where(cue(F.col("text"))).select("path", F.xxhash64("text").alias("text_hash"), "text")
     parts = cued.select("path", "text_hash", F.explode(F.transform(units(F.col("text")), lambda u: F.struct(u["kind"].alias("unit_kind"), u["text"].alias("unit")))).alias("u")).select("path", "text_hash", "u.*")
-    found = table(parts.where(F.when(cue(F.col("unit")), reachable(F.col("unit"), least)).otherwise(False)).distinct())
-    scored = similar(found, ["path", "text_hash", "unit_kind", "unit"], "unit")
+    found = table(parts.where(F.when(cue(F.col("unit")), reachable(F.col("unit"), least)).otherwise(False)).withColumn("unit_hash", F.xxhash64("unit")).dropDuplicates(["path", "text_hash", "unit_kind", "unit_hash"]))
+    scored = similar(found, ["path", "text_hash", "unit_kind", "unit_hash"], "unit")
     # a licence file is one as a whole, or its first block is the opening of a long licence
     is_file = ((F.col("unit_kind") == "whole") & (F.col("similarity") >= whole)) | ((F.col("unit_kind") == "first") & (F.col("kind") == "opening") & (F.col("similarity") >= header))
     is_part = (F.col("unit_kind") == "part") & (F.col("similarity") >= header)
