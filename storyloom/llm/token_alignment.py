@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: groups and links of a byte-level BPE's tokens (A) and a SentencePiece model's pieces (B) over the same bytes.
 
-Words are aligned, not documents: before a blank that follows a sign other than white space, neither tokenizer joins anything (A's
-pattern starts a new piece there; B has no piece with a blank after another sign, which ``Models`` checks). So both encode a text as they encode its
-words one by one, both end a token there, and groups, links and counts of a document are those of its words in turn. A distinct word is encoded once for as long
-as the worker remembers it. Texts for which that gives other bytes are encoded whole once more.
+Words are aligned, not documents. A word starts at blanks before a sign, or at a line break between two signs, if the sign before it is no white
+space. There neither tokenizer joins anything: A's pattern starts a new piece, and B has no piece with a blank or a line break after another
+sign (``Models`` checks that). So both encode a text as they encode its words one by one, both end a token there, and groups, links and counts of a document are
+those of its words in turn. A distinct word is encoded once for as long as the worker remembers it. Texts for which that gives other bytes are encoded whole once more.
 
 Link counts of the corpus come back by chunks of documents: a chunk asks once for each of its pairs of ids, so a pair that every document
 has is a row a chunk, and no document's links are shuffled one by one.
@@ -27,10 +27,12 @@ from storyloom.llm.common import table
 
 FOLDER = "/opt/tokenizers"
 #: Characters of text that make a chunk, that are encoded at once, and of words that a worker remembers.
-CHUNK_CHARS, BLOCK_CHARS, REMEMBERED = 8_000_000, 2_000, 4_000_000
+CHUNK_CHARS, BLOCK_CHARS, REMEMBERED = 8_000_000, 2_000, 6_000_000
+#: Blocks that are aligned in one go; the word that opens each, as B puts a blank before it.
+BLOCKS, OPENER = 64, " a"
 
-_ODD = re.compile(r"\s(?: |\Z)")
-_WORDS = re.compile(r"(?<=\S)(?= +\S)")
+_ODD = re.compile(r"\s(?:\s|\Z)")
+_WORDS = re.compile(r"(?<=\S)(?= +\S|\n\S)")
 _PARTS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, words binary, sizes binary, links binary, pairs array<long>, times array<long>"
 _KINDS = [*[pa.int64()] * 6, pa.string(), *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 2]
 _NAMES = [c.split()[0] for c in _PARTS.split(", ")]
@@ -58,8 +60,8 @@ class Models:
         by_id = {i: t for t, i in spec["model"]["vocab"].items()}
         self.a_bytes = [added.get(i) or bytes(signs[c] for c in by_id[i]) for i in range(max([*by_id, *added]) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("a piece holds a blank after another sign, so words can't be encoded one by one")
+        if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
+            raise ValueError("a piece holds a blank or a line break after another sign, so words can't be encoded one by one")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
         self.a_names = np.array([[f"{s}{i}" for i in range(len(self.a_bytes))] for s in ",;\n"], object)
@@ -100,75 +102,99 @@ def token_ends(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Aligned:
-    """Digests of the texts that this worker has aligned: for each a slot in parallel lists. A text that can't be aligned has no links and no tokens."""
+    """Digests and links of the words that this worker has aligned, by slot. A word is known by its text, without the blank if it starts with just one;
+    one that a model can't give back has no tokens."""
 
     def __init__(self, made: Models) -> None:
         self.models = made
-        self.forget()
-
-    def forget(self) -> None:
         self.slot: dict[str, int] = {}
         self.digest: list[str] = []
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.links: list[bytes] = []
-        self.bad: set[int] = set()
+        self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links
+        self.links = np.zeros(0, np.int64)
+        self.seen = np.zeros(0, np.int64)
         self.chars = 0
 
-    def _keep(self, text: str, digest: str, counts: tuple[int, int, int, int], links: bytes) -> None:
-        if not counts[0]:
-            self.bad.add(len(self.digest))
-        self.chars += len(text)
-        self.slot[text] = len(self.digest)
-        self.digest.append(digest)
-        self.counts.append(counts)
-        self.links.append(links)
-
-    def learn(self, texts: list[str]) -> None:
-        """Align texts, each standing after a blank. Those that end with a sign are encoded together in blocks, as they would be in a text."""
+    def forget(self) -> None:
+        """Keep only words that were seen again."""
+        keep = np.flatnonzero(self.seen > 1)
+        known, self.links = list(self.slot), self.links_of(keep)
+        self.slot = {known[old]: new for new, old in enumerate(keep.tolist())}
+        self.digest = [self.digest[i] for i in keep.tolist()]
+        self.counts, self.seen = self.counts[keep], np.zeros(len(keep), np.int64)
+        self.chars = sum(map(len, self.slot))
+
+    def links_of(self, slots: np.ndarray) -> np.ndarray:
+        """Links of the slots, one after the other."""
+        n, ends = self.counts[slots, 3], np.cumsum(self.counts[:, 3])
+        return self.links[np.repeat(ends[slots] - np.cumsum(n), n) + np.arange(n.sum())] if len(slots) else self.links[:0]
+
+    def _keep(self, words: list[str], digests: list[str], counts: np.ndarray, links: np.ndarray) -> None:
+        self.slot.update(zip(words, range(len(self.digest), len(self.digest) + len(words)), strict=True))
+        self.digest += digests
+        self.counts, self.links = np.concatenate([self.counts, counts]), np.concatenate([self.links, links])
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
+        self.chars += sum(map(len, words))
+
+    def learn(self, words: list[str]) -> None:
+        """Align words that aren't known. Those that end with a sign are encoded together in blocks, as they would be in a text."""
         blocks, held, n = [], [], 0
-        for text in texts:
-            if not text or text[-1].isspace():
-                blocks.append([text])
+        for word in words:
+            if word[-1].isspace():
+                blocks.append([word])
                 continue
-            held.append(text)
-            n += len(text)
+            held.append(word)
+            n += len(word)
             if n >= BLOCK_CHARS:
                 blocks.append(held)
                 held, n = [], 0
-        self._blocks([*blocks, held] if held else blocks)
-
-    def _blocks(self, blocks: list[list[str]]) -> None:
-        joined = ["".join(f" {w}" for w in block) for block in blocks]
-        alone = []
-        for block, text, (a, a_chars, b, b_chars) in zip(blocks, joined, self.models.encode(joined), strict=True):
-            said = text.encode()
-            same = b"".join([self.models.a_bytes[i] for i in a.tolist()]) == said == b"".join([self.models.b_bytes[i] for i in b.tolist()])
-            if same:
-                self._align(block, text, a, a_chars, b, b_chars)
-            elif len(block) > 1:
-                alone += [[w] for w in block]
-            else:
-                self._keep(block[0], "", (0, 0, 0, 0), b"")
+        self._blocks([*blocks, held] if held else blocks, OPENER)
+
+    def learn_whole(self, word: str) -> None:
+        """Align a text that isn't a row of words."""
+        self._blocks([[word]], "")
+
+    def _blocks(self, blocks: list[list[str]], opener: str) -> None:
+        alone, made = [], [([], [], np.zeros((0, 4), np.int64), np.zeros(0, np.int64))]
+        for k in range(0, len(blocks), BLOCKS):
+            some = blocks[k : k + BLOCKS]
+            joined = [opener + "".join([w if w[0].isspace() else f" {w}" for w in block]) for block in some]
+            fit = []
+            for block, text, found in zip(some, joined, self.models.encode(joined), strict=True):
+                said = text.encode()
+                if b"".join([self.models.a_bytes[i] for i in found[0].tolist()]) == said == b"".join([self.models.b_bytes[i] for i in found[2].tolist()]):
+                    fit.append((block, text, *found))
+                elif len(block) > 1:
+                    alone += [[w] for w in block]
+                else:
+                    made.append((block, [""], np.zeros((1, 4), np.int64), np.zeros(0, np.int64)))
+            if fit:
+                made.append(self._align(fit, opener))
+        words, digests, counts, links = zip(*made, strict=True)
+        self._keep([w for x in words for w in x], [d for x in digests for d in x], np.concatenate(counts), np.concatenate(links))
         if alone:
-            self._blocks(alone)
-
-    def _align(self, block: list[str], text: str, a: np.ndarray, a_chars: np.ndarray, b: np.ndarray, b_chars: np.ndarray) -> None:
-        place, m = byte_places(text), self.models
+            self._blocks(alone, opener)
+
+    def _align(self, fit: list[tuple], opener: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+        """Words of encoded blocks, laid end to end, with digests, counts and links."""
+        m, first = self.models, np.cumsum([0, *(len(x[1]) for x in fit)])
+        place = byte_places("".join(x[1] for x in fit))
+        a, b = (np.concatenate([x[k] for x in fit]) for k in (2, 4))
+        a_chars = np.concatenate([x[3] + at for x, at in zip(fit, first.tolist(), strict=False)])
+        b_chars = np.concatenate([np.maximum(x[5] + 1, 0) + at for x, at in zip(fit, first.tolist(), strict=False)])  # B's texts are without their first blanks,
+        b_chars[np.cumsum([0, *(len(x[4]) for x in fit[:-1])]), 0] = first[:-1]  # which their first pieces cover
         a_sizes = m.a_sizes[a]
-        a_ends = token_ends(place[a_chars], a_sizes)
-        b_chars = b_chars + 1  # B's text is without the first blank, which its first piece covers
-        b_chars[0, 0] = 0
-        b_ends = token_ends(place[b_chars], m.b_sizes[b])
+        a_ends, b_ends = token_ends(place[a_chars], a_sizes), token_ends(place[b_chars], m.b_sizes[b])
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         of_a, of_b = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
-        stops = place[np.cumsum([len(w) + 1 for w in block])]
-        first = np.searchsorted(b_ends, a_ends - a_sizes, side="right")
-        n_links = np.searchsorted(b_ends, a_ends) - first + 1
+        words = [w for block, *_ in fit for w in ([opener, *block] if opener else block)]
+        stops = place[np.cumsum([len(w) + (not w[0].isspace()) for w in words])]
+        from_b = np.searchsorted(b_ends, a_ends - a_sizes, side="right")
+        n_links = np.searchsorted(b_ends, a_ends) - from_b + 1
         total = np.cumsum(n_links)
-        other = np.repeat(first - total + n_links, n_links) + np.arange(total[-1])
+        other = np.repeat(from_b - total + n_links, n_links) + np.arange(total[-1])
         pairs = (np.repeat(a, n_links) << np.int64(32)) | b[other]
         a_upto, b_upto, cuts_upto = (np.searchsorted(x, stops, side="right") for x in (a_ends, b_ends, cuts))
-        links_upto = total[a_upto - 1]
+        counts = np.diff(np.stack([a_upto, b_upto, cuts_upto, total[a_upto - 1]], axis=1), axis=0, prepend=0)
         opens = np.ones(len(a), np.int64)
         opens[1:] = of_a[1:] != of_a[:-1]
         opens[np.concatenate([[0], a_upto[:-1]])] = 2
@@ -178,18 +204,24 @@ class Aligned:
         names[np.arange(len(a)) + np.searchsorted(of_b, of_a)] = m.a_names[opens, a]
         names[np.arange(len(b)) + np.searchsorted(of_a, of_b, side="right")] = m.b_names[follows, b]
         digests = "".join(names.tolist()).split("\n")[1:]
-        each = np.diff(np.stack([a_upto, b_upto, cuts_upto, links_upto]), axis=1, prepend=0).T.tolist()
-        raw, at = pairs.tobytes(), 0
-        for word, digest, counts in zip(block, digests, each, strict=True):
-            self._keep(word, digest, tuple(counts), raw[at : at + 8 * counts[3]])
-            at += 8 * counts[3]
+        if opener:
+            at = np.cumsum([0, *(len(x[0]) + 1 for x in fit[:-1])])
+            mine = np.ones(len(words), bool)
+            mine[at] = False
+            pairs, counts = pairs[np.repeat(mine, counts[:, 3])], counts[mine]
+            words, digests = ([x[i] for i in np.flatnonzero(mine).tolist()] for x in (words, digests))
+        return words, digests, counts, pairs
+
+    @staticmethod
+    def word(segment: str) -> str:
+        return segment[1:] if segment[0] == " " and not segment[1].isspace() else segment
 
     def words(self, text: str) -> list[str]:
-        """The text's words without the blank before each."""
+        """The text's words in order."""
         whole = f" {text}"
         if _ODD.search(whole):
-            return [w[1:] for w in _WORDS.split(whole)]
-        return text.split(" ")
+            return [self.word(w) for w in _WORDS.split(whole)]
+        return text.replace("\n", " \n").split(" ")
 
 
 @lru_cache(maxsize=1)
@@ -203,21 +235,25 @@ def chunk_rows(known: Aligned, chunk: int, ids: list[int | None], texts: list[st
     if known.chars > remembered:
         known.forget()
     split = [known.words(t) if t else [] for t in texts]
-    known.learn(list({w for words in split for w in words}.difference(known.slot)))
-    places = [np.fromiter(map(known.slot.__getitem__, words), np.int64, len(words)) for words in split]
-    if known.bad:
-        bad = np.array(sorted(known.bad))
+    known.learn(list(set().union(*split).difference(known.slot)))
+    find = known.slot.__getitem__
+    places = [np.array(list(map(find, words)), np.int64) for words in split]
+    bad = known.counts[:, 0] == 0
+    if bad.any():
         for i, (text, place) in enumerate(zip(texts, places, strict=True)):
-            if np.isin(place, bad).any():
-                if text not in known.slot:
-                    known._blocks([[text]])
-                whole = known.slot[text]
-                places[i] = np.zeros(0, np.int64) if whole in known.bad else np.array([whole])
+            if bad[place].any():
+                whole = known.word(f" {text}")
+                if whole not in known.slot:
+                    known.learn_whole(whole)
+                places[i] = np.array([x for x in [known.slot[whole]] if known.counts[x, 0]], np.int64)
     every = np.concatenate([np.zeros(0, np.int64), *places])
-    slots, local, times = np.unique(every, return_inverse=True, return_counts=True)
-    counts = np.array([known.counts[s] for s in slots.tolist()], np.int64).reshape(-1, 4)
-    raw = np.frombuffer(b"".join([known.links[s] for s in slots.tolist()]), np.int64)
-    pairs, links = np.unique(raw, return_inverse=True)
+    times = np.bincount(every, minlength=len(known.digest))
+    slots = np.flatnonzero(times)
+    known.seen += times
+    number = np.zeros(len(times), np.int64)
+    number[slots] = np.arange(len(slots))
+    local, times, counts = number[every], times[slots], known.counts[slots]
+    pairs, links = np.unique(known.links_of(slots), return_inverse=True)
     n_pairs = np.zeros(len(pairs), np.int64)
     np.add.at(n_pairs, links, np.repeat(times, counts[:, 3]))
     upto = np.cumsum([len(p) for p in places])
