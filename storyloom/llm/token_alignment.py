@@ -27,14 +27,14 @@ from storyloom.llm.common import table
 
 FOLDER = "/opt/tokenizers"
 #: Characters of text that make a chunk, that are encoded at once, and of words that a worker remembers.
-CHUNK_CHARS, BLOCK_CHARS, REMEMBERED = 8_000_000, 2_000, 6_000_000
+CHUNK_CHARS, BLOCK_CHARS, REMEMBERED = 4_000_000, 2_000, 4_000_000
 #: Blocks that are aligned in one go; the word that opens each, as B puts a blank before it.
 BLOCKS, OPENER = 64, " a"
 
 _ODD = re.compile(r"\s(?:\s|\Z)")
 _WORDS = re.compile(r"(?<=\S)(?= +\S|\n\S)")
-_PARTS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, words binary, sizes binary, links binary, pairs array<long>, times array<long>"
-_KINDS = [*[pa.int64()] * 6, pa.string(), *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 2]
+_PARTS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, first long, n_words long, words binary, sizes binary, links binary, pairs array<long>, times array<long>"
+_KINDS = [*[pa.int64()] * 6, pa.string(), *[pa.int64()] * 2, *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 2]
 _NAMES = [c.split()[0] for c in _PARTS.split(", ")]
 
 
@@ -229,9 +229,20 @@ def aligned(byte_bpe: str, piece_model: bytes) -> Aligned:
     return Aligned(models(byte_bpe, piece_model))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 to 2**32 - 1, by place of byte, as the higher places are nearly all zero."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def chunk_rows(known: Aligned, chunk: int, ids: list[int | None], texts: list[str | None], remembered: int = REMEMBERED) -> pa.RecordBatch:
-    """A row for each document, with its words as numbers of the chunk's distinct words; then one row with those words' links,
-    as numbers of the chunk's distinct pairs, and the pairs with their counts."""
+    """A row for each document, with the place and number of its words; then one row with the words of all documents as numbers of the chunk's distinct words, those words'
+    links as numbers of the chunk's distinct pairs, and the pairs with their counts."""
     if known.chars > remembered:
         known.forget()
     split = [known.words(t) if t else [] for t in texts]
@@ -256,14 +267,15 @@ def chunk_rows(known: Aligned, chunk: int, ids: list[int | None], texts: list[st
     pairs, links = np.unique(known.links_of(slots), return_inverse=True)
     n_pairs = np.zeros(len(pairs), np.int64)
     np.add.at(n_pairs, links, np.repeat(times, counts[:, 3]))
-    upto = np.cumsum([len(p) for p in places])
+    n_words = np.array([len(p) for p in places], np.int64)
+    upto = np.cumsum(n_words)
     sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[local], axis=0)])
-    per = (sums[upto] - sums[upto - np.array([len(p) for p in places], np.int64)]) if places else np.zeros((0, 4), np.int64)
+    per = sums[upto] - sums[upto - n_words]
     hashes = [hashlib.sha256(";".join([known.digest[s] for s in p.tolist()]).encode()).hexdigest() if len(p) else "" for p in places]
-    packed = local.astype(np.int32)
-    words = [packed[j - len(p) : j].tobytes() for p, j in zip(places, upto.tolist(), strict=True)]
     none = [None] * len(ids)
-    columns = [[chunk] * (len(ids) + 1), [*ids, None], *([*per[:, k].tolist(), None] for k in range(4)), [*hashes, None], [*words, None], [*none, counts[:, 3].astype(np.int32).tobytes()], [*none, links.astype(np.int32).tobytes()], [*none, pairs], [*none, n_pairs]]
+    of_docs = [ids, *per.T.tolist(), hashes, (upto - n_words).tolist(), n_words.tolist()]
+    of_chunk = [packed(local), packed(counts[:, 3]), packed(links), pairs, n_pairs]
+    columns = [[chunk] * (len(ids) + 1), *([*c, None] for c in of_docs), *([*none, c] for c in of_chunk)]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
 
@@ -273,13 +285,14 @@ def answered(parts: pa.Table, answers: pa.Table) -> pa.Table:
     count, best = answers.column("count").to_numpy()[order], answers.column("best").to_numpy(zero_copy_only=False)[order]
     of_chunk = pa.compute.is_valid(parts.column("sizes"))
     head, docs = parts.filter(of_chunk), parts.filter(pa.compute.invert(of_chunk))
-    sizes = np.frombuffer(head.column("sizes")[0].as_py(), np.int32).astype(np.int64)
-    links = np.frombuffer(head.column("links")[0].as_py(), np.int32)
-    stops = np.cumsum(sizes)
-    sums = [np.concatenate([[0], np.cumsum(x[links])]).astype(np.int64) for x in (best.astype(np.int64), count)]
-    of_word = [s[stops] - s[stops - sizes] for s in sums]
-    words = [np.frombuffer(w.as_buffer(), np.int32) for w in docs.column("words")]
-    made = [pa.array([int(x[w].sum()) for w in words], pa.int64()) for x in of_word]
+    sizes, links, words = (unpacked(head.column(c)[0].as_py()) for c in ("sizes", "links", "words"))
+    ends = np.cumsum(sizes)
+    first, n_words = (docs.column(c).to_numpy() for c in ("first", "n_words"))
+    made = []
+    for of_pair in (best.astype(np.int64), count):
+        of_link = np.concatenate([[0], np.cumsum(of_pair[links])])
+        of_words = np.concatenate([[0], np.cumsum((of_link[ends] - of_link[ends - sizes])[words])])
+        made.append(pa.array(of_words[first + n_words] - of_words[first], pa.int64()))
     return pa.table([*(docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *made, docs.column("groups_sha256")], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
@@ -319,6 +332,6 @@ def alignment(docs: DataFrame, folder: str = FOLDER, chunk_chars: int = CHUNK_CH
     of_b = Window.partitionBy(F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))  # at most as many rows as A has ids
     counts = counts.withColumn("best", F.col("count") == F.max("count").over(of_b))
     answers = asked.select("chunk", "pair").join(counts, "pair").select(F.col("chunk").alias("of_chunk"), "pair", "count", "best")
-    rows = parts.select("chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "words", "sizes", "links")
+    rows = parts.select("chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "first", "n_words", "words", "sizes", "links")
     out = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     return rows.groupBy("chunk").cogroup(answers.groupBy("of_chunk")).applyInArrow(answered, out)
