@@ -71,4 +71,53 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed f JOIN verdicts v ON f.host IS NOT DISTINCT FROM v.host
 """
 
-ORACLES = {"op1_mixing": OP1, "op10_quality_rules": OP10}
+OP11 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT row_no, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM docs),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+common AS (
+  SELECT key, max(doc_id) AS largest FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT row_no) >= 3),
+marked AS (
+  SELECT k.*, largest IS NOT NULL AND k.doc_id IS DISTINCT FROM largest AS dropped FROM keyed k LEFT JOIN common USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY row_no
+"""
+
+OP13 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (
+  SELECT row_no, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT row_no) >= 10),
+langs AS (
+  SELECT lang, sum(n) + 2 * count(*) AS under FROM kept GROUP BY lang),
+counts AS (
+  SELECT w.lang, source, term, count(*) AS n FROM words w JOIN kept USING (lang, term) GROUP BY w.lang, source, term),
+sources AS (
+  SELECT DISTINCT lang, source FROM docs),
+totals AS (
+  SELECT lang, source, coalesce(sum(n), 0) + 2 * (SELECT count(*) FROM kept k WHERE k.lang = s.lang) AS under FROM sources s LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+shares AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // t.under::HUGEINT)::HUGEINT AS p,
+         (1 + 1000000000::HUGEINT * (k.n + 2) // l.under::HUGEINT)::HUGEINT AS q
+  FROM totals t JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+gaps AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(g.value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN gaps g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES = {"op1_mixing": OP1, "op10_quality_rules": OP10, "op11_line_dedup": OP11, "op13_source_divergence": OP13}

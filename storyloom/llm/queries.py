@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontaminate, html_text, licenses, lm_score, mixing, near_dedup, pii, quality_model, quality_rules, secrets, token_alignment
+from storyloom.llm import decontaminate, html_text, licenses, line_dedup, lm_score, mixing, near_dedup, pii, quality_model, quality_rules, secrets, source_divergence, token_alignment
 from storyloom.llm.common import load
 
 #: Stands for a secret that a run takes from its own store.
@@ -59,10 +59,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_failed", "host_verdict")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = line_dedup.deduped(line_dedup.build(docs), docs)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment(load(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii_surrogates,
         op9_licenses,
         op10_quality_rules,
+        op11_line_dedup,
         op12_token_alignment,
+        op13_source_divergence,
     )
 }
