@@ -164,9 +164,19 @@ def safe_name(c: Column, most: int = 12) -> Column:
     return F.when(clean == "", "未命名").otherwise(clean)
 
 
+#: Fixed value: what a book's name is made of.
+BOOK_NAME, LONGEST_NAME = r"^[一-龥A-Za-z0-9_·《》（）()]+$", 50
+
+
 def is_corpus_name(c: Column) -> Column:
     """T14."""
-    return c.rlike(r"^[一-龥A-Za-z0-9_·《》（）()]+$") & (F.length(c) <= 50)
+    return c.rlike(BOOK_NAME) & (F.length(c) <= LONGEST_NAME)
+
+
+def book_name_problem(c: Column) -> Column:
+    """Why a new book can't have this name, blanks at the ends aside: ``length``, ``characters`` or null. Names that are taken are the caller's to look up."""
+    name = trimmed(F.coalesce(c, F.lit("")))
+    return F.when((name == "") | (F.length(name) > LONGEST_NAME), "length").when(~name.rlike(BOOK_NAME), "characters")
 
 
 def padded(n: Column, width: int = 4) -> Column:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import heading_number, heading_title, is_heading, numeral, trimmed, without_blanks
+from storyloom.operators.scan import following, running_sums
 
 
 def headings(lines: DataFrame) -> DataFrame:
@@ -38,30 +39,42 @@ def repaired_numbers(found: DataFrame) -> DataFrame:
 def ranges(lines: DataFrame, found: DataFrame) -> DataFrame:
     """T5: (project, line_no, number, title, start, end): from the line after the heading up to the next heading, or the book's end."""
     ends = lines.groupBy("project").agg((F.max("line_no") + 1).alias("n_lines"))
-    nxt = F.lead("line_no").over(Window.partitionBy("project").orderBy("line_no"))
-    rows = found.withColumn("next", nxt).join(ends, "project")
+    rows = following(found, ["project"], "line_no", "next").join(ends, "project")
     return rows.select("project", "line_no", "number", "title", (F.col("line_no") + 1).alias("start"), F.coalesce("next", "n_lines").alias("end"))
 
 
+def book_lines(text: str) -> Column:
+    return F.split(F.regexp_replace(text, "\r\n", "\n"), "\n", -1)
+
+
+def between(lines: str, start: Column, end: Column) -> Column:
+    """The lines [start, end) of a book, as far as it has them. Cut within the book's row, so what is made is as long as the lines asked for."""
+    n = F.size(lines)
+    start, end = F.least(start, n), F.least(end, n)
+    return F.array_join(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))), "\n")
+
+
 def bodies(corpora: DataFrame) -> DataFrame:
     """(project, start, body, chars): the text of each chapter and its size with line breaks. A book is one row, so its lines are cut in place, without a shuffle."""
-    lines = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n", -1)
-    rows = corpora.select("project", lines.alias("lines"))
+    rows = corpora.select("project", book_lines("text").alias("lines"))
     opens = F.filter(F.transform("lines", lambda x, i: F.when(is_heading(x), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("opens", opens)
-    cut = F.transform("opens", lambda i, k: F.struct((i + 1).alias("start"), F.coalesce(F.get("opens", k + 1), F.size("lines")).alias("end")))
-    rows = rows.select("project", "lines", F.explode(cut).alias("r"))
-    body = F.array_join(F.slice("lines", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")), "\n")
-    return rows.select("project", "r.start", "r.end", body.alias("body")).withColumn("chars", F.length("body"))
+    rows = rows.select("project", "lines", opens.alias("opens"))
+
+    def chapter(i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("opens", k + 1), F.size("lines"))
+        return F.struct((i + 1).alias("start"), end.alias("end"), between("lines", i + 1, end).alias("body"))
+
+    return rows.select("project", F.explode(F.transform("opens", chapter)).alias("c")).select("project", "c.start", "c.end", "c.body").withColumn("chars", F.length("body"))
 
 
 def bodies_of_list(corpora: DataFrame, chapter_list: DataFrame) -> DataFrame:
-    """T6 for a list from outside: each row's lines [start, end) of its book's text; the join is on the book, the range is a slice."""
-    lines = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n", -1)
-    rows = chapter_list.join(corpora, "project").withColumn("lines", lines)
-    n = F.size("lines")
-    body = F.array_join(F.slice("lines", F.least("start", n) + 1, F.greatest(F.least("end", n) - F.col("start"), F.lit(0))), "\n")
-    return rows.select("project", "number", "title", "start", "end", body.alias("body")).withColumn("chars", F.length("body"))
+    """T6 for a list from outside: each row's lines [start, end) of its book's text. A book's ranges are gathered beside its text, which is split once, and its bodies are cut
+    in that row: no row repeats the text, and the work grows with the lines. Ranges beyond the text are empty; books without a text have no rows."""
+    range_ = F.struct("number", "title", "start", "end")
+    listed = chapter_list.groupBy("project").agg(F.collect_list(range_).alias("ranges"))  # of numbers and titles: less than the book's text
+    rows = corpora.join(listed, "project").select("project", "ranges", book_lines("text").alias("lines"))
+    body = F.transform("ranges", lambda r: F.struct(r["number"].alias("number"), r["title"].alias("title"), r["start"].alias("start"), r["end"].alias("end"), between("lines", r["start"], r["end"]).alias("body")))
+    return rows.select("project", F.explode(body).alias("c")).select("project", "c.*").withColumn("chars", F.length("body"))
 
 
 def synthetic_corpus(manuscripts: DataFrame) -> DataFrame:
@@ -74,9 +87,8 @@ def synthetic_corpus(manuscripts: DataFrame) -> DataFrame:
     m = m.select("project", "number", F.when(has, title).otherwise("").alias("found"), body.alias("body"))
     n_lines = F.when(F.col("body").isNull(), 0).otherwise(F.size(F.split("body", "\n", -1)))
     m = m.withColumn("n_lines", n_lines)
-    # only numbers go through the window; the texts are met again by chapter
-    w = Window.partitionBy("project").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    ends = m.select("project", "number", F.sum(F.col("n_lines") + 1).over(w).alias("end"))
+    # only numbers are scanned; the texts are met again by chapter
+    ends = running_sums(m.select("project", "number", "n_lines"), ["project"], ["number"], {"end": F.col("n_lines") + 1}).select("project", "number", "end")
     m = m.join(ends, ["project", "number"])
     heading = F.concat(F.lit("第"), numeral(F.col("number")), F.lit("章 "), F.col("found"))
     shown = F.when(F.col("found") == "", F.concat(F.lit("第"), F.col("number").cast("string"), F.lit("章"))).otherwise(F.col("found"))

@@ -134,6 +134,30 @@ def gate_documents(documents: DataFrame) -> DataFrame:
     return documents.select("project", "layer", F.explode(found).alias("x")).select("project", "layer", "x.rule")
 
 
+#: Keys that documents no longer have (fixed values).
+DEPRECATED_KEYS = {"event": ["mainline", "chapterIndex"], "volume": ["eventStructure", "mainline"]}
+
+
+def gate_aggregate_texts(documents: DataFrame) -> DataFrame:
+    """V9, V10 on JSON texts (project, layer, text) of the layers event and volume: (project, layer, rule).
+
+    Deprecated keys, also with a null; of events also a missing or empty list of aggregated chapters, and ends that are neither number nor null nor left out. Texts that don't parse have no
+    rows here; those are rejects of the reader.
+    """
+    doc = documents.select("project", "layer", F.expr("try_parse_json(text)").alias("doc")).where("doc is not null")
+    event = F.col("layer") == "event"
+    old = F.lit(False)
+    for layer, keys in DEPRECATED_KEYS.items():
+        for key in keys:
+            old = old | ((F.col("layer") == layer) & F.expr(f"variant_get(doc, '$.{key}', 'variant')").isNotNull())
+    listed = F.expr("size(try_variant_get(doc, '$.derivedFrom.aggregatedChapters', 'array<variant>'))")
+    kinds = F.expr("transform(try_variant_get(doc, '$.lifecycle', 'array<variant>'), x -> schema_of_variant(variant_get(x, '$[\"结束章\"]', 'variant')))")
+    odd = F.exists(kinds, lambda k: k.isNotNull() & ~k.rlike("^(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"))
+    rules = {"deprecated_key": old, "no_snapshot": event & (F.coalesce(listed, F.lit(0)) < 1), "end_not_number": event & F.coalesce(odd, F.lit(False))}
+    found = F.filter(F.array(*[F.struct(c.alias("bad"), F.lit(r).alias("rule")) for r, c in rules.items()]), lambda x: x["bad"])
+    return doc.select("project", "layer", F.explode(found).alias("x")).select("project", "layer", "x.rule")
+
+
 def issue_totals(chapter_issues: DataFrame, aggregate_issues: DataFrame, books: DataFrame) -> DataFrame:
     """(project, issues, passed): chapters with an issue plus issues of the aggregate layer."""
     a = chapter_issues.groupBy("project").agg(F.count_distinct("chapter").alias("a"))

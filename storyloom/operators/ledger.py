@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.operators.scan import running_sums
+
 
 def selected_work(listed: DataFrame, pending: DataFrame | None = None, everything: bool = False, chapters: list[int] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
     """All chapters, else the named ones, else a range, else the pending ones."""
@@ -24,18 +26,16 @@ def selected_work(listed: DataFrame, pending: DataFrame | None = None, everythin
 def range_state(listed: DataFrame, done: DataFrame, tasks: DataFrame) -> DataFrame:
     """(id, project, todo, missing, reason) of tasks (id, project, from_ch, to_ch).
 
-    The ends of the ranges are laid among the chapters of their book, and running counts at the two ends are subtracted: each book is sorted once, whatever the number
-    of tasks, and no task meets a chapter.
+    The ends of the ranges are laid among the chapters of their book, and running counts at the two ends are subtracted: rows are sorted once, whatever the number
+    of tasks, a large book in several ranges, and no task meets a chapter.
     """
     have = listed.join(done.select("project", "number", F.lit(True).alias("have")), ["project", "number"], "left")
     none = F.lit(None).cast(dict(tasks.dtypes)["id"])
     chapters = have.select("project", F.col("number").alias("at"), F.lit(1).alias("side"), none.alias("id"), F.lit(1).alias("n"), F.when(F.col("have").isNull(), 1).otherwise(0).alias("lacks"))
     ends = [tasks.select("project", F.col(c).alias("at"), F.lit(side).alias("side"), "id", F.lit(0).alias("n"), F.lit(0).alias("lacks")) for c, side in (("from_ch", 0), ("to_ch", 2))]
-    so_far = Window.partitionBy("project").orderBy("at", "side").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = chapters.unionByName(ends[0]).unionByName(ends[1])
-    rows = rows.select("id", "project", "side", F.sum("n").over(so_far).alias("n"), F.sum("lacks").over(so_far).alias("lacks")).where("side <> 1")
+    rows = running_sums(chapters.unionByName(ends[0]).unionByName(ends[1]), ["project"], ["at", "side"], {"listed": F.col("n"), "lacking": F.col("lacks")}).where("side <> 1")
     sign = F.col("side") - 1
-    out = rows.groupBy("id", "project").agg(F.greatest(F.sum(sign * F.col("n")), F.lit(0)).alias("todo"), F.greatest(F.sum(sign * F.col("lacks")), F.lit(0)).alias("missing"))
+    out = rows.groupBy("id", "project").agg(F.greatest(F.sum(sign * F.col("listed")), F.lit(0)).alias("todo"), F.greatest(F.sum(sign * F.col("lacking")), F.lit(0)).alias("missing"))
     return out.withColumn("reason", F.when(F.col("todo") == 0, "empty_range").when(F.col("missing") == 0, "complete").otherwise("open"))
 
 
@@ -61,6 +61,12 @@ def pending_ledger(outcomes: DataFrame) -> DataFrame:
     return fails.where(F.col("ok").isNull() | (F.col("at") > F.col("ok"))).groupBy("project", "chapter").agg(F.count(F.lit(1)).alias("attempts"))
 
 
+def pending_reasons(outcomes: DataFrame) -> DataFrame:
+    """The pending chapters with the reason of their last failure: (project, chapter, attempts, reason)."""
+    last = outcomes.where("failed").groupBy("project", "chapter").agg(F.max_by("reason", F.struct("seq_ts", "seq_id")).alias("reason"))
+    return pending_ledger(outcomes).join(last, ["project", "chapter"])
+
+
 def leftovers(ledger: DataFrame, todo: DataFrame) -> DataFrame:
     """Pending chapters outside the work at hand."""
     return ledger.join(todo.select("project", F.col("number").alias("chapter")), ["project", "chapter"], "left_anti")
@@ -68,9 +74,9 @@ def leftovers(ledger: DataFrame, todo: DataFrame) -> DataFrame:
 
 def failure_fuse(outcomes: DataFrame, most: float = 0.3) -> DataFrame:
     """(project, seq_id, prior_failures, processed, blown): blown if earlier failures are over a share of what is processed, this one included."""
-    w = Window.partitionBy("project").orderBy("seq_ts", "seq_id")
-    prior = F.coalesce(F.sum(F.col("failed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = outcomes.select("project", "seq_id", prior.alias("prior_failures"), F.row_number().over(w).alias("processed"))
+    failed = F.col("failed").cast("int")
+    rows = running_sums(outcomes.select("project", "seq_ts", "seq_id", "failed"), ["project"], ["seq_ts", "seq_id"], {"failures": failed, "processed": F.lit(1)})
+    rows = rows.select("project", "seq_id", (F.col("failures") - failed).alias("prior_failures"), F.col("processed").cast("int").alias("processed"))
     return rows.withColumn("blown", F.col("prior_failures") * 10 > F.col("processed") * round(most * 10))
 
 
@@ -79,6 +85,12 @@ def usage_cost(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("project").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.sum("elapsed"), 2).alias("elapsed"))
 
 
+def usage_kinds(outcomes: DataFrame) -> DataFrame:
+    """(project, calls, prompt_tokens, completion_tokens, total_tokens); a call that reports no usage adds none."""
+    kinds = ["prompt_tokens", "completion_tokens", "total_tokens"]
+    return outcomes.groupBy("project").agg(F.count(F.lit(1)).alias("calls"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in kinds))
+
+
 def kb_status(corpora: DataFrame, projects: DataFrame, meta: DataFrame) -> DataFrame:
     """(project, domain, state, chapters_annotated, chapters_total) of the corpora: built or not, with progress."""
     rows = corpora.select("project").distinct().join(projects, "project", "left").join(meta.select("project", "chapters_annotated", "chapters_total"), "project", "left")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.enums import CUT_CHARS, LEXICON_STOP_WORDS
 from storyloom.functions.text import sentence_clean, trimmed
-from storyloom.sources.checkpoints import cut
+from storyloom.sources.checkpoints import cut, table
 
 MIN_PMI, MIN_COUNT, LONGEST, MIN_FREQUENCY = 2.0, 3, 7, 3
 SLICE_ROWS = 20_000
@@ -64,10 +67,14 @@ def gram_counts(clean: DataFrame, size: int) -> DataFrame:
 
 def pmi_table(clean: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """L3: (project, gram, n, pmi) of the bigrams that occur often enough; the others have no bond."""
-    one, two = cut(unigrams(clean)), bigrams(clean).where(F.col("n") >= min_count)
+    return pmi_of_counts(cut(unigrams(clean)), bigrams(clean), min_count)
+
+
+def pmi_of_counts(one: DataFrame, two: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """L3 from the counts of single characters and of pairs."""
     totals = one.groupBy("project").agg(F.sum("n").alias("total"))
     a, b = (one.select("project", F.col("gram").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    rows = two.withColumn("a", F.substring("gram", 1, 1)).withColumn("b", F.substring("gram", 2, 1)).join(a, ["project", "a"]).join(b, ["project", "b"]).join(totals, "project")
+    rows = two.where(F.col("n") >= min_count).withColumn("a", F.substring("gram", 1, 1)).withColumn("b", F.substring("gram", 2, 1)).join(a, ["project", "a"]).join(b, ["project", "b"]).join(totals, "project")
     together, single = F.col("n") / F.col("total"), (F.col("n_a") / F.col("total")) * (F.col("n_b") / F.col("total"))
     return rows.select("project", "gram", "n", F.log2(together / single).alias("pmi"))
 
@@ -108,30 +115,45 @@ def cut_at_bonds(texts: list[str], bonded: np.ndarray, longest: int = LONGEST) -
     return Counter([whole[i:j] for i, j in zip(starts[keep].tolist(), stops[keep].tolist(), strict=True)])
 
 
-def slices(rows: DataFrame, size: int) -> DataFrame:
-    """(project, slices): into how many groups of about ``size`` rows a book is dealt."""
-    return rows.groupBy("project").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("slices"))
+def slices(rows: DataFrame, beside: DataFrame, size: int) -> DataFrame:
+    """(project, slices): into how many groups a book's rows are dealt, each of about ``size`` rows, and of no fewer than ``beside`` (project, entries) says
+    are the entries of what each group gets besides. So what is repeated for each group never grows beyond the rows themselves."""
+    n = rows.groupBy("project").agg(F.count(F.lit(1)).alias("n")).join(beside, "project", "left")
+    return n.select("project", F.ceil(F.col("n") / F.greatest(F.lit(size), F.coalesce("entries", F.lit(0)))).cast("int").alias("slices"))
+
+
+def bonds_of_books(pmi: DataFrame, min_pmi: float = MIN_PMI) -> DataFrame:
+    """(project, bonds, entries): the bonded pairs of a book as one sorted array, each pair the first character's code times 2**32 plus the second's."""
+    code = F.shiftleft(F.ascii(F.substring("gram", 1, 1)).cast("long"), 32) + F.ascii(F.substring("gram", 2, 1))
+    rows = pmi.where(F.col("pmi") >= min_pmi).groupBy("project").agg(F.array_sort(F.collect_list(code)).alias("bonds"))
+    return rows.withColumn("entries", F.size("bonds"))
+
+
+def dealt(rows: DataFrame, beside: DataFrame, key: str, size: int, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a slot for groups (project, slot), and ``beside`` once for each of them, as (b_project, b_slot, ...). ``entries``: (project, entries)
+    of ``beside``, if it doesn't say so itself."""
+    dealt_to = cut(slices(rows, beside.select("project", "entries") if entries is None else entries, size))
+    slot = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("b_slot")
+    others = [c for c in beside.columns if c not in ("project", "entries")]
+    return rows.join(dealt_to, "project").withColumn("slot", F.pmod(F.xxhash64(key), "slices").cast("int")).drop("slices"), beside.join(dealt_to, "project").select(F.col("project").alias("b_project"), slot, *others)
 
 
 def pmi_words(clean: DataFrame, pmi: DataFrame, min_pmi: float = MIN_PMI, size: int = SLICE_ROWS) -> DataFrame:
     """L4: (project, word, n): statistical words and how often they occur.
 
-    Sentences of a book are dealt over groups of about ``size``, and only the book's bonded pairs are repeated for each; counts are added up afterwards.
+    Sentences of a book are dealt over groups; each gets the book's bonded pairs as one value. Counts are added up afterwards.
     """
-    clean = clean.where("clean <> ''")
-    dealt_to = cut(slices(clean, size))
-    bonds = pmi.where(F.col("pmi") >= min_pmi).join(dealt_to, "project").select(F.col("project").alias("b_project"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slot"), F.col("gram").alias("gram"))
-    dealt = clean.join(dealt_to, "project").select("project", "clean", F.pmod(F.xxhash64("clean"), "slices").cast("int").alias("slot"))
+    rows, bonds = dealt(clean.where("clean <> ''").select("project", "clean"), table(bonds_of_books(pmi, min_pmi)), "clean", size)
 
-    def words_of(sentences: pa.Table, grams: pa.Table) -> pa.Table:
+    def words_of(sentences: pa.Table, bonds: pa.Table) -> pa.Table:
         if not sentences.num_rows:
             return pa.table({"project": pa.array([], pa.string()), "word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
-        bonded = np.sort(np.array([ord(g[0]) << 32 | ord(g[1]) for g in grams.column("gram").to_pylist()], np.uint64))
+        bonded = bonds.column("bonds").combine_chunks().flatten().to_numpy().astype(np.uint64)
         found = cut_at_bonds(sentences.column("clean").to_pylist(), bonded)
         return pa.table({"project": pa.array([sentences.column("project")[0].as_py()] * len(found), pa.string()), "word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-    rows = dealt.groupBy("project", "slot").cogroup(bonds.groupBy("b_project", "slot")).applyInArrow(words_of, "project string, word string, n long")
-    return rows.groupBy("project", "word").agg(F.sum("n").alias("n"))
+    found = rows.groupBy("project", "slot").cogroup(bonds.groupBy("b_project", "b_slot")).applyInArrow(words_of, "project string, word string, n long")
+    return found.groupBy("project", "word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(words: DataFrame, least: int = MIN_FREQUENCY) -> DataFrame:
@@ -142,7 +164,12 @@ def frequent_words(words: DataFrame, least: int = MIN_FREQUENCY) -> DataFrame:
 def lexicon(shots: DataFrame, sentences: DataFrame) -> DataFrame:
     """(project, word, from_label, freq): label words, and frequent statistical words."""
     clean = cut(cleaned(sentences))
-    frequent = frequent_words(pmi_words(clean, pmi_table(clean)))
+    return lexicon_of(shots, clean, pmi_table(clean))
+
+
+def lexicon_of(shots: DataFrame, clean: DataFrame, pmi: DataFrame) -> DataFrame:
+    """L6 from bonds that are there already."""
+    frequent = frequent_words(pmi_words(clean, pmi))
     both = label_words(shots).select("project", "word", F.lit(True).alias("from_label"), F.lit(0).cast("long").alias("freq")).unionByName(frequent.select("project", "word", F.lit(False).alias("from_label"), F.col("n").alias("freq")))
     return both.groupBy("project", "word").agg(F.bool_or("from_label").alias("from_label"), F.max("freq").alias("freq"))
 
@@ -166,58 +193,74 @@ def needs_rebuild(now: DataFrame, recorded: DataFrame) -> DataFrame:
     return per.where("n > 0").select("project", "rebuild")
 
 
-class Words:
-    """A lexicon as sorted hashes of its words by length, to find the longest word at each place of a text."""
-
-    def __init__(self, words: list[str]) -> None:
-        self.words = set(words) - {""}
-        self.by_length: dict[int, np.ndarray] = {}
-        for n in {len(w) for w in self.words}:
-            codes = np.array([[ord(c) for c in w] for w in self.words if len(w) == n], np.uint64)
-            self.by_length[n] = np.sort(self._hash([codes[:, i] for i in range(n)]))
-
-    @staticmethod
-    def _hash(columns: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(len(columns[0]), np.uint64)
-        for c in columns:
-            out = (out ^ c) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return out
-
-    def tokens(self, texts: list[str]) -> list[tuple[int, str]]:
-        """(number of the text, word) in order: the longest word at each place; what begins none is passed over."""
-        whole, codes = _codes(texts)
-        found = []
-        for n in sorted(self.by_length, reverse=True):
-            if len(codes) >= n:
-                at = np.flatnonzero(_among(self._hash([codes[i : len(codes) - n + 1 + i] for i in range(n)]), self.by_length[n]))
-                found.append((at, np.full(len(at), n)))
-        if not found:
-            return []
-        at, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((-sizes, at))
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        out, free = [], 0
-        for i, n, text in zip(at[order].tolist(), sizes[order].tolist(), np.searchsorted(ends, at[order], side="right").tolist(), strict=True):
-            if i >= free and (word := whole[i : i + n]) in self.words:
-                out.append((text, word))
-                free = i + n
-        return out
+def automaton_of(words: Iterable[str]) -> ahocorasick.Automaton:
+    """Finds all of the words in one walk over a text's code points; it gives each find's last place and length."""
+    made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for word in words:
+        made.add_word(word)
+    made.make_automaton()
+    return made
 
 
-def postings(texts: DataFrame, words: DataFrame, size: int = SLICE_ROWS) -> DataFrame:
-    """(project, key, token, n) of texts (project, key, text): each text is tokenized once, with its own book's lexicon.
+def automata(words: DataFrame) -> DataFrame:
+    """(project, automaton, entries): the automaton of each book's words (project, word), built once."""
+
+    def built(rows: pa.Table) -> pa.Table:
+        found = set(rows.column("word").to_pylist())
+        return pa.table({"project": rows.column("project")[:1], "automaton": pa.array([pickle.dumps(automaton_of(found))], pa.binary()), "entries": pa.array([len(found)], pa.int32())})
 
-    A book's texts are dealt by key over groups of about ``size``, each with the book's lexicon, so that a large book isn't one task; a key's words are counted in its group.
+    return words.where("word <> ''").select("project", "word").groupBy("project").applyInArrow(built, "project string, automaton binary, entries int")
+
+
+def finds(made: ahocorasick.Automaton, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts one after the other, and of each find the number of its text, its start and its length, in order of start, longest first."""
+    whole = _GAP.join([*texts, ""])
+    pairs = np.fromiter(chain.from_iterable(made.iter(whole)), np.int64).reshape(-1, 2) if len(made) else np.zeros((0, 2), np.int64)
+    size = pairs[:, 1]
+    start = pairs[:, 0] - size + 1
+    order = np.lexsort((-size, start))
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return whole, np.searchsorted(ends, start[order], side="right"), start[order], size[order]
+
+
+def longest_words(made: ahocorasick.Automaton, texts: list[str]) -> list[tuple[int, str]]:
+    """(number of the text, word) in order: the longest word at each place; what begins none is passed over."""
+    whole, of, start, size = finds(made, texts)
+    out, free = [], 0
+    for text, i, n in zip(of.tolist(), start.tolist(), size.tolist(), strict=True):
+        if i >= free:
+            out.append((text, whole[i : i + n]))
+            free = i + n
+    return out
+
+
+def walked(texts: DataFrame, words: DataFrame, counts: Callable[[ahocorasick.Automaton, list[str]], Iterable[tuple[int, str]]], size: int = SLICE_ROWS) -> DataFrame:
+    """(project, key, token, n): how often ``counts`` gives a token for the texts (project, key, text) of a key, by the automaton of their book's words.
+
+    A book's texts are dealt by key over groups, each with the book's automaton as one value, so that a large book isn't one task; a key's tokens are counted in its group.
     """
-    dealt_to = cut(slices(texts, size))
-    lists = words.join(dealt_to, "project").select(F.col("project").alias("w_project"), F.col("word").alias("word"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slot"))
-    dealt = texts.join(dealt_to, "project").select("project", "key", "text", F.pmod(F.xxhash64("key"), "slices").cast("int").alias("slot"))
+    rows, made = dealt(texts.select("project", "key", "text"), table(automata(words)), "key", size)
 
-    def tokens_of(rows: pa.Table, lexicon: pa.Table) -> pa.Table:
+    def tokens_of(rows: pa.Table, made: pa.Table) -> pa.Table:
         keys = rows.column("key").to_pylist()
-        counts = Counter((keys[i], w) for i, w in Words(lexicon.column("word").to_pylist()).tokens([t or "" for t in rows.column("text").to_pylist()])) if keys else {}
+        found = counts(pickle.loads(made.column("automaton")[0].as_py()), [t or "" for t in rows.column("text").to_pylist()]) if keys and made.num_rows else []
+        n = Counter((keys[i], w) for i, w in found)
         book = rows.column("project")[0].as_py() if keys else None
-        return pa.table({"project": pa.array([book] * len(counts), pa.string()), "key": pa.array([k for k, _ in counts], pa.string()), "token": pa.array([w for _, w in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        return pa.table({"project": pa.array([book] * len(n), pa.string()), "key": pa.array([k for k, _ in n], pa.string()), "token": pa.array([w for _, w in n], pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+
+    return rows.groupBy("project", "slot").cogroup(made.groupBy("b_project", "b_slot")).applyInArrow(tokens_of, "project string, key string, token string, n long")
+
+
+def postings(texts: DataFrame, words: DataFrame, size: int = SLICE_ROWS) -> DataFrame:
+    """(project, key, token, n) of texts (project, key, text): each text is tokenized once, with its own book's lexicon."""
+    return walked(texts, words, longest_words, size)
+
+
+def contained(texts: DataFrame, words: DataFrame, size: int = SLICE_ROWS) -> DataFrame:
+    """(project, key, token, n): all words of the book that stand anywhere in the text, and how often."""
+
+    def all_words(made: ahocorasick.Automaton, texts: list[str]) -> Iterator[tuple[int, str]]:
+        whole, of, start, size = finds(made, texts)
+        return ((text, whole[i : i + n]) for text, i, n in zip(of.tolist(), start.tolist(), size.tolist(), strict=True))
 
-    return dealt.groupBy("project", "slot").cogroup(lists.groupBy("w_project", "slot")).applyInArrow(tokens_of, "project string, key string, token string, n long")
+    return walked(texts, words, all_words, size)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,65 +105,150 @@ def label_hits(shots: DataFrame, requests: DataFrame, k: int = QUOTA["label"]) -
     return rows.select("query_id", F.lit("label").alias("channel"), "rank", "score", *SHOT)
 
 
-def substrings(text: Column, lengths: Column) -> Column:
-    """The distinct substrings of ``text`` that have one of ``lengths``."""
-    n = F.length(text)
-    fitting = F.filter(lengths, lambda size: size <= n)
-    return F.array_distinct(F.flatten(F.transform(fitting, lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size)))))
-
-
 def containment(queries: DataFrame, labels: DataFrame) -> DataFrame:
     """(query_id, project, key) where a label holds the query or the query holds the label, both of two characters or more.
 
-    Both are spelled out in substrings, only of lengths that the other side of their book has, so this is an equi-join and one long label costs nothing elsewhere.
+    A book's labels are one automaton that walks over its queries once, and its queries one that walks over its labels; what is found meets by equality.
+    So the work grows with the texts and what is found in them, and one long label or query costs no more than its length.
     """
+    q, held = (x.where(F.length(c) >= 2).select("project", c, k) for x, c, k in ((queries, "q", "query_id"), (labels, "label", "key")))
+    asked, named = q.select("project", F.col("q").alias("word")).distinct(), held.select("project", F.col("label").alias("word")).distinct()
+    inside = lexicon.contained(asked.select("project", F.col("word").alias("key"), F.col("word").alias("text")), named).select("project", F.col("key").alias("q"), F.col("token").alias("label"))
+    around = lexicon.contained(named.select("project", F.col("word").alias("key"), F.col("word").alias("text")), asked).select("project", F.col("token").alias("q"), F.col("key").alias("label"))
+    return inside.unionByName(around).distinct().join(q, ["project", "q"]).join(held, ["project", "label"]).select("query_id", "project", "key").distinct()
+
+
+#: Words of shots in a group, on average.
+GROUP_WORDS = 400_000
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
-    def lengths(rows: DataFrame, of: str) -> DataFrame:
-        return rows.where(F.length(of) >= 2).groupBy("project").agg(F.collect_set(F.length(of)).alias("lengths"))
 
-    asked = queries.join(lengths(labels, "label"), "project")
-    inside = asked.select("query_id", "project", F.explode(substrings(F.col("q"), F.col("lengths"))).alias("label")).join(labels, ["project", "label"]).select("query_id", "project", "key")
-    spelled = labels.join(lengths(queries, "q"), "project").select("project", "key", F.explode(substrings(F.col("label"), F.col("lengths"))).alias("q"))
-    around = queries.join(spelled, ["project", "q"]).select("query_id", "project", "key")
-    return inside.unionByName(around).distinct()
+class _Words:
+    """Which shots hold each of the queries' tokens, and how often: rows sorted by token."""
+
+    def __init__(self, rows: pa.Table, kind: str, vocabulary: pa.Array, shots: np.ndarray) -> None:
+        code = pc.index_in(rows.column("token"), value_set=vocabulary).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+        mine = np.flatnonzero((code >= 0) & pc.equal(rows.column("kind"), kind).to_numpy(zero_copy_only=False))
+        mine = mine[np.argsort(code[mine], kind="stable")]
+        self.shot, self.n = shots[mine], rows.column("n").to_numpy()[mine]
+        self.first = np.searchsorted(code[mine], np.arange(len(vocabulary) + 1))
+
+    def sums(self, tokens: np.ndarray, shots: int) -> np.ndarray:
+        """For each shot how often it holds one of the tokens."""
+        at = _spread(self.first[tokens], self.first[tokens + 1] - self.first[tokens])
+        return np.bincount(self.shot[at], weights=self.n[at], minlength=shots).astype(np.int64)
+
+
+def _overlaps(rows: pa.Table, queries: pa.Table) -> Iterator[tuple[str, pa.Array, pa.Table, np.ndarray, np.ndarray]]:
+    """(query_id, keys, shots, which, n) for each query that overlaps with shots of a group: the numbers of those shots, and by how much.
+
+    ``rows``: kind m: a shot's text as token; t and l: a word of its text or label; h: a query that its label holds or that holds it, as token.
+    """
+    coded = rows.column("key").combine_chunks().dictionary_encode()
+    shot, size = coded.indices.to_numpy(), len(coded.dictionary)
+    said = rows.filter(pc.equal(rows.column("kind"), "m"))
+    about = said.take(pc.index_in(coded.dictionary, value_set=said.column("key").combine_chunks()))
+    texts = about.column("token").to_pylist()
+    length = np.array([len(t) for t in texts], np.int64)
+    vocabulary = pc.unique(queries.column("tokens").combine_chunks().flatten())
+    in_text, in_label = (_Words(rows, kind, vocabulary, shot) for kind in "tl")
+    plain = np.array([len(set(w)) < 2 for w in vocabulary.to_pylist()], bool)  # words that repeat one character
+    held: dict[str, list[int]] = {}
+    for k, q in zip(shot[pc.equal(rows.column("kind"), "h").to_numpy(zero_copy_only=False)].tolist(), rows.filter(pc.equal(rows.column("kind"), "h")).column("token").to_pylist(), strict=True):
+        held.setdefault(q, []).append(k)
+    for query_id, q, words in zip(queries.column("query_id").to_pylist(), queries.column("q").to_pylist(), queries.column("tokens"), strict=True):
+        tokens = pc.index_in(words.values, value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = in_text.sums(tokens, size)
+        n[length < len(q)] = 0
+        odd = tokens[plain[tokens]]
+        if len(odd):  # who shares a word of two different characters shares two characters; the others are looked at
+            alone = np.flatnonzero((n > 0) & (n == in_text.sums(odd, size)))
+            n[[k for k in alone.tolist() if len(set(q) & set(texts[k])) < 2]] = 0
+        label = in_label.sums(tokens, size)
+        if query_id in held:
+            label[held[query_id]] = np.maximum(label[held[query_id]], 1)
+        n += label
+        which = np.flatnonzero(n)
+        if len(which):
+            yield query_id, coded.dictionary, about, which, n[which]
+
+
+def _every_overlap(rows: pa.Table, queries: pa.Table) -> pa.Table:
+    found = list(_overlaps(rows, queries)) if rows.num_rows and queries.num_rows else []
+    keys = [keys.take(pa.array(which)) for _, keys, _, which, _ in found]
+    ids = pa.array(np.repeat(np.array([f[0] for f in found], object), [len(f[3]) for f in found]), pa.string())
+    book = rows.column("project")[0].as_py() if found else None
+    return pa.table({"query_id": ids, "project": pa.array([book] * len(ids), pa.string()), "key": pa.chunked_array(keys, pa.string()), "n": pa.array(np.concatenate([np.zeros(0, np.int64), *(f[4] for f in found)]))})
+
+
+def _group(queries: DataFrame, shots: DataFrame, texts: DataFrame, words: DataFrame, pairs: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``pairs`` over groups of a book's shots with the book's queries. Shots and queries are tokenized once each. A group of shots has no fewer words
+    than the book's queries, so what is repeated of the queries never grows beyond the shots."""
+    q = cut(queries.select(F.col("query_id").cast("string").alias("query_id"), "project", query_clean(F.col("text")).alias("q")).where(F.length("q") >= 2))
+    asked = lexicon.postings(q.select("project", F.col("query_id").alias("key"), F.col("q").alias("text")).distinct(), words)
+    none = F.array().cast("array<string>")
+    asked = asked.groupBy("project", F.col("key").alias("query_id")).agg(F.collect_set("token").alias("tokens"))  # no more than the query is long
+    asked = cut(q.distinct().join(asked, ["project", "query_id"], "left").withColumn("tokens", F.coalesce("tokens", none)))
+    labels = cut(shots.select("project", shot_key().alias("key"), without_blanks(F.coalesce("label", F.lit(""))).alias("label")).where(F.length("label") >= 2))
+    in_label = lexicon.postings(labels.select("project", "key", token_clean(F.col("label")).alias("text")), words)
+    in_text = lexicon.postings(texts.select("project", shot_key().alias("key"), token_clean(F.col("text")).alias("text")), words)
+
+    def row(df: DataFrame, kind: str, token: str, n: str = "0", about: bool = False) -> DataFrame:
+        return df.select("project", "key", F.lit(kind).alias("kind"), F.col(token).alias("token"), F.expr(n).cast("long").alias("n"), *(F.col(c) if about else F.lit(None).cast(kind_of).alias(c) for c, kind_of in (("chapter", "int"), ("pos", "int"), ("shot_id", "string"))))
+
+    known = texts.select("project", shot_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"), "chapter", F.col("pos").cast("int").alias("pos"), "shot_id")
+    rows = row(known, "m", "text", about=True).unionByName(row(in_text, "t", "token", "n")).unionByName(row(in_label, "l", "token", "n")).unionByName(row(containment(q, labels), "h", "query_id"))
+    size = asked.groupBy("project").agg(F.sum(F.size("tokens") + 1).alias("entries"))
+    rows, asked = lexicon.dealt(cut(rows), asked.select("project", "query_id", "q", "tokens"), "key", GROUP_WORDS, size)
+    return rows.groupBy("project", "slot").cogroup(asked.groupBy("b_project", "b_slot")).applyInArrow(pairs, schema)
 
 
 def token_counts(queries: DataFrame, shots: DataFrame, texts: DataFrame, words: DataFrame) -> DataFrame:
     """(query_id, project, key, n): overlap of each query (query_id, project, text) with the shots of its book.
 
     The parts: words of the label in the query, at least one if label and query hold each other; words of the text, if it is as long as the query and they share two characters.
-    Shots are tokenized once; queries meet them by (project, token). Who shares a word of two different characters shares two characters, so texts are only looked at again
-    for pairs that share none but words of one repeated character.
     """
-    q = cut(queries.select(F.col("query_id").cast("string").alias("query_id"), "project", query_clean(F.col("text")).alias("q")).where(F.length("q") >= 2))
-    q_tokens = lexicon.postings(q.select("project", F.col("query_id").alias("key"), F.col("q").alias("text")).distinct(), words)
-    q_tokens = cut(q_tokens.select("project", "token", F.col("key").alias("query_id")).join(q.select("query_id", "project", F.length("q").alias("q_length")), ["query_id", "project"]))
-    labels = cut(shots.select("project", shot_key().alias("key"), without_blanks(F.coalesce("label", F.lit(""))).alias("label")).where(F.length("label") >= 2))
-    label_words = lexicon.postings(labels.select("project", "key", token_clean(F.col("label")).alias("text")), words)
-    in_label = q_tokens.join(label_words, ["project", "token"]).groupBy("query_id", "project", "key").agg(F.sum("n").alias("n"))
-    held = containment(q, labels).select("query_id", "project", "key", F.lit(1).cast("long").alias("n"))
-    label_part = in_label.unionByName(held).groupBy("query_id", "project", "key").agg(F.max("n").alias("n"))
-    plain = texts.select("project", shot_key().alias("key"), "text")
-    lengths = plain.select("project", "key", F.length("text").alias("t_length"))
-    text_words = lexicon.postings(plain.withColumn("text", token_clean(F.col("text"))), words).join(lengths, ["project", "key"])
-    varied = F.size(F.array_distinct(F.filter(F.split("token", ""), lambda c: c != ""))) > 1
-    in_text = q_tokens.withColumn("varied", varied).join(text_words, ["project", "token"]).where("t_length >= q_length").groupBy("query_id", "project", "key").agg(F.sum("n").alias("n"), F.bool_or("varied").alias("varied"))
-    in_text = cut(in_text)
-    chars = F.array_intersect(F.filter(F.split("q", ""), lambda c: c != ""), F.split("text", ""))
-    odd = in_text.where("not varied").join(q, ["query_id", "project"]).join(plain, ["project", "key"]).where(F.size(chars) >= 2)
-    every = label_part.unionByName(in_text.where("varied").drop("varied")).unionByName(odd.select("query_id", "project", "key", "n"))
-    return every.groupBy("query_id", "project", "key").agg(F.sum("n").alias("n"))
-
-
-def token_hits(counts: DataFrame, shots: DataFrame, k: int = QUOTA["token"], seed: str = "pick") -> DataFrame:
-    """Hits of the token channel: the highest count (first in scan order), then others in an order that a seed decides."""
-    rows = counts.join(shots.select(shot_key().alias("key"), "chapter", "pos", "shot_id"), "key")
+    return _group(queries, shots, texts, words, _every_overlap, "query_id string, project string, key string, n long")
+
+
+def token_hits(queries: DataFrame, shots: DataFrame, texts: DataFrame, words: DataFrame, k: int = QUOTA["token"], seed: str = "pick") -> DataFrame:
+    """Hits of the token channel: the highest count (first in scan order), then others in an order that a seed decides.
+
+    Each group of shots gives of a query only its best shot and the ``k`` smallest draws, so what meets for a query is a few rows a group, whatever it overlaps with.
+    """
+
+    def best(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("query_id", "project", "chapter", "pos", "shot_id", "draw", "n")}
+        book, place = rows.column("project")[0].as_py() if rows.num_rows else None, None
+        for query_id, keys, about, which, n in _overlaps(rows, queries) if rows.num_rows and queries.num_rows else ():
+            if place is None:
+                place, names = np.empty(len(keys), np.int64), keys.to_pylist()
+                place[np.lexsort((about.column("pos").to_numpy(), about.column("chapter").to_numpy()))] = np.arange(len(keys))
+            base = hashlib.md5(f"{seed}|{query_id}|".encode())
+            draws = []
+            for i in which.tolist():
+                draw = base.copy()
+                draw.update(names[i].encode())
+                draws.append(draw.hexdigest())
+            top = int(np.lexsort((place[which], -n))[0])
+            for j in {top, *heapq.nsmallest(k, range(len(draws)), draws.__getitem__)}:
+                i = int(which[j])
+                for c, x in zip(out, (query_id, book, about.column("chapter")[i].as_py(), about.column("pos")[i].as_py(), about.column("shot_id")[i].as_py(), draws[j], int(n[j])), strict=True):
+                    out[c].append(x)
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+        return pa.table({c: pa.array(x, kind) for (c, x), kind in zip(out.items(), kinds, strict=True)})
+
+    rows = _group(queries, shots, texts, words, best, "query_id string, project string, chapter int, pos int, shot_id string, draw string, n long")
     by = Window.partitionBy("query_id")
     top = F.row_number().over(by.orderBy(F.col("n").desc(), "project", "chapter", "pos"))
-    draw = F.md5(F.concat_ws("|", F.lit(seed), "query_id", "key"))
-    rows = rows.withColumn("top", top == 1).withColumn("draw", draw)
     rank = F.row_number().over(by.orderBy(F.col("top").desc(), "draw"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.lit("token").alias("channel"), "rank", F.lit(None).cast("double").alias("score"), *SHOT, "n")
+    rows = rows.withColumn("top", top == 1).withColumn("rank", rank).where(F.col("rank") <= k)
+    return rows.select("query_id", F.lit("token").alias("channel"), "rank", F.lit(None).cast("double").alias("score"), *SHOT, "n")
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = QUOTA["vec"], block: int = QUERY_BLOCK) -> DataFrame:

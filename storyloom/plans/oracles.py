@@ -141,11 +141,11 @@ _RANKED_SHOTS = """SELECT g.type, g.funcs, s.project, s.chapter, s.pos, s.shot_i
   FROM (SELECT DISTINCT type, list_sort(funcs) AS funcs FROM asks) g CROSS JOIN shots s"""
 
 _APPLIED = """,
-entries AS (SELECT project, 'event' AS layer, (row_number() OVER (PARTITION BY project ORDER BY idx) - 1)::INT AS idx, entity AS name, chapters, state, end_ch FROM lifecycle),
-later AS (SELECT project, type, list_sort(list(chapter + 1)) AS chapters FROM events_layer GROUP BY ALL),
-merging AS (SELECT e.project, e.idx, e.name AS type, l.chapters FROM entries e JOIN later l ON l.project = e.project AND l.type = e.name),
-books AS (SELECT project, max(idx) + 1 AS n FROM entries GROUP BY project),
-instructions AS (
+entries AS MATERIALIZED (SELECT project, 'event' AS layer, (row_number() OVER (PARTITION BY project ORDER BY idx) - 1)::INT AS idx, entity AS name, chapters, state, end_ch FROM lifecycle),
+later AS MATERIALIZED (SELECT project, type, list_sort(list(chapter + 1)) AS chapters FROM events_layer GROUP BY ALL),
+merging AS MATERIALIZED (SELECT e.project, e.idx, e.name AS type, l.chapters FROM entries e JOIN later l ON l.project = e.project AND l.type = e.name),
+books AS MATERIALIZED (SELECT project, max(idx) + 1 AS n FROM entries GROUP BY project),
+instructions AS MATERIALIZED (
   SELECT project, 'event' AS layer, idx * 10 AS seq, 'merge' AS action, idx, CASE WHEN idx % 4 = 3 THEN 'other' WHEN idx % 2 = 0 THEN type END AS entity, chapters, CASE WHEN idx % 2 = 0 THEN '已回收' ELSE '悬置' END AS state, CASE WHEN idx % 3 = 0 THEN chapters[1] END AS end_ch, NULL::VARCHAR AS name FROM merging
   UNION ALL SELECT project, 'event', 5, 'merge', idx, type, chapters, '已回收', 9999, NULL FROM merging WHERE idx = 0
   UNION ALL SELECT project, 'event', 40, 'insert', NULL, NULL, [1], '悬置', NULL, 'new' FROM books
@@ -153,7 +153,7 @@ instructions AS (
   UNION ALL SELECT project, 'event', 45, 'merge', n, NULL, [5], NULL, NULL, NULL FROM books
   UNION ALL SELECT project, 'event', 50, 'merge', 99, NULL, [], NULL, NULL, NULL FROM books
   UNION ALL SELECT project, 'event', 60, 'drop', 0, NULL, [], NULL, NULL, NULL FROM books),
-all_entries AS (
+all_entries AS MATERIALIZED (
   SELECT *, -1 AS born FROM entries
   UNION ALL SELECT i.project, i.layer, (b.n + row_number() OVER (PARTITION BY i.project, i.layer ORDER BY i.seq) - 1)::INT, i.name, i.chapters, i.state, i.end_ch, i.seq FROM instructions i JOIN books b USING (project) WHERE i.action = 'insert' AND i.name IS NOT NULL),
 fits AS (
@@ -164,6 +164,8 @@ applied AS (
     CASE WHEN e.layer = 'event' AND e.state = '悬置' AND f.closes THEN '已回收' ELSE e.state END AS state, coalesce(e.end_ch, f.first_end) AS end_ch, coalesce(f.merged, 0) + CASE WHEN e.born >= 0 THEN 1 ELSE 0 END AS applied
   FROM all_entries e LEFT JOIN fits f ON f.project = e.project AND f.layer = e.layer AND f.idx = e.idx)"""
 
+_VECTOR_PLAN = """SELECT f.project, f.chapter, coalesce(f.project = 'src9' AND EXISTS (FROM vindex x WHERE x.project = f.project), false) OR i.source_mtime IS DISTINCT FROM f.mtime AS rebuild FROM files f LEFT JOIN vindex i USING (project, chapter)"""
+
 _SQL = {
     "sentences": "SELECT * FROM sentences",
     "shots": "SELECT project, chapter, pos, shot_id, type, array_to_string(funcs, ',') AS funcs, label, array_to_string(ids, ',') AS sentence_ids FROM shots",
@@ -229,6 +231,15 @@ _SQL = {
     "range_state": "SELECT *, CASE WHEN todo = 0 THEN 'empty_range' WHEN missing = 0 THEN 'complete' ELSE 'open' END AS reason FROM range_states",
     "next_batch": 'SELECT project, count(*) + 1 AS start, count(*) + 30 AS "end" FROM annotated GROUP BY project',
     "failure_fuse": "SELECT *, prior_failures * 10 > processed * 3 AS blown FROM (SELECT project, event_id AS seq_id, coalesce(sum(failed::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior_failures, row_number() OVER w AS processed FROM outcomes WINDOW w AS (PARTITION BY project ORDER BY ts, event_id))",
+    "pending_reasons": """SELECT l.project, l.chapter, l.attempts, arg_max('k' || o.tokens, (o.ts, o.event_id)) AS reason FROM ledger l JOIN outcomes o ON o.project = l.project AND o.chapter = l.chapter AND o.failed GROUP BY ALL""",
+    "usage_kinds": """SELECT project, count(*) AS calls, coalesce(sum(tokens // 3), 0)::BIGINT AS prompt_tokens, coalesce(sum(tokens - tokens // 3), 0)::BIGINT AS completion_tokens, coalesce(sum(tokens), 0)::BIGINT AS total_tokens FROM outcomes GROUP BY project""",
+    "aggregate_texts": """SELECT * FROM (
+      SELECT project, 'event' AS layer, unnest([CASE WHEN p % 3 = 0 THEN 'deprecated_key' END, CASE WHEN p % 4 IN (1, 2) THEN 'no_snapshot' END, CASE WHEN odd THEN 'end_not_number' END]) AS rule
+      FROM (SELECT project, substr(project, 4)::INT AS p, bool_or(end_ch IS NOT NULL AND start_ch % 5 = 0) AS odd FROM lifecycle GROUP BY project)
+      UNION ALL SELECT project, 'volume', 'deprecated_key' FROM (SELECT DISTINCT project, substr(project, 4)::INT AS p FROM target_rows) WHERE p % 5 = 0) WHERE rule IS NOT NULL""",
+    "book_names": r"""SELECT query_id, CASE WHEN name = '' OR length(name) > 50 THEN 'length' WHEN NOT regexp_matches(name, '^[一-龥A-Za-z0-9_·《》（）()]+$') THEN 'characters' WHEN name IN (SELECT project FROM chapter_text) THEN 'taken' END AS problem
+      FROM (SELECT query_id, trim(CASE seq WHEN 1 THEN ' ' || project || ' ' WHEN 2 THEN label WHEN 3 THEN '  ' ELSE regexp_replace(content, '[ .,]', '', 'g') END) AS name FROM asks)""",
+    "stored_documents": "SELECT project AS id, chapters_total AS chapters, CASE WHEN substr(project, 4)::INT % 2 = 0 THEN 't' END AS title FROM meta",
     "usage_cost": "SELECT project, count(*) AS calls, sum(tokens)::BIGINT AS tokens, round(sum(elapsed), 2) AS elapsed FROM outcomes GROUP BY project",
     "kb_status": """SELECT b.project, CASE WHEN b.project IN ('src1', 'src2') THEN NULL WHEN b.project > 'src5' THEN 'ex' ELSE 'my' END AS domain,
         CASE WHEN b.project IN ('src1', 'src2') THEN 'unbuilt' WHEN coalesce(chapters_annotated, 0) < coalesce(chapters_total, 0) THEN 'building' ELSE 'built' END AS state, chapters_annotated, chapters_total
@@ -268,7 +279,10 @@ _SQL = {
         FROM vectors q CROSS JOIN vectors v WHERE q.vec_id % 100 = 0) WHERE rank <= 10""",
     "known_books": """SELECT query_id, b AS project, coalesce(b <> 'no such book', true) AS known FROM (SELECT query_id, CASE WHEN seq % 3 = 0 THEN 'no such book' WHEN seq % 3 = 1 THEN project END AS b FROM asks)""",
     "embedding_inputs": "SELECT project, chapter, shot_id, substr(text, 1, 500) AS input FROM shot_texts WHERE text <> ''",
-    "vector_plan": """SELECT f.project, f.chapter, coalesce(f.project = 'src9' AND EXISTS (FROM vindex x WHERE x.project = f.project), false) OR i.source_mtime IS DISTINCT FROM f.mtime AS rebuild FROM files f LEFT JOIN vindex i USING (project, chapter)""",
+    "vector_plan": _VECTOR_PLAN,
+    "vector_refresh": f""", plan AS ({_VECTOR_PLAN}), inputs AS (SELECT project, chapter, shot_id, substr(text, 1, 500) AS input FROM shot_texts WHERE text <> '')
+      SELECT project, chapter, shot_id, CASE WHEN rebuild THEN length(input) ELSE -1 END AS n_chars, CASE WHEN rebuild THEN length(input) - length(replace(input, 'e', '')) ELSE -1 END AS n_e FROM inputs JOIN plan USING (project, chapter)""",
+    "refreshed_counts": "SELECT * FROM ones UNION ALL SELECT * FROM twos",
     "vector_stats": "SELECT project, sum(shot_count)::BIGINT AS shots, count(*) AS chapters FROM vindex GROUP BY project",
     "layer_sentences": "SELECT project, chapter, pos, sid, seq, struct, text FROM sentences WHERE chapter % 9 <> 0",
     "layer_rejects": "SELECT DISTINCT project, chapter FROM sentences WHERE chapter % 9 = 0",

@@ -97,6 +97,7 @@ def recall_sql(label_recall: str) -> dict[str, str]:
     return {
         "pmi_words": f"{PMI_WORDS}\nSELECT * FROM stat_words",
         "lexicon_words": f"{LEXICON}\nSELECT * FROM lexicon",
+        "lexicon_refresh": f"{LEXICON}\nSELECT * FROM lexicon",
         "lexicon_stats": f"{LEXICON}\nSELECT project, count(*) AS entities, count(*) FILTER (WHERE from_label) AS label_words, count(*) FILTER (WHERE freq > 0) AS frequent_words FROM lexicon GROUP BY project",
         "token_postings": TOKEN_POSTINGS,
         "token_overlap": f"{OVERLAP}\nSELECT * FROM overlap",

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import enums, text
-from storyloom.operators import chapters, derive, draft, gates, json_audit, ledger, lexicon, recall, rollup
+from storyloom.operators import chapters, derive, draft, gates, json_audit, ledger, lexicon, recall, refresh, rollup
 from storyloom.sources import adapter, stores
-from storyloom.sources.checkpoints import cut, fresh_path
+from storyloom.sources.checkpoints import cut, fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,7 +170,7 @@ def published(spark, sf):
     t = adapter.chapter_text(spark, sf).select("project", "number", F.lit(1).alias("version"))
     stores.publish(t, path)
     stores.publish(t.where("project in ('src1', 'src2') and number % 40 < 20").withColumn("version", F.lit(2)), path)
-    return spark.read.parquet(path).select("project", "number", "version")
+    return stores.read_published(spark, path).select("project", "number", "version")
 
 
 # --- gates
@@ -273,6 +273,23 @@ def main_target(spark, sf):
     return rollup.with_main_target(target_rows(spark, sf)).select("project", "idx", "target", F.size("evidence").alias("n_evidence"), "is_main")
 
 
+def aggregate_documents(spark, sf):
+    """JSON texts of the event and volume layers: some with old keys, without a snapshot, or with an end in quotes."""
+    n = F.substring("project", 4, 9).cast("int")
+    end = F.when(F.col("end_ch").isNull(), "null").when(F.col("start_ch") % 5 == 0, F.concat(F.lit('"'), "end_ch", F.lit('"'))).otherwise(F.col("end_ch").cast("string"))
+    entry = F.concat(F.lit('{"entity":"'), "entity", F.lit('","结束章":'), end, F.lit("}"))
+    events = lifecycle(spark, sf).groupBy("project").agg(F.array_join(F.sort_array(F.collect_list(entry)), ",").alias("entries"))  # a row for each type of shot
+    agg = F.when(n % 4 == 1, "").when(n % 4 == 2, ',"derivedFrom":{"aggregatedChapters":[]}').otherwise(',"derivedFrom":{"aggregatedChapters":[1]}')
+    events = events.select("project", F.lit("event").alias("layer"), F.concat(F.lit('{"lifecycle":['), "entries", F.lit("]"), agg, F.when(n % 3 == 0, ',"mainline":null').otherwise(""), F.lit("}")).alias("text"))
+    volumes = target_rows(spark, sf).select("project").distinct()
+    return events.unionByName(volumes.select("project", F.lit("volume").alias("layer"), F.concat(F.lit('{"targets":[],"chapterIndex":1'), F.when(n % 5 == 0, ',"eventStructure":{}').otherwise(""), F.lit("}")).alias("text")))
+
+
+@query
+def aggregate_texts(spark, sf):
+    return gates.gate_aggregate_texts(aggregate_documents(spark, sf))
+
+
 @query
 def document_contract(spark, sf):
     b = adapter.chapter_text(spark, sf).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
@@ -527,6 +544,11 @@ def pending_ledger(spark, sf):
     return ledger.pending_ledger(adapter.outcomes(spark, sf))
 
 
+@query
+def pending_reasons(spark, sf):
+    return ledger.pending_reasons(adapter.outcomes(spark, sf).withColumn("reason", F.concat(F.lit("k"), "tokens")))
+
+
 @query
 def work_selection(spark, sf):
     """What is pending, of the books that the events name."""
@@ -574,6 +596,12 @@ def usage_cost(spark, sf):
     return ledger.usage_cost(adapter.outcomes(spark, sf))
 
 
+@query
+def usage_kinds(spark, sf):
+    o = adapter.outcomes(spark, sf).withColumn("prompt_tokens", F.expr("tokens div 3"))
+    return ledger.usage_kinds(o.withColumn("completion_tokens", F.col("tokens") - F.col("prompt_tokens")).withColumn("total_tokens", F.col("tokens")))
+
+
 def meta_rows(spark, sf):
     total = listed(spark, sf).groupBy("project").agg(F.count(F.lit(1)).alias("chapters_total"))
     have = adapter.annotated(spark, sf).groupBy("project").agg(F.count(F.lit(1)).alias("chapters_annotated"))
@@ -696,6 +724,51 @@ def manifest_diff(spark, sf):
     return lexicon.needs_rebuild(now, then)
 
 
+def recorded(spark, sf):
+    """How the sentences and files stood at an earlier run: some chapters weren't there yet, some had another text, and one more chapter a book is gone since. (sentences, manifest)"""
+    f, s = file_rows(spark, sf), adapter.sentences(spark, sf)
+    turned = F.when(F.col("chapter") % 13 == 5, F.reverse("text")).otherwise(F.col("text"))
+    old = s.where("chapter % 17 <> 3").withColumn("text", turned)
+    gone = s.where("chapter % 17 = 4").withColumn("chapter", F.col("chapter") + 1_000_000)
+    then = f.where("chapter % 17 <> 3").withColumn("mtime", F.when(F.col("chapter") % 13 == 5, 0).otherwise(F.col("mtime")))
+    files = then.unionByName(f.where("chapter % 17 = 4").withColumn("chapter", F.col("chapter") + 1_000_000))
+    return old.unionByName(gone), lexicon.manifest(files, files)
+
+
+@query
+def lexicon_refresh(spark, sf):
+    """L8 acted upon: what was derived from an earlier state of the store, brought up to date; the same rows as a full build."""
+    shots, sentences, f = adapter.shots(spark, sf), adapter.sentences(spark, sf), file_rows(spark, sf)
+    was, then = recorded(spark, sf)
+    stored = refresh.built(shots, was)
+    stored = refresh.Derived(stored.unigrams, stored.bigrams, table(stored.words))
+    return refresh.refreshed(stored, shots, sentences, was, refresh.changed_chapters(lexicon.manifest(f, f), then)).words
+
+
+@query
+def refreshed_counts(spark, sf):
+    """The n-gram tables of that state after the signed changes of the chapters that differ."""
+    f = file_rows(spark, sf)
+    was, then = recorded(spark, sf)
+    changed = table(refresh.changed_chapters(lexicon.manifest(f, f), then))
+    old, new = (lexicon.cleaned(x.join(changed.where(c), ["project", "chapter"], "left_semi")) for x, c in ((was, "is_old"), (adapter.sentences(spark, sf), "is_new")))
+    parts = [refresh.merged_counts(count(lexicon.cleaned(was)), count(old), count(new)) for count in (lexicon.unigrams, lexicon.bigrams)]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def vector_refresh(spark, sf):
+    """R16 acted upon, with a stand-in for the model: the size of the text and its letters e."""
+
+    def embed(batch: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count("e"))] for t in batch]
+
+    inputs = table(recall.embedding_inputs(recall.shot_texts(adapter.shots(spark, sf), adapter.sentences(spark, sf))))
+    stored = inputs.where("chapter % 4 <> 0").select(*recall.SHOT, F.array(F.lit(-1.0).cast("float"), F.lit(-1.0).cast("float")).alias("embedding"))
+    found = refresh.refreshed_vectors(stored, vector_plan(spark, sf), inputs, embed)
+    return found.select(*recall.SHOT, F.col("embedding")[0].cast("long").alias("n_chars"), F.col("embedding")[1].cast("long").alias("n_e"))
+
+
 # --- recall
 
 
@@ -730,21 +803,21 @@ def containment_hits(spark, sf):
     return recall.containment(q, labels)
 
 
-def token_counts(spark, sf):
+def token_inputs(spark, sf):
     """The lexicon and the shots' texts are read several times, so they are written first."""
     s = adapter.shots(spark, sf)
     texts = cut(recall.shot_texts(s, adapter.sentences(spark, sf)))
-    return recall.token_counts(asked(spark, sf), s, texts, cut(lexicon_words(spark, sf)))
+    return asked(spark, sf), s, texts, cut(lexicon_words(spark, sf))
 
 
 @query
 def token_overlap(spark, sf):
-    return token_counts(spark, sf)
+    return recall.token_counts(*token_inputs(spark, sf))
 
 
 @query
 def token_recall(spark, sf):
-    return recall.token_hits(token_counts(spark, sf), adapter.shots(spark, sf))
+    return recall.token_hits(*token_inputs(spark, sf))
 
 
 @query
@@ -761,7 +834,7 @@ def merged_hits(spark, sf):
     at = v.select(F.concat(F.lit("src"), F.col("vec_id") % 20).alias("project"), (F.col("vec_id") + 1).cast("int").alias("chapter"), F.lit("1").alias("shot_id"), "embedding")
     n = F.broadcast(v.agg(F.count(F.lit(1)).alias("vectors")))  # one row
     q = asked(spark, sf).join(n).withColumn("vec_id", (F.col("session_id") * 7 + F.col("seq")) % F.col("vectors")).join(v.select("vec_id", "embedding"), "vec_id").select("query_id", "embedding")
-    return recall.merged(recall.label_hits(s, asked(spark, sf)), recall.token_hits(token_counts(spark, sf), s), recall.cosine_topk(q, at))
+    return recall.merged(recall.label_hits(s, asked(spark, sf)), recall.token_hits(*token_inputs(spark, sf)), recall.cosine_topk(q, at))
 
 
 @query
@@ -864,3 +937,21 @@ def safe_names(spark, sf):
     r = adapter.requests(spark, sf)
     name = F.when(F.col("seq") == 1, "??  ").otherwise(F.col("content"))
     return r.select("session_id", "seq", text.safe_name(name).alias("name"), text.is_corpus_name(F.col("label")).alias("is_corpus_name"), text.padded(F.col("session_id") * 97).alias("padded"))
+
+
+@query
+def book_names(spark, sf):
+    """Names asked for new books: a book's own, labels, blanks, and what a turn says."""
+    r = asked(spark, sf)
+    name = F.when(F.col("seq") == 1, F.concat(F.lit(" "), "project", F.lit(" "))).when(F.col("seq") == 2, F.col("label")).when(F.col("seq") == 3, "  ").otherwise(F.regexp_replace("content", "[ .,]", ""))
+    return stores.new_books(r.select("query_id", name.alias("name")), adapter.chapter_text(spark, sf)).select("query_id", "problem")
+
+
+@query
+def stored_documents(spark, sf):
+    """A book's JSON document is a file; some have no title."""
+    path = fresh_path(spark)
+    number = F.substring("project", 4, 9).cast("int")
+    meta = meta_rows(spark, sf).select("project", F.col("project").alias("id"), F.col("chapters_total").alias("chapters"), F.when(number % 2 == 0, "t").alias("title"))
+    meta.repartition("project").select("project", F.to_json(F.struct("id", "chapters", "title")).alias("value")).write.partitionBy("project").text(path)
+    return stores.read_documents(spark, path, "id string, chapters long, title string")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import padded, trimmed
+from storyloom.functions.text import book_name_problem, padded, trimmed
+from storyloom.sources.checkpoints import table
 
 SENTENCE_DOCUMENT = "schema string, chapter struct<number:int,title:string,range:string>, source string, sentences array<struct<id:string,seq:int,struct:string,text:string,shotId:string,note:string>>"
 SHOT_DOCUMENT = "shots array<struct<id:string,type:string,funcs:array<string>,label:string,sentenceIds:array<string>,sentenceRange:array<int>>>"
@@ -114,9 +115,35 @@ def write_split_chapters(chapters: DataFrame, path: str) -> None:
     chapters.withColumn("file_name", split_name(F.col("number"), F.col("title"))).write.mode("overwrite").partitionBy("project").parquet(path)
 
 
+def published_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(project, version, folder) by the newest manifest under ``path``; no manifest: no rows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "project string, version int, folder string")
+    every = spark.read.schema("project string, version int, folder string, number int").parquet(f"{path}/manifest")
+    newest = every.agg(F.max("number").alias("newest"))  # one row
+    return every.join(F.broadcast(newest), F.col("number") == F.col("newest")).select("project", "version", "folder")
+
+
 def publish(df: DataFrame, path: str) -> None:
-    """Replaces the partitions (project) that ``df`` holds, each at once; the others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
+    """A new version of the books (project, not null) that ``df`` holds; the others stay as they are, and all change at once.
+
+    Books are written beside their old versions, then a manifest that names each book's folder: one file, which the committer moves into place as a whole. Readers go by the newest
+    manifest, so a run that fails, at whatever place, changes nothing for them. A run after it writes over what it left.
+    """
+    spark = df.sparkSession
+    old = table(published_versions(spark, path))
+    number = (old.agg(F.max("version")).first()[0] or 0) + 1
+    folder = F.concat(F.lit(f"v{number}@"), "project")
+    df.withColumn("folder", folder).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(f"{path}/data")
+    new = df.select("project").distinct().select("project", F.lit(number).alias("version"), folder.alias("folder"))
+    every = new.unionByName(old.join(new, "project", "left_anti"))
+    every.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/number={number}")
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The books by the newest manifest. Folders are partitions, so the join with the manifest reads only those that it names."""
+    return spark.read.parquet(f"{path}/data").join(published_versions(spark, path).select("folder"), "folder").drop("folder")
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -124,6 +151,14 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
 
 
+def new_books(names: DataFrame, projects: DataFrame) -> DataFrame:
+    """(…, name, problem) of asked names: too short, too long or of other characters, or ``taken`` by a book of either domain; null for those that can be made."""
+    taken = projects.select(F.col("project").alias("_taken")).distinct()
+    asked = names.withColumn("problem", book_name_problem(F.col("name"))).withColumn("name", trimmed(F.coalesce("name", F.lit(""))))
+    rows = asked.join(taken, F.col("name") == F.col("_taken"), "left")
+    return rows.withColumn("problem", F.coalesce("problem", F.when(F.col("_taken").isNotNull(), "taken"))).drop("_taken")
+
+
 def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The last row of each key in an order that has no ties."""
     return df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))).where("_row = 1").drop("_row")

@@ -95,7 +95,7 @@ def test_files(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "lists" / "project=p")).collect())[:2] == ["1,a,1,2,5", "2,b,3,4,5"]
     stores.publish(rows, str(tmp_path / "out"))
     stores.publish(rows.where("project = 'q'").withColumn("title", F.lit("new")), str(tmp_path / "out"))
-    assert {(r.project, r.title) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("p", "a"), ("p", "b"), ("q", "new")}
+    assert {(r.project, r.title) for r in stores.read_published(spark, str(tmp_path / "out")).collect()} == {("p", "a"), ("p", "b"), ("q", "new")}
     stores.write_split_chapters(rows, str(tmp_path / "split"))
     assert {r.file_name for r in spark.read.parquet(str(tmp_path / "split")).collect()} == {"第0001章_a.txt", "第0002章_b.txt", "第0001章_c.txt"}
     (tmp_path / "tasks").mkdir()

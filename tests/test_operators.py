@@ -197,15 +197,17 @@ def test_pieces():
     bonded = {"甲乙", "乙丙", "丙丁", "丁戊", "戊壬", "壬庚", "庚辛"}
     assert lexicon.cut_at_bonds(["甲乙丙丁戊壬庚辛"], codes(bonded)) == {"甲乙丙丁戊壬庚": 1, "辛": 1}
     assert lexicon.cut_at_bonds(["甲的乙丙x", "", "丙"], codes(bonded)) == {"甲": 1, "乙丙": 1, "x": 1, "丙": 1}
-    assert lexicon.Words(["庙会", "庙会傍晚"]).tokens(["庙会傍晚人多", "", "去庙会"]) == [(0, "庙会傍晚"), (2, "庙会")]
-    assert lexicon.cut_at_bonds([], codes(bonded)) == {} and lexicon.Words([]).tokens(["x"]) == []
+    tokens = lambda words, texts: lexicon.longest_words(lexicon.automaton_of(words), texts)
+    assert tokens(["庙会", "庙会傍晚"], ["庙会傍晚人多", "", "去庙会"]) == [(0, "庙会傍晚"), (2, "庙会")]
+    assert tokens(["abcd", "bc", "b"], ["abce abcd"]) == [(0, "bc"), (0, "abcd")]
+    assert lexicon.cut_at_bonds([], codes(bonded)) == {} and tokens([], ["x"]) == []
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("甲乙丙的a𠀀", max_size=30), max_size=5), st.sets(st.text("甲乙丙的a𠀀", min_size=2, max_size=2)), st.sets(st.text("甲乙丙a𠀀", max_size=5)))
 def test_pieces_and_tokens_against_plain(texts, bonded, words):
     assert lexicon.cut_at_bonds(texts, codes(bonded)) == Counter(w for t in texts for w in plain_pieces(t, bonded))
-    assert lexicon.Words(list(words)).tokens(texts) == [(i, w) for i, t in enumerate(texts) for w in plain_tokens(t, words)]
+    assert lexicon.longest_words(lexicon.automaton_of(words - {""}), texts) == [(i, w) for i, t in enumerate(texts) for w in plain_tokens(t, words)]
 
 
 def test_lexicon_counts(spark):
