@@ -101,10 +101,10 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
     Texts are shuffled at most once, to meet their counts; only rows that repeat are brought together once more, and come out as often as they are taken in all.
     """
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    key = ["doc_id", "_text_hash", "source"]
-    taken = copies(keyed, key=("doc_id", "_text_hash"), **settings).groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    same = F.expr("d.doc_id <=> t.doc_id and d._text_hash = t._text_hash and d.source <=> t.source")
-    rows = keyed.alias("d").join(table(taken.where("_copies > 0")).alias("t"), same).select("d.*", "t._copies", "t._rows")
-    once = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(key))
-    return once.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy_no"))
+    named = docs.select(*(F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns)).withColumn("text_hash", F.xxhash64("d_text"))
+    plain = named.select(F.col("d_doc_id").alias("doc_id"), F.col("d_text").alias("text"), F.col("d_source").alias("source"), "text_hash")
+    taken = copies(plain, key=("doc_id", "text_hash"), **settings).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    same = F.expr("d.d_doc_id <=> t.doc_id and d.text_hash = t.text_hash and d.d_source <=> t.source")
+    rows = named.alias("d").join(table(taken.where("copies > 0")).alias("t"), same).select("d.*", "t.copies", "t.rows")
+    once = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["d_doc_id", "text_hash", "d_source"]))
+    return once.select(*(F.col(f"`d_{c}`").alias(c) for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no"))

@@ -174,10 +174,10 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     best = groups.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     best = best.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "rows")).alias("row"))
     best = table(best.select(F.col("row.doc_id").alias("k_id"), F.col("row.text_hash").alias("k_hash"), F.col("row.rows").alias("k_rows")))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = keyed.alias("d").join(best.alias("b"), F.expr("d.doc_id <=> b.k_id and d._hash = b.k_hash")).select("d.*", F.col("b.k_rows").alias("_rows"))
-    once = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(["doc_id", "_hash"]))
-    return once.select(*(F.col(f"`{c}`") for c in docs.columns))
+    named = docs.select(*(F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns)).withColumn("hash", F.xxhash64("d_text"))
+    rows = named.join(best, F.expr("d_doc_id <=> k_id and hash = k_hash")).drop("k_id", "k_hash")
+    once = rows.where("k_rows = 1").unionByName(rows.where("k_rows > 1").dropDuplicates(["d_doc_id", "hash"]))
+    return once.select(*(F.col(f"`d_{c}`").alias(c) for c in docs.columns))
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
