@@ -20,8 +20,11 @@ _BLOCKS = frozenset("address article aside blockquote body center dd details dia
 _CLOSES_P = _BLOCKS - frozenset("body html li dd dt td th tr tbody thead tfoot legend summary".split())
 _SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div main aside nav header footer body html form blockquote".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(id|class|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: A quote only opens a value after an equals sign; one that is never closed counts as text of the tag, which then ends at the next ``>``.
+_VALUE = r"""=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)"""
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:{_VALUE}|[^>])*+)(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+_TELLING = frozenset("id class role itemprop hidden aria-hidden".split())
 _SPACE = re.compile(r"\s+")
 #: Attribute tokens by what they tell.
 TOKENS = {
@@ -56,6 +59,8 @@ class Node:
         if attributes and attributes != " ":
             for name, *value in _ATTRIBUTE.findall(attributes):
                 name = name.lower()
+                if name not in _TELLING:
+                    continue
                 if name == "hidden" or (name == "aria-hidden" and "true" in value):
                     self.tokens.add(_KIND["hidden"])
                 for t in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(value)).lower()):
@@ -330,9 +335,14 @@ def sample_page(r: random.Random) -> str:
         for _ in range(n):
             size = r.choice([(1, 4), (8, 40), (30, 120), (100, 300)])
             body = main(*size)
-            out += r.choice([f"<p>{body}</p>"] * 6 + [f"<p><b>{body}<br>", f"<p>{body} <a href='#'>{words(1, 2)}</a> {words(3, 9)}</p>", f"<blockquote>{body}</blockquote>", f"<h2>{main(1, 6)}</h2><p>{body}</p>", f"<ul><li>{main(2, 12)}</li><li>{main(2, 12)}</li></ul>", f"<div>{body}</div>", f"<pre>{body}</pre>"])
+            out += r.choice([f"<p>{body}</p>"] * 6 + [f"<p><b>{body}<br>", f"<p>{body} <a href='#'>{words(1, 2)}</a> {words(3, 9)}</p>", f"<blockquote>{body}</blockquote>", f"<h2>{main(1, 6)}</h2><p>{body}</p>", f"<ul><li>{main(2, 12)}</li><li>{main(2, 12)}</li></ul>", linked(), f"<div>{body}</div>", f"<pre>{body}</pre>"])
         return out
 
+    def linked() -> str:
+        """A list that is part of the text though its entries are links."""
+        tag = r.choice(["ul", "ol"])
+        return f"<{tag}>" + "".join(f'<li><a href="/{words(1, 1)}">{main(1, 6)}</a>{r.choice(["", "", words(1, 8)])}</li>' for _ in range(r.randint(2, 12))) + f"</{tag}>"
+
     def loose(n: int) -> str:
         """Running text without paragraph elements."""
         between = r.choice(["<br>", "<br><br>\n", "\n<hr>"])
@@ -369,6 +379,8 @@ def sample_page(r: random.Random) -> str:
     after = "".join(r.choice([lambda: f"<aside><h3>{words(1, 3)}</h3><p>{words(3, 40)}</p></aside>", lambda: noise("side"), lambda: noise("comments"), lambda: f'<form><label>{words(1, 2)}</label><input name="q"><button>{words(1, 1)}</button><p>{words(2, 10)}</p></form>', lambda: noise("notice"), lambda: f'<div class="comments"><h3>{words(1, 2)}</h3>' + "".join(f'<div class="comment"><p>{words(3, 60)}</p></div>' for _ in range(r.randint(1, 4))) + "</div>"])() for _ in range(r.randint(0, 3)))
     foot = r.choice([f"<footer>&copy; {words(1, 12)}</footer>", f"<footer><p>{words(1, 9)}</p>{menu()}</footer>", f'<div id="footer">{words(2, 9)}</div>', "", f"&copy; {words(1, 4)}", f"{link()} - {link()} &copy; {words(1, 3)}"])
     tail = r.choice(["</body></html>", "</body></html>", ""])
+    if r.random() < 0.1:  # nothing but running text
+        return r.choice([head, "", "<body>"]) + r.choice(["", f"<h1>{main(2, 12)}</h1>"]) + loose(r.choice([1, 1, 2, 3])) + tail
     return head + top + extra + body + after + foot + tail
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -207,6 +208,31 @@ def test_pages_written_by_hand(i):
     assert html_text.main_texts([page], html_text.trained()) == [text]
 
 
+BOOKS = "".join(f"<li><a href='/b{i}'>The book number {i}</a></li>" for i in range(10))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1>Of quotes</h1><p data-a=o'brien>{LONG}</p><p class=x don't>{LONG}</p></article>", f"Of quotes {LONG} {LONG}"),
+        (f"""<article><p title="a > b" data-x='1 > 0' y = "<p>">{LONG}</p><p a=b"c d>{LONG}</p></article>""", f"{LONG} {LONG}"),
+        (f'<article><p>{LONG}</p><a title="never closed>on it goes</a><p>{LONG}</p></article>', f"{LONG} on it goes {LONG}"),
+        (f"<article><h1>Ten books</h1><ol>{BOOKS}</ol></article>", "Ten books " + " ".join(f"The book number {i}" for i in range(10))),
+        (f"<nav><ul>{BOOKS}</ul></nav><article><p>{LONG}</p></article><div class=related><ul>{BOOKS}</ul></div>", LONG),
+        (f"<article><p title='class=nav id=footer'>{LONG}</p></article>", LONG),
+    ],
+)
+def test_attributes_and_lists_of_links(page, text):
+    assert html_text.main_texts([page], html_text.trained()) == [text]
+
+
+def test_unclosed_quotes_take_linear_time():
+    began = time.time()
+    html_text.parse("<a b='c>" * 50_000 + '<i j="')
+    html_text.parse("<a =" * 100_000)
+    assert time.time() - began < 10
+
+
 def test_deep_pages_are_quick():
     import time
 
