@@ -26,6 +26,7 @@ _FOREIGN = re.compile(r"[^\x00-\x7f]")
 _LEAD, _TAIL = re.compile(r"""[^\s"'=:(\[{<>]*["'=:(\[{<>]+(?=[^"'=:(\[{<>])"""), re.compile(r"""["'.,;:!?)\]}>]+\Z""")
 _ALIKE = {ord(c): "a" for c in "abcdefghijklmnopqrstuvwxyz"} | {ord(c): "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _PLACE = re.compile(r"://|@[A-Za-z0-9-]+\.[A-Za-z]|\Awww\.|\A[~.]?/[a-z]|\.(?:com|org|net|html?|py|txt|pdf|jpg)\b")
+_USERINFO = re.compile(r"://[^\s/:@]*:([^\s/@]+)@")
 _KEY_WORDS = frozenset("password passwd pwd passphrase secret token apikey key auth authorization bearer credential credentials login access private api client".split())
 _CLASSES = {"start": 0, "word": 1, "key": 2, "assign": 3, "quote": 4, "sign": 5, "number": 6, "mixed": 7}
 _GROUPS = ["word", "long", "longest", "short_mixed", "mixed", "long_mixed", "digits", "signed", "signed_mixed", "capitals", "place", "signs"]
@@ -34,7 +35,7 @@ _DISTANCES = np.array([0, 1, 2, 3, 4, 5, 5, 6, 6, 6, 7])  # of the last key word
 OUTSIDE, BEGIN, INSIDE = range(3)
 _TAGS = 3
 _NEVER = -1e4
-TRAINING_LINES, STEPS, RATE, SHRINK = 2500, 100, 0.2, 2e-4
+TRAINING_LINES, STEPS, RATE, SHRINK = 3000, 100, 0.2, 2e-4
 CHARACTERS_AT_ONCE, VOCABULARY = 2_000_000, 200_000
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -94,17 +95,20 @@ def token_class(token: str) -> int:
 
 def chunk_features(chunk: str) -> list[tuple[list[str], int, int, int]]:
     """For each token of a run without white space: what can be told from the run alone, the token's class, the kind of the run's core, and whether
-    the token stands before, in or after the core. The core is what follows a leading name and sign of assignment, without closing punctuation."""
+    the token stands before, in or after the core. The core is what follows a leading name and sign of assignment, without closing punctuation; of a link with a password, the password."""
     lead = _LEAD.match(chunk)
     lo = lead.end() if lead and not _PLACE.search(chunk) else 0
     tail = _TAIL.search(chunk, lo)
     hi = tail.start() if tail and tail.start() > lo else len(chunk)
+    inside = _USERINFO.search(chunk) if "://" in chunk else None
+    if inside:  # the password in a link is a core of its own
+        lo, hi = inside.span(1)
     core = chunk[lo:hi]
     kind, n = group(core), len(core)
     turns, digits = _turns(core), sum(c.isdigit() for c in core)
     hexed = n >= 8 and all(c in "0123456789abcdef" for c in core) and 0 < digits < n
     vowels = sum(c in "aeiouAEIOU" for c in core) / n if n >= 16 else 0
-    of_core = [f"kind={kind}", f"kind={kind},length={min(n // 4, 10)}", f"turns={min(turns, 12)}", f"turns/length={5 * turns // max(1, n)}", f"hex={hexed},{min(n // 8, 4)}", f"digits={4 * digits // max(1, n)}", f"vowels={int(8 * vowels) if n >= 16 else '-'}", f"mixed={turns >= 6 and n >= 20 and kind in (5, 8)}", f"head={shape(core)[:4]}", f"lead={lo > 0}"]
+    of_core = [f"kind={kind}", f"kind={kind},length={min(n // 4, 10)}", f"turns={min(turns, 12)}", f"turns/length={5 * turns // max(1, n)}", f"hex={hexed},{min(n // 8, 4)}", f"digits={4 * digits // max(1, n)}", f"vowels={int(8 * vowels) if n >= 16 else '-'}", f"mixed={turns >= 6 and n >= 20 and kind in (5, 8)}", f"head={shape(core)[:4]}", f"lead={lo > 0}", f"userinfo={inside is not None}"]
     out = []
     seen = False
     for m in _TOKEN.finditer(chunk):
@@ -319,13 +323,13 @@ def training_lines(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int
 
     def weak() -> str:
         """A secret only because of the name before it."""
-        return r.choice([lambda: spoken(r.randint(2, 3)) + run(digits, 1, 4), lambda: spoken(2).capitalize() + run(digits, 2, 4), lambda: spoken(1).capitalize() + r.choice("@!$#%&*") + spoken(1) + r.choice("@!$#%&*_-") + run(digits, 1, 4), lambda: run(low, 16, 30), lambda: spoken(r.randint(7, 10)), lambda: run(caps, 14, 30), lambda: run(low + digits, 8, 22), lambda: run("0123456789abcdef", 12, 23), lambda: "-".join(run(caps + digits, 4, 5) for _ in range(r.randint(3, 5))), lambda: run(mixed, 10, 24), lambda: run(low, 5, 8) + "_" + run(mixed, 8, 16)])()
+        return r.choice([lambda: spoken(r.randint(2, 3)) + run(digits, 1, 4), lambda: spoken(r.randint(1, 3)) + run(digits, 1, 4), lambda: spoken(2).capitalize() + run(digits, 2, 4), lambda: spoken(1).capitalize() + r.choice("@!$#%&*") + spoken(1) + r.choice("@!$#%&*_-") + run(digits, 1, 4), lambda: run(low, 16, 30), lambda: spoken(r.randint(7, 10)), lambda: run(caps, 14, 30), lambda: run(low + digits, 8, 22), lambda: run("0123456789abcdef", 12, 23), lambda: "-".join(run(caps + digits, 4, 5) for _ in range(r.randint(3, 5))), lambda: "-".join([run(caps, 4, 4), run(digits, 4, 4), run(caps, 4, 4), run(digits, 4, 4)]), lambda: run(mixed, 10, 24), lambda: run(low, 5, 8) + "_" + run(mixed, 8, 16)])()
 
     def other() -> str:
         return r.choice([
             lambda: run(digits, 12, 19), lambda: " ".join(run(digits, 4, 4) for _ in range(4)), lambda: f"+{run(digits, 1, 2)} {run(digits, 2, 3)} {run(digits, 3, 4)} {run(digits, 4, 4)}", lambda: f"{run(digits, 3, 3)}-{run(digits, 3, 3)}-{run(digits, 4, 4)}", lambda: f"({run(digits, 3, 3)}) {run(digits, 3, 3)}-{run(digits, 4, 4)}",
             lambda: f"{spoken(2)}.{spoken(2)}{run(digits, 0, 3)}@{spoken(2)}.{r.choice(['com', 'org', 'net', 'example'])}", lambda: f"https://{spoken(2)}.org/{spoken(2)}/{run(digits, 2, 8)}?q={spoken(2)}", lambda: f"www.{spoken(3)}.com/{spoken(2)}-{spoken(2)}.html", lambda: f"/usr/{spoken(1)}/{spoken(2)}.py", lambda: f"{spoken(2)}-{run(digits, 1, 3)}.{run(digits, 1, 2)}.{run(digits, 1, 2)}", lambda: f"v{run(digits, 1, 2)}.{run(digits, 1, 2)}",
-            lambda: f"20{run(digits, 2, 2)}-0{run('123456789', 1, 1)}-1{run('0123', 1, 1)}T12:30:00", lambda: f"{run(digits, 1, 2)}/{run(digits, 1, 2)}/19{run(digits, 2, 2)}", lambda: ".".join(run(digits, 1, 3) for _ in range(4)), lambda: spoken(r.randint(5, 9)), lambda: spoken(r.randint(5, 8)).capitalize(), lambda: spoken(4).upper(), lambda: f"INV-20{run(digits, 2, 2)}-{run(digits, 4, 6)}", lambda: f"{spoken(2)}{spoken(2).capitalize()}{spoken(1).capitalize()}({spoken(1)}{run(digits, 1, 1)})", lambda: f"{spoken(1)}_{spoken(2)}_{run(digits, 1, 3)}",
+            lambda: f"20{run(digits, 2, 2)}-0{run('123456789', 1, 1)}-1{run('0123', 1, 1)}T12:30:00", lambda: f"{run(digits, 1, 2)}/{run(digits, 1, 2)}/19{run(digits, 2, 2)}", lambda: ".".join(run(digits, 1, 3) for _ in range(4)), lambda: spoken(r.randint(5, 9)), lambda: spoken(r.randint(5, 8)).capitalize(), lambda: spoken(4).upper(), lambda: spoken(r.randint(5, 11)).upper(), lambda: run("ACGT", 14, 70), lambda: " ".join(spoken(r.randint(1, 8)).upper() for _ in range(r.randint(2, 8))), lambda: spoken(r.randint(6, 11)).upper() + r.choice("!?.,"), lambda: f"INV-20{run(digits, 2, 2)}-{run(digits, 4, 6)}", lambda: f"{spoken(2)}{spoken(2).capitalize()}{spoken(1).capitalize()}({spoken(1)}{run(digits, 1, 1)})", lambda: f"{spoken(1)}_{spoken(2)}_{run(digits, 1, 3)}",
             lambda: f"DE{run(digits, 2, 2)} {run(digits, 4, 4)} {run(digits, 4, 4)} {run(digits, 4, 4)}", lambda: f"DE{run(digits, 20, 20)}", lambda: f"#{run('0123456789abcdef', 6, 6)}", lambda: f"{run(digits, 1, 3)},{run(digits, 3, 3)}.{run(digits, 2, 2)}", lambda: run("#*$%&|<>=-_~", 2, 12), lambda: "-".join(run("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)), lambda: f"{spoken(2)}-{spoken(2)}-{spoken(2)}", lambda: f"<{spoken(1)} {spoken(1)}=\"{spoken(2)}\">",
         ])()
 
@@ -351,7 +355,20 @@ def training_lines(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int
         if value:
             places.append((len(text), len(text) + len(value)))
             text += value
-        out.append((text + r.choice(["", "", ",", ".", '"', "'", ")", ";"]) + r.choice([" ", "\n"]) + words(0, 6), places))
+        after = words(0, 6)
+        if way < 0.42 and r.random() < 0.08:  # a password in a link
+            head, value = words(0, 3) + " " + r.choice(["postgres", "mysql", "https", "redis", "amqp"]) + f"://{spoken(2)}:", weak().replace("@", "").replace("/", "")
+            text, places = head + value + f"@{spoken(2)}{r.choice(['', '.example.com', ':5432'])}/{spoken(1)}", [(len(head), len(head) + len(value))]
+        elif way < 0.55 and r.random() < 0.06:  # a key of several lines
+            kind = r.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"])
+            text, places = f"-----BEGIN {kind}-----\n", []
+            for size in [64] * r.randint(1, 5) + [r.randint(20, 64)]:
+                places.append((len(text), len(text) + size))
+                text += run(mixed + "+/", size, size) + "\n"
+            text += f"-----END {kind}-----"
+        elif not places and r.random() < 0.2 and not any(c.isdigit() for c in text):  # shouted prose
+            text, after = text.upper(), after.upper()
+        out.append((text + r.choice(["", "", ",", ".", '"', "'", ")", ";"]) + r.choice([" ", "\n"]) + after, places))
     return out
 
 

@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -145,3 +147,24 @@ def test_base_counts_against_sql(spark, sf_dir):
            len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 20)) AS n_access, len(regexp_extract_all(coalesce(text, ''), '[0-9a-f]{24,}')) AS n_hex FROM read_parquet('%s/documents.parquet') ORDER BY ALL""" % sf_dir
     got = secrets.secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_assign", "n_access", "n_hex").collect()
     assert sorted(map(tuple, got)) == duckdb.sql(sql).fetchall()
+
+
+def test_links_keys_of_several_lines_and_shouting():
+    r = random.Random(40)
+    signs = string.ascii_letters + string.digits + "+/"
+    body = ["".join(r.choice(signs) for _ in range(64)) for _ in range(4)] + ["".join(r.choice(signs) for _ in range(30)) + "=="]
+    key = "\n".join(["-----BEGIN PRIVATE KEY-----", *body, "-----END PRIVATE KEY-----"])
+    tagger = secrets.Tagger(secrets.trained())
+    found = lambda text: [text[a:b] for a, _, b in tagger.spans([text])[0][0]]
+    assert found(f"it says\n{key}\nand no more") == body
+    assert found("use postgres://admin:Sup3rS3cret@db.example.com:5432/main for it") == ["Sup3rS3cret"]
+    assert found("see https://user:hunter22@example.com/x") == ["hunter22"]
+    for text in ("AND THE ERSCHSCHBERBERTZ WAS SHOUTED ALOUD, UNQUESTIONABLY AND INCOMPREHENSIBLY", "ACGTACGTTAGCATCGACTAGCATCGATCAGCTACGACTAGCAT", "https://example.org:8080/path@2x.html", "the password is required for internationalization"):
+        assert found(text) == []
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_no_false_spans_on_given_documents(spark, sf):
+    """All secrets of the given documents have a base form, so what the model adds would be a false alarm."""
+    rows = secrets.secrets(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    assert rows.where("n_crf > 0").count() == 0 and rows.where("n_assign + n_access + n_hex > 0").count() > 5
