@@ -25,7 +25,21 @@ NOTICES = {
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Apache-2.0 OR MIT": ["SPDX-License-Identifier: MIT OR Apache-2.0", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "0BSD": ["Licensed under the Zero-Clause BSD License.", "SPDX-License-Identifier: 0BSD"],
+    "AGPL-3.0": ["SPDX-License-Identifier: AGPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This work is licensed under the GNU Affero General Public License, version 3."],
+    "Artistic-2.0": ["Licensed under the Artistic License 2.0.", "SPDX-License-Identifier: Artistic-2.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)", "SPDX-License-Identifier: BSL-1.0"],
+    "CC0-1.0": ["Licensed under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "EPL-2.0": ["SPDX-License-Identifier: EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2.", "SPDX-License-Identifier: EUPL-1.2"],
+    "LGPL-2.1": ["SPDX-License-Identifier: LGPL-2.1-only", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "This work is licensed under the GNU Lesser General Public License, version 2.1."],
+    "LGPL-3.0": ["SPDX-License-Identifier: LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3."],
+    "WTFPL": ["Licensed under the WTFPL.", "SPDX-License-Identifier: WTFPL"],
+    "Zlib": ["Licensed under the zlib License.", "SPDX-License-Identifier: Zlib"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 _BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
@@ -36,6 +50,9 @@ TEXTS = {
     "BSD-2-Clause": _BSD + _BSD_END,
     "BSD-3-Clause": _BSD + _BSD_NAMES + _BSD_END,
     "ISC": "ISC License. Copyright (c). Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "0BSD": "BSD Zero Clause License. Copyright (c). Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib": "zlib License. Copyright (c). This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
 }
 #: How the long licences open; a text that begins so is the licence as a whole.
@@ -46,6 +63,14 @@ OPENINGS = {
     "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International Public License",
     "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
     "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Artistic-2.0": "The Artistic License 2.0 Copyright (c) 2000-2006, The Perl Foundation.",
+    "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal",
+    "EPL-2.0": "Eclipse Public License - v 2.0",
+    "EUPL-1.2": "EUROPEAN UNION PUBLIC LICENCE v. 1.2 EUPL (c) the European Union 2007, 2016",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "WTFPL": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004",
     "MPL-2.0": "Mozilla Public License Version 2.0",
 }
 TEMPLATES = [(name, "notice", text) for name, texts in NOTICES.items() for text in texts] + [(name, "text", text) for name, text in TEXTS.items()] + [(name, "opening", text) for name, text in OPENINGS.items()]
@@ -105,12 +130,28 @@ def terms_of(text: Column) -> Column:
 
 
 def reachable(text: Column, least: float) -> Column:
-    """Whether the terms of ``text`` allow a cosine of ``least`` to any template, by the same bound; loses nothing."""
-    weights, _, _ = template_terms()
-    known = F.array_intersect(terms_of(text), constant(list(weights)))
+    """Whether the terms of ``text`` allow a cosine of ``least`` to any template; loses nothing.
+
+    By Cauchy and Schwarz the squared cosine is at most the squared weights of the terms that both have, times the share of known terms in the text's squared norm. Of that share the known terms
+    number k and occur m times at most; as (1 + ln n)^2 is concave, their part of the norm is at most k (1 + ln(m / k))^2 times the largest squared idf; each unknown term adds its own
+    squared idf at least.
+    """
+    weights, idf, unknown = template_terms()
     squares = F.from_json(F.lit(json.dumps({t: [v * v for v in w] for t, w in weights.items()})), "map<string,array<double>>")
     zero = F.array_repeat(F.lit(0.0), len(TEMPLATES))
-    return F.array_max(F.aggregate(known, zero, lambda s, t: F.zip_with(s, squares[t], lambda a, b: a + b))) >= least**2 - 1e-9
+    rare, top = unknown**2, max(idf.values()) ** 2
+
+    def may(terms: Column) -> Column:
+        n, known = F.size(terms), F.array_intersect(terms, constant(list(weights)))
+        k = F.greatest(F.size(known), F.lit(1))
+        others = F.size(F.array_distinct(terms)) - F.size(known)
+        part = F.lit(top) * k * F.pow(1 + F.log(F.greatest((n - others) / k, F.lit(1.0))), F.lit(2.0))
+        most = F.array_max(F.aggregate(known, zero, lambda s, t: F.zip_with(s, squares[t], lambda a, b: a + b)))
+        share = part / (part + others * F.lit(rare))
+        # the second part is only looked at where the first allows it
+        return F.when(share >= least**2 - 1e-9, most * share >= least**2 - 1e-9).otherwise(False)
+
+    return F.get(F.transform(F.array(terms_of(text)), may), 0)  # so that the terms are made once
 
 
 def similar(units: DataFrame, keys: list[str], text: str) -> DataFrame:

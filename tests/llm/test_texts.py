@@ -401,3 +401,45 @@ def test_quality_model_sample_is_bounded(spark):
     assert model.score(model.mean[None]).shape == (1,)
     out = quality_model.scored(d, labels).collect()
     assert len(out) == d.count() and all(r.predicted == (r.score >= 0.3) for r in out)
+
+
+def test_many_licences_by_name_and_text(spark):
+    """Each licence by its identifier and its notices, in a comment before code; whole texts and openings as files of a folder of their own."""
+    rows, want = [], {}
+    for i, (name, notices) in enumerate(licenses.NOTICES.items()):
+        for k, notice in enumerate(notices):
+            rows.append((f"src/{i}/{k}.c", f"// {notice}\n\nint f{i}(void) {{ return {k}; }}\n" + "".join(f"value{j} = {j};\n" for j in range(60))))
+            want[rows[-1][0]] = (name, None)
+    for i, (name, text) in enumerate([*licenses.TEXTS.items(), *((n, f"{t}\n\nPreamble\n\n" + "The rest of it is left out of this test, which has other words. " * 30) for n, t in licenses.OPENINGS.items())]):
+        rows += [(f"all/{i}/LICENSE", wrapped(text, "") if "Preamble" not in text else text), (f"all/{i}/deep/down/file", "nothing of the kind")]
+        want |= {rows[-2][0]: (name, name), rows[-1][0]: (None, name)}
+    rows += [("q/a", "SPDX-License-Identifier: Foo-9.9"), ("q/b", "We were licensed to sell, and the version was free of charge.")]
+    want |= {"q/a": (None, None), "q/b": (None, None)}
+    found = {r.path: (r.own_license, r.inherited_license) for r in licenses.scan(spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")).collect()}
+    assert {k: (v, found[k]) for k, v in want.items() if found[k] != v} == {}
+    assert len({n for n, _, _ in licenses.TEMPLATES}) >= 20
+
+
+def test_inheritance_against_a_walk(spark):
+    r = random.Random(12)
+    names = ["MIT", "ISC", "Zlib", "0BSD"]
+    rows = []
+    for i in range(250):
+        path = "/".join([r.choice("abc") for _ in range(r.randint(0, 5))] + [f"f{i}"])
+        rows.append((i, path, licenses.TEXTS[r.choice(names)] if r.random() < 0.06 else r.choice(["plain", "", None])))
+    covers = {}
+    for _, path, text in rows:
+        if text and len(text) > 100:
+            name = next(n for n, t in licenses.TEXTS.items() if t == text)
+            at = path.rpartition("/")[0]
+            covers[at] = min(covers.get(at, "~"), name)
+    found = {x.doc_id: (x.inherited_license, x.inherited_from) for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, path, _ in rows:
+        at, want = path, (None, None)
+        while at:
+            at = at.rpartition("/")[0]
+            if at in covers:
+                want = (covers[at], at)
+                break
+        assert found[i] == want
+    assert len({x for x in found.values()}) > 4
