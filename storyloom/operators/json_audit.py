@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,8 +99,20 @@ def _lexical_fault(text: str, at: int) -> tuple[str, int]:
     return ("bad_number" if text[at] == "-" else "unexpected_character"), at
 
 
+def is_object(text: Column) -> Column:
+    """Whether a text is surely a JSON object and nothing else, by the JVM's parser, which refuses repeated keys.
+
+    The parser stops after the first value, so the text is parsed as the only entry of a list and as a value of an object: what follows a first value could
+    close one of them, but not both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")
+    held = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    # a null here leaves the text to the scan
+    return F.coalesce((F.size(listed) == 1) & F.schema_of_variant(F.get(listed, 0)).startswith("OBJECT") & held.isNotNull(), F.lit(False))
+
+
 def audited(documents: DataFrame, text: str = "text") -> DataFrame:
-    """V1: ``documents`` with valid, kind, offset, line, col. Each document is scanned where it is."""
+    """V1: ``documents`` with valid, kind, offset, line, col. What the JVM's parser takes is valid; only the texts that it refuses are sent to the scan, which finds their first fault."""
     fields = "valid boolean, kind string, offset int, line int, col int"
 
     def row(t: str | None) -> tuple:
@@ -112,10 +124,12 @@ def audited(documents: DataFrame, text: str = "text") -> DataFrame:
         return False, kind, at, before.count("\n") + 1, at - before.rfind("\n")
 
     @F.pandas_udf(fields)
-    def check(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([row(t) for t in texts], columns=["valid", "kind", "offset", "line", "col"]).astype({"offset": "Int32", "line": "Int32", "col": "Int32"})
+    def check(texts: pd.Series, taken: pd.Series) -> pd.DataFrame:
+        rows = [(True, None, None, None, None) if ok else row(t) for t, ok in zip(texts, taken, strict=True)]
+        return pd.DataFrame(rows, columns=["valid", "kind", "offset", "line", "col"]).astype({"offset": "Int32", "line": "Int32", "col": "Int32"})
 
-    return documents.withColumn("_a", check(F.col(text))).select(*documents.columns, "_a.*")
+    taken = documents.withColumn("_ok", is_object(F.col(text)))
+    return taken.withColumn("_a", check(F.when(~F.col("_ok"), F.col(text)), F.col("_ok"))).select(*documents.columns, "_a.*")
 
 
 def escaped_inside(text: str) -> str:

@@ -151,6 +151,9 @@ def updated_snapshots(snapshots: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def reentered(fresh: DataFrame, states: DataFrame) -> DataFrame:
     """(project, temp_ts): the stamp of an earlier try at just this batch, else null."""
-    batch = fresh.groupBy("project").agg(F.array_sort(F.collect_set("number")).alias("batch"))
-    held = states.select("project", F.array_sort("batch").alias("held"), "temp_ts")
-    return batch.join(held, "project", "left").select("project", F.when(F.col("batch") == F.col("held"), F.col("temp_ts")).alias("temp_ts"))
+    new = fresh.select("project", "number").distinct()
+    n_new = new.groupBy("project").agg(F.count(F.lit(1)).alias("n_new"))
+    held = states.select("project", F.explode("batch").alias("number"))
+    n_same = new.join(held, ["project", "number"]).groupBy("project").agg(F.count(F.lit(1)).alias("n_same"))  # sums, no lists, however large a batch is
+    rows = n_new.join(states.select("project", "temp_ts", F.size("batch").alias("n_held")), "project", "left").join(n_same, "project", "left")
+    return rows.select("project", F.when((F.col("n_new") == F.col("n_held")) & (F.col("n_new") == F.col("n_same")), F.col("temp_ts")).alias("temp_ts"))

@@ -232,6 +232,7 @@ _SQL = {
     "next_batch": 'SELECT project, count(*) + 1 AS start, count(*) + 30 AS "end" FROM annotated GROUP BY project',
     "failure_fuse": "SELECT *, prior_failures * 10 > processed * 3 AS blown FROM (SELECT project, event_id AS seq_id, coalesce(sum(failed::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior_failures, row_number() OVER w AS processed FROM outcomes WINDOW w AS (PARTITION BY project ORDER BY ts, event_id))",
     "pending_reasons": """SELECT l.project, l.chapter, l.attempts, arg_max('k' || o.tokens, (o.ts, o.event_id)) AS reason FROM ledger l JOIN outcomes o ON o.project = l.project AND o.chapter = l.chapter AND o.failed GROUP BY ALL""",
+    "json_objects": "SELECT event_id, event_id % 12 NOT IN (1, 2, 3, 4, 5, 6, 7, 8) AND json_valid(props) AND json_type(props) = 'OBJECT' AS valid FROM events",
     "usage_kinds": """SELECT project, count(*) AS calls, coalesce(sum(tokens // 3), 0)::BIGINT AS prompt_tokens, coalesce(sum(tokens - tokens // 3), 0)::BIGINT AS completion_tokens, coalesce(sum(tokens), 0)::BIGINT AS total_tokens FROM outcomes GROUP BY project""",
     "aggregate_texts": """SELECT * FROM (
       SELECT project, 'event' AS layer, unnest([CASE WHEN p % 3 = 0 THEN 'deprecated_key' END, CASE WHEN p % 4 IN (1, 2) THEN 'no_snapshot' END, CASE WHEN odd THEN 'end_not_number' END]) AS rule

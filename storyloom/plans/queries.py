@@ -331,13 +331,24 @@ def request_audit(spark, sf):
     return gates.audit_requests(r.withColumns({"type": F.when(n % 7 == 0, "?").otherwise(F.col("type")), "funcs": F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.col("funcs"))}))
 
 
-@query
-def json_validity(spark, sf):
-    """V1 over event properties, some of them broken."""
+def broken_properties(spark, sf):
+    """Event properties as texts, some of them broken."""
     e = adapter.load(spark, sf, "events")
     n = F.col("event_id") % 12
     t = F.when(n == 1, F.lit('{"a":1,"a":2}')).when(n == 2, F.lit('{"a":1,}')).when(n == 3, F.lit("[1]")).when(n == 4, F.lit('{"a":"x\ny"}')).when(n == 5, F.concat("props", F.lit(" x"))).when(n == 6, F.lit('{"a":01}')).when(n == 7, F.lit('{"a":"\\q"}')).when(n == 8, F.lit('{"a" 1}')).otherwise(F.col("props"))
-    return json_audit.audited(e.select("event_id", t.alias("text"))).select("event_id", "valid", "kind", "offset", "line", "col")
+    return e.select("event_id", t.alias("text"))
+
+
+@query
+def json_validity(spark, sf):
+    """V1 over event properties."""
+    return json_audit.audited(broken_properties(spark, sf)).select("event_id", "valid", "kind", "offset", "line", "col")
+
+
+@query
+def json_objects(spark, sf):
+    """V1, whether they are valid at all."""
+    return json_audit.audited(broken_properties(spark, sf)).select("event_id", "valid")
 
 
 @query

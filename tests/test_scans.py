@@ -6,7 +6,7 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
-from storyloom.operators import chapters, ledger, lexicon, recall, refresh, scan
+from storyloom.operators import chapters, json_audit, ledger, lexicon, recall, refresh, rollup, scan
 from storyloom.sources import stores
 
 
@@ -168,3 +168,20 @@ def test_a_failed_publish_changes_nothing(spark, tmp_path):
     stores.publish(rows(3, ["007", "new"]), path)
     assert read() == [("007", 3), ("b/c d", 1), ("new", 3), ("书", 1)]
     assert stores.read_published(spark, path).count() == 16
+
+
+def test_the_json_prefilter_takes_only_valid_objects(spark):
+    r = random.Random(6)
+    parts = ['{"a":', '"b":', "1", "-0.5e3", "01", "{", "}", "[", "]", ",", ":", '"x"', "true", "null", " ", '"\\u00e9"', "nul", "{}", '{"a":1}', '"\\ud800"', "\t", "\n", '"a\nb"', "NaN", "'", "//", "1.", '"a":2', '{"a":{"b":[1,{}]}}']
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 7))) for _ in range(4000)] + ['{"a":1,"\\u0061":2}', '{"x":1,"x":1}', "{}]x}", "{}}x", "{},", '{},"y":{}', "﻿{}", " {} ", None, '{"a":1} // c', '{"a":"\x7f "}']
+    found = json_audit.audited(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").withColumn("taken", json_audit.is_object(F.col("text")))).collect()
+    assert all(row.valid == (json_audit.audit(row.text) is None) for row in found)
+    valid = [row for row in found if row.valid]
+    assert len(valid) > 50 and sum(row.taken for row in valid) > 0.9 * len(valid)
+    assert all((row.kind, row.offset) == json_audit.audit(row.text) for row in found if not row.valid)
+
+
+def test_batches_are_compared_without_lists(spark):
+    fresh = spark.createDataFrame([(p, n) for p in "abcde" for n in (1, 2, 2, 3)], "project string, number int")
+    states = spark.createDataFrame([("a", [3, 1, 2], "t1"), ("b", [1, 2], "t2"), ("c", [1, 2, 4], "t3"), ("d", [1, 2, 3, 3], "t4")], "project string, batch array<int>, temp_ts string")
+    assert {r.project: r.temp_ts for r in rollup.reentered(fresh, states).collect()} == {"a": "t1", "b": None, "c": None, "d": None, "e": None}
