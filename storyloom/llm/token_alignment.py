@@ -27,7 +27,7 @@ from storyloom.llm.common import table
 
 FOLDER = "/opt/tokenizers"
 #: Characters of text that make a chunk, that are encoded at once, and of words that a worker remembers.
-CHUNK_CHARS, BLOCK_CHARS, REMEMBERED = 4_000_000, 2_000, 4_000_000
+CHUNK_CHARS, BLOCK_CHARS, REMEMBERED = 2_000_000, 2_000, 2_000_000
 #: Blocks that are aligned in one go; the word that opens each, as B puts a blank before it.
 BLOCKS, OPENER = 64, " a"
 
