@@ -13,7 +13,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH")) if x)
 
-HEADLINE = ["shot_text", "chapter_stats", "shot_gate", "ngram_counts", "lexicon_words", "token_postings", "label_recall", "vector_topk", "token_recall", "recall_merge", "op1_mixing", "op2_decontamination", "op4_simhash_dedup", "op10_quality_rules"]
+HEADLINE = ["shot_text", "chapter_stats", "shot_gate", "ngram_counts", "lexicon_words", "token_postings", "label_recall", "vector_topk", "token_recall", "recall_merge", "op1_mixing", "op2_decontamination", "op4_simhash_dedup", "op10_quality_rules", "op11_line_dedup", "op12_token_alignment", "op13_source_divergence"]
 
 
 def main() -> None:
