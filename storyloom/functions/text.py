@@ -82,11 +82,11 @@ def numeral_value(c: Column) -> Column:
 
 
 def numeral(n: Column) -> Column:
-    """A number up to 9999 as a Chinese numeral."""
+    """A number up to 9999 as a Chinese numeral; larger ones have none (null)."""
     names = F.array(*[F.lit(x) for x in "零一二三四五六七八九"])
 
     def name(d: Column) -> Column:
-        return F.element_at(names, (d + 1).cast("int"))
+        return F.get(names, d.cast("int"))
 
     k, h, t, o = (F.floor(n / 1000), F.floor(n / 100) % 10, F.floor(n / 10) % 10, n % 10)
     ones = F.when(o == 0, "").otherwise(name(o))
@@ -94,7 +94,7 @@ def numeral(n: Column) -> Column:
     tens_in = F.when(t == 0, F.when(o == 0, "").otherwise(F.concat(F.lit("零"), ones))).when(t == 1, F.concat(F.lit("十"), ones)).otherwise(F.concat(name(t), F.lit("十"), ones))
     hundreds = F.concat(name(h), F.lit("百"), tens_in)
     rest = F.when(n % 1000 == 0, "").when(n % 1000 < 100, F.concat(F.lit("零"), F.when((t == 0) & (o > 0), name(o)).otherwise(tens_in))).otherwise(hundreds)
-    return F.when(n <= 0, "零").when(n < 10, name(n)).when(n < 100, tens).when(n < 1000, hundreds).otherwise(F.concat(name(k), F.lit("千"), rest))
+    return F.when(n <= 0, "零").when(n < 10, name(n)).when(n < 100, tens).when(n < 1000, hundreds).when(n < 10_000, F.concat(name(k), F.lit("千"), rest))
 
 
 def is_heading(line: Column) -> Column:

@@ -90,7 +90,7 @@ def synthetic_corpus(manuscripts: DataFrame) -> DataFrame:
     # only numbers are scanned; the texts are met again by chapter
     ends = running_sums(m.select("project", "number", "n_lines"), ["project"], ["number"], {"end": F.col("n_lines") + 1}).select("project", "number", "end")
     m = m.join(ends, ["project", "number"])
-    heading = F.concat(F.lit("第"), numeral(F.col("number")), F.lit("章 "), F.col("found"))
+    heading = F.concat(F.lit("第"), F.coalesce(numeral(F.col("number")), F.col("number").cast("string")), F.lit("章 "), F.col("found"))
     shown = F.when(F.col("found") == "", F.concat(F.lit("第"), F.col("number").cast("string"), F.lit("章"))).otherwise(F.col("found"))
     return m.select("project", "number", shown.alias("title"), heading.alias("heading"), F.coalesce("body", F.lit("")).alias("body"), (F.col("end") - F.col("n_lines")).alias("start"), "end", F.length(without_blanks(F.coalesce("body", F.lit("")))).alias("chars"))
 

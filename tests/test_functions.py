@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from storyloom.functions import text
 from storyloom.operators import chapters
+from storyloom.plans import queries
 from storyloom.sources import stores
 
 
@@ -17,6 +18,17 @@ def test_numerals(spark):
     assert column(spark, [0, 7, 10, 11, 20, 23, 105, 110, 1000], text.numeral, "int") == want
 
 
+def test_numbers_without_numeral(spark):
+    assert column(spark, [9999, 10_000, 51_282, None], text.numeral, "int") == ["九千九百九十九", None, None, None]
+
+
+def test_chapter_numerals_beyond_9999(spark, tmp_path):
+    rows = [(n - 1, "x", "s") for n in (7, 9999, 10_000, 45_123)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.number: (r.numeral, r.value) for r in queries.chapter_numerals(spark, str(tmp_path)).collect()}
+    assert got == {7: ("七", 7), 9999: ("九千九百九十九", 9999), 10_000: (None, 10_000), 45_123: (None, 45_123)}
+
+
 def test_headings(spark):
     lines = ["第一章 甄士隐", "第四章中既将", "　第二章 x", "1、庙会", "2、", "第一千章 x", "第二章　 b "]
     assert column(spark, lines, text.is_heading) == [True, False, False, True, True, False, True]
