@@ -5,11 +5,10 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,74 +192,173 @@ def needs_rebuild(now: DataFrame, recorded: DataFrame) -> DataFrame:
     return per.where("n > 0").select("project", "rebuild")
 
 
-def automaton_of(words: Iterable[str]) -> ahocorasick.Automaton:
-    """Finds all of the words in one walk over a text's code points; it gives each find's last place and length."""
-    made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for word in words:
-        made.add_word(word)
-    made.make_automaton()
-    return made
+class Words:
+    """A book's words as a tree, level by level: a level's sorted keys are the place of the node before times 2**21 plus a character's code. A word costs some nine
+    bytes for each character that it doesn't share, and all places of a text go down the tree at once."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.levels = levels
+        self.base = np.cumsum([0, *(len(keys) for keys, _ in levels)])
+
+    def __len__(self) -> int:
+        return int(self.base[-1])
+
+    def found(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, starts, numbers of the words) for each length of words, the short ones first."""
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for depth, (keys, ends) in enumerate(self.levels):
+            if len(at) and at[-1] + depth >= len(codes):
+                inside = at + depth < len(codes)
+                at, node = at[inside], node[inside]
+            if not len(at):
+                return
+            key = (node << np.uint64(21)) | codes[at + depth]
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            there = keys[place] == key
+            at, place = at[there], place[there]
+            node, hit = place.astype(np.uint64), ends[place]
+            yield depth + 1, at[hit], self.base[depth] + place[hit]
+
+
+def automaton_of(words: Iterable[str]) -> Words:
+    """Finds all of the words in one walk over a text's code points."""
+    known = [w for w in words if w]
+    size = np.fromiter(map(len, known), np.int64, len(known))
+    starts = np.cumsum(size) - size
+    codes = np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alive, node, levels = np.arange(len(known)), np.zeros(len(known), np.uint64), []
+    while len(alive):
+        depth = len(levels)
+        keys, place = np.unique((node << np.uint64(21)) | codes[starts[alive] + depth], return_inverse=True)
+        ends = np.zeros(len(keys), bool)
+        ends[place[size[alive] == depth + 1]] = True
+        levels.append((keys, ends))
+        longer = size[alive] > depth + 1
+        alive, node = alive[longer], place[longer].astype(np.uint64)
+    return Words(levels)
 
 
 def automata(words: DataFrame) -> DataFrame:
-    """(project, automaton, entries): the automaton of each book's words (project, word), built once."""
+    """(project, automaton, entries): the tree of each book's words (project, word), built once."""
 
     def built(rows: pa.Table) -> pa.Table:
-        found = set(rows.column("word").to_pylist())
-        return pa.table({"project": rows.column("project")[:1], "automaton": pa.array([pickle.dumps(automaton_of(found))], pa.binary()), "entries": pa.array([len(found)], pa.int32())})
+        made = automaton_of(rows.column("word").to_pylist())
+        entries = sum(int(ends.sum()) for _, ends in made.levels)
+        return pa.table({"project": rows.column("project")[:1], "automaton": pa.array([pickle.dumps(made.levels)], pa.binary()), "entries": pa.array([entries], pa.int32())})
 
     return words.where("word <> ''").select("project", "word").groupBy("project").applyInArrow(built, "project string, automaton binary, entries int")
 
 
-def finds(made: ahocorasick.Automaton, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts one after the other, and of each find the number of its text, its start and its length, in order of start, longest first."""
-    whole = _GAP.join([*texts, ""])
-    pairs = np.fromiter(chain.from_iterable(made.iter(whole)), np.int64).reshape(-1, 2) if len(made) else np.zeros((0, 2), np.int64)
-    size = pairs[:, 1]
-    start = pairs[:, 0] - size + 1
-    order = np.lexsort((-size, start))
+#: (whole, of, start, size, word): the texts one after the other, and of each find the number of its text, its start, its length and its word's number.
+Finds = tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _owners(texts: list[str], start: np.ndarray) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return whole, np.searchsorted(ends, start[order], side="right"), start[order], size[order]
+    return np.searchsorted(ends, start, side="right")
+
+
+def all_finds(made: Words, texts: list[str]) -> Finds:
+    """Every word anywhere in the texts."""
+    whole, codes = _codes(texts)
+    parts = [(start, np.full(len(start), n), word) for n, start, word in made.found(codes)]
+    start, size, word = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in range(3))
+    return whole, _owners(texts, start), start, size, word
+
+
+def longest_finds(made: Words, texts: list[str]) -> Finds:
+    """The longest word at each place, in order; what begins none is passed over."""
+    whole, codes = _codes(texts)
+    longest, which = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+    for n, start, word in made.found(codes):
+        longest[start], which[start] = n, word
+    spots = np.flatnonzero(longest)
+    after = np.searchsorted(spots, spots + longest[spots]).tolist()
+    taken, k = [], 0
+    while k < len(after):
+        taken.append(k)
+        k = after[k]
+    start = spots[np.array(taken, np.int64)]
+    return whole, _owners(texts, start), start, longest[start], which[start]
+
+
+def longest_words(made: Words, texts: list[str]) -> list[tuple[int, str]]:
+    """(number of the text, word) in order."""
+    whole, of, start, size, _ = longest_finds(made, texts)
+    return [(text, whole[i : i + n]) for text, i, n in zip(of.tolist(), start.tolist(), size.tolist(), strict=True)]
+
 
+#: Characters of texts that are looked at at once.
+CHUNK_CHARS = 500_000
 
-def longest_words(made: ahocorasick.Automaton, texts: list[str]) -> list[tuple[int, str]]:
-    """(number of the text, word) in order: the longest word at each place; what begins none is passed over."""
-    whole, of, start, size = finds(made, texts)
-    out, free = [], 0
-    for text, i, n in zip(of.tolist(), start.tolist(), size.tolist(), strict=True):
-        if i >= free:
-            out.append((text, whole[i : i + n]))
-            free = i + n
-    return out
 
+def _counted(book: str, rows: pa.Table, made: Words, finds: Callable[[Words, list[str]], Finds]) -> pa.RecordBatch:
+    """(project, key, token, n) of texts (key, text)."""
+    keys = rows.column("key").combine_chunks().dictionary_encode()
+    whole, of, start, size, word = finds(made, [t or "" for t in rows.column("text").to_pylist()])
+    of = keys.indices.to_numpy()[of].astype(np.int64)
+    _, first, n = np.unique(of * max(1, len(made)) + word, return_index=True, return_counts=True)
+    tokens = [whole[i:j] for i, j in zip(start[first].tolist(), (start[first] + size[first]).tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([book] * len(n), pa.string()), keys.dictionary.take(pa.array(of[first])), pa.array(tokens, pa.string()), pa.array(n, pa.int64())], names=["project", "key", "token", "n"])
 
-def walked(texts: DataFrame, words: DataFrame, counts: Callable[[ahocorasick.Automaton, list[str]], Iterable[tuple[int, str]]], size: int = SLICE_ROWS) -> DataFrame:
-    """(project, key, token, n): how often ``counts`` gives a token for the texts (project, key, text) of a key, by the automaton of their book's words.
 
-    A book's texts are dealt by key over groups, each with the book's automaton as one value, so that a large book isn't one task; a key's tokens are counted in its group.
+def walked(texts: DataFrame, words: DataFrame, finds: Callable[[Words, list[str]], Finds], size: int = SLICE_ROWS) -> DataFrame:
+    """(project, key, token, n): how often ``finds`` gives a token for the texts (project, key, text) of a key, by the tree of their book's words.
+
+    A book's texts are dealt by key over groups, so that a large book isn't one task. In a group the tree comes first and the texts stream past it in order of their
+    keys, so a task holds one tree and one piece of the texts, however many rows the group has.
     """
     rows, made = dealt(texts.select("project", "key", "text"), table(automata(words)), "key", size)
 
-    def tokens_of(rows: pa.Table, made: pa.Table) -> pa.Table:
-        keys = rows.column("key").to_pylist()
-        found = counts(pickle.loads(made.column("automaton")[0].as_py()), [t or "" for t in rows.column("text").to_pylist()]) if keys and made.num_rows else []
-        n = Counter((keys[i], w) for i, w in found)
-        book = rows.column("project")[0].as_py() if keys else None
-        return pa.table({"project": pa.array([book] * len(n), pa.string()), "key": pa.array([k for k, _ in n], pa.string()), "token": pa.array([w for _, w in n], pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, tree, left = None, None, None
+
+        def pieces(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            """The counts of ``rows``; the rows of the last key wait for those that follow."""
+            nonlocal left
+            keys = rows.column("key").to_pylist()
+            ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + ([len(keys)] if last and keys else [])
+            chars, begin = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(rows.column("text")), 0).to_numpy())]), 0
+            for k, end in enumerate(ends):
+                if k + 1 == len(ends) or chars[ends[k + 1]] - chars[begin] > CHUNK_CHARS:
+                    if tree is not None:
+                        yield _counted(group[0], rows.slice(begin, end - begin), tree, finds)
+                    begin = end
+            left = rows.slice(begin)
 
-    return rows.groupBy("project", "slot").cogroup(made.groupBy("b_project", "b_slot")).applyInArrow(tokens_of, "project string, key string, token string, n long")
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            starts = rows.column("automaton").is_valid().to_pylist()
+            names = list(zip(rows.column("project").to_pylist(), rows.column("slot").to_pylist(), strict=True))
+            begin = 0
+            while begin < len(names):
+                if names[begin] != group or starts[begin]:
+                    if left is not None:
+                        yield from pieces(left, True)
+                    group, left = names[begin], None
+                    tree = Words(pickle.loads(rows.column("automaton")[begin].as_py())) if starts[begin] else None
+                    begin += starts[begin]
+                end = begin
+                while end < len(names) and names[end] == group and not starts[end]:
+                    end += 1
+                mine = rows.slice(begin, end - begin).select(["key", "text"])
+                yield from pieces(mine if left is None else pa.concat_tables([left, mine]), False)
+                begin = end
+        if left is not None:
+            yield from pieces(left, True)
+
+    none = F.lit(None)
+    first = made.select(F.col("b_project").alias("project"), F.col("b_slot").alias("slot"), none.cast("string").alias("key"), none.cast("string").alias("text"), "automaton")
+    both = first.unionByName(rows.select("project", "slot", "key", "text", none.cast("binary").alias("automaton")))
+    met = both.repartition("project", "slot").sortWithinPartitions("project", "slot", F.col("automaton").isNull(), "key")
+    return met.mapInArrow(tokens_of, "project string, key string, token string, n long")
 
 
 def postings(texts: DataFrame, words: DataFrame, size: int = SLICE_ROWS) -> DataFrame:
     """(project, key, token, n) of texts (project, key, text): each text is tokenized once, with its own book's lexicon."""
-    return walked(texts, words, longest_words, size)
+    return walked(texts, words, longest_finds, size)
 
 
 def contained(texts: DataFrame, words: DataFrame, size: int = SLICE_ROWS) -> DataFrame:
     """(project, key, token, n): all words of the book that stand anywhere in the text, and how often."""
-
-    def all_words(made: ahocorasick.Automaton, texts: list[str]) -> Iterator[tuple[int, str]]:
-        whole, of, start, size = finds(made, texts)
-        return ((text, whole[i : i + n]) for text, i, n in zip(of.tolist(), start.tolist(), size.tolist(), strict=True))
-
-    return walked(texts, words, all_words, size)
+    return walked(texts, words, all_finds, size)
