@@ -4,7 +4,7 @@ import pickle
 import random
 from collections import Counter
 
-from storyloom.operators import lexicon
+from storyloom.operators import lexicon, recall
 
 
 def test_size_of_a_tree():
@@ -30,3 +30,25 @@ def test_texts_stream_past_a_tree(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len({(x.project, x.key, x.token) for x in got})
     assert {(x.project, x.key, x.token): x.n for x in got} == {k: n for k, n in want.items() if n}
+
+
+def test_queries_stream_past_bounded_groups_of_shots(spark, monkeypatch):
+    """Groups that are far smaller than a book's queries give the same counts and hits as one group."""
+    r = random.Random(4)
+    shots = [("b", i // 5, i, str(i), "".join(r.choices("甲乙丙", k=4))) for i in range(60)]
+    s = spark.createDataFrame(shots, "project string, chapter int, pos int, shot_id string, label string")
+    t = s.withColumnRenamed("label", "text")
+    q = spark.createDataFrame([(f"q{i}", "b", "".join(r.choices("甲乙丙丁", k=3))) for i in range(50)], "query_id string, project string, text string")
+    w = spark.createDataFrame([("b", x + y) for x in "甲乙丙" for y in "甲乙丙"], "project string, word string")
+
+    def rows() -> list:
+        return [sorted(map(tuple, f(q, s, t, w).collect())) for f in (recall.token_counts, recall.token_hits)]
+
+    want = rows()
+    monkeypatch.setattr(recall, "GROUP_WORDS", 1)
+    monkeypatch.setattr(recall, "MOST_WORDS", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert rows() == want and len(want[0]) > 400
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
