@@ -35,7 +35,7 @@ def _any_of(marks: str) -> str:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{BLANK}+", ""), f"{BLANK}+$", "")
+    return F.btrim(c, F.lit("\t\n\x0b\f\r" + "".join(map(chr, _BLANKS))))
 
 
 def is_blank(c: Column) -> Column:
@@ -43,7 +43,7 @@ def is_blank(c: Column) -> Column:
 
 
 def without_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, BLANK, "")
+    return F.regexp_replace(c, _any_of(""), "")
 
 
 def sentence_clean(c: Column) -> Column:

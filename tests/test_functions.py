@@ -29,6 +29,13 @@ def test_chapter_numerals_beyond_9999(spark, tmp_path):
     assert got == {7: ("七", 7), 9999: ("九千九百九十九", 9999), 10_000: (None, 10_000), 45_123: (None, 45_123)}
 
 
+def test_trimmed_leaves_other_marks(spark):
+    """A next-line mark is no blank, so what stands before it stays, at the end of a text too."""
+    texts = ["a \x85", " \x85 a\u3000\n", "\ufeff\t\u2028a b\xa0\r\n", "\u2003 \n", "", None]
+    assert column(spark, texts, text.trimmed) == ["a \x85", "\x85 a", "a b", "", "", None]
+    assert column(spark, texts, text.without_blanks) == ["a\x85", "\x85a", "ab", "", "", None]
+
+
 def test_headings(spark):
     lines = ["第一章 甄士隐", "第四章中既将", "　第二章 x", "1、庙会", "2、", "第一千章 x", "第二章　 b "]
     assert column(spark, lines, text.is_heading) == [True, False, False, True, True, False, True]
