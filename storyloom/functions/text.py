@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 _BLANKS = [0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 BLANK = r"[\t\n\x0B\f\r" + "".join(map(chr, _BLANKS)) + "]"
+BLANKS = "\t\n\x0b\f\r" + "".join(map(chr, _BLANKS))
 _INDENT = BLANK.replace("\\n", "")  # blanks within a line
 #: The marks that are left out, the heading forms, and the Markdown forms in ``markdown_length``.
 SENTENCE_MARKS = "，。！？…、；：\"'“”‘’—–·《》「」『』【】〈〉"
@@ -35,7 +36,7 @@ def _any_of(marks: str) -> str:
 
 
 def trimmed(c: Column) -> Column:
-    return F.btrim(c, F.lit("\t\n\x0b\f\r" + "".join(map(chr, _BLANKS))))
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:

@@ -9,15 +9,17 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions.enums import CUT_CHARS, LEXICON_STOP_WORDS
-from storyloom.functions.text import sentence_clean, trimmed
-from storyloom.sources.checkpoints import cut, table
+from storyloom.functions.text import BLANKS, SENTENCE_MARKS, sentence_clean, trimmed
+from storyloom.sources.checkpoints import table
 
 MIN_PMI, MIN_COUNT, LONGEST, MIN_FREQUENCY = 2.0, 3, 7, 3
-SLICE_ROWS = 20_000
+SLICE_ROWS, SLICE_CHARS = 20_000, 2_000_000
+#: Characters of sentences that are packed in a row, and of texts that are looked at at once.
+PACK_CHARS, CHUNK_CHARS = 8_000, 500_000
 
 
 def label_words(shots: DataFrame) -> DataFrame:
@@ -27,38 +29,107 @@ def label_words(shots: DataFrame) -> DataFrame:
 
 
 def cleaned(sentences: DataFrame) -> DataFrame:
+    """(project, clean), a row a sentence."""
     return sentences.select("project", sentence_clean(F.col("text")).alias("clean"))
 
 
+def _flags(chars: str) -> np.ndarray:
+    """For each code point, whether it is one of ``chars``."""
+    table = np.zeros(0x110000, bool)
+    table[[ord(c) for c in chars]] = True
+    return table
+
+
+_MARKS = _flags(SENTENCE_MARKS + BLANKS)
+_BREAK = ord("\n")  # no cleaned sentence holds it; stands between sentences
+
+
+def packed(sentences: DataFrame, size: int = PACK_CHARS) -> DataFrame:
+    """(project, clean): cleaned sentences, as many of a book in a row as make about ``size`` characters, with line feeds between them. What takes
+    cleaned sentences takes these, and handles few rows; a sentence is never divided."""
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for book, texts in _by_book(batch):
+                codes = _codes_of([t.replace("\n", "") for t in texts])
+                codes = codes[~_MARKS[codes] | (codes == _BREAK)]
+                ends, start, rows = np.append(np.flatnonzero(codes == _BREAK), len(codes)), 0, []
+                while start < len(codes):
+                    end = int(ends[min(np.searchsorted(ends, start + size), len(ends) - 1)])
+                    rows.append(codes[start:end].tobytes().decode("utf-32-le", "surrogatepass"))
+                    start = end + 1
+                yield pa.RecordBatch.from_arrays([pa.array([book] * len(rows), pa.string()), pa.array(rows, pa.string())], names=["project", "clean"])
+
+    return sentences.select("project", "text").mapInArrow(laid, "project string, clean string")
+
+
+def _by_book(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[str]]]:
+    """The texts of each book; a text that is null is empty."""
+    books = batch.column(0).dictionary_encode("encode")
+    of, texts = books.indices.to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+    order = np.argsort(of, kind="stable")
+    starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+    for rows in np.split(order, starts[1:]) if len(order) else []:
+        yield books.dictionary[int(of[rows[0]])].as_py(), [t or "" for t in texts[rows].tolist()]
+
+
+def _codes_of(texts: list[str]) -> np.ndarray:
+    """The code points of the texts, with a line feed between them."""
+    return np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _dense(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, how often each occurs, number of each code point's character among them)."""
+    n = np.bincount(codes)
+    chars = np.flatnonzero(n)
+    number = np.zeros(len(n), np.int64)
+    number[chars] = np.arange(len(chars))
+    return chars, n[chars], number[codes]
+
+
 def unigrams(clean: DataFrame) -> DataFrame:
     """L2: (project, gram, n)."""
-    return gram_counts(clean, 1)
+    return gram_counts(clean, (1,))
 
 
 def bigrams(clean: DataFrame) -> DataFrame:
     """L2: (project, gram, n) of neighbouring characters within a sentence."""
-    return gram_counts(clean, 2)
+    return gram_counts(clean, (2,))
 
 
-def gram_counts(clean: DataFrame, size: int) -> DataFrame:
-    """Counts of runs of one or two characters. Each batch of sentences is counted as an array of code points, so that what is shuffled
-    is one row for each book and gram of a batch, not one for each character."""
+def of_size(grams: DataFrame, size: int) -> DataFrame:
+    return grams.where(F.length("gram") == size)
+
+
+def gram_counts(clean: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(project, gram, n) of runs of one or two characters, both in one walk. Each batch of sentences is counted as an array of code points, so that what is
+    shuffled is one row for each book and gram of a batch, not one for each character."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            books: dict[str | None, list[str]] = {}
-            for book, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                books.setdefault(book, []).append(text or "")
-            for book, texts in books.items():
-                codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                if size == 2 and len(codes):
-                    last = np.cumsum([len(t) for t in texts])[:-1] - 1
-                    inside = np.ones(len(codes) - 1, bool)
-                    inside[last[(last >= 0) & (last < len(inside))]] = False
-                    codes = ((codes[:-1] << np.uint64(32)) | codes[1:])[inside]
-                found, n = np.unique(codes, return_counts=True)
-                grams = [chr(g) if size == 1 else chr(g >> 32) + chr(g & 0xFFFFFFFF) for g in found.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([book] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=["project", "gram", "n"])
+            for book, texts in _by_book(batch):
+                codes = _codes_of(texts)
+                if not len(codes):
+                    continue
+                chars, single, number = _dense(codes)
+                grams, n = [], []
+                if 1 in sizes:
+                    inside = chars != _BREAK
+                    grams += map(chr, chars[inside].tolist())
+                    n.append(single[inside])
+                if 2 in sizes:
+                    pairs = number[:-1] * len(chars) + number[1:]
+                    if len(chars) ** 2 <= max(len(codes), 1 << 16):
+                        counts = np.bincount(pairs)
+                        found = np.flatnonzero(counts)
+                        counts = counts[found]
+                    else:
+                        found, counts = np.unique(pairs, return_counts=True)
+                    a, b = chars[found // len(chars)], chars[found % len(chars)]
+                    inside = (a != _BREAK) & (b != _BREAK)
+                    grams += [chr(x) + chr(y) for x, y in zip(a[inside].tolist(), b[inside].tolist(), strict=True)]
+                    n.append(counts[inside])
+                yield pa.RecordBatch.from_arrays([pa.array([book] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(np.concatenate(n), pa.int64())], names=["project", "gram", "n"])
 
     rows = clean.select("project", "clean").mapInArrow(counted, "project string, gram string, n long")
     return rows.groupBy("project", "gram").agg(F.sum("n").alias("n"))
@@ -66,7 +137,8 @@ def gram_counts(clean: DataFrame, size: int) -> DataFrame:
 
 def pmi_table(clean: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """L3: (project, gram, n, pmi) of the bigrams that occur often enough; the others have no bond."""
-    return pmi_of_counts(cut(unigrams(clean)), bigrams(clean), min_count)
+    grams = table(gram_counts(clean))
+    return pmi_of_counts(of_size(grams, 1), of_size(grams, 2), min_count)
 
 
 def pmi_of_counts(one: DataFrame, two: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -78,7 +150,7 @@ def pmi_of_counts(one: DataFrame, two: DataFrame, min_count: int = MIN_COUNT) ->
     return rows.select("project", "gram", "n", F.log2(together / single).alias("pmi"))
 
 
-_CUTS = np.sort(np.array([ord(c) for c in set(CUT_CHARS)], np.uint64))
+_CUTS = _flags(CUT_CHARS + "\n")
 _GAP = "\ud800"  # no text holds it; stands between texts
 
 
@@ -88,36 +160,91 @@ def _codes(texts: list[str]) -> tuple[str, np.ndarray]:
     return whole, np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which values stand in the sorted table."""
-    if not len(table):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+#: Most entries of a book's square of bonds; a book with more characters looks its pairs up in the sorted array.
+SQUARE = 1 << 24
+
+
+class Bonds:
+    """Which neighbours of a book are bonded. ``bonded``: sorted pairs, the first character's code times 2**32 plus the second's."""
+
+    def __init__(self, bonded: np.ndarray) -> None:
+        self.bonded = bonded.astype(np.uint64)
+        first, second = (x.astype(np.int64) for x in (self.bonded >> np.uint64(32), self.bonded & np.uint64(0xFFFFFFFF)))
+        chars = np.unique(np.concatenate([first, second]))
+        self.side = len(chars) + 1  # a character without bonds is number 0
+        self.square = None
+        if self.side**2 <= SQUARE:
+            self.number = np.zeros(0x110000, np.int32)
+            self.number[chars] = np.arange(1, self.side)
+            self.square = np.zeros(self.side**2, bool)
+            self.square[self.number[first].astype(np.int64) * self.side + self.number[second]] = True
+
+    def between(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each code point is bonded to the one after it."""
+        if self.square is not None:
+            number = self.number[codes]
+            return self.square[number[:-1] * self.side + number[1:]]
+        pairs = (codes[:-1].astype(np.uint64) << np.uint64(32)) | codes[1:]
+        return self.bonded[np.minimum(np.searchsorted(self.bonded, pairs), len(self.bonded) - 1)] == pairs
+
+
+def _same(numbers: np.ndarray, most: int, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a start, how often) of each different run of ``size`` numbers from 0 to ``most`` among those that begin at ``starts``."""
+    bits, key, used = max(1, int(most).bit_length()), np.zeros(len(starts), np.int64), 0
+    for k in range(size):
+        if used + bits > 62:
+            known, key = np.unique(key, return_inverse=True)
+            used = len(known).bit_length()
+        key, used = (key << bits) | numbers[starts + k], used + bits
+    _, at, n = np.unique(key, return_index=True, return_counts=True)
+    return starts[at], n
+
+
+def _pieces(texts: list[str], most: int) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``most`` characters."""
+    held, chars = [], 0
+    for text in texts:
+        held.append(text)
+        chars += len(text)
+        if chars >= most:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
 
 
 def cut_at_bonds(texts: list[str], bonded: np.ndarray, longest: int = LONGEST) -> Counter[str]:
     """L4: how often each word occurs: maximal runs of bonded neighbours, in pieces of ``longest``; characters that always cut give no word.
 
-    ``bonded``: sorted pairs, the first character's code times 2**32 plus the second's.
+    ``bonded``: as in ``Bonds``.
     """
-    whole, codes = _codes(texts)
-    if not len(codes):
-        return Counter()
-    cuts = _among(codes, _CUTS) | (codes == ord(_GAP))
-    begins = np.ones(len(codes), bool)
-    begins[1:] = cuts[1:] | cuts[:-1] | ~_among((codes[:-1] << np.uint64(32)) | codes[1:], bonded)
-    at = np.arange(len(codes))
-    begins |= (at - np.maximum.accumulate(np.where(begins, at, 0))) % longest == 0
-    starts = np.flatnonzero(begins)
-    stops = np.append(starts[1:], len(codes))
-    keep = ~cuts[starts]
-    return Counter([whole[i:j] for i, j in zip(starts[keep].tolist(), stops[keep].tolist(), strict=True)])
-
-
-def slices(rows: DataFrame, beside: DataFrame, size: int) -> DataFrame:
-    """(project, slices): into how many groups a book's rows are dealt, each of about ``size`` rows, and of no fewer than ``beside`` (project, entries) says
-    are the entries of what each group gets besides. So what is repeated for each group never grows beyond the rows themselves."""
-    n = rows.groupBy("project").agg(F.count(F.lit(1)).alias("n")).join(beside, "project", "left")
+    bonds, found = Bonds(bonded), Counter()
+    for piece in _pieces(texts, CHUNK_CHARS):
+        whole, codes = "\n".join(piece), _codes_of(piece)
+        if not len(codes):
+            continue
+        cuts = _CUTS[codes]
+        begins = np.ones(len(codes), bool)
+        begins[1:] = cuts[1:] | cuts[:-1] | ~bonds.between(codes)
+        first = np.flatnonzero(begins)
+        runs = np.diff(first, append=len(codes))
+        parts = -(-runs // longest)
+        starts = np.repeat(first, parts) + longest * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        size = np.diff(starts, append=len(codes))
+        keep = ~cuts[starts]
+        starts, size = starts[keep], size[keep]
+        chars, _, number = _dense(codes)
+        for length in np.unique(size).tolist():
+            begin, n = _same(number, len(chars), starts[size == length], length)
+            for i, times in zip(begin.tolist(), n.tolist(), strict=True):
+                found[whole[i : i + length]] += times
+    return found
+
+
+def slices(rows: DataFrame, beside: DataFrame, size: int, weight: Column | None = None) -> DataFrame:
+    """(project, slices): into how many groups a book's rows are dealt, each of about ``size`` rows (or sum of ``weight``), and of no fewer than ``beside`` (project, entries)
+    says are the entries of what each group gets besides. So what is repeated for each group never grows beyond the rows themselves."""
+    n = rows.groupBy("project").agg(F.sum(F.lit(1) if weight is None else weight).alias("n")).join(beside, "project", "left")
     return n.select("project", F.ceil(F.col("n") / F.greatest(F.lit(size), F.coalesce("entries", F.lit(0)))).cast("int").alias("slices"))
 
 
@@ -128,26 +255,28 @@ def bonds_of_books(pmi: DataFrame, min_pmi: float = MIN_PMI) -> DataFrame:
     return rows.withColumn("entries", F.size("bonds"))
 
 
-def dealt(rows: DataFrame, beside: DataFrame, key: str, size: int, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def dealt(rows: DataFrame, beside: DataFrame, key: str, size: int, entries: DataFrame | None = None, weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows`` with a slot for groups (project, slot), and ``beside`` once for each of them, as (b_project, b_slot, ...). ``entries``: (project, entries)
-    of ``beside``, if it doesn't say so itself."""
-    dealt_to = cut(slices(rows, beside.select("project", "entries") if entries is None else entries, size))
+    of ``beside``, if it doesn't say so itself; ``weight``: as in ``slices``."""
+    dealt_to = table(slices(rows, beside.select("project", "entries") if entries is None else entries, size, weight))
     slot = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("b_slot")
     others = [c for c in beside.columns if c not in ("project", "entries")]
     return rows.join(dealt_to, "project").withColumn("slot", F.pmod(F.xxhash64(key), "slices").cast("int")).drop("slices"), beside.join(dealt_to, "project").select(F.col("project").alias("b_project"), slot, *others)
 
 
-def pmi_words(clean: DataFrame, pmi: DataFrame, min_pmi: float = MIN_PMI, size: int = SLICE_ROWS) -> DataFrame:
+def pmi_words(clean: DataFrame, pmi: DataFrame, min_pmi: float = MIN_PMI, size: int = SLICE_CHARS) -> DataFrame:
     """L4: (project, word, n): statistical words and how often they occur.
 
-    Sentences of a book are dealt over groups; each gets the book's bonded pairs as one value. Counts are added up afterwards.
+    Sentences of a book are dealt over groups of about ``size`` characters; each gets the book's bonded pairs as one value. Counts are added up afterwards.
     """
-    rows, bonds = dealt(clean.where("clean <> ''").select("project", "clean"), table(bonds_of_books(pmi, min_pmi)), "clean", size)
+    bonds = table(bonds_of_books(pmi, min_pmi))
+    beside = bonds.select("project", (F.col("entries").cast("long") * 8).alias("entries"))  # a bond takes as much room as eight characters
+    rows, bonds = dealt(clean.where("clean <> ''").select("project", "clean"), bonds, "clean", size, beside, F.length("clean"))
 
     def words_of(sentences: pa.Table, bonds: pa.Table) -> pa.Table:
         if not sentences.num_rows:
             return pa.table({"project": pa.array([], pa.string()), "word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
-        bonded = bonds.column("bonds").combine_chunks().flatten().to_numpy().astype(np.uint64)
+        bonded = bonds.column("bonds").combine_chunks().flatten().to_numpy()
         found = cut_at_bonds(sentences.column("clean").to_pylist(), bonded)
         return pa.table({"project": pa.array([sentences.column("project")[0].as_py()] * len(found), pa.string()), "word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
@@ -162,7 +291,7 @@ def frequent_words(words: DataFrame, least: int = MIN_FREQUENCY) -> DataFrame:
 
 def lexicon(shots: DataFrame, sentences: DataFrame) -> DataFrame:
     """(project, word, from_label, freq): label words, and frequent statistical words."""
-    clean = cut(cleaned(sentences))
+    clean = table(packed(sentences))
     return lexicon_of(shots, clean, pmi_table(clean))
 
 
@@ -288,10 +417,6 @@ def longest_words(made: Words, texts: list[str]) -> list[tuple[int, str]]:
     return [(text, whole[i : i + n]) for text, i, n in zip(of.tolist(), start.tolist(), size.tolist(), strict=True)]
 
 
-#: Characters of texts that are looked at at once.
-CHUNK_CHARS = 500_000
-
-
 def _counted(book: str, rows: pa.Table, made: Words, finds: Callable[[Words, list[str]], Finds]) -> pa.RecordBatch:
     """(project, key, token, n) of texts (key, text)."""
     keys = rows.column("key").combine_chunks().dictionary_encode()

@@ -4,6 +4,8 @@ import pickle
 import random
 from collections import Counter
 
+import numpy as np
+
 from storyloom.operators import lexicon, recall
 
 
@@ -52,3 +54,35 @@ def test_queries_stream_past_bounded_groups_of_shots(spark, monkeypatch):
         assert rows() == want and len(want[0]) > 400
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sentences_packed_in_rows(spark, monkeypatch):
+    """Rows of many sentences give the counts, bonds and words of a row each; no sentence is divided and none runs on into the next."""
+    r = random.Random(5)
+    wide = [chr(0x4E00 + i) for i in range(400)] + ["𠀀", "a", "的"]
+    texts = [(r.choice("xy"), "".join(r.choices(wide if i % 2 else wide[:8], k=r.randint(0, 40)))) for i in range(400)] + [("x", None), (None, "甲乙 甲，乙\n甲乙"), ("x", "甲" * 300), ("x", "， \n")]
+    s = spark.createDataFrame(texts, "project string, text string")
+    one, many = lexicon.cleaned(s), lexicon.packed(s, 50)
+    held = many.collect()
+    assert Counter((x.project, t) for x in held for t in x.clean.split("\n") if t) == Counter((x.project, x.clean) for x in one.collect() if x.clean)
+    assert len(held) < 250 and 300 <= max(len(x.clean) for x in held) < 350
+    plain = Counter((b, t[i : i + n]) for b, t in [(x.project, x.clean) for x in one.collect()] for n in (1, 2) for i in range(len(t) - n + 1))
+    assert {(x.project, x.gram): x.n for x in lexicon.gram_counts(many).collect()} == plain == {(x.project, x.gram): x.n for x in lexicon.gram_counts(one).collect()}
+
+    def words(clean) -> list:
+        return sorted(map(tuple, lexicon.pmi_words(clean.where("project is not null"), lexicon.pmi_table(clean), 1.0, 500).collect()))
+
+    want = words(one)
+    assert words(many) == want and ("x", "甲" * 7, 42) in want
+    for name, value in (("SQUARE", 1), ("CHUNK_CHARS", 60)):
+        with monkeypatch.context() as m:
+            m.setattr(lexicon, name, value)
+            assert words(many) == want
+
+
+def test_runs_of_many_different_numbers():
+    """More bits than a key has."""
+    numbers = np.array([r % 1_000_000 for r in random.Random(6).choices(range(10**9), k=500)] * 2)
+    starts = np.arange(len(numbers) - 7)
+    at, n = lexicon._same(numbers, 1_000_000, starts, 7)
+    assert {tuple(numbers[i : i + 7].tolist()): k for i, k in zip(at.tolist(), n.tolist(), strict=True)} == Counter(tuple(numbers[i : i + 7].tolist()) for i in starts.tolist())
