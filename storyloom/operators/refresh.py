@@ -25,8 +25,9 @@ class Derived:
 
 def built(shots: DataFrame, sentences: DataFrame) -> Derived:
     """All of it, from all sentences."""
-    clean = table(lexicon.cleaned(sentences))
-    one, two = table(lexicon.unigrams(clean)), table(lexicon.bigrams(clean))
+    clean = table(lexicon.packed(sentences))
+    grams = table(lexicon.gram_counts(clean))
+    one, two = lexicon.of_size(grams, 1), lexicon.of_size(grams, 2)
     return Derived(one, two, lexicon.lexicon_of(shots, clean, lexicon.pmi_of_counts(one, two)))
 
 
@@ -50,12 +51,13 @@ def refreshed(stored: Derived, shots: DataFrame, sentences: DataFrame, was: Data
     the merged counts; all other lexicons stay as they are. The result is that of ``built``. Books without sentences have no counts and those without shots no labels.
     """
     changed = table(changed)
-    gone = lexicon.cleaned(was.join(changed.where("is_old"), CHAPTER, "left_semi"))
-    new = lexicon.cleaned(sentences.join(changed.where("is_new"), CHAPTER, "left_semi"))
-    one, two = (table(merged_counts(held, count(gone), count(new))) for held, count in ((stored.unigrams, lexicon.unigrams), (stored.bigrams, lexicon.bigrams)))
+    gone = lexicon.packed(was.join(changed.where("is_old"), CHAPTER, "left_semi"))
+    new = lexicon.packed(sentences.join(changed.where("is_new"), CHAPTER, "left_semi"))
+    grams = table(merged_counts(stored.unigrams.unionByName(stored.bigrams), lexicon.gram_counts(gone), lexicon.gram_counts(new)))
+    one, two = lexicon.of_size(grams, 1), lexicon.of_size(grams, 2)
     books = table(changed.select("project").distinct())
     of_books = [x.join(books, "project", "left_semi") for x in (shots, one, two)]
-    clean = table(lexicon.cleaned(sentences.join(books, "project", "left_semi")))
+    clean = table(lexicon.packed(sentences.join(books, "project", "left_semi")))
     rebuilt = lexicon.lexicon_of(of_books[0], clean, lexicon.pmi_of_counts(*of_books[1:]))
     return Derived(one, two, stored.words.join(books, "project", "left_anti").select(*rebuilt.columns).unionByName(rebuilt))
 
