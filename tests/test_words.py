@@ -86,3 +86,35 @@ def test_runs_of_many_different_numbers():
     starts = np.arange(len(numbers) - 7)
     at, n = lexicon._same(numbers, 1_000_000, starts, 7)
     assert {tuple(numbers[i : i + 7].tolist()): k for i, k in zip(at.tolist(), n.tolist(), strict=True)} == Counter(tuple(numbers[i : i + 7].tolist()) for i in starts.tolist())
+
+
+def test_best_of_rows_is_a_stable_sort():
+    r = np.random.default_rng(7)
+    for columns in (1, 3, 4, 50):
+        scores = r.integers(-3, 4, (20, columns)).astype(float)
+        scores[3] = 0
+        row, column, _ = recall.best_of_rows(scores, np.eye(columns), 3)
+        want = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+        assert column.tolist() == want.ravel().tolist() and row.tolist() == np.repeat(np.arange(20), want.shape[1]).tolist()
+
+
+def test_vectors_meet_queries_in_bounded_groups(spark, monkeypatch):
+    """Small runs, blocks and pieces give the same hits, and no piece of scores is larger than it may be."""
+    rows = [(f"b{i % 3}", i // 7, str(i), [float(i % 5), float(i * i % 11), 1.0] if i % 9 else [0.0] * 3) for i in range(120)]
+    v = spark.createDataFrame(rows, "project string, chapter int, shot_id string, embedding array<float>")
+    q = v.where("chapter % 2 = 0").selectExpr("shot_id as query_id", "embedding")
+
+    def hits(block: int) -> list:
+        return sorted((x.query_id, x["rank"], *x[4:], round(x.score, 9)) for x in recall.cosine_topk(q, v, 4, block).collect())
+
+    want = hits(4096)
+    whole = recall.best_of_rows
+
+    def checked(m, v, k):
+        assert len(m) == 1 or len(m) * len(v) <= 40
+        return whole(m, v, k)
+
+    monkeypatch.setattr(recall, "RUN", 5)
+    monkeypatch.setattr(recall, "SCORES", 40)
+    monkeypatch.setattr(recall, "best_of_rows", checked)
+    assert hits(3) == want and len(want) == 4 * q.count()
