@@ -64,13 +64,14 @@ def packed(sentences: DataFrame, size: int = PACK_CHARS) -> DataFrame:
 
 
 def _by_book(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[str]]]:
-    """The texts of each book; a text that is null is empty."""
+    """The texts of each book, about ``CHUNK_CHARS`` at a time; a text that is null is empty."""
     books = batch.column(0).dictionary_encode("encode")
     of, texts = books.indices.to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
     order = np.argsort(of, kind="stable")
     starts = np.flatnonzero(np.diff(of[order], prepend=-1))
     for rows in np.split(order, starts[1:]) if len(order) else []:
-        yield books.dictionary[int(of[rows[0]])].as_py(), [t or "" for t in texts[rows].tolist()]
+        for piece in _pieces([t or "" for t in texts[rows].tolist()], CHUNK_CHARS):
+            yield books.dictionary[int(of[rows[0]])].as_py(), piece
 
 
 def _codes_of(texts: list[str]) -> np.ndarray:
