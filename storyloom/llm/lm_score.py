@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ from storyloom.llm.common import table
 ORDER = 3
 ALPHA = 0.4
 LEAST_COUNT = 2  # an n-gram counts as seen from here on; each text is in the corpus itself, so a count of one says nothing
-CHUNK_TOKENS = 500_000
+CHUNK_TOKENS = 1_000_000
+ROWS_SENT = 20_000
 _FIRST = np.uint64(1)  # stands before the first word
 
 
@@ -26,90 +28,126 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of an n-gram from that of all but its last word, and that word."""
-    x = (prefix ^ (prefix >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + word
+def longer(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from those of all but its last word and of all but its first."""
+    x = (context ^ (context >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + suffix
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def grams_of(words: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n from 1 to ``order`` the hash of the n-gram that ends at each word; before the text stand start signs."""
-    padded = np.concatenate((np.full(order - 1, _FIRST), words))
-    out = []
-    for n in range(1, order + 1):
-        gram = padded[order - n : len(padded) - n + 1]
-        for k in range(n - 1, 0, -1):
-            gram = longer(gram, padded[order - k : len(padded) - k + 1])
-        out.append(gram)
-    return out
+def after_starts(words: np.ndarray, order: int) -> np.ndarray:
+    return np.concatenate((np.full(order - 1, _FIRST), words))
 
 
-def contexts_of(words: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n from 2 to ``order`` the hash of the n - 1 words before each word."""
-    before = grams_of(np.concatenate(([_FIRST], words)), order)
-    return [before[n - 2][:-1] for n in range(2, order + 1)]
+def grams_of(padded: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For n from 1 to ``order`` (gram, context, suffix): the hash of the n-gram that ends at each word, of all but its last word and of all but its first; a word has 0 as its
+    context and itself as its suffix. The first n - 1 hold nothing, and so do grams that reach back beyond a text's start signs."""
+    none = np.zeros(len(padded), np.uint64)
+    out = [(padded, none, padded)]
+    for _ in range(order - 1):
+        suffix = out[-1][0]
+        context = np.concatenate((none[:1], suffix[:-1]))
+        out.append((longer(context, suffix), context, suffix))
+    return out
 
 
 def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(size, gram, context, n) of all n-grams of all rows, and of the contexts as such: how often each occurs. Tasks send sums of some ``CHUNK_TOKENS`` words at a time."""
-    names = ["size", "gram", "context", "n"]
-
-    def summed(held: list[list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-        for size, parts in enumerate(held):
-            if parts:
-                gram, context = (np.concatenate(x) for x in zip(*parts, strict=True))
-                found, at, n = np.unique(gram, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), size, np.int32)), pa.array(found.view(np.int64)), pa.array(context[at].view(np.int64)), pa.array(n)], names=names)
+    """(size, context, suffix, n) of all n-grams of all rows, and of the start signs before each text: how often each occurs. Tasks send sums of some ``CHUNK_TOKENS`` words at a time."""
+    names = ["size", "context", "suffix", "n"]
+
+    def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        padded = np.concatenate(held)
+        ends = np.cumsum([len(x) for x in held])
+        starts = np.concatenate(([0], ends[:-1]))
+        for size, (gram, context, suffix) in enumerate(grams_of(padded, order), 1):
+            counts = np.ones(len(padded), bool)
+            for k in range(order - 1 if size == order else order - 2):  # the last start sign ends a gram that is a context
+                counts[starts + k] = False
+            at = np.flatnonzero(counts)
+            _, first, n = np.unique(gram[at], return_index=True, return_counts=True)
+            at = at[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(context[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(n)], names=names)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tokens = [[] for _ in range(order + 1)], 0
+        held, tokens = [], 0
         for batch in batches:
             for text in batch.column(0):
                 words = word_hashes(text.as_py())
-                if not len(words):
-                    continue
-                tokens += len(words)
-                grams, contexts = grams_of(words, order), contexts_of(words, order)
-                for n in range(1, order + 1):
-                    held[n].append((grams[n - 1], contexts[n - 2] if n > 1 else grams[0]))
-                for n in range(1, order):  # a text's opening start signs are contexts too
-                    start = np.array([_FIRST])
-                    for _ in range(n - 1):
-                        start = longer(start, np.array([_FIRST]))
-                    held[n].append((start, start))
+                if len(words):
+                    held.append(after_starts(words, order))
+                    tokens += len(words)
                 if tokens >= CHUNK_TOKENS:
                     yield from summed(held)
-                    held, tokens = [[] for _ in range(order + 1)], 0
-        yield from summed(held)
+                    held, tokens = [], 0
+        if held:
+            yield from summed(held)
 
-    rows = docs.select("text").mapInArrow(counted, "size int, gram long, context long, n long")
-    return rows.groupBy("size", "gram").agg(F.min("context").alias("context"), F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(counted, "size int, context long, suffix long, n long")
+    # dealt out before they are summed: most n-grams of a task occur once, so a sum in the task would only hold and spill them
+    return rows.repartition("context", "suffix").groupBy("size", "context", "suffix").agg(F.sum("n").alias("n"))
 
 
-def gram_values(counts: DataFrame, total: int, order: int, alpha: float, least: int) -> list[DataFrame]:
-    """For each size n a table (gram, value): the log of the score of a word whose longest seen n-gram that is."""
-    out = [counts.where("size = 1").select("gram", (F.log(F.col("n") / F.lit(float(max(1, total)))) + (order - 1) * math.log(alpha)).alias("value"))]
-    for n in range(2, order + 1):
-        seen = counts.where((F.col("size") == n) & (F.col("n") >= least))
-        before = counts.where(F.col("size") == n - 1).select(F.col("gram").alias("context"), F.col("n").alias("n_context"))
-        value = F.log(F.col("n") / F.col("n_context")) + (order - n) * math.log(alpha)
-        out.append(seen.join(before, "context").select("gram", value.alias("value")))
-    return out
+def seen_grams(counts: DataFrame, least: int) -> DataFrame:
+    """(size, gram, context, suffix, n) of all words and of the longer n-grams that count as seen."""
+    names = ["size", "gram", "context", "suffix", "n"]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, context, suffix = (batch.column(k).to_numpy() for k in range(3))
+            gram = np.where(size == 1, suffix, longer(context.view(np.uint64), suffix.view(np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gram), *batch.columns[1:]], names=names)
+
+    return counts.where((F.col("size") == 1) | (F.col("n") >= least)).mapInArrow(named, "size int, gram long, context long, suffix long, n long")
+
+
+def gram_values(seen: DataFrame, total: int, order: int, alpha: float) -> DataFrame:
+    """(gram, value, words): what each occurrence of a seen n-gram adds to its text's score and number of words.
+
+    A word adds its score without any context. A longer n-gram adds its own score less that of its suffix, which is seen wherever it is; so what a text's n-grams of all sizes add up to
+    is for each word the score of the longest seen n-gram that ends there.
+    """
+    out, shorter = [], None
+    for size in range(1, order + 1):
+        own = seen.where(F.col("size") == size)
+        backed_off = (order - size) * math.log(alpha)
+        if shorter is None:
+            each = own.select("gram", "n", (F.log(F.col("n") / F.lit(float(max(1, total)))) + backed_off).alias("score")).withColumn("value", F.col("score"))
+        else:
+            own = own.join(shorter.select(F.col("gram").alias("context"), F.col("n").alias("n_context")), "context")
+            own = own.join(shorter.select(F.col("gram").alias("suffix"), F.col("score").alias("without")), "suffix")
+            each = own.select("gram", "n", (F.log(F.col("n") / F.col("n_context")) + backed_off).alias("score"), "without").withColumn("value", F.col("score") - F.col("without"))
+            if size < order:
+                each = table(each)
+        out.append(each.select("gram", "value", F.lit(int(size == 1)).alias("words")))
+        shorter = each
+    return reduce(DataFrame.unionByName, out)
 
 
 def exploded(keyed: DataFrame, order: int) -> DataFrame:
-    """(key, g1, ..., gN): one row for each word of each row."""
-    names = ["key", *(f"g{n}" for n in range(1, order + 1))]
+    """(key, gram, n): each row's n-grams up to ``order`` words, and how often it holds them."""
+    names = ["key", "gram", "n"]
+
+    def joined(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, grams, n = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in grams])), pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(n).astype(np.int32))], names=names)
 
     def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = word_hashes(text.as_py())
-                if len(words):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), key, np.int64)), *(pa.array(g.view(np.int64)) for g in grams_of(words, order))], names=names)
+                if not len(words):
+                    continue
+                grams = np.concatenate([gram[order - 1 :] for gram, _, _ in grams_of(after_starts(words, order), order)])
+                held.append((key, *np.unique(grams, return_counts=True)))
+                rows += len(held[-1][1])
+                if rows >= ROWS_SENT:
+                    yield joined(held)
+                    held, rows = [], 0
+        if held:
+            yield joined(held)
 
-    return keyed.mapInArrow(laid, ", ".join(f"{n} long" for n in names))
+    return keyed.mapInArrow(laid, "key long, gram long, n int")
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST_COUNT) -> DataFrame:
@@ -118,25 +156,18 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     S(w | u v) = n(u v w) / n(u v) if n(u v w) >= least, else alpha * S(w | v); S(w | v) = n(v w) / n(v) if n(v w) >= least, else alpha * n(w) / N. Logarithms are natural;
     start signs stand before the first word. Words are lower-cased and white-space separated, a word and an n-gram are their 64-bit hashes. Counts cover all rows and are exact.
 
-    Counts are summed in the tasks, then by hash. The words of all documents meet the table of the longest n-grams; who finds nothing there goes on to the next shorter. A frequent
-    n-gram is one row of its table, and adaptive execution splits the many words that ask for it.
+    Counts are summed in the tasks, then by hash. Each document's n-grams of all sizes meet one table of the seen ones, in one join. A frequent n-gram is one row of that
+    table, and adaptive execution splits the many documents that ask for it.
 
     Null and empty texts: n_tokens 0, log_score 0, mean null. Null doc_id: kept. Repeated rows: rows of their own with equal scores, and counted as
     often as they occur. Empty table: empty result.
     """
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    counts = table(gram_counts(docs, order))
-    starts = F.lit(int(_FIRST))
-    total = counts.where((F.col("size") == 1) & (F.col("gram") != starts)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    values = gram_values(counts, total, order, alpha, least)
+    seen = table(seen_grams(gram_counts(docs, order), least))
+    total = seen.where((F.col("size") == 1) & (F.col("gram") != int(_FIRST))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     asking = exploded(docs.select(key.alias("key"), "text"), order)
-    sums = None
-    for n in range(order, 0, -1):
-        met = asking.join(values[n - 1].withColumnRenamed("gram", f"g{n}"), f"g{n}", "left")
-        part = met.where("value is not null").groupBy("key").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("tokens"))
-        sums = part if sums is None else sums.unionByName(part)
-        asking = met.where("value is null").select("key", *(f"g{m}" for m in range(1, n)))
-    sums = sums.groupBy("key").agg(F.sum("value").alias("log_score"), F.sum("tokens").alias("n_tokens"))
+    met = asking.join(gram_values(seen, total, order, alpha), "gram")
+    sums = met.groupBy("key").agg(F.sum(F.col("value") * F.col("n")).alias("log_score"), F.sum(F.col("words") * F.col("n")).alias("n_tokens"))
     listed = docs.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
     joined = listed.join(sums, "key", "left")
     n = F.coalesce(F.col("n_tokens") / F.col("times"), F.lit(0)).cast("long")

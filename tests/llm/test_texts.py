@@ -303,6 +303,19 @@ def test_lm_scores(spark, sf_dir, order):
     assert Counter((r.doc_id, r.n_tokens, round(r.log_score, 4)) for r in got) == plain_scores(rows, order)
 
 
+def test_lm_scores_in_pieces(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", 700)
+    monkeypatch.setattr(lm_score, "ROWS_SENT", 300)
+    rows = EDGES * 3 + [(r.doc_id % 7, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
+    got = lm_score.score(docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_tokens, round(r.log_score, 4)) for r in got) == plain_scores(rows, 3)
+
+
+def test_lm_scores_lay_out_texts_once(spark):
+    plan = lm_score.score(docs(spark, EDGES))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_lm_scores_of_nothing(spark):
     assert lm_score.score(docs(spark, [])).count() == 0
     assert [(r.n_tokens, r.mean_log_score) for r in lm_score.score(docs(spark, [(1, None, None)])).collect()] == [(0, None)]
