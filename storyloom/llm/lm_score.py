@@ -17,7 +17,7 @@ from storyloom.llm.common import table
 ORDER = 3
 ALPHA = 0.4
 LEAST_COUNT = 2  # an n-gram counts as seen from here on; each text is in the corpus itself, so a count of one says nothing
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 250_000
 ROWS_SENT = 20_000
 _FIRST = np.uint64(1)  # stands before the first word
 
