@@ -1,4 +1,4 @@
-"""Stupid-backoff scores: tables of n-gram counts partitioned by hash, joined to the corpus's own exploded n-grams, summed by document."""
+"""Stupid-backoff scores: counts of n-grams summed in slices of their hashes, joined back to the corpus's own n-grams piece by piece, summed by document."""
 
 from __future__ import annotations
 
@@ -8,17 +8,22 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.llm.common import table
+from storyloom.sources.checkpoints import table_alone
 
 ORDER = 3
 ALPHA = 0.4
 LEAST_COUNT = 2  # an n-gram counts as seen from here on; each text is in the corpus itself, so a count of one says nothing
 CHUNK_TOKENS = 250_000
 ROWS_SENT = 20_000
+SLICE_GRAMS = 2_000_000
+ROUNDS = 4
 _FIRST = np.uint64(1)  # stands before the first word
 
 
@@ -35,119 +40,141 @@ def longer(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def after_starts(words: np.ndarray, order: int) -> np.ndarray:
-    return np.concatenate((np.full(order - 1, _FIRST), words))
+def pieces_of(docs: DataFrame) -> DataFrame:
+    """(piece, tokens, doc_ids, lengths, words, at): rows of some ``CHUNK_TOKENS`` words, or ``ROWS_SENT`` texts. Words are the piece's distinct hashes, ``at`` is the place among them of each word of its texts."""
+    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+    kind = T.StructType().add("tokens", T.IntegerType()).add("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)).add("lengths", ints).add("words", longs).add("at", ints)
 
+    def packed(ids: list[pa.Scalar], held: list[np.ndarray]) -> pa.RecordBatch:
+        words, at = np.unique(np.concatenate(held), return_inverse=True)
+        lengths = np.array([len(x) for x in held], np.int32)
+        columns = [pa.array([x.as_py() for x in ids], ids[0].type), pa.array(lengths), pa.array(words.view(np.int64)), pa.array(at.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns)], names=kind.names)
 
-def grams_of(padded: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For n from 1 to ``order`` (gram, context, suffix): the hash of the n-gram that ends at each word, of all but its last word and of all but its first; a word has 0 as its
-    context and itself as its suffix. The first n - 1 hold nothing, and so do grams that reach back beyond a text's start signs."""
-    none = np.zeros(len(padded), np.uint64)
-    out = [(padded, none, padded)]
-    for _ in range(order - 1):
-        suffix = out[-1][0]
-        context = np.concatenate((none[:1], suffix[:-1]))
-        out.append((longer(context, suffix), context, suffix))
-    return out
-
-
-def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(size, context, suffix, n) of all n-grams of all rows, and of the start signs before each text: how often each occurs. Tasks send sums of some ``CHUNK_TOKENS`` words at a time."""
-    names = ["size", "context", "suffix", "n"]
-
-    def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        padded = np.concatenate(held)
-        ends = np.cumsum([len(x) for x in held])
-        starts = np.concatenate(([0], ends[:-1]))
-        for size, (gram, context, suffix) in enumerate(grams_of(padded, order), 1):
-            counts = np.ones(len(padded), bool)
-            for k in range(order - 1 if size == order else order - 2):  # the last start sign ends a gram that is a context
-                counts[starts + k] = False
-            at = np.flatnonzero(counts)
-            _, first, n = np.unique(gram[at], return_index=True, return_counts=True)
-            at = at[first]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(context[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(n)], names=names)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tokens = [], 0
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, tokens = [], [], 0
         for batch in batches:
-            for text in batch.column(0):
-                words = word_hashes(text.as_py())
-                if len(words):
-                    held.append(after_starts(words, order))
-                    tokens += len(words)
-                if tokens >= CHUNK_TOKENS:
-                    yield from summed(held)
-                    held, tokens = [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids.append(doc_id)
+                held.append(word_hashes(text.as_py()))
+                tokens += len(held[-1])
+                if tokens >= CHUNK_TOKENS or len(held) >= ROWS_SENT:
+                    yield packed(ids, held)
+                    ids, held, tokens = [], [], 0
         if held:
-            yield from summed(held)
+            yield packed(ids, held)
 
-    rows = docs.select("text").mapInArrow(counted, "size int, context long, suffix long, n long")
-    # dealt out before they are summed: most n-grams of a task occur once, so a sum in the task would only hold and spill them
-    return rows.repartition("context", "suffix").groupBy("size", "context", "suffix").agg(F.sum("n").alias("n"))
+    rows = docs.select("doc_id", "text").mapInArrow(laid, kind)
+    return rows.select(F.monotonically_increasing_id().alias("piece"), "*")
 
 
-def seen_grams(counts: DataFrame, least: int) -> DataFrame:
-    """(size, gram, context, suffix, n) of all words and of the longer n-grams that count as seen."""
-    names = ["size", "gram", "context", "suffix", "n"]
+def values(column: pa.Array, row: int) -> np.ndarray:
+    return column[row].values.to_numpy(zero_copy_only=False)
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, context, suffix = (batch.column(k).to_numpy() for k in range(3))
-            gram = np.where(size == 1, suffix, longer(context.view(np.uint64), suffix.view(np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gram), *batch.columns[1:]], names=names)
 
-    return counts.where((F.col("size") == 1) | (F.col("n") >= least)).mapInArrow(named, "size int, gram long, context long, suffix long, n long")
+def grams_of(lengths: np.ndarray, words: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Lays texts out one after the other, each behind its start signs. For each word its place and its text; for n from 1 to ``order`` the hash of the n-gram that ends at each place, and
+    the places whose n-gram is counted: those of words, and of the last start sign where its n-gram is the context of a first word."""
+    filled = np.flatnonzero(lengths)
+    sizes = lengths[filled]
+    nth = np.repeat(np.arange(len(filled)), sizes)
+    places = np.arange(len(words)) + (order - 1) * (nth + 1)
+    padded = np.full(len(words) + (order - 1) * len(filled), _FIRST)
+    padded[places] = words
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes + (order - 1) * np.arange(len(filled))
+    grams, counted = [padded], []
+    for _ in range(order - 1):
+        suffix = grams[-1]
+        grams.append(longer(np.concatenate((np.zeros(min(1, len(suffix)), np.uint64), suffix[:-1])), suffix))
+    for size in range(1, order + 1):
+        here = np.ones(len(padded), bool)
+        for k in range(order - 1 if size == order else order - 2):
+            here[starts + k] = False
+        counted.append(np.flatnonzero(here))
+    return places, filled[nth], grams, counted
 
 
-def gram_values(seen: DataFrame, total: int, order: int, alpha: float) -> DataFrame:
-    """(gram, value, words): what each occurrence of a seen n-gram adds to its text's score and number of words.
+def slice_ends(slices: int) -> np.ndarray:
+    """The first hash of each slice but slice 0, where the hashes are cut into equal ranges."""
+    return np.array([-(-(k << 64) // slices) for k in range(1, slices)], np.uint64)
 
-    A word adds its score without any context. A longer n-gram adds its own score less that of its suffix, which is seen wherever it is; so what a text's n-grams of all sizes add up to
-    is for each word the score of the longest seen n-gram that ends there.
-    """
-    out, shorter = [], None
-    for size in range(1, order + 1):
-        own = seen.where(F.col("size") == size)
-        backed_off = (order - size) * math.log(alpha)
-        if shorter is None:
-            each = own.select("gram", "n", (F.log(F.col("n") / F.lit(float(max(1, total)))) + backed_off).alias("score")).withColumn("value", F.col("score"))
-        else:
-            own = own.join(shorter.select(F.col("gram").alias("context"), F.col("n").alias("n_context")), "context")
-            own = own.join(shorter.select(F.col("gram").alias("suffix"), F.col("score").alias("without")), "suffix")
-            each = own.select("gram", "n", (F.log(F.col("n") / F.col("n_context")) + backed_off).alias("score"), "without").withColumn("value", F.col("score") - F.col("without"))
-            if size < order:
-                each = table(each)
-        out.append(each.select("gram", "value", F.lit(int(size == 1)).alias("words")))
-        shorter = each
-    return reduce(DataFrame.unionByName, out)
-
-
-def exploded(keyed: DataFrame, order: int) -> DataFrame:
-    """(key, gram, n): each row's n-grams up to ``order`` words, and how often it holds them."""
-    names = ["key", "gram", "n"]
-
-    def joined(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, grams, n = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in grams])), pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(n).astype(np.int32))], names=names)
 
-    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+def grams_sent(pieces: DataFrame, order: int, slices: int, mine: range) -> DataFrame:
+    """(slice, piece, grams, n): each piece's different n-grams up to ``order`` words in the slices ``mine``, ascending, and how often the piece holds them."""
+    names = ["slice", "piece", "grams", "n"]
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = slice_ends(slices)
+        inner = ends[mine.start : mine.stop - 1]
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = word_hashes(text.as_py())
-                if not len(words):
-                    continue
-                grams = np.concatenate([gram[order - 1 :] for gram, _, _ in grams_of(after_starts(words, order), order)])
-                held.append((key, *np.unique(grams, return_counts=True)))
-                rows += len(held[-1][1])
-                if rows >= ROWS_SENT:
-                    yield joined(held)
-                    held, rows = [], 0
-        if held:
-            yield joined(held)
+            for row, piece in enumerate(batch.column(0).to_pylist()):
+                lengths, words, at = (values(batch.column(k), row) for k in (1, 2, 3))
+                _, _, grams, counted = grams_of(lengths, words.view(np.uint64)[at], order)
+                all_grams = np.concatenate([gram[places] for gram, places in zip(grams, counted, strict=True)])
+                if mine.start > 0:
+                    all_grams = all_grams[all_grams >= ends[mine.start - 1]]
+                if mine.stop < slices:
+                    all_grams = all_grams[all_grams < ends[mine.stop - 1]]
+                found, n = np.unique(all_grams, return_counts=True)
+                sizes = np.diff(np.searchsorted(found, inner), prepend=0, append=len(found))
+                some = np.flatnonzero(sizes)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes[some]))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (found.view(np.int64), n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array((some + mine.start).astype(np.int32)), pa.array(np.full(len(some), piece)), *lists], names=names)
+
+    return pieces.select("piece", "lengths", "words", "at").mapInArrow(sent, "slice int, piece long, grams array<long>, n array<int>")
+
+
+def summed(sent: DataFrame) -> DataFrame:
+    """(piece, slice, n): for each piece's n-grams in a slice, in the order in which they were sent, how often all pieces hold them."""
+
+    def counts(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        grams, n = rows.column("grams").combine_chunks(), rows.column("n").combine_chunks()
+        found, which = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+        every = np.bincount(which, n.flatten().to_numpy(), len(found)).astype(np.int64)
+        offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(grams).to_numpy()))).astype(np.int32)
+        return pa.table([rows.column("piece"), rows.column("slice"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(every[which]))], names=["piece", "slice", "n"])
+
+    return sent.groupBy("slice").applyInArrow(counts, "piece long, slice int, n array<long>")
+
+
+def scored(pieces: DataFrame, counts: DataFrame, dealt: int, total: int, order: int, alpha: float, least: int) -> DataFrame:
+    """(doc_id, n_tokens, log_score) of each text of the pieces, which meet the counts of their own n-grams in ``dealt`` partitions."""
+    names = ["doc_id", "n_tokens", "log_score"]
+
+    def log_scores(lengths: np.ndarray, words: np.ndarray, n: np.ndarray) -> np.ndarray:
+        places, texts, grams, counted = grams_of(lengths, words, order)
+        found, which = np.unique(np.concatenate([gram[here] for gram, here in zip(grams, counted, strict=True)]), return_inverse=True)
+        if len(found) != len(n):
+            raise ValueError(f"{len(found)} n-grams have {len(n)} counts")
+        counts, at = [], 0
+        for gram, here in zip(grams, counted, strict=True):
+            counts.append(np.zeros(len(gram), np.int64))
+            counts[-1][here] = n[which[at : at + len(here)]]
+            at += len(here)
+        score = np.log(counts[0][places] / max(1, total)) + (order - 1) * math.log(alpha)
+        for size in range(2, order + 1):
+            seen = np.flatnonzero(counts[size - 1][places] >= least)
+            ends = places[seen]
+            score[seen] = np.log(counts[size - 1][ends] / counts[size - 2][ends - 1]) + (order - size) * math.log(alpha)
+        return np.bincount(texts, score, len(lengths)).astype(np.float64)  # of no words at all it makes integers
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lengths, words, at = (values(batch.column(k), row) for k in (1, 2, 3))
+                n = np.zeros(0, np.int64)
+                if batch.column(4)[row].is_valid:  # else none of the piece's texts has a word
+                    got = batch.column(4)[row].values
+                    n = got.field(1).take(pa.array(np.argsort(got.field(0).to_numpy()))).flatten().to_numpy()
+                scores = log_scores(lengths, words.view(np.uint64)[at], n)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row].values, pa.array(lengths.astype(np.int64)), pa.array(scores)], names=names)
 
-    return keyed.mapInArrow(laid, "key long, gram long, n int")
+    kind = T.StructType().add("doc_id", pieces.schema["doc_ids"].dataType.elementType).add("n_tokens", T.LongType()).add("log_score", T.DoubleType())
+    answers = counts.repartition(dealt, "piece").groupBy("piece").agg(F.collect_list(F.struct("slice", "n")).alias("answers"))
+    met = pieces.repartition(dealt, "piece").join(answers, "piece", "left")
+    return met.select("doc_ids", "lengths", "words", "at", "answers").mapInArrow(each, kind)
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST_COUNT) -> DataFrame:
@@ -156,20 +183,22 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     S(w | u v) = n(u v w) / n(u v) if n(u v w) >= least, else alpha * S(w | v); S(w | v) = n(v w) / n(v) if n(v w) >= least, else alpha * n(w) / N. Logarithms are natural;
     start signs stand before the first word. Words are lower-cased and white-space separated, a word and an n-gram are their 64-bit hashes. Counts cover all rows and are exact.
 
-    Counts are summed in the tasks, then by hash. Each document's n-grams of all sizes meet one table of the seen ones, in one join. A frequent n-gram is one row of that
-    table, and adaptive execution splits the many documents that ask for it.
+    Texts are hashed once, into a table of pieces. A piece sends each of its different n-grams once, to the slice of its hash; slices hold some ``SLICE_GRAMS`` n-grams, and a frequent
+    n-gram comes once from each piece that has it. Counts go back to the pieces in the order in which they were asked for, without the hashes. A context or a suffix of a piece's n-gram is in the
+    piece itself, so this is all that its scores need. The slices are counted in up to ``ROUNDS`` queries, and the pieces are scored in as many, the last when the result is read; what one of them
+    shuffled is deleted before the next, so the disk holds a part of it at a time.
 
     Null and empty texts: n_tokens 0, log_score 0, mean null. Null doc_id: kept. Repeated rows: rows of their own with equal scores, and counted as
     often as they occur. Empty table: empty result.
     """
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    seen = table(seen_grams(gram_counts(docs, order), least))
-    total = seen.where((F.col("size") == 1) & (F.col("gram") != int(_FIRST))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    asking = exploded(docs.select(key.alias("key"), "text"), order)
-    met = asking.join(gram_values(seen, total, order, alpha), "gram")
-    sums = met.groupBy("key").agg(F.sum(F.col("value") * F.col("n")).alias("log_score"), F.sum(F.col("words") * F.col("n")).alias("n_tokens"))
-    listed = docs.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
-    joined = listed.join(sums, "key", "left")
-    n = F.coalesce(F.col("n_tokens") / F.col("times"), F.lit(0)).cast("long")
-    each = joined.select("doc_id", n.alias("n_tokens"), F.coalesce(F.col("log_score") / F.col("times"), F.lit(0.0)).alias("log_score"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    pieces = table(pieces_of(docs), maxRecordsPerFile=8)
+    total, n_pieces = pieces.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    slices = 1 + order * total // SLICE_GRAMS
+    rounds = min(ROUNDS, slices)
+    ends = [k * slices // rounds for k in range(rounds + 1)]
+    counts = reduce(DataFrame.unionByName, [table_alone(summed(grams_sent(pieces, order, slices, range(a, b)))) for a, b in zip(ends, ends[1:], strict=False)])
+    dealt = 1 + n_pieces // (4 * rounds)  # a few pieces a task, whatever their compressed size
+    mine = F.pmod(F.xxhash64("piece"), F.lit(rounds))
+    shares = [scored(pieces.where(mine == k), counts.where(mine == k), dealt, total, order, alpha, least) for k in range(rounds)]
+    each = reduce(DataFrame.unionByName, [*map(table_alone, shares[1:]), shares[0]])
     return each.select("doc_id", "n_tokens", "log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"))

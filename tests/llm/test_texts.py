@@ -1,6 +1,7 @@
 """Operators that read one text at a time: rules, secrets, surrogates, extraction, scores."""
 
 import math
+import pathlib
 import random
 import re
 import time
@@ -311,6 +312,27 @@ def test_lm_scores_in_pieces(spark, sf_dir, monkeypatch):
     assert Counter((r.doc_id, r.n_tokens, round(r.log_score, 4)) for r in got) == plain_scores(rows, 3)
 
 
+def shuffle_bytes(spark):
+    """What the session's shuffles hold on disk."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(f.stat().st_size for d in folders for f in pathlib.Path(d).rglob("shuffle_*.data"))
+
+
+def test_lm_scores_drop_what_was_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SLICE_GRAMS", 50_000)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(1000)), "a") for i in range(200)] + EDGES
+    before = shuffle_bytes(spark)
+    got = lm_score.score(docs(spark, rows))
+    for _ in range(50):  # files go a little later
+        if shuffle_bytes(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert shuffle_bytes(spark) <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    assert Counter((r.doc_id, r.n_tokens, round(r.log_score, 4)) for r in got.collect()) == plain_scores(rows, 3)
+
+
 def test_lm_scores_lay_out_texts_once(spark):
     plan = lm_score.score(docs(spark, EDGES))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
