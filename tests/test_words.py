@@ -1,5 +1,6 @@
 """Trees of words and what streams past them: sizes, and the same finds as plain Python."""
 
+import hashlib
 import pickle
 import random
 from collections import Counter
@@ -118,3 +119,43 @@ def test_vectors_meet_queries_in_bounded_groups(spark, monkeypatch):
     monkeypatch.setattr(recall, "SCORES", 40)
     monkeypatch.setattr(recall, "best_of_rows", checked)
     assert hits(3) == want and len(want) == 4 * q.count()
+
+
+def test_smallest_draws_are_those_of_md5():
+    r = random.Random(8)
+    for n in (1, 2, 7, 300):
+        ends = [f"{'字' * r.randint(0, 3)}|{r.randint(0, 10 ** r.randint(1, 6))}|{r.randint(1, 99)}".encode() for _ in range(n)]
+        messages = recall._Messages(ends)
+        for start in (b"", b"pick|1-2|", "pick|é|".encode(), b"x" * 36, b"x" * 60):
+            which, k = np.sort(np.array(r.sample(range(n), r.randint(1, n)))), r.randint(1, 4)
+            assert messages.least(start, which, k) == sorted((hashlib.md5(start + ends[i]).hexdigest(), j) for j, i in enumerate(which.tolist()))[:k]
+
+
+def test_pairs_of_queries_and_shots_are_not_written(spark, monkeypatch):
+    """Every query holds every label and shares words with every text: what is written for it grows with queries plus shots, and containment neither writes nor shuffles what it finds."""
+    n = 40
+    s = spark.createDataFrame([("b", i, 0, "1", "甲乙") for i in range(n)], "project string, chapter int, pos int, shot_id string, label string")
+    t = s.selectExpr("*", "'甲乙丙丁甲乙' as text")
+    q = spark.createDataFrame([(f"q{i}", "b", "丙丁甲乙") for i in range(n)], "query_id string, project string, text string")
+    w = spark.createDataFrame([("b", "甲乙"), ("b", "丙丁")], "project string, word string")
+    written, whole = [], recall.table
+
+    def counted(df, **options):
+        written.append(df.count())
+        return whole(df, **options)
+
+    monkeypatch.setattr(recall, "table", counted)
+    monkeypatch.setattr(recall, "cut", counted, raising=False)
+    assert {x.n for x in recall.token_counts(q, s, t, w).collect()} == {4} and recall.token_counts(q, s, t, w).count() == n * n
+    named = s.selectExpr("project", "concat('b|', chapter, '|1') as key", "label")
+    found = recall.containment(q.selectExpr("query_id", "project", "text as q"), named)
+    assert found.count() == n * n and max(written) <= 2 * n
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_keys_with_several_labels_are_found_once(spark, monkeypatch):
+    monkeypatch.setattr(recall, "LABEL_KEYS", 2, raising=False)
+    q = spark.createDataFrame([(1, "b", "甲乙丙丁"), (2, "b", "甲乙"), (3, "b", "甲乙")], "query_id int, project string, q string")
+    labels = [("b", "k1", "甲乙"), ("b", "k1", "丙丁"), ("b", "k1", "丙丁"), ("b", "k3", "甲甲")] + [("b", f"m{i}", "甲乙") for i in range(5)]
+    got = sorted(map(tuple, recall.containment(q, spark.createDataFrame(labels, "project string, key string, label string")).collect()))
+    assert got == sorted((i, "b", k) for i in (1, 2, 3) for k in ["k1", *(f"m{j}" for j in range(5))])
