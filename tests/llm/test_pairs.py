@@ -1,5 +1,6 @@
 """Near-dedup, components, decontamination and mixing against brute force, with edge cases."""
 
+import random
 import re
 import time
 from collections import Counter, defaultdict
@@ -330,3 +331,30 @@ def test_names_of_other_columns_dont_matter(spark):
         assert kept.columns == names and {tuple(x) for x in kept.collect()} == {x for x in rows if x[0] in ids}
     mixed = mixing.mix(df)
     assert mixed.columns == [*names, "copy_no"] and {tuple(x)[:-1] for x in mixed.collect()} <= set(rows)
+
+
+def test_near_copies_of_any_size_are_found(spark):
+    """Pairs at the limit, of small sets above all, whose fingerprints lie far apart or which share no band: four words' shingles of five, and other sizes."""
+    r = random.Random(9)
+    texts = []
+    for i in range(1500):
+        shingles = 4 if i % 3 else r.choice([8, 12, 16, 20])
+        words = [f"w{r.randint(0, 10**9)}" for _ in range(shingles + 4)]
+        more = [f"v{r.randint(0, 10**9)}" for _ in range(shingles // 4)]  # n of n + n / 4 shingles are shared: a similarity of 0.8
+        texts += [" ".join(words), " ".join(words + more)]
+    kept = {x.doc_id for x in near_copies.keep_one(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).select("doc_id").collect()}
+    assert kept == set(range(0, len(texts), 2))
+
+
+def test_prefixes_and_parities_lose_nothing():
+    r = np.random.default_rng(10)
+    for _ in range(300):
+        n = int(r.integers(1, 400))
+        x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([r.permutation(x)[: len(x) - int(r.integers(0, len(x) // 5 + 1))], r.integers(0, 1 << 63, int(r.integers(0, len(x) // 8 + 1)), dtype=np.uint64)]))
+        shared = len(np.intersect1d(x, y))
+        bits = int(np.bitwise_count(near_copies.parities(x) ^ near_copies.parities(y)).sum())
+        assert bits <= len(x) + len(y) - 2 * shared
+        if shared / (len(x) + len(y) - shared) >= 0.8:
+            assert len(np.intersect1d(near_copies.prefix(x, 0.8), near_copies.prefix(y, 0.8)))
+            assert bits <= near_copies._most(np.int64(len(x)), np.int64(len(y)), 0.8, None)
